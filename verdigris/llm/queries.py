@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import bpe, decontaminate, sharding, toxicity, url_filter
 
 
 def op4_sharding(spark, sf_dir):
@@ -12,5 +12,8 @@ def op4_sharding(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_sharding": op4_sharding,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
