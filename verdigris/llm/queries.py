@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, sharding, toxicity, url_filter
+from . import bpe, decontaminate, sharding, token_files, toxicity, url_filter
 
 
 def op4_sharding(spark, sf_dir):
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_token_files": token_files.op8_token_files,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE}

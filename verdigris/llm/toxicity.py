@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, text_bytes, written
 from .textkit import SPACE, Words, mix, prefix, span_hash
 
 #: Bounds of the fit: labelled rows taken (in the order of a hash of doc_id), features kept (the surest).
@@ -125,7 +125,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """y, t: labels and texts of at most SAMPLE_ROWS labelled documents outside the held-out third."""
     own = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    return docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(own), "doc_id").dropDuplicates(["t"]).select((F.col("y") > 0).alias("y"), "t")
+    return docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(own), "doc_id").groupBy("t").agg((F.max("y") > 0).alias("y"))
 
 
 def _counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,8 +146,7 @@ def _counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model. Texts and the label are all that is read."""
-    rows = training_rows(docs, labels)
-    spark = docs.sparkSession
+    rows = written(training_rows(docs, labels), "toxicity_sample")
     counts = rows.mapInPandas(_counted, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     size = rows.agg(F.sum(F.col("y").cast("long")).alias("a"), F.sum((~F.col("y")).cast("long")).alias("b")).first()
     na, nb = float(size["a"] or 0), float(size["b"] or 0)
@@ -156,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # the prior of a feature: PRIOR documents, and as many more as it is frequent in the sample
     prior = F.lit(PRIOR) + (F.col("a") + F.col("b")) / F.lit(na + nb)
     a, b = F.col("a") + prior, F.col("b") + prior
-    odds = F.log(a / (F.lit(na + 1.0) - F.col("a"))) - F.log(b / (F.lit(nb + 1.0) - F.col("b")))
+    odds = F.log(a / (F.lit(na + 1.0) - F.col("a"))) - F.log(b / (F.lit(nb + 1.0) - F.col("b")))  # counts are na, nb at most
     low = odds - F.lit(Z0) * F.sqrt(1.0 / a + 1.0 / b)
     best = counts.where(f"a >= {LEAST_DOCS}").select("f", odds.alias("w"), low.alias("low")).where(f"low >= {LEAST_ODDS}").orderBy(F.desc("low"), "f").limit(FEATURES).collect()
     key = np.array([r["f"] for r in best], np.int64).view(np.uint64)
