@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, sharding, token_files, toxicity, url_filter
+from . import bpe, decontaminate, pii, quality, sharding, token_files, toxicity, url_filter
 
 
 def op4_sharding(spark, sf_dir):
@@ -11,6 +11,7 @@ def op4_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_pii": pii.op2_pii,
     "op3_quality": quality.op3_quality,
     "op4_sharding": op4_sharding,
     "op5_decontaminate": decontaminate.op5_decontaminate,
