@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pii, quality, sharding, token_files, toxicity, url_filter
+from . import bpe, decontaminate, ngram_join, pii, quality, sharding, token_files, toxicity, url_filter
 
 
 def op4_sharding(spark, sf_dir):
@@ -18,5 +18,6 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_files": token_files.op8_token_files,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
