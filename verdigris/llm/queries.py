@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, ngram_join, pii, quality, sharding, token_files, toxicity, url_filter
+from . import bpe, decontaminate, ngram_join, passage_dedup, pii, quality, sharding, token_files, toxicity, url_filter
 
 
 def op4_sharding(spark, sf_dir):
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_sharding": op4_sharding,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_passage_dedup": passage_dedup.op6_passage_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_files": token_files.op8_token_files,
     "op9_byte_bpe": bpe.op9_byte_bpe,
