@@ -9,6 +9,12 @@ def op4_sharding(spark, sf_dir):
     return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_pii": pii.op2_pii,
@@ -20,5 +26,6 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "pipeline": pipeline,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
