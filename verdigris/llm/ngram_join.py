@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, partitions, text_bytes, written
+from .common import chunks, partitions, small_batches, text_bytes, written
 from .textkit import Words, mix, runs, shingles
 
 WIDTH = 3
@@ -223,6 +223,7 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     """
     kind = docs.schema[key].dataType.simpleString()
     spark = docs.sparkSession
+    small_batches(spark)
     cols = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
     # a null id becomes 0 for the workers (a column of longs), the row's own mark keeps it apart
     marked = cols.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "_t", F.col("doc_id").isNull().alias("lost"))
