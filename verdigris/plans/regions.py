@@ -1 +1,92 @@
-"""Filled below."""
+"""Regions of a label along an attribute, and the relations of labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from verdigris.plans.registry import query
+from verdigris.sources import tables as T
+
+
+def islands(df, group, key, x, flag):
+    """group, island, lo, hi, n, flag: maximal runs of rows with one flag along x; bounds at the midpoints between runs,
+    open (null) at the ends. A window over each group: groups are (node, label) pairs."""
+    o = Window.partitionBy(*group).orderBy(x, key)
+    r = df.withColumns({"_new": F.coalesce((F.col(flag) != F.lag(flag).over(o)).cast("int"), F.lit(0)), "_prev": F.lag(x).over(o), "_next": F.lead(x).over(o)})
+    r = r.withColumn("island", F.sum("_new").over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    g = r.groupBy(*group, "island").agg(F.first(flag).alias(flag), F.count("*").alias("n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.min_by("_prev", F.struct(x, key)).alias("_p"), F.max_by("_next", F.struct(x, key)).alias("_q"), F.sum(x).alias("_s"))
+    return g.select(*group, F.col("island").cast("int").alias("island"), flag, "n", ((F.col("_p") + F.col("_lo")) / 2).alias("lo"), ((F.col("_hi") + F.col("_q")) / 2).alias("hi"), F.col("_s").alias("total"))
+
+
+_I = """z AS (SELECT yl.node, label, row_id, y, x1 FROM yl JOIN cm USING (row_id)),
+i0 AS (SELECT *, CASE WHEN y <> lag(y) OVER o THEN 1 ELSE 0 END AS nw, lag(x1) OVER o AS pv, lead(x1) OVER o AS nx FROM z WINDOW o AS (PARTITION BY node, label ORDER BY x1, row_id)),
+i1 AS (SELECT *, sum(nw) OVER (PARTITION BY node, label ORDER BY x1, row_id ROWS UNBOUNDED PRECEDING) AS island FROM i0),
+isl AS (SELECT node, label, CAST(island AS INTEGER) AS island, any_value(y) AS y, count(*) AS n, (arg_min(pv, (x1, row_id)) + min(x1)) / 2 AS lo, (max(x1) + arg_max(nx, (x1, row_id))) / 2 AS hi, sum(x1) AS total FROM i1 GROUP BY node, label, island)""".replace("arg_min(pv, (x1, row_id))", "first(pv ORDER BY x1, row_id)").replace("arg_max(nx, (x1, row_id))", "last(nx ORDER BY x1, row_id)")
+
+
+def _long(spark, sf):
+    df = T.customer_ml(spark, sf)
+    return df.select("row_id", "node", "x1", F.explode(F.array(*(F.struct(F.lit(i).alias("label"), F.col(c).alias("y")) for i, c in enumerate(T.LABELS)))).alias("s")).select("row_id", "node", "x1", "s.*")
+
+
+@query("g1_regions", f"WITH {_I} SELECT node, label, island, y, n, round(lo, 4) AS lo, round(hi, 4) AS hi FROM isl")
+def g1(spark, sf):
+    return islands(_long(spark, sf), ["node", "label"], "row_id", "x1", "y").select("node", "label", "island", "y", "n", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
+@query("g2_region_weights", f"WITH {_I} SELECT node, label, count(*) AS regions, max(n) AS largest, round(avg(n), 6) AS density FROM isl WHERE y = 1 GROUP BY ALL")
+def g2(spark, sf):
+    r = islands(_long(spark, sf), ["node", "label"], "row_id", "x1", "y").where("y = 1")
+    return r.groupBy("node", "label").agg(F.count("*").alias("regions"), F.max("n").alias("largest"), F.round(F.avg("n"), 6).alias("density"))
+
+
+@query("g3_median_of_interest", f"""WITH {_I}, c AS (SELECT *, sum(n) OVER (PARTITION BY node, label ORDER BY island) AS cn, sum(n) OVER (PARTITION BY node, label) AS tn FROM isl WHERE y = 1)
+SELECT node, label, CAST(min(island) AS INTEGER) AS island FROM c WHERE 2 * cn > tn GROUP BY ALL""")
+def g3(spark, sf):
+    r = islands(_long(spark, sf), ["node", "label"], "row_id", "x1", "y").where("y = 1")
+    o = Window.partitionBy("node", "label")
+    r = r.withColumns({"cn": F.sum("n").over(o.orderBy("island").rowsBetween(Window.unboundedPreceding, 0)), "tn": F.sum("n").over(o)})
+    return r.where("2 * cn > tn").groupBy("node", "label").agg(F.min("island").alias("island"))
+
+
+@query("g4_distance_to_region_mean", f"""WITH {_I}, m AS (SELECT node, label, island, lo, hi, total / n AS mean FROM isl WHERE y = 1)
+SELECT z.node, z.label, round(avg(CASE WHEN lo IS NULL OR hi IS NULL THEN 0.5 ELSE abs(x1 - mean) / (hi - lo) END), 6) AS d FROM z JOIN m ON m.node = z.node AND m.label = z.label AND (lo IS NULL OR x1 >= lo) AND (hi IS NULL OR x1 <= hi) WHERE lo IS NULL OR hi IS NULL OR hi > lo GROUP BY ALL""")
+def g4(spark, sf):
+    rows = _long(spark, sf)
+    m = islands(rows, ["node", "label"], "row_id", "x1", "y").where("y = 1").select(F.col("node").alias("mn"), F.col("label").alias("ml"), "lo", "hi", (F.col("total") / F.col("n")).alias("mean"))
+    j = rows.join(m, (F.col("node") == F.col("mn")) & (F.col("label") == F.col("ml")) & (F.col("lo").isNull() | (F.col("x1") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("x1") <= F.col("hi"))))
+    j = j.where("lo IS NULL OR hi IS NULL OR hi > lo")
+    d = F.when(F.col("lo").isNull() | F.col("hi").isNull(), 0.5).otherwise(F.abs(F.col("x1") - F.col("mean")) / (F.col("hi") - F.col("lo")))
+    return j.groupBy("node", "label").agg(F.round(F.avg(d), 6).alias("d"))
+
+
+_REL = """iv AS (SELECT node, label, min(x3) AS lo, max(x3) AS hi FROM yl JOIN cm USING (row_id, node) WHERE y = 1 GROUP BY ALL),
+rel AS (SELECT a.node, a.label AS a, b.label AS b, CASE WHEN a.label = b.label THEN 'self' WHEN a.hi < b.lo OR b.hi < a.lo THEN 'none' WHEN (a.lo <= b.lo AND b.hi <= a.hi) OR (b.lo <= a.lo AND a.hi <= b.hi) THEN 'parent-child' ELSE 'relative' END AS kind,
+ CASE WHEN a.lo <= b.lo AND b.hi <= a.hi THEN a.label WHEN b.lo <= a.lo AND a.hi <= b.hi THEN b.label END AS parent FROM iv a JOIN iv b ON a.node = b.node)"""
+
+
+def relations(df):
+    """node, a, b, kind, parent: how the value ranges of two labels' positives lie to each other."""
+    iv = df.where("y = 1").groupBy("node", "label").agg(F.min("x3").alias("lo"), F.max("x3").alias("hi"))
+    a, b = iv.alias("a"), iv.alias("b")
+    j = a.join(b, F.col("a.node") == F.col("b.node"))
+    inside, outside = F.expr("a.lo <= b.lo AND b.hi <= a.hi"), F.expr("b.lo <= a.lo AND a.hi <= b.hi")
+    kind = F.when(F.col("a.label") == F.col("b.label"), "self").when(F.expr("a.hi < b.lo OR b.hi < a.lo"), "none").when(inside | outside, "parent-child").otherwise("relative")
+    return j.select(F.col("a.node").alias("node"), F.col("a.label").alias("a"), F.col("b.label").alias("b"), kind.alias("kind"), F.when(inside, F.col("a.label")).when(outside, F.col("b.label")).alias("parent"))
+
+
+def _ranges(spark, sf):
+    df = T.customer_ml(spark, sf)
+    return df.select("row_id", "node", "x3", F.explode(F.array(*(F.struct(F.lit(i).alias("label"), F.col(c).alias("y")) for i, c in enumerate(T.LABELS)))).alias("s")).select("row_id", "node", "x3", "s.*")
+
+
+@query("g6_label_relations", f"WITH {_REL} SELECT node, a, b, kind FROM rel")
+def g6(spark, sf):
+    return relations(_ranges(spark, sf)).select("node", "a", "b", "kind")
+
+
+@query("g7_label_graph", f"WITH {_REL} SELECT node, a, count(*) AS degree, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS adjacent FROM rel WHERE kind NOT IN ('self', 'none') GROUP BY ALL")
+def g7(spark, sf):
+    e = relations(_ranges(spark, sf)).where("kind NOT IN ('self', 'none')")
+    return e.groupBy("node", "a").agg(F.count("*").alias("degree"), F.array_join(F.sort_array(F.collect_list(F.col("b"))), ",").alias("adjacent"))
