@@ -1 +1,86 @@
-"""Filled below."""
+"""Trees, leaves and forests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from verdigris.operators import forest as T1
+from verdigris.operators import leaves as L
+from verdigris.plans.registry import query
+from verdigris.plans.similarity import MIXED
+from verdigris.sources import tables as T
+from verdigris.sources.shared import cut
+
+X, C, Y, M = T.NUMERIC, T.CATEGORICAL, T.LABELS, T.MASKED
+
+
+def _grown(spark, sf):
+    df = cut(T.customer_ml(spark, sf).select("row_id", "sup", *X, *C, *M))
+    return df, *T1.grow(df, "row_id", X, C, M, T1.Config(trees=2, depth=1, iterations=2))
+
+
+@query("t1_grow_forest")
+def t1(spark, sf):
+    df, nodes, members = _grown(spark, sf)
+    return T1.structure(nodes, members, df, "row_id", F.col("sup"))
+
+
+@query("t4_route_rows")
+def t4(spark, sf):
+    df, nodes, members = _grown(spark, sf)
+    return T1.route(df, df, nodes, members, "row_id", X, C)
+
+
+@query("f2_forest_predictions")
+def f2(spark, sf):
+    """Rows routed to their leaves; completed labels of the leaf's members give the leaf's prediction, trees vote."""
+    df, nodes, members = _grown(spark, sf)
+    leaf = nodes.where("is_leaf").select("tree", "node").join(members, ["tree", "node"]).select("tree", "node", "row_id").join(df, "row_id")
+    done = L.completed_labels(leaf.withColumn("k", F.concat_ws("_", "tree", "row_id")), ["tree", "node"], "k", X, C, M, reps=1)
+    means = L.mean_vectors(done, ["tree", "node"], M)
+    routed = T1.route(df, df, nodes, members, "row_id", X, C)
+    return T1.vote(routed.join(means, ["tree", "node"]), "row_id").select("row_id", "label", "vote", F.round("prob", 6).alias("prob"), "pred")
+
+
+@query("t5_legacy_routes", """WITH c AS (SELECT node, avg(x1) AS m, min(row_id) AS k FROM cm GROUP BY node)
+SELECT a.row_id, CASE WHEN a.x1 <= c.m THEN 'left' ELSE 'right' END AS by_threshold, CASE WHEN exp(-0.01 * (a.x2 - b.x2) ** 2) < 0.5 THEN 'left' ELSE 'right' END AS by_similarity,
+ CASE WHEN abs(a.x2 - b.x2) <= 3 THEN 'left' ELSE 'right' END AS by_distance FROM cm a JOIN c USING (node) JOIN cm b ON b.row_id = c.k""")
+def t5(spark, sf):
+    df = T.customer_ml(spark, sf)
+    c = df.groupBy("node").agg(F.avg("x1").alias("m"), F.min_by("x2", "row_id").alias("k2"))
+    side = lambda cond: F.when(cond, "left").otherwise("right")
+    d = F.col("x2") - F.col("k2")
+    return df.join(c, "node").select("row_id", side(F.col("x1") <= F.col("m")).alias("by_threshold"), side(F.exp(-0.01 * d * d) < 0.5).alias("by_similarity"), side(F.abs(d) <= 3).alias("by_distance"))
+
+
+@query("t10_simple_leaf", "SELECT node, label, round(avg(y), 6) AS prob, CASE WHEN avg(y) >= 0.5 THEN 1 ELSE 0 END AS pred FROM yl WHERE sup GROUP BY ALL")
+def t10(spark, sf):
+    return L.mean_vectors(T.customer_ml(spark, sf).where("sup"), ["node"], Y).select("node", "label", F.round("prob", 6).alias("prob"), "pred")
+
+
+@query("t12_local_fill", """WITH d AS (SELECT node, label, avg(CASE WHEN m >= 0 THEN m END) AS d FROM yl GROUP BY ALL), g AS (SELECT label, avg(CASE WHEN m >= 0 THEN m END) AS g FROM yl GROUP BY label)
+SELECT row_id, CAST(sum(CASE WHEN m >= 0 THEN m ELSE CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', 'fill', 'm' || label, row_id)), 1, 8)) AS BIGINT) / 4294967296.0 < d * (1 - g) / (1 - (g * d + (1 - g) * (1 - d))) THEN 1 ELSE 0 END END * (1 << label)) AS BIGINT) AS bits
+FROM yl JOIN d USING (node, label) JOIN g USING (label) GROUP BY row_id""")
+def t12(spark, sf):
+    f = L.local_fill(T.customer_ml(spark, sf).select("row_id", "node", *M), ["node"], "row_id", M)
+    return f.select("row_id", sum((F.col(c) * (1 << i) for i, c in enumerate(M[1:], 1)), F.col(M[0])).cast("long").alias("bits"))
+
+
+@query("l1_completed_labels", f"""WITH rg AS (SELECT node AS rn, min(x1) AS l1, max(x1) AS h1, min(x2) AS l2, max(x2) AS h2, min(x3) AS l3, max(x3) AS h3 FROM cm GROUP BY node),
+p AS (SELECT a.row_id, b.row_id AS b, {MIXED} AS d FROM cm a JOIN cm b ON a.node = b.node AND NOT a.sup AND b.sup JOIN rg ON rn = a.node),
+nn AS (SELECT row_id, b FROM (SELECT row_id, b, row_number() OVER (PARTITION BY row_id ORDER BY d, b) AS k FROM p) WHERE k = 1)
+SELECT row_id, y0 AS m0, y1 AS m1, y2 AS m2, y3 AS m3, y4 AS m4 FROM cm WHERE sup UNION ALL SELECT nn.row_id, y0, y1, y2, y3, y4 FROM nn JOIN cm ON cm.row_id = nn.b""")
+def l1(spark, sf):
+    return L.completed_labels(T.customer_ml(spark, sf), ["node"], "row_id", X, C, M, reps=1, width=4).select("row_id", *M)
+
+
+@query("l2_leaf_forests")
+def l2(spark, sf):
+    """A forest for each node and label on the labelled rows, applied to the others."""
+    df = T.customer_ml(spark, sf)
+    return L.forest_models(df.where("sup"), df.where("NOT sup"), ["node"], "row_id", X, M).withColumn("prob", F.round("prob", 6))
+
+
+@query("l3_thresholds", "SELECT node, label, round(0.95 * avg(y), 6) AS threshold FROM yl WHERE sup GROUP BY ALL")
+def l3(spark, sf):
+    return L.thresholds(T.customer_ml(spark, sf).where("sup"), ["node"], Y).select("node", "label", F.round("threshold", 6).alias("threshold"))
