@@ -43,8 +43,9 @@ def rows(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "group"), [(1, 20_000), (2, 3)])
+def test_against_brute_force(spark, monkeypatch, seed, group):
+    monkeypatch.setattr(D, "GROUP", group)
     texts = corpus(seed, 150)
     docs = spark.createDataFrame([(len(texts) * 3 - 2 * i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n string").repartition(5)
     assert rows(D.cleaned(docs)) == brute({len(texts) * 3 - 2 * i: t.encode() for i, t in enumerate(texts)})
@@ -55,7 +56,8 @@ def test_groups_over_batches(size):
     """The state carried from batch to batch: any cut of the sorted rows gives the same."""
     rng = random.Random(size)
     data = sorted({(rng.randrange(12), rng.randrange(3), rng.randrange(6), rng.randrange(4)) for _ in range(150)})
-    frame = pd.DataFrame(data, columns=["key", "c", "doc", "start"]).assign(n=5, off=3)
+    frame = pd.DataFrame(data, columns=["key", "c", "doc", "start"])
+    frame["p"] = frame.pop("start") * 65536 + 5 * 256 + 3
     whole = pd.concat(D._grouped([frame])).sort_values(["doc", "start", "off", "a"]).reset_index(drop=True)
     cut = pd.concat(D._grouped([frame[i : i + size] for i in range(0, len(frame), size)])).sort_values(["doc", "start", "off", "a"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(whole, cut, check_dtype=False)

@@ -5,7 +5,8 @@ Equal strings have equal anchors at equal offsets, so each string is compared on
 text has about one anchor in 35 bytes. Neighbouring strings with one anchor form a run; its context is all bytes
 that they cover.
 1. Runs with the same anchor and context are equal in all their strings: all but the first in (doc_id, start) repeat.
-2. Where an anchor has several contexts, the first run of each is resolved string by string.
+2. Where an anchor has several contexts, the first run of each is resolved string by string: the contexts of one
+   anchor meet in one task, unless they are more than GROUP; those are dealt out by string.
 3. The bytes under repeated strings are removed.
 
 Column-wise construction of the collection's suffix order (one symbol of each document a round) is in colbwt.py; it
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from .textkit import mix, powers, prefix, span_hash
 
 LENGTH = 100
 ANCHOR = 32
+#: Contexts of one anchor that are resolved in one task at most (each has under 200 bytes).
+GROUP = 20_000
 _LOW = (1 << 28) - 1
 _NULL = -(1 << 63)
 
@@ -71,7 +75,8 @@ def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, c, doc, start, n, off). A run that repeats within the batch is known to repeat: -n, off the key's group."""
+    """Rows (key, c, doc, p), p = start << 16 | n << 8 | off. A run that repeats within the batch is known to repeat: it
+    has ~p and leaves the key's group."""
     for b in batches:
         ids, texts = b["doc"].to_numpy(np.int64), b["_t"].to_list()
         parts = []
@@ -87,9 +92,9 @@ def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
         keep = new | (doc != doc[first]) | (start != start[first])  # repeated rows of a table are one document
-        n = np.where(new, n, -n)
+        p = start << 16 | n << 8 | off
         key = np.where(new, a, mix(doc.view(np.uint64)).view(np.int64))
-        yield pd.DataFrame({"key": key, "c": np.where(new, c, 0), "doc": doc, "start": start, "n": n, "off": off})[keep]
+        yield pd.DataFrame({"key": key, "c": np.where(new, c, 0), "doc": doc, "p": np.where(new, p, ~p)})[keep]
 
 
 def _grouped(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,11 +107,13 @@ def _grouped(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last: tuple | None = None  # key, c, doc and start of the context's first run
     held: list | None = None
     for b in batches:
-        known = b[b["n"] < 0]
-        out = [pd.DataFrame({"doc": known["doc"], "start": known["start"], "n": -known["n"], "off": -1, "a": 0})]
-        b = b[b["n"] > 0]
+        known = b[b["p"] < 0]
+        place = ~known["p"].to_numpy()
+        out = [pd.DataFrame({"doc": known["doc"], "start": place >> 16, "n": place >> 8 & 255, "off": -1, "a": 0})]
+        b = b[b["p"] >= 0]
         if len(b):
-            key, c, doc, start, n, off = (b[x].to_numpy() for x in ("key", "c", "doc", "start", "n", "off"))
+            key, c, doc, place = (b[x].to_numpy() for x in ("key", "c", "doc", "p"))
+            start, n, off = place >> 16, place >> 8 & 255, place & 255
             new_key, new_c = np.ones(len(b), bool), np.ones(len(b), bool)
             new_key[1:] = key[1:] != key[:-1]
             new_c[1:] = new_key[1:] | (c[1:] != c[:-1])
@@ -138,17 +145,62 @@ def _grouped(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([x for x in out if len(x)] or out[:1])[columns]
 
 
+def _of_runs(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """(doc, text, starts, counts, offsets, anchors) of (doc, text, runs) rows."""
+    for b in batches:
+        for doc, t, *lists in zip(b["doc"], b["_t"], b["start"], b["n"], b["off"], b["a"], strict=True):
+            yield doc, t, *(np.asarray(x, np.int64) for x in lists)
+
+
+def _contexts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (a, doc, p, bytes): the context of each run that is to be resolved."""
+    for doc, t, starts, counts, offs, names in _of_runs(batches):
+        raw = [t[s : s + n + LENGTH - 1] for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+        yield pd.DataFrame({"a": names, "doc": doc, "p": starts << 16 | counts << 8 | offs, "bytes": raw})
+
+
 def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (a, w, doc, pos): a hash of each string of the runs that are to be resolved, for (doc, text, runs) rows."""
+    """Rows (a, w, doc, pos): a hash of each string of the runs that are to be resolved."""
+    for doc, t, starts, counts, offs, names in _of_runs(batches):
+        pos, inside = _ranges(starts, counts), _ranges(np.zeros(len(counts), np.int64), counts)
+        w = _named(prefix(np.frombuffer(t, np.uint8)), pos, np.repeat(offs, counts) - inside)
+        yield pd.DataFrame({"a": np.repeat(names, counts), "w": w.view(np.int64), "doc": doc, "pos": pos})
+
+
+def _named(pre: np.ndarray, pos: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """A hash of the strings at pos and of where their anchor lies in them."""
+    return mix(span_hash(pre, pos, pos + LENGTH) + mix(shift.astype(np.uint64)))
+
+
+def _strings(a: np.ndarray, doc: np.ndarray, p: np.ndarray, raw: list[bytes]) -> pd.DataFrame:
+    """(doc, start, n): runs of strings that an earlier row of the same anchor has, for rows in order of (a, doc, start)."""
+    start, n, off = p >> 16, p >> 8 & 255, p & 255
+    base = np.cumsum([0, *map(len, raw)])[:-1]
+    inside = _ranges(np.zeros(len(n), np.int64), n)
+    row = np.repeat(np.arange(len(n)), n)
+    w = _named(prefix(np.frombuffer(b"".join(raw), np.uint8)), base[row] + inside, off[row] - inside)
+    order = np.lexsort((row, w, a[row]))
+    again = np.zeros(len(row), bool)
+    again[order[1:]] = (w[order][1:] == w[order][:-1]) & (a[row][order][1:] == a[row][order][:-1])
+    at = np.flatnonzero(again)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (row[at][1:] != row[at][:-1])
+    first = np.flatnonzero(new)
+    return pd.DataFrame({"doc": doc[row[at[first]]], "start": (start[row] + inside)[at[first]], "n": np.diff(np.append(first, len(at)))})
+
+
+def _resolved(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows of _contexts; the rows of a batch's last anchor (GROUP at most) wait for the next batch."""
+    held: pd.DataFrame | None = None
     for b in batches:
-        for doc, t, starts, counts, offs, names in zip(b["doc"], b["_t"], b["start"], b["n"], b["off"], b["a"], strict=True):
-            counts, starts = np.asarray(counts, np.int64), np.asarray(starts, np.int64)
-            pos = _ranges(starts, counts)
-            inside = _ranges(np.zeros(len(counts), np.int64), counts)
-            shift = np.repeat(np.asarray(offs, np.int64), counts) - inside
-            pre = prefix(np.frombuffer(t, np.uint8))
-            w = mix(span_hash(pre, pos, pos + LENGTH) + mix(shift.astype(np.uint64)))
-            yield pd.DataFrame({"a": np.repeat(np.asarray(names, np.int64), counts), "w": w.view(np.int64), "doc": doc, "pos": pos})
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        a = b["a"].to_numpy()
+        cut = int(np.searchsorted(a, a[-1])) if len(a) else 0
+        held = b[cut:].reset_index(drop=True)
+        if cut:
+            yield _strings(a[:cut], b["doc"].to_numpy()[:cut], b["p"].to_numpy()[:cut], b["bytes"].to_list()[:cut])
+    if held is not None and len(held):
+        yield _strings(held["a"].to_numpy(), held["doc"].to_numpy(), held["p"].to_numpy(), held["bytes"].to_list())
 
 
 def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,29 +220,51 @@ def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def _found(cols: DataFrame) -> DataFrame:
+    """(doc, start, n, off, a) of runs: off -1 for those known to repeat, else to be resolved."""
+    found = cols.mapInPandas(_runs, "key long, c long, doc long, p long")
+    found = found.repartition(partitions(cols.sparkSession), "key").sortWithinPartitions("key", "c", "doc", "p")
+    return written(found.mapInPandas(_grouped, "doc long, start int, n short, off short, a long"), "runs")
+
+
+def _dealt_by_string(texts: DataFrame) -> DataFrame:
+    """(doc, start, n) of repeated strings, each string a row: no group meets in one task but that of equal strings."""
+    place = F.struct("doc", "pos")
+    strings = texts.mapInPandas(_windows, "a long, w long, doc long, pos int")
+    marked = strings.withColumn("first", F.min(place).over(Window.partitionBy("a", "w"))).where(F.col("first") != place).select("doc", "pos").distinct()
+    before = Window.partitionBy("doc").orderBy("pos")
+    runs = marked.withColumn("g", F.col("pos") - F.row_number().over(before)).groupBy("doc", "g")
+    return runs.agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n")).select("doc", "start", "n")
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, start, n): runs of n 100-byte strings that also start earlier, by document; null ids as the least long."""
     spark = docs.sparkSession
     cols = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc"), text_bytes(text).alias("_t"))
-    found = cols.mapInPandas(_runs, "key long, c long, doc long, start int, n short, off short")
-    found = found.repartition(partitions(spark), "key").sortWithinPartitions("key", "c", "doc", "start")
-    runs = written(found.mapInPandas(_grouped, "doc long, start int, n short, off short, a long"), "runs")
-    del found
+    runs = _found(cols)
     _release(spark)
-    open_ = runs.where("off >= 0").distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "n", "off", "a")).alias("x")).select("doc", "x.start", "x.n", "x.off", "x.a")
-    strings = cols.join(open_, "doc").mapInPandas(_windows, "a long, w long, doc long, pos int")
-    place = F.struct("doc", "pos")
-    marked = strings.withColumn("first", F.min(place).over(Window.partitionBy("a", "w"))).where(F.col("first") != place)
-    # strings side by side become one run again
-    marked = marked.select("doc", "pos").distinct()
-    before = Window.partitionBy("doc").orderBy("pos")
-    runs_again = marked.withColumn("g", F.col("pos") - F.row_number().over(before)).groupBy("doc", "g").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n")).select("doc", "start", "n")
-    out = written(runs.where("off < 0").select("doc", "start", F.col("n").cast("int").alias("n")).unionAll(runs_again), "repeats")
+    reps = runs.where("off >= 0").distinct()
+    large = written(reps.groupBy("a").count().where(F.col("count") > GROUP).select("a"), "large_groups")
+
+    def texts(of: DataFrame) -> DataFrame:
+        lists = of.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "off", "a")).alias("x")).select("doc", "x.start", "x.n", "x.off", "x.a")
+        return cols.join(lists, "doc")
+
+    contexts = texts(reps.join(large, "a", "left_anti")).mapInPandas(_contexts, "a long, doc long, p long, bytes binary")
+    contexts = contexts.repartition(partitions(spark), "a").sortWithinPartitions("a", "doc", "p")
+    known = runs.where("off < 0").select("doc", "start", F.col("n").cast("int").alias("n"))
+    out = known.unionAll(contexts.mapInPandas(_resolved, "doc long, start int, n int"))
+    if not large.isEmpty():
+        out = out.unionAll(_dealt_by_string(texts(reps.join(large, "a", "left_semi"))))
+    out = written(out, "repeats")
+    del contexts
     _release(spark)
     return out
 
