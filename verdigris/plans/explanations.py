@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import metrics as M
 from verdigris.operators import tabular
-from verdigris.plans.metrics import PRED
+from verdigris.plans.metrics import pred
 from verdigris.plans.registry import query
 from verdigris.sources import tables as T
 
@@ -37,7 +37,7 @@ def x1(spark, sf):
 SELECT concat_ws('_', tree, leaf) AS id, CAST(sum(n) AS BIGINT) AS n, round(avg(p), 6) AS macro_precision, round(avg(rc), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0), 6) AS micro_f1 FROM r GROUP BY tree, leaf""")
 def x2(spark, sf):
     by = ["tree", "leaf"]
-    c = M.confusion(T.scores(spark, sf, 3), PRED, [*by, "label"])
+    c = M.confusion(T.scores(spark, sf, 3), pred(), [*by, "label"])
     r = M.rates(c, [*by, "label"]).groupBy(*by).agg(*(F.round(F.avg(k), 6).alias(f"macro_{k}") for k in ("precision", "recall", "f1")))
     pooled = c.groupBy(*by).agg(F.sum(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), F.round(F.try_divide((2 * F.sum("tp")).cast("double"), F.sum(2 * F.col("tp") + F.col("fp") + F.col("fn"))), 6).alias("micro_f1"))
     return r.join(pooled, by).select(F.concat_ws("_", *by).alias("id"), "n", "macro_precision", "macro_recall", "macro_f1", "micro_f1")
@@ -48,7 +48,7 @@ UNION ALL SELECT 'model', label, round(avg(CASE WHEN prob >= 0.5 THEN 1 ELSE 0 E
 def x5(spark, sf):
     df = T.customer_ml(spark, sf)
     part = lambda d, name: d.select(F.lit(name).alias("part"), "label", F.round("rate", 6).alias("rate"))
-    model = T.scores(spark, sf).groupBy("label").agg(F.avg(PRED).alias("rate"))
+    model = T.scores(spark, sf).groupBy("label").agg(F.avg(pred()).alias("rate"))
     return part(tabular.positive_rates(df, T.LABELS), "all").unionAll(part(tabular.positive_rates(df, T.MASKED), "supervised")).unionAll(part(model, "model"))
 
 
