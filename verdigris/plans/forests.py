@@ -84,3 +84,14 @@ def l2(spark, sf):
 @query("l3_thresholds", "SELECT node, label, round(0.95 * avg(y), 6) AS threshold FROM yl WHERE sup GROUP BY ALL")
 def l3(spark, sf):
     return L.thresholds(T.customer_ml(spark, sf).where("sup"), ["node"], Y).select("node", "label", F.round("threshold", 6).alias("threshold"))
+
+
+@query("l6_self_trained_labels")
+def l6(spark, sf):
+    return L.self_trained(T.customer_ml(spark, sf), ["node"], "row_id", X, "m0")
+
+
+@query("l4_leaf_votes", """SELECT row_id, label, round(avg(CASE WHEN prob >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS vote, round(avg(prob), 6) AS prob, CASE WHEN avg(CASE WHEN prob >= 0.5 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS pred FROM act GROUP BY ALL""")
+def l4(spark, sf):
+    leaf = T.scores(spark, sf, 3).withColumn("pred", F.when(F.col("prob") >= 0.5, 1).otherwise(0))
+    return T1.vote(leaf, "row_id").select("row_id", "label", F.round("vote", 6).alias("vote"), F.round("prob", 6).alias("prob"), "pred")

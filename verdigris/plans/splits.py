@@ -193,3 +193,21 @@ SELECT node, col, cut, gain FROM (SELECT node, col, v AS cut, gain, row_number()
 def c16(spark, sf):
     v = P.variance_reduction(rows(spark, sf), ["node"], "row_id", X, "y0")
     return v.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), "col", "cut")).alias("x")).select("node", "x.col", "x.cut", (-F.col("x.g")).alias("gain"))
+
+
+@query("c8_spectral_sides")
+def c8(spark, sf):
+    """Two-way spectral sides of each node: the sign of the second eigenvector of the normalised affinity of the value
+    bins of two columns (Gaussian kernel), found by power iteration; bins keep the matrix of one size for any input."""
+    return P.spectral_sides(rows(spark, sf), ["node"], "row_id", ["x1", "x2"])
+
+
+@query("o4_related_columns", """WITH c AS (SELECT 'x2' AS col, abs(corr(x1, x2)) AS r FROM cm UNION ALL SELECT 'x3', abs(corr(x1, x3)) FROM cm) SELECT col, round(r, 6) AS r, row_number() OVER (ORDER BY r DESC, col) AS place FROM c""")
+def o4(spark, sf):
+    """The other columns in the order of their relation to a start column."""
+    from pyspark.sql import Window
+
+    from verdigris.operators import tabular
+
+    r = tabular.correlations(rows(spark, sf), X).where("a = 'x1'").select(F.col("b").alias("col"), F.round(F.abs("r"), 6).alias("r"))
+    return r.withColumn("place", F.row_number().over(Window.orderBy(F.desc("r"), "col")))
