@@ -246,7 +246,8 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             yield b.drop(columns="_t").assign(set=[h.tobytes() for h in sets(b["_t"].to_list())])
 
     wanted = tasks.select("doc_id").distinct()
-    own = marked.where("NOT lost").drop("lost").join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(loaded, "doc_id long, set binary")
+    # the candidates grow with the documents: the same join at every size, never a broadcast
+    own = marked.where("NOT lost").drop("lost").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).mapInPandas(loaded, "doc_id long, set binary")
     dealt = own.join(tasks, "doc_id").repartition(partitions(spark), "task").sortWithinPartitions("task")
     links = dealt.select("task", "side", "doc_id", "set").mapInPandas(_joined, "a long, b long")
     final = components(links)
