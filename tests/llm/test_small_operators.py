@@ -106,3 +106,13 @@ def test_toxicity(spark):
     assert {r.doc_id for r in found} and all(any(w in text.get(r.doc_id, "vile thing").encode()[r.start : r.end].decode().lower() for w in ("vile", "rotten", "awful")) for r in found)
     empty = toxicity.fit(docs, lab.limit(0))
     assert toxicity.scored(docs.limit(0), empty).count() == 0 and toxicity.scored(docs, empty).count() == 603
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "one two three four five six"), (None, "x")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(big, "one two three four five six")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.matches(docs, items).collect()] == [(big, big, 2, 2)]
+    model = toxicity.Model(toxicity.np.zeros(0, toxicity.np.uint64), toxicity.np.zeros(0))
+    out = toxicity.scored(docs, model)
+    assert out.schema["doc_id"].dataType.simpleString() == "bigint" and {r.doc_id for r in out.collect()} == {big, None}

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import as_in, exact
+
 #: Halves of at most so many bytes are encoded by plain merges.
 LEAF = 24
 #: Encodings that a worker remembers at most before it starts anew.
@@ -163,8 +165,9 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: s
                 of_bytes.append(hashlib.sha256(own.monoid.decode(ids)).hexdigest())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": of_ids, "decoded_sha256": of_bytes})
 
-    cols = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    return cols.mapInPandas(work, f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    cols = exact(own)
+    return as_in(cols.mapInPandas(work, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"), own)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,17 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit("").cast("binary"))
 
 
+def exact(df: DataFrame) -> DataFrame:
+    """df with whole numbers as text: pandas holds a column of them with nulls as floats, which are not exact."""
+    return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema if isinstance(f.dataType, IntegralType)})
+
+
+def as_in(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the columns that it shares with ``like`` in the types they have there."""
+    kinds = {f.name: f.dataType for f in like.schema}
+    return df.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import as_in, chunks, exact, text_bytes
 from .textkit import Words, runs, shingles
 
 WIDTH = 5
@@ -98,10 +98,11 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, tex
     to the executors in blocks of BLOCK_BYTES, one pass over the documents for each block.
     """
     spark = docs.sparkSession
-    cols = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
-    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long"
+    own = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
+    cols, names = exact(own), exact(items.select("item_id"))
+    schema = f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, item_id {names.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long"
     out = None
-    for block in _blocks(items.select("item_id", text_bytes("text").alias("_t")).dropDuplicates()):
+    for block in _blocks(exact(items.select("item_id", text_bytes("text").alias("_t")).dropDuplicates())):
         index = spark.sparkContext.broadcast(build(block, threshold))
 
         def search(batches: Iterable[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
@@ -117,7 +118,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, tex
 
         found = cols.mapInPandas(search, schema)
         out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return as_in(as_in(spark.createDataFrame([], schema) if out is None else out, own), items.select("item_id"))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import as_in, chunks, exact, text_bytes
 from .textkit import Words
 
 #: Bound of the fit: labelled rows taken, in the order of a hash of doc_id.
@@ -121,9 +121,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             parts = [_measure(texts[i:j]) for i, j in chunks(texts, 1 << 19)]
             yield b.drop(columns="_t").assign(**{k: np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in STATISTICS})
 
-    cols = docs.withColumn("_t", text_bytes(text)).drop(*STATISTICS, text)
+    own = docs.withColumn("_t", text_bytes(text)).drop(*STATISTICS, text)
+    cols = exact(own)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_t"), *(f"{k} long" for k in STATISTICS)])
-    return cols.mapInPandas(work, schema)
+    return as_in(cols.mapInPandas(work, schema), own)
 
 
 @dataclass(frozen=True)

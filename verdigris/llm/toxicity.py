@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes, written
+from .common import as_in, chunks, exact, text_bytes, written
 from .textkit import SPACE, Words, mix, prefix, span_hash
 
 #: Bounds of the fit: labelled rows taken (in the order of a hash of doc_id), features kept (the surest).
@@ -214,8 +214,8 @@ def passages(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
                         rows.append((ids[i], int(t.start[f + p] - t.base[d]), int(t.end[f + q - 1] - t.base[d]), s, x))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "score", "evidence"])
 
-    cols = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
-    return cols.mapInPandas(work, f"doc_id {docs.schema[key].dataType.simpleString()}, start long, end long, score double, evidence double")
+    own = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
+    return as_in(exact(own).mapInPandas(work, f"doc_id {exact(own).schema['doc_id'].dataType.simpleString()}, start long, end long, score double, evidence double"), own)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -232,9 +232,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
             p = [model.probability(_summary(model, int(t.count[d]), found)) for _, t, d, found in _scored(b["_t"].to_list(), model)]
             yield b.drop(columns="_t").assign(score=pd.Series(p, dtype="float64", index=b.index))
 
-    cols = docs.drop("score", "_t").withColumn("_t", text_bytes(text))
+    own = docs.drop("score", "_t")
+    cols = exact(own).withColumn("_t", text_bytes(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_t")
-    return cols.mapInPandas(work, f"{schema}, score double")
+    return as_in(cols.mapInPandas(work, f"{schema}, score double"), own)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
