@@ -28,7 +28,7 @@ BLOCK = 1 << 20
 ROUNDS = 4
 LEAST = 24  # occurrences that make a pair frequent
 RULES = 4000  # of a round at most
-MEMORY = 600_000  # distinct units that a worker remembers
+MEMORY = 1_000_000  # distinct units that a worker remembers
 _BUCKETS = 18
 _MARK = "§"
 _TAIL = np.zeros(256, bool)
