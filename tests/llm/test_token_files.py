@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from verdigris.llm import token_files as T
 
 PATH = P.path("word_bpe_49k.json")
-CASES = ["", None, "The cat, the CAT!! don't", "É!!! ÇA? naïve… §5 § x", "a" * 400, "1,234.5%%% ###", "<|endoftext|> <|startoftext|>", "é å   x y", "日本語。 😀😀", "...", "!!!!!!!!!!!!!!!!!!!!!!x", "ß ſ İ Σ ΑΣ", "a\x00b\x1cc", "2 # 2", "\n\t \r", "it's'll 'd x's."]
+CASES = ["", None, "The cat, the CAT!! don't", "É!!! ÇA? naïve… §5 § x ~ a~b ~~ ~", "a" * 400, "1,234.5%%% ###", "<|endoftext|> <|startoftext|>", "é å   x y", "日本語。 😀😀", "...", "!!!!!!!!!!!!!!!!!!!!!!x", "ß ſ İ Σ ΑΣ", "a\x00b\x1cc", "2 # 2", "\n\t \r", "it's'll 'd x's."]
 
 
 @pytest.fixture(scope="module")
