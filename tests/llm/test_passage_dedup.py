@@ -75,6 +75,16 @@ def test_odd_rows(spark):
     assert D.cleaned(docs).count() == 6 and D.cleaned(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [20_000, 0])
+def test_repeated_row_holds_a_passage_first(spark, monkeypatch, group):
+    monkeypatch.setattr(D, "GROUP", group)
+    b = "".join(chr(97 + i * i % 23) + chr(97 + i * 7 % 26) for i in range(200))
+    docs = spark.createDataFrame([(5, b), (5, b), (5, b), (9, b[50:250]), (9, b[50:250])], "doc_id long, text string").repartition(5)
+    got = rows(D.cleaned(docs))
+    assert got == brute({5: b.encode(), 9: b[50:250].encode()})
+    assert got[5][1] == 0 and got[9][1] == 200
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert rows(D.cleaned(docs)) == brute({r.doc_id: r.text.encode() for r in docs.collect()})

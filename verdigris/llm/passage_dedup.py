@@ -255,7 +255,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     def texts(of: DataFrame) -> DataFrame:
         lists = of.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "off", "a")).alias("x")).select("doc", "x.start", "x.n", "x.off", "x.a")
-        return cols.join(lists, "doc")
+        return cols.join(lists, "doc").dropDuplicates(["doc"])  # a row that is there twice gives its contexts once
 
     contexts = texts(reps.join(large, "a", "left_anti")).mapInPandas(_contexts, "a long, doc long, p long, bytes binary")
     contexts = contexts.repartition(partitions(spark), "a").sortWithinPartitions("a", "doc", "p")
