@@ -1,5 +1,7 @@
 """Values computed by hand, and invariants."""
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 from verdigris.functions.expressions import cosine, gower
@@ -111,6 +113,17 @@ def test_leaf_models(spark):
     assert all(0 <= r.prob <= 1 for r in out)
 
 
+@pytest.mark.parametrize(("n", "most"), [(45, 10), (2040, 10), (2560, 13)])
+def test_self_training_takes_rounds_for_all_rows(spark, n, most):
+    """20 labels a class at the ends; every open row is labelled by confidence, none left over for the last round."""
+    df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") * 1.0).alias("x"), F.when(F.col("id") < min(20, n // 4), 0).when(F.col("id") >= n - min(20, n // 4), 1).otherwise(-1).alias("m"))
+    out = leaves.self_trained(df, ["g"], "k", ["x"], "m").collect()
+    size = collections.Counter(r["round"] for r in out)
+    open_ = n - 2 * min(20, n // 4)
+    assert len(out) == n and {r.label for r in out} == {0, 1} and size.pop(0) == n - open_
+    assert set(size) == set(range(1, -(-open_ // most) + 1)) and max(size.values()) == most
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5, "TRUE"), (2, 3.5, "FALSE")], "k int, x double, l string")
     tables.write_csv(df, f"{tmp_path}/c")

@@ -116,15 +116,17 @@ def local_fill(df: DataFrame, group: list[str], key: str, labels: list[str], see
     return j.select(key, *out)
 
 
-def self_trained(df: DataFrame, group: list[str], key: str, cols: list[str], label: str, k_best: int = 10, rounds: int = 20) -> DataFrame:
+def self_trained(df: DataFrame, group: list[str], key: str, cols: list[str], label: str, k_best: int = 10, rounds: int = 200) -> DataFrame:
     """group, key, label, round: labels completed by self-training within each leaf: a small forest of the labelled rows
-    labels the k_best surest open rows, round by round; what is open after the last round takes its prediction."""
+    labels the k_best surest open rows, round by round. A leaf with more than k_best * rounds open rows labels the same
+    share of them in each round instead, so no row is left over for the last; a leaf without labels stays open."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
         x, y = rows[cols].to_numpy(float), rows[label].to_numpy(int).copy()
         at = np.where(y >= 0, 0, -1)
+        best = max(k_best, -(-int((y < 0).sum()) // rounds))
         for r in range(1, rounds + 1):
             known, open_ = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
             if not len(open_) or not len(known):
@@ -133,7 +135,7 @@ def self_trained(df: DataFrame, group: list[str], key: str, cols: list[str], lab
             for _ in range(5):
                 b = known[rng.integers(0, len(known), len(known))]
                 p += _value(_tree(x[b], y[b].astype(float), rng, 4, np.zeros(len(cols))), x[open_]) / 5
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[: k_best if r < rounds else len(open_)]
+            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:best]
             y[open_[sure]], at[open_[sure]] = (p[sure] >= 0.5).astype(int), r
         return rows[[*group, key]].assign(label=y, round=at)
 
