@@ -105,6 +105,35 @@ def test_forest(spark):
     assert split
 
 
+def test_forest_below_the_root(spark):
+    """Two splits on the way: levels, members and column paths, and routes held against a walk in Python."""
+    num, cat = tables.NUMERIC, tables.CATEGORICAL
+    df = tables.customer_ml(spark, "/root/testdata/sf0.01").where("row_id <= 600").select("row_id", *num, *cat, *tables.MASKED).localCheckpoint()
+    nodes, members = forest.grow(df, "row_id", num, cat, tables.MASKED, forest.Config(trees=1, depth=2, iterations=6, groups=3, least_share=0.01))
+    node = {r.node: r for r in nodes.collect()}
+    own, row = collections.defaultdict(set), {r.row_id: r for r in df.collect()}
+    for r in members.collect():
+        own[r.node].add(r.row_id)
+    inner = [k for k, r in node.items() if not r.is_leaf]
+    assert set(inner) & {2, 3} and {r.level for r in node.values()} == {0, 1, 2}
+    for k in inner:
+        assert own[2 * k] | own[2 * k + 1] == own[k] and not own[2 * k] & own[2 * k + 1]
+    path = {r.node: set(r.path) for r in forest.structure(nodes, members, df, "row_id", F.col("m0") >= 0).collect()}
+    for k, r in node.items():
+        assert path[k] == set(r.cols or []) | (path[k // 2] if k > 1 else set())
+
+    def leaf(r, k=1):
+        while not node[k].is_leaf:
+            both = [row[i] for i in own[2 * k] | own[2 * k + 1]]
+            span = {x: max(m[x] for m in both) - min(m[x] for m in both) + 1e-12 for x in num}
+            far = lambda m: round(sum(abs(r[x] - m[x]) / span[x] if x in num else float(r[x] != m[x]) for x in node[k].cols), 9)  # noqa: B023, E731
+            k = 2 * k + (min(map(far, (row[i] for i in own[2 * k]))) >= min(map(far, (row[i] for i in own[2 * k + 1]))))
+        return k
+
+    routed = {r.row_id: r.node for r in forest.route(df, df, nodes, members, "row_id", num, cat).collect()}
+    assert routed == {i: leaf(r) for i, r in row.items()}
+
+
 def test_leaf_models(spark):
     df = spark.range(80).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") * 1.0).alias("x"), (F.col("id") >= 40).cast("int").alias("a"), F.lit(1).alias("b"))
     out = leaves.forest_models(df, df, ["g"], "k", ["x"], ["a", "b"]).collect()
