@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,30 +13,57 @@ from pyspark.sql.types import IntegralType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset (tests, one machine), a temporary folder is set."""
+    """The folder in spark.checkpoint.dir. Only on one machine (tests) may that be unset; a temporary folder is set then."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="verdigris-")
         sc.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the plans that are run inside, and its old value afterwards."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df to a new table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the plan go once it is written; ``discard`` deletes a table that is no longer needed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verdigris/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no plan reads any more; other frames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at.getParent(), True)
 
 
 #: Rows of texts that go to a Python worker at once; a batch, its copy as bytes and its results are what a worker holds.
 BATCH_ROWS = 1_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of the workers by the session's batch size, which holds for the plans made from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Bounds the memory of the workers of the plans that are run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -4,7 +4,8 @@ Items are short, documents long: containment |Q & X| / |Q|, not similarity, says
 partitioned by size (shingles) into geometric classes. An item of a class with at most u shingles is indexed by its
 m = floor((1 - t) * u) + 1 least shingle hashes, a MinHash signature just long enough that a document with
 containment t or more must hold one of them: it can miss m - 1 at most. So the search has no false negatives.
-Each document probes with all its shingles; candidates are verified by exact shingle containment.
+Each document probes with all its shingles; candidates are verified by exact shingle containment: the bytes of the
+document's words are compared, hashes only propose. Each class has its own signature table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_in, chunks, exact, text_bytes
-from .textkit import Words, runs, shingles
+from .textkit import Words, runs, shingles, shingles_at
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -25,18 +26,11 @@ THRESHOLD = 0.8
 BLOCK_BYTES = 32 << 20
 
 
-class Index:
-    """Signatures and whole shingle sets of one block of items, for one shingle width."""
+class Table:
+    """The signatures of the items of one size class: sorted keys, the items that have them, a filter before both."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: float) -> None:
-        self.ids, self.sets, self.threshold = ids, sets, threshold
-        keys, owner = [], []
-        for i, s in enumerate(sets):
-            upper = 1 << (len(s) - 1).bit_length()  # the size class: (upper / 2, upper]
-            m = min(len(s), int((1 - threshold) * upper + 1e-9) + 1)
-            keys.append(s[:m])  # sorted: the least hashes
-            owner.append(np.full(m, i))
-        key, own = np.concatenate(keys), np.concatenate(owner)
+    def __init__(self, keys: list[np.ndarray], owners: list[int]) -> None:
+        key, own = np.concatenate(keys), np.repeat(owners, [len(k) for k in keys])
         order = np.argsort(key, kind="stable")
         self.key, self.owner = key[order], own[order]
         bits = max(16, int(8 * len(key)).bit_length())
@@ -44,37 +38,57 @@ class Index:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.key >> self.shift).astype(np.int64)] = True
 
-    def search(self, h: np.ndarray, doc: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, shared shingles, item's shingles) of each pair at the threshold or above."""
+    def probe(self, h: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) of the texts that hold a signature of an item."""
         near = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
         lo, hi = np.searchsorted(self.key, h[near], "left"), np.searchsorted(self.key, h[near], "right")
-        pairs = {(int(doc[near[i]]), int(o)) for i in np.flatnonzero(hi > lo) for o in self.owner[lo[i] : hi[i]]}
-        edge, last, own = runs(doc, n), -1, h[:0]
+        n = hi - lo
+        items = self.owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return set(zip(np.repeat(doc[near], n).tolist(), items.tolist(), strict=True))
+
+
+class Index:
+    """Size classes and exact shingle sets of one block of items, for one shingle width."""
+
+    def __init__(self, ids: list[int], hashes: list[np.ndarray], exact: list[frozenset[bytes]], threshold: float) -> None:
+        self.ids, self.hashes, self.exact, self.threshold = ids, hashes, exact, threshold
+        classes: dict[int, tuple[list, list]] = {}
+        for i, s in enumerate(hashes):
+            upper = 1 << (len(s) - 1).bit_length()  # the size class: (upper / 2, upper]
+            m = min(len(s), int((1 - threshold) * upper + 1e-9) + 1)
+            keys, owners = classes.setdefault(upper, ([], []))
+            keys.append(s[:m])  # sorted: the least hashes
+            owners.append(i)
+        self.tables = {u: Table(*x) for u, x in classes.items()}
+
+    def search(self, w: Words, width: int) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, shared shingles, item's shingles) of each pair at the threshold or above."""
+        h, doc, at = shingles_at(w, width)
+        if not len(h):
+            return
+        edge = runs(doc, len(w.count))
+        pairs = set().union(*(t.probe(h, doc) for t in self.tables.values()))
         for d, i in sorted(pairs):
-            if d != last:
-                last, own = d, np.unique(h[edge[d] : edge[d + 1]])
-            q = self.sets[i]
-            at = np.minimum(np.searchsorted(own, q), len(own) - 1)
-            shared = int((own[at] == q).sum())
-            if shared >= self.threshold * len(q) - 1e-9:
-                yield d, i, shared, len(q)
+            own = slice(edge[d], edge[d + 1])
+            hits = at[own][np.isin(h[own], self.hashes[i])]
+            if len(hits) >= self.threshold * len(self.exact[i]) - 1e-9:
+                shared = len({b" ".join(w.text(p + j) for j in range(width)) for p in hits.tolist()} & self.exact[i])
+                if shared >= self.threshold * len(self.exact[i]) - 1e-9:
+                    yield d, i, shared, len(self.exact[i])
 
 
 def build(items: list[tuple[int, bytes]], threshold: float) -> dict[int, Index]:
     """An index for each shingle width: WIDTH, or all words of an item that has fewer."""
-    w = Words([t for _, t in items])
-    out: dict[int, tuple[list, list]] = {}
-    h, doc = shingles(w, WIDTH)
-    edge = runs(doc, len(items))
-    for i, (k, _) in enumerate(items):
-        if w.count[i] >= WIDTH:
-            out.setdefault(WIDTH, ([], []))[0].append(k)
-            out[WIDTH][1].append(np.unique(h[edge[i] : edge[i + 1]]))
-        elif w.count[i]:
-            n = int(w.count[i])
-            out.setdefault(n, ([], []))[0].append(k)
-            out[n][1].append(shingles(Words([items[i][1]]), n, whole=False)[0])
-    return {n: Index(ids, sets, threshold) for n, (ids, sets) in out.items()}
+    out: dict[int, tuple[list, list, list]] = {}
+    for k, t in items:
+        words = t.lower().split()  # ASCII case and white space, as in Words
+        if words:
+            n = min(WIDTH, len(words))
+            ids, hashes, exact = out.setdefault(n, ([], [], []))
+            ids.append(k)
+            hashes.append(np.unique(shingles(Words([t]), n, whole=False)[0]))
+            exact.append(frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)))
+    return {n: Index(*x, threshold) for n, x in out.items()}
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -111,9 +125,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, tex
                 for i, j in chunks(texts):
                     w = Words(texts[i:j])
                     for n, x in index.value.items():
-                        h, doc = shingles(w, n, whole=False)
-                        if len(h):
-                            rows += [(ids[i + d], x.ids[q], s, m) for d, q, s, m in x.search(h, doc, j - i)]
+                        rows += [(ids[i + d], x.ids[q], s, m) for d, q, s, m in x.search(w, n)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_shared", "n_item"])
 
         found = cols.mapInPandas(search, schema)

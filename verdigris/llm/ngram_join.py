@@ -1,101 +1,179 @@
 """Exact Jaccard join of word shingle sets by signature trees, and the components of its links.
 
-1. Each text becomes its set of 3-word shingles. Equal sets form one class; the least doc_id stands for it.
-2. Candidates: two sets of similarity J >= 0.9 differ in (a + b) / 19 shingles at most. For a size level, the hash
-   space is cut into more parts than that, so similar sets agree in some parts; sets that agree in a non-empty part
-   are tied to the least of them (a star, not pairs). Sets with more than SPARE empty parts tie by these too, so no
-   link can be missed. The components of the stars hold all links; most documents are in none.
+1. Each text becomes its set of shingles. Equal sets form one class (by two independent 64-bit hashes of each word).
+2. Candidates: two sets of similarity J >= t differ in (a + b)(1 - t)/(1 + t) shingles at most. For a size level, the
+   hash space is cut into more parts than that, so similar sets agree in some parts; sets that agree in a non-empty
+   part are tied to the least of them (a star, not pairs). A level has spare parts enough for the empty ones that its
+   sets are expected to have; a set with still more of them ties by these too, so no link can be missed. The components of the
+   stars hold all links; most documents are in none.
 3. Within such a component the join runs over signature trees: nodes hold OR- and AND-combined bitmaps and size
    ranges; a dual traversal prunes node pairs by the greatest overlap they allow, skips nodes that links already
-   connect, and verifies the rest by exact intersection. Large components are dealt out as pairs of blocks.
+   connect, and verifies the rest by exact intersection: of the hashes first, then of the shingles' bytes. Large components
+   are dealt out as pairs of blocks.
 4. The components of the verified links are those of the join.
+
+Nodes are sets, not ids: rows that share an id and not a text are two documents.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, partitions, small_batches, text_bytes, written
+from .common import as_in, chunks, discard, exact, partitions, small_batches, text_bytes, written
 from .textkit import Words, mix, runs, shingles
 
-WIDTH = 3
 SPARE = 2
 #: A component with more documents or shingles than these is dealt out as pairs of blocks of about that size.
 BLOCK_DOCS = 4_000
 BLOCK_SHINGLES = 2_000_000
 FANOUT = 16
 BITS = 1024
+_SALT = np.uint64(0xA0761D6478BD642F)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Two documents link when 100 * shared >= percent * union, of their sets of ``width``-word shingles."""
+
+    width: int = 3
+    percent: int = 90
 
+    def alike(self, shared, a, b):
+        return (100 + self.percent) * shared >= self.percent * (a + b)
 
-def levels(top: int = 1 << 31) -> np.ndarray:
-    """Upper sizes of the levels: sets with J >= 0.9 are on the same level or on neighbouring ones."""
+    def sized(self, less, more):
+        """Whether a set of ``less`` shingles can be similar to one of ``more``."""
+        return 100 * more >= self.percent * less
+
+
+@functools.cache
+def levels(percent: int = 90, top: int = 1 << 31) -> np.ndarray:
+    """Upper sizes of the levels: similar sets are on the same level or on neighbouring ones."""
     out = [1]
     while out[-1] < top:
-        out.append(max(out[-1] + 1, out[-1] * 10 // 9))
+        out.append(max(out[-1] + 1, out[-1] * 100 // percent))
     return np.array(out)
 
 
-_LEVELS = levels()
-_SALT = np.uint64(0xA0761D6478BD642F)
+def most_lost(n: int, upper: int, percent: int) -> int:
+    """In how many shingles a set of n can differ from a similar one, if neither has more than ``upper``."""
+    return min(2 * upper * (100 - percent) // (100 + percent), n * (100 - percent) // percent)
+
 
+@functools.cache
+def parts(level: int, percent: int = 90) -> int:
+    """Parts of a level, 0 where only equal sets can be similar. More by SPARE + 1 than two sets can differ in, and
+    by what the sets that sign here are expected to leave empty, with four deviations."""
+    upper = int(levels(percent)[level])
+    d, t = 2 * upper * (100 - percent) // (100 + percent), percent / 100
+    if not d:
+        return 0
 
-def parts(level: int) -> int:
-    """Parts of a level, 0 where only equal sets can be similar. More by SPARE + 1 than two sets can differ in."""
-    d = 2 * int(_LEVELS[level]) // 19
-    return d + 1 + SPARE if d else 0
+    def short(k: int) -> float:
+        """By how much the empty parts exceed what a set can spare; the largest and the smallest sets decide."""
+        worst = -math.inf
+        for n in (upper, t * upper, t * t * upper):
+            e = k * math.exp(-n / k)
+            worst = max(worst, e + 4 * math.sqrt(e) - (k - 1 - most_lost(int(n), upper, percent)))
+        return worst
 
+    best, spare = d + 1 + SPARE, SPARE
+    while spare <= SPARE + d:
+        k = d + 1 + spare
+        if short(k) <= 0:
+            return k
+        best = min(best, k, key=short)
+        spare += max(1, spare // 16)
+    return best
 
-def signatures(h: np.ndarray) -> np.ndarray:
+
+def signatures(h: np.ndarray, percent: int = 90) -> np.ndarray:
     """A signature of each non-empty part of a sorted set, on its level and the next."""
     out, own = [], mix(h ^ _SALT)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
-    level = int(np.searchsorted(_LEVELS, len(h)))
+    bounds = levels(percent)
+    level = int(np.searchsorted(bounds, len(h)))
     for at in (level, level + 1):
-        if k := parts(at):
+        if k := parts(at, percent):
             edge = np.searchsorted(h, (np.arange(k, dtype=np.uint64) << np.uint64(32)) // np.uint64(k) << np.uint64(32))
             edge = np.append(edge, len(h))
             names = mix(np.arange(k, dtype=np.uint64) + np.uint64(at << 32))
             sig = mix((total[edge[1:]] - total[edge[:-1]]) ^ names)
             full = edge[1:] > edge[:-1]
-            out.append(sig if (~full).sum() > SPARE else sig[full])
+            out.append(sig if (~full).sum() > k - 1 - most_lost(len(h), int(bounds[at]), percent) else sig[full])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The sorted shingle set of each text."""
+def sets(texts: list[bytes], width: int = 3, families: tuple[int, ...] = (0,)) -> Iterator[tuple[np.ndarray, ...]]:
+    """The sorted shingle set of each text, by each family of hashes."""
     for i, j in chunks(texts):
-        h, doc = shingles(Words(texts[i:j]), WIDTH)
-        edge = runs(doc, j - i)
+        w = Words(texts[i:j], family=families[0])
+        each = [shingles(w if f == families[0] else w.rehashed(f), width) for f in families]
+        edge = runs(each[0][1], j - i)
         for d in range(j - i):
-            yield np.unique(h[edge[d] : edge[d + 1]])
+            yield tuple(np.unique(h[edge[d] : edge[d + 1]]) for h, _ in each)
+
+
+def _name(h: np.ndarray) -> int:
+    """One number for a set."""
+    return int(mix(h ^ np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
 
 
-def _signed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measured(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """n, f1, f2 of each row's set, and leader: the same for the rows of one set in a batch, else unique."""
+    from pyspark import TaskContext
+
+    leader = TaskContext.get().partitionId() << 40
+    for b in batches:
+        seen: dict[tuple, int] = {}
+        rows = []
+        for x, y in sets(b["_t"].to_list(), rule.width, (0, 1)):
+            own = (max(len(x), len(y)), _name(x), _name(y))
+            first = own not in seen
+            if first:
+                seen[own] = leader
+                leader += 1
+            rows.append((*own, seen[own], first))
+        yield pd.concat([b.drop(columns="_t").reset_index(drop=True), pd.DataFrame(rows, columns=["n", "f1", "f2", "leader", "leads"])], axis=1)
+
+
+def _signed(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """sig, node: the signatures of each set of a batch and its name (only a coarse one: what it ties is verified)."""
     for b in batches:
-        rows = [(len(h), int(mix(h ^ np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), int(mix(h ^ np.uint64(2)).sum(dtype=np.uint64).view(np.int64)), signatures(h).view(np.int64)) for h in sets(b["_t"].to_list())]
-        yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "f1", "f2", "sigs"])], axis=1)
+        own: dict[int, np.ndarray] = {}
+        for (h,) in sets(b["_t"].to_list(), rule.width):
+            if len(h) and (k := _name(h)) not in own:
+                own[k] = signatures(h, rule.percent).view(np.int64)
+        if own:
+            names = np.repeat(np.array(list(own), np.int64), [len(x) for x in own.values()])
+            yield pd.DataFrame({"sig": np.concatenate(list(own.values())), "node": names})
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node it can reach) for the nodes of edges (a, b); distributed, by contraction.
 
     Each round maps every node to its least neighbour and relabels the edges; loops go. The number of rounds grows
-    with the logarithm of the longest path, not with the number of edges.
+    with the logarithm of the longest path, not with the number of edges. Tables of older rounds are deleted.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label"))
+    labels = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label")), "labels")
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("p")), "parents")
-        labels = written(labels.join(least, labels["label"] == least["u"], "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+        moved_labels = written(labels.join(least, labels["label"] == least["u"], "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
         pa, pb = least.select(F.col("u").alias("a"), F.col("p").alias("pa")), least.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        moved = edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        edges = written(moved, "edges")
+        moved = written(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(edges, least, labels)
+        edges, labels = moved, moved_labels
+    discard(edges)
     return labels
 
 
@@ -122,22 +200,29 @@ class Tree:
         return np.arange(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][2])))
 
 
-def possible(x: Tree, i: int, xs: np.ndarray, y: Tree, j: int, ys: np.ndarray) -> np.ndarray:
+def possible(x: Tree, i: int, xs: np.ndarray, y: Tree, j: int, ys: np.ndarray, rule: Rule) -> np.ndarray:
     """Which pairs of nodes xs (level i of x) and ys (level j of y) can hold a link, by size and greatest overlap."""
     (xor, xand, xlo, xhi), (yor, yand, ylo, yhi) = ([a[k] for a in t.levels[v]] for t, v, k in ((x, i, xs), (y, j, ys)))
     lost_x = np.bitwise_count(xand[:, None] & ~yor[None]).sum(2, dtype=np.int64)
     lost_y = np.bitwise_count(yand[None] & ~xor[:, None]).sum(2, dtype=np.int64)
     most = np.minimum(xhi[:, None] - lost_x, yhi[None] - lost_y)
-    return (190 * most >= 90 * (xlo[:, None] + ylo[None])) & (10 * xhi[:, None] >= 9 * ylo[None]) & (10 * yhi[None] >= 9 * xlo[:, None])
+    return rule.alike(most, xlo[:, None], ylo[None]) & rule.sized(ylo[None], xhi[:, None]) & rule.sized(xlo[:, None], yhi[None])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, rule: Rule = Rule()) -> bool:
     shared = len(a) + len(b) - len(np.union1d(a, b))
-    return 190 * shared >= 90 * (len(a) + len(b))
+    return bool(rule.alike(shared, len(a), len(b)))
 
 
-def join(x: Tree, y: Tree, root: np.ndarray) -> None:
+def exact_set(text: bytes, width: int) -> frozenset[bytes]:
+    """The shingles of a text, byte by byte."""
+    w = text.lower().split()  # ASCII case and white space, as in Words
+    return frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def join(x: Tree, y: Tree, root: np.ndarray, texts: list[bytes], rule: Rule) -> None:
     """Dual traversal. root: the component of each set of the task, joined as links are found."""
+    whole = functools.lru_cache(maxsize=64)(lambda k: exact_set(texts[k], rule.width))
     todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while todo:
         i, p, j, q = todo.pop()
@@ -145,59 +230,67 @@ def join(x: Tree, y: Tree, root: np.ndarray) -> None:
         if rx[0] == ry[0] and (rx == rx[0]).all() and (ry == rx[0]).all():
             continue
         if i == 0 and j == 0:
-            if x.place[p] != y.place[q] and linked(x.sets[p], y.sets[q]):
-                a, b = sorted((int(rx[0]), int(ry[0])))
-                root[root == b] = a
+            if x.place[p] != y.place[q] and linked(x.sets[p], y.sets[q], rule):
+                u, v = whole(int(x.place[p])), whole(int(y.place[q]))
+                if rule.alike(len(u & v), len(u), len(v)):
+                    a, b = sorted((int(rx[0]), int(ry[0])))
+                    root[root == b] = a
             continue
         ps = x.children(i, p) if i and i >= j else np.array([p])
         qs = y.children(j, q) if j and j >= i else np.array([q])
         di, dj = i - (i >= j and i > 0), j - (j >= i and j > 0)
-        ok = possible(x, di, ps, y, dj, qs)
+        ok = possible(x, di, ps, y, dj, qs, rule)
         if x is y and di == dj:
             ok &= ps[:, None] <= qs[None]
         # the closest last, to be taken first: their links spare others
         todo += [(di, int(ps[a]), dj, int(qs[b])) for a, b in sorted(zip(*np.nonzero(ok), strict=True), key=lambda t: -abs(int(ps[t[0]]) - int(qs[t[1]])))]
 
 
-def _task(ids: list[int], raw: list[bytes], side: list[int]) -> list[tuple[int, int]]:
-    """Stars of the components that the links of one task form."""
-    own = [np.frombuffer(r, np.uint64) for r in raw]
-    order = sorted(range(len(own)), key=lambda k: (int(np.searchsorted(_LEVELS, len(own[k]))) // 2, int(own[k][0]), len(own[k])))
+def _task(rows: list[tuple[int, int, int, bytes]], rule: Rule) -> list[tuple[int, int]]:
+    """Stars of the components that the links of one task form. rows: side, class, the class's name, a text."""
+    held: dict[tuple[int, int], tuple[bytes, np.ndarray]] = {}
+    for (side, k, f1, t), (h,) in zip(rows, sets([r[3] for r in rows], rule.width), strict=True):
+        if _name(h) == f1:  # else another text of the same id
+            held.setdefault((side, k), (t, h))
+    if not held:
+        return []
+    keys, texts, own = list(held), [t for t, _ in held.values()], [h for _, h in held.values()]
+    bounds = levels(rule.percent)
+    order = sorted(range(len(own)), key=lambda k: (int(np.searchsorted(bounds, len(own[k]))) // 2, int(own[k][0]), len(own[k])))
     root, trees = np.arange(len(own)), []
-    for s in sorted(set(side)):
-        at = [k for k in order if side[k] == s]
-        trees.append(Tree(np.array([ids[k] for k in at]), [own[k] for k in at], np.array(at)))
-    join(trees[0], trees[-1], root)
+    for s in sorted({s for s, _ in keys}):
+        at = [k for k in order if keys[k][0] == s]
+        trees.append(Tree(np.array([keys[k][1] for k in at]), [own[k] for k in at], np.array(at)))
+    join(trees[0], trees[-1], root, texts, rule)
     best: dict[int, int] = {}
-    for k, r in enumerate(root.tolist()):
-        best[r] = min(best.get(r, ids[k]), ids[k])
-    return [(ids[k], best[r]) for k, r in enumerate(root.tolist()) if ids[k] != best[r]]
+    for (_, k), r in zip(keys, root.tolist(), strict=True):
+        best[r] = min(best.get(r, k), k)
+    return [(k, best[r]) for (_, k), r in zip(keys, root.tolist(), strict=True) if k != best[r]]
 
 
-def _joined(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (task, side, doc_id, set) in the order of tasks; one task is held at a time."""
-    last, ids, raw, side = None, [], [], []
+def _joined(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (task, side, cid, f1, text) in the order of tasks; one task is held at a time."""
+    last, rows = None, []
     for b in batches:
         out = []
-        for t, s, k, r in zip(b["task"], b["side"], b["doc_id"], b["set"], strict=True):
-            if t != last and ids:
-                out += _task(ids, raw, side)
-                ids, raw, side = [], [], []
-            last = t
-            ids.append(k)
-            raw.append(r)
-            side.append(s)
+        for t, *row in zip(b["task"], b["side"], b["cid"], b["f1"], b["_t"], strict=True):
+            if t != last and rows:
+                out += _task(rows, rule)
+                rows = []
+            last, row = t, tuple(row)
+            if not rows or rows[-1] != row:  # a row that is there twice
+                rows.append(row)
         yield pd.DataFrame(out, columns=["a", "b"])
-    if ids:
-        yield pd.DataFrame(_task(ids, raw, side), columns=["a", "b"])
+    if rows:
+        yield pd.DataFrame(_task(rows, rule), columns=["a", "b"])
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """doc_id, task, side for members (node, label, n): a component is one task, or pairs of blocks where it is large.
+def _tasks(members: DataFrame, rule: Rule) -> DataFrame:
+    """node, task, side for members (node, label, n): a component is one task, or pairs of blocks where it is large.
 
     Blocks are cut within a level by a hash of the id; only blocks of the same or neighbouring levels are paired.
     """
-    bounds = ", ".join(str(x) for x in _LEVELS)
+    bounds = ", ".join(str(x) for x in levels(rule.percent))
     m = members.withColumn("v", F.expr(f"CAST(aggregate(array({bounds}), 0L, (s, u) -> s + CAST(u < n AS INT)) AS INT)"))
     sizes = m.groupBy("label", "v").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     total = sizes.groupBy("label").agg((F.sum("c") <= BLOCK_DOCS).alias("small1"), (F.sum("w") <= BLOCK_SHINGLES).alias("small2"))
@@ -210,50 +303,53 @@ def _tasks(members: DataFrame) -> DataFrame:
         transform(sequence(0, nb - 1), j -> struct(concat_ws('/', label, {block('v', 'least(j, k)')}, {block('v', 'greatest(j, k)')}) AS task, CAST(k > j AS INT) AS side)),
         CASE WHEN up > 0 THEN transform(sequence(0, up - 1), j -> struct(concat_ws('/', label, {block('v', 'k')}, {block('v + 1', 'j')}) AS task, 0 AS side)) ELSE array() END,
         CASE WHEN down > 0 THEN transform(sequence(0, down - 1), j -> struct(concat_ws('/', label, {block('v - 1', 'j')}, {block('v', 'k')}) AS task, 1 AS side)) ELSE array() END) END"""
-    return m.select(F.col("node").alias("doc_id"), F.explode(F.expr(pairs)).alias("x")).select("doc_id", "x.task", "x.side")
+    return m.select("node", F.expr(pairs).alias("dealt"))
 
 
-def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs.
+def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; further columns are not read.
 
-    doc_id is a number that names a document; repeated rows are one document. A row without doc_id has no component
-    and links nothing. A null or empty text, or one without words, has no shingles and is its own component. Empty
-    tables give no rows; further columns are not read. Any number of copies of a text costs as much as one after
-    the first step; groups of near copies are never expanded into pairs.
+    component_id is the least doc_id of the rows that can be reached by links; ids may be of any type that has an order.
+    Rows that share an id and not a text are two documents. A row without doc_id has no component and links nothing.
+    A null or empty text, or one without words, has no shingles and is its own component; texts of any length are
+    taken whole. Empty tables give no rows. Any number of copies of a text costs as much as one after the first step;
+    groups of near copies are never expanded into pairs.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    return grouped(docs, text, key, rule).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
+    """What ``joined`` returns, and digest, the md5 of each row's text."""
     spark = docs.sparkSession
-    small_batches(spark)
     cols = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
-    # a null id becomes 0 for the workers (a column of longs), the row's own mark keeps it apart
-    marked = cols.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "_t", F.col("doc_id").isNull().alias("lost"))
-
-    def signed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for x in _signed([b]):
-                yield x.assign(lost=b["lost"].to_numpy())
-
-    rows = written(marked.mapInPandas(signed, "doc_id long, n long, f1 long, f2 long, sigs array<long>, lost boolean"), "signatures")
-    classes = rows.where("n > 0 AND NOT lost").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
-    signed_rows = classes.select("rep", "n", F.explode("sigs").alias("sig"))
-    stars = signed_rows.withColumn("m", F.min("rep").over(Window.partitionBy("sig"))).where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    coarse = components(stars)
-    members = coarse.join(rows.where("NOT lost").groupBy("doc_id").agg(F.max("n").alias("n")), coarse["node"] == F.col("doc_id")).select("node", "label", "n")
-    tasks = written(_tasks(members), "tasks")
-
-    def loaded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="_t").assign(set=[h.tobytes() for h in sets(b["_t"].to_list())])
-
-    wanted = tasks.select("doc_id").distinct()
-    # the candidates grow with the documents: the same join at every size, never a broadcast
-    own = marked.where("NOT lost").drop("lost").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).mapInPandas(loaded, "doc_id long, set binary")
-    dealt = own.join(tasks, "doc_id").repartition(partitions(spark), "task").sortWithinPartitions("task")
-    links = dealt.select("task", "side", "doc_id", "set").mapInPandas(_joined, "a long, b long")
-    final = components(links)
-    reps = rows.where("n > 0 AND NOT lost").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")).join(final, F.col("rep") == final["node"], "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component"))
-    out = rows.drop("sigs").join(reps, ["n", "f1", "f2"], "left")
-    return out.select(F.when(~F.col("lost"), F.col("doc_id")).cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~F.col("lost"), F.coalesce("component", "doc_id")).cast(kind).alias("component_id"))
+    typed = cols.withColumn("digest", F.md5("_t"))
+    with small_batches(spark):
+        kinds = exact(typed).schema
+        measured = exact(typed).mapInPandas(functools.partial(_measured, rule), f"doc_id {kinds['doc_id'].dataType.simpleString()}, digest string, n long, f1 long, f2 long, leader long, leads boolean")
+        rows = written(as_in(measured, typed), "sets")
+        own = rows.where("n > 0 AND doc_id IS NOT NULL")
+        # a class has one row in each batch; the rest of its copies follow their leader
+        classes = written(own.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+        signed = cols.where("doc_id IS NOT NULL").select("_t").mapInPandas(functools.partial(_signed, rule), "sig long, node long")
+        stars = signed.withColumn("m", F.min("node").over(Window.partitionBy("sig"))).where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+        coarse = components(stars)
+        members = written(classes.join(coarse, classes["f1"] == coarse["node"]).select("cid", "rep", "n", "f1", "f2", "label"), "members")
+        dealt = _tasks(members.select(F.col("cid").alias("node"), "label", "n"), rule)
+        dealt = written(members.join(dealt, members["cid"] == dealt["node"]).select("cid", "rep", "f1", "dealt"), "tasks")
+        # the candidates grow with the documents: the same join at every size, never a broadcast
+        texts = cols.join(dealt.hint("merge"), cols["doc_id"] == dealt["rep"]).select("cid", "f1", "_t", F.explode("dealt").alias("d"))
+        texts = texts.select("d.task", "d.side", "cid", "f1", "_t").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "cid", "_t")
+        final = components(texts.mapInPandas(functools.partial(_joined, rule), "a long, b long"))
+        found = members.join(final, members["cid"] == final["node"]).select("cid", "rep", final["label"].alias("to"))
+        least = found.groupBy("to").agg(F.min("rep").alias("component"))
+        found = found.join(least, "to").select("cid", "component")
+        reps = classes.join(found, "cid", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+        leaders = own.where("leads").select("leader", "n", "f1", "f2").join(reps, ["n", "f1", "f2"]).select("leader", "component")
+        led = own.join(leaders, "leader").select("doc_id", "digest", "n", "component")
+        rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "digest", "n", F.col("doc_id").alias("component"))
+        out = written(led.unionAll(rest).select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
+    discard(rows, classes, members, dealt, coarse, final)
+    return out
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Every 100-byte string has an anchor: of its 32-byte substrings the one with the least hash (the last of equals).
 Equal strings have equal anchors at equal offsets, so each string is compared only within its anchor's group, and a
 text has about one anchor in 35 bytes. Neighbouring strings with one anchor form a run; its context is all bytes
-that they cover.
+that they cover. Anchors and contexts, or anchors and strings, are compared by one 64-bit hash of each, of independent families.
 1. Runs with the same anchor and context are equal in all their strings: all but the first in (doc_id, start) repeat.
 2. Where an anchor has several contexts, the first run of each is resolved string by string: the contexts of one
    anchor meet in one task, unless they are more than GROUP; those are dealt out by string.
@@ -15,9 +15,7 @@ needs as many rounds over the collection's files as the longest document has byt
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,14 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, partitions, text_bytes, written
-from .textkit import mix, powers, prefix, span_hash
+from pyspark.sql.types import IntegralType
+
+from .common import chunks, discard, partitions, text_bytes, written
+from .textkit import eights, mix, rolling, span_hash
 
 LENGTH = 100
 ANCHOR = 32
 #: Contexts of one anchor that are resolved in one task at most (each has under 200 bytes).
 GROUP = 20_000
-_LOW = (1 << 28) - 1
+_LOW = (1 << 31) - 1  # places in a text: Spark's texts are shorter
 _NULL = -(1 << 63)
 
 
@@ -49,9 +49,8 @@ def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if not len(long):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    pre = prefix(buf)
     n = len(buf) - ANCHOR + 1
-    key = (pre[ANCHOR:] - pre[:n]) * powers(len(pre))[1][:n] * np.uint64(0xD6E8FEB86659FD93)
+    key = rolling(buf, ANCHOR) * np.uint64(0xD6E8FEB86659FD93)
     key ^= key >> np.uint64(32)
     low = np.uint64(_LOW)
     m = (key & ~low) | (low - (np.arange(n, dtype=np.uint64) & low))
@@ -70,8 +69,9 @@ def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(at)))
     start, anchor, doc = at[first], anchor[first], doc[first]
     offset = anchor - start
-    context = mix(span_hash(pre, start, start + count + LENGTH - 1) + mix((offset * 256 + count).astype(np.uint64)))
-    return doc, start - base[doc], count, offset, mix(key[anchor]).view(np.int64), context.view(np.int64)
+    view = eights(buf)
+    context = mix(span_hash(buf, start, start + count + LENGTH - 1, 1, view) + mix((offset * 256 + count).astype(np.uint64)))
+    return doc, start - base[doc], count, offset, span_hash(buf, anchor, anchor + ANCHOR, 0, view).view(np.int64), context.view(np.int64)
 
 
 def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,13 +163,13 @@ def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (a, w, doc, pos): a hash of each string of the runs that are to be resolved."""
     for doc, t, starts, counts, offs, names in _of_runs(batches):
         pos, inside = _ranges(starts, counts), _ranges(np.zeros(len(counts), np.int64), counts)
-        w = _named(prefix(np.frombuffer(t, np.uint8)), pos, np.repeat(offs, counts) - inside)
+        w = _named(np.frombuffer(t, np.uint8), pos, np.repeat(offs, counts) - inside)
         yield pd.DataFrame({"a": np.repeat(names, counts), "w": w.view(np.int64), "doc": doc, "pos": pos})
 
 
-def _named(pre: np.ndarray, pos: np.ndarray, shift: np.ndarray) -> np.ndarray:
+def _named(buf: np.ndarray, pos: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """A hash of the strings at pos and of where their anchor lies in them."""
-    return mix(span_hash(pre, pos, pos + LENGTH) + mix(shift.astype(np.uint64)))
+    return mix(span_hash(buf, pos, pos + LENGTH, 2) + mix(shift.astype(np.uint64)))
 
 
 def _strings(a: np.ndarray, doc: np.ndarray, p: np.ndarray, raw: list[bytes]) -> pd.DataFrame:
@@ -178,7 +178,7 @@ def _strings(a: np.ndarray, doc: np.ndarray, p: np.ndarray, raw: list[bytes]) ->
     base = np.cumsum([0, *map(len, raw)])[:-1]
     inside = _ranges(np.zeros(len(n), np.int64), n)
     row = np.repeat(np.arange(len(n)), n)
-    w = _named(prefix(np.frombuffer(b"".join(raw), np.uint8)), base[row] + inside, off[row] - inside)
+    w = _named(np.frombuffer(b"".join(raw), np.uint8), base[row] + inside, off[row] - inside)
     order = np.lexsort((row, w, a[row]))
     again = np.zeros(len(row), bool)
     again[order[1:]] = (w[order][1:] == w[order][:-1]) & (a[row][order][1:] == a[row][order][:-1])
@@ -219,12 +219,21 @@ def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([b[["doc"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def _numbered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, _t) with doc a long in the order of the ids, null first; and (doc, id) where doc isn't the id itself: for
+    ids that aren't whole numbers or that name several texts, which are documents in the order of their digests."""
+    own = docs.select(F.col(key).alias("id"), text_bytes(text).alias("_t"))
+    plain = isinstance(docs.schema[key].dataType, IntegralType)
+    if plain:
+        several = own.groupBy("id").agg(F.min(F.xxhash64("_t")).alias("a"), F.max(F.xxhash64("_t")).alias("b"))
+        plain = several.where(f"a <> b OR CAST(id AS STRING) = '{_NULL}'").isEmpty()
+    if plain:
+        return own.select(F.coalesce(F.col("id").cast("long"), F.lit(_NULL)).alias("doc"), "_t"), None
+    own = own.withColumn("digest", F.md5("_t"))
+    names = own.select("id", "digest").distinct().repartitionByRange(partitions(docs.sparkSession), "id", "digest").sortWithinPartitions("id", "digest")
+    names = written(names.select("id", "digest", F.monotonically_increasing_id().alias("doc")), "ids")
+    cols = own.alias("o").join(names.alias("n"), F.col("o.id").eqNullSafe(F.col("n.id")) & (F.col("o.digest") == F.col("n.digest")))
+    return cols.select("doc", "_t"), names
 
 
 def _found(cols: DataFrame) -> DataFrame:
@@ -244,12 +253,10 @@ def _dealt_by_string(texts: DataFrame) -> DataFrame:
     return runs.agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n")).select("doc", "start", "n")
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, start, n): runs of n 100-byte strings that also start earlier, by document; null ids as the least long."""
-    spark = docs.sparkSession
-    cols = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc"), text_bytes(text).alias("_t"))
+def _repeats(cols: DataFrame) -> DataFrame:
+    """(doc, start, n): runs of n 100-byte strings that also start earlier, by document; cols: (doc, _t)."""
+    spark = cols.sparkSession
     runs = _found(cols)
-    _release(spark)
     reps = runs.where("off >= 0").distinct()
     large = written(reps.groupBy("a").count().where(F.col("count") > GROUP).select("a"), "large_groups")
 
@@ -264,24 +271,36 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     if not large.isEmpty():
         out = out.unionAll(_dealt_by_string(texts(reps.join(large, "a", "left_semi"))))
     out = written(out, "repeats")
-    del contexts
-    _release(spark)
+    discard(runs, large)
     return out
 
 
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, start, n: runs of n 100-byte strings that also start earlier; a row for each run of a document."""
+    cols, names = _numbered(docs, text, key)
+    out = _repeats(cols)
+    return _with_ids(out, names, docs.schema[key].dataType.simpleString())
+
+
+def _with_ids(out: DataFrame, names: DataFrame | None, kind: str) -> DataFrame:
+    rest = [c for c in out.columns if c != "doc"]
+    if names is None:
+        return out.select(F.when(F.col("doc") != _NULL, F.col("doc")).cast(kind).alias("doc_id"), *rest)
+    return out.join(names, "doc", "left").select(F.col("id").alias("doc_id"), *rest)
+
+
 def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
 
-    A null text is empty; texts under 100 bytes lose nothing. doc_id names a document: repeated rows are one
-    document and get equal results; a null doc_id comes before all others. Empty tables give no rows; further
-    columns are not read. Copies of a run within a batch are settled where they are read, so a group of copies
-    reaches its anchor's task once for each batch.
+    A null text is empty; texts under 100 bytes lose nothing, texts of any length are taken whole. doc_id names a
+    document, of any type that has an order: repeated rows are one document and get equal results; several texts
+    under one id are documents in the order of their md5. A null doc_id comes before all others. Empty tables give no rows; further columns are not read. Copies of a run within
+    a batch are settled where they are read, so a group of copies reaches its anchor's task once for each batch.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    cols = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc"), text_bytes(text).alias("_t"))
-    gone = repeats(docs, text, key).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("doc", "x.start", "x.n")
+    cols, names = _numbered(docs, text, key)
+    gone = _repeats(cols).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("doc", "x.start", "x.n")
     out = cols.join(gone, "doc", "left").mapInPandas(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.when(F.col("doc") != _NULL, F.col("doc")).cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _with_ids(out, names, docs.schema[key].dataType.simpleString())
 
 
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

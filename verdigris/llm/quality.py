@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_in, chunks, exact, text_bytes
-from .textkit import Words
+from .textkit import Words, numbered
 
 #: Bound of the fit: labelled rows taken, in the order of a hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -82,7 +82,8 @@ def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     out |= {k: per_text(m[buf]) for k, m in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_digits", _DIGIT), ("n_punct", _PUNCT))}
     out["n_pipes"] = np.bincount(w.doc[(w.end - w.start == 1) & (buf[w.start] == 124)], minlength=n)
     out["n_short_words"] = np.bincount(w.doc[chars <= 2], minlength=n)
-    word, _ = _ranked(w.hash.view(np.int64), w.doc)
+    same, _ = numbered(buf, w.start, w.end, w.hash)  # exact
+    word, _ = _ranked(same, w.doc)
     first = np.zeros(len(word), bool)
     first[np.unique(word, return_index=True)[1]] = True
     out["n_distinct_words"] = np.bincount(w.doc[first], minlength=n)

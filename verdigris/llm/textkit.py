@@ -1,12 +1,15 @@
 """Vectorised kernels over many texts at once: words, 64-bit word and shingle hashes, windows.
 
-Words are runs of bytes other than space and 0x09-0x0D. A hash of bytes is a polynomial modulo 2**64 over
-random byte values, read from prefix sums, then mixed; equal bytes give equal hashes in any process.
+Words are runs of bytes other than space and 0x09-0x0D. The hash of a span takes its bytes by eights, each mixed into
+the state before the next, so no algebraic pattern of the bytes cancels out; spans over LONG bytes get a keyed
+cryptographic digest. Equal bytes give equal hashes in any process. ``numbered`` is exact: it compares the bytes.
+The polynomial of ``rolling`` is for choosing places only (equal bytes, equal values); nothing is taken as equal by it.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -41,22 +44,75 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(16, int(n).bit_length()))
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial; one longer than buf."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE[buf] * powers(len(buf))[0][: len(buf)], dtype=np.uint64, out=out[1:])
-    return out
-
-
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of buf[start:end] for each pair, not mixed."""
-    return (pre[end] - pre[start]) * powers(len(pre))[1][start]
+def rolling(buf: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window of ``width`` bytes, the same for the same bytes."""
+    up, down = powers(len(buf))
+    pre = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTE[buf] * up[: len(buf)], dtype=np.uint64, out=pre[1:])
+    n = len(buf) - width + 1
+    return (pre[width:] - pre[:n]) * down[:n]
+
+
+#: Spans over so many bytes are digested one by one.
+LONG = 256
+_KEYS = _SEED.integers(0, 2**64, (4, 2), dtype=np.uint64) | np.uint64(1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place of buf as a number, zeros after its end."""
+    return np.ndarray(len(buf) + 1, "<u8", buffer=np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0, view: np.ndarray | None = None) -> np.ndarray:
+    """A mixed 64-bit hash of buf[start:end] for each pair; families are independent of each other."""
+    view, n, (k, seed) = eights(buf) if view is None else view, end - start, _KEYS[family]
+    h = mix(n.astype(np.uint64) * seed)
+    at = np.flatnonzero((n > 0) & (n <= LONG))
+    for off in range(0, LONG, 8):
+        if not len(at):
+            break
+        left = n[at] - off
+        h[at] = mix(h[at] ^ ((view[start[at] + off] & _MASK[np.minimum(left, 8)]) * k))
+        at = at[left > 8]
+    for i in np.flatnonzero(n > LONG):
+        h[i] = np.frombuffer(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=seed.tobytes()).digest(), "<u8")[0]
+    return h
+
+
+def _unlike(view: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> bool:
+    """Whether any span differs from the one that ``first`` names for it."""
+    n, other = end - start, start[first]
+    if (n != n[first]).any():
+        return True
+    at = np.flatnonzero(other != start)
+    for off in range(0, LONG, 8):
+        if not len(at):
+            return False
+        left = n[at] - off
+        mask = _MASK[np.minimum(left, 8)]
+        if ((view[start[at] + off] & mask) != (view[other[at] + off] & mask)).any():
+            return True
+        at = at[left > 8]
+    return any((buf[start[i] + LONG : end[i]] != buf[other[i] + LONG : other[i] + n[i]]).any() for i in at)
+
+
+def numbered(buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, first): equal numbers for equal bytes and no others; the first span of each number. Hashes only
+    propose: all spans of a number are compared with its first."""
+    _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    if len(start) and _unlike(eights(buf), buf, start, end, first[at]):
+        known: dict[bytes, int] = {}
+        raw = buf.tobytes()
+        at = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+        first = np.unique(at, return_index=True)[1]
+    return at, first
 
 
 class Words:
-    """Words of some texts. start, end: in buf; doc: index of the text; hash: mixed; count: words of each text."""
+    """Words of some texts. start, end: in buf; doc: index of the text; hash: by family; count: words of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = True, family: int = 0) -> None:
         buf = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
         self.buf = buf = LOWER[buf] if lower else buf
         gap = SPACE[buf]
@@ -66,21 +122,33 @@ class Words:
         edge = np.searchsorted(self.start, self.base)
         self.first, self.count = edge[:-1], np.diff(edge)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = mix(span_hash(prefix(buf), self.start, self.end)) if len(self.start) else np.zeros(0, np.uint64)
+        self.hash = span_hash(buf, self.start, self.end, family)
+
+    def rehashed(self, family: int) -> "Words":
+        """The same words with the hashes of another family."""
+        out = object.__new__(Words)
+        out.__dict__ = {**self.__dict__, "hash": span_hash(self.buf, self.start, self.end, family)}
+        return out
+
+    def text(self, i: int) -> bytes:
+        return self.buf[self.start[i] : self.end[i]].tobytes()
+
+
+def shingles_at(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text index and first word of each window of k words, in order of texts."""
+    n = len(w.hash) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(w.doc[:n] == w.doc[k - 1 :])
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        h += w.hash[at + j] * PLACE[j]
+    return mix(h), w.doc[at], at
 
 
 def shingles(w: Words, k: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text index of each window of k words, in order of texts. whole: fewer words count as one window."""
-    n = len(w.hash) - k + 1
-    if n > 0:
-        same = w.doc[: n] == w.doc[k - 1 :]
-        at = np.flatnonzero(same)
-        h = np.zeros(len(at), np.uint64)
-        for j in range(k):
-            h += w.hash[at + j] * PLACE[j]
-        h, doc = mix(h), w.doc[at]
-    else:
-        h, doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, doc, _ = shingles_at(w, k)
     short = np.flatnonzero((w.count > 0) & (w.count < k)) if whole else np.zeros(0, int)
     if len(short):
         extra = np.array([int(mix(np.array([np.sum(w.hash[f : f + c] * PLACE[:c], dtype=np.uint64) + np.uint64(c)], np.uint64))[0]) for f, c in zip(w.first[short], w.count[short], strict=True)], np.uint64)

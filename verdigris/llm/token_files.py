@@ -1,12 +1,15 @@
 """Token-id files compressed by Re-Pair grammars.
 
-Documents are range-partitioned by id, encoded, and written in blocks of about BLOCK ids. In a block, ROUNDS times,
-frequent neighbouring ids are replaced by nonterminals: the frequent pairs of a round are replaced together, left to
-right where they overlap, and no pair crosses two documents. A block stores its rules, the expansion length of each
-rule, the compressed sequence and where each document's part of it begins, so one document is decoded by itself.
-
-File format: a Parquet table of blocks (part, block, doc_ids, lengths, ends, rules, expansions, rounds, ids):
-little-endian arrays; ids and rules are 16-bit where all ids fit, else 32-bit; blocks are in the order (part, block).
+Documents are range-partitioned by id, encoded, and written in blocks of about BLOCK ids. In a block, pairs of
+neighbouring ids are replaced by nonterminals, the most frequent first, until no pair occurs twice: pairs are counted
+exactly, and in one round all those are replaced whose occurrences overlap no more frequent pair's, as their
+replacements don't touch each other; a pair that a round leaves with one occurrence waits for the next count. A block stores
+its rules, the expansion length of each rule and the compressed sequence. By the expansion lengths any range of ids, so any
+document, is decoded by itself.
+
+File format: a Parquet table of blocks (part, block, doc_ids, n_ids, lengths, rules, expansions, rounds, ids, width):
+arrays of little-endian numbers; ids and rules have ``width`` bytes each (2, 3 or 4, as the block's symbols need), expansions
+four; rounds: the first nonterminal of each round; blocks are in the order (part, block).
 """
 
 from __future__ import annotations
@@ -21,15 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, partitions, text_bytes, written
-from .textkit import Words, mix, prefix, span_hash
+from .common import chunks, exact, partitions, text_bytes, written
+from .textkit import Words, mix, numbered, span_hash
 
 BLOCK = 1 << 20
-ROUNDS = 4
-LEAST = 24  # occurrences that make a pair frequent
-RULES = 4000  # of a round at most
 MEMORY = 1_000_000  # distinct units that a worker remembers
-_BUCKETS = 18
+_BUCKETS = 20  # bits of the filter before pairs are counted
 _MARK = "§"
 _TAIL = np.zeros(256, bool)
 _TAIL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
@@ -49,7 +49,8 @@ class Encoder:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer drops white space: distinct words are encoded once.
 
     A word's closing ASCII punctuation is encoded apart where letters or digits stand before it, as the
-    pre-tokenizer cuts there too. Strings of special tokens are ordinary text.
+    pre-tokenizer cuts there too. A text with the string of an added token anywhere goes to the library as a whole, which
+    gives that token's id.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,20 +58,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
         mark = self.ids_of(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def ids_of(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
+    def learn(self, keys: list[bytes]) -> None:
+        words = [k.decode("utf-8", "replace") for k in keys]
         lists: list = [None] * len(words)
         apart = [i for i, w in enumerate(words) if self.mark is None or _MARK in w or not w.isprintable()]
         for i in apart:
@@ -96,6 +98,9 @@ class Encoder:
         """Ids of all texts and the number of each text's."""
         if len(self.known) > MEMORY:
             self.clear()
+        every = b"\n".join(texts).lower()
+        if any(a in every for a in self.added):
+            return self.with_added(texts)
         w = Words(texts)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
@@ -109,70 +114,90 @@ class Encoder:
         own = np.repeat(w.doc, 2)
         full = end > start
         start, end, own = start[full], end[full], own[full]
-        h = mix(span_hash(prefix(w.buf), start, end))
-        u, first, at = np.unique(h, return_index=True, return_inverse=True)
-        keys, known = u.tolist(), self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            raw = w.buf.tobytes()
-            self.learn([keys[i] for i in new], [raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new])
+        at, first = numbered(w.buf, start, end, span_hash(w.buf, start, end))
+        raw, known = w.buf.tobytes(), self.known
+        keys = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if new := [k for k in keys if k not in known]:
+            self.learn(new)
         index = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[at]
         begins, lengths = self.start[index], self.length[index]
         return gathered(self.flat, begins, lengths), np.bincount(own, lengths, len(texts)).astype(np.int64)
 
 
+    def with_added(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        whole = {i for i, t in enumerate(texts) if any(a in t.lower() for a in self.added)}
+        flat, n = self([b"" if i in whole else t for i, t in enumerate(texts)])
+        each = np.split(flat, np.cumsum(n)[:-1])
+        for i in whole:
+            each[i] = np.array(self.ids_of(texts[i].decode("utf-8", "replace")), np.uint32)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def replaceable(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: (places, rule of each, pairs by rule). Each pair has two places or more, no places overlap."""
+    none = np.zeros(0, np.int64)
+    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+    at = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] > 1)  # no other pair can occur twice
+    same = np.flatnonzero(seq[at] == seq[at + 1])
+    if len(same):  # of a run of one id, every other place
+        place = at[same]
+        new = np.ones(len(place), bool)
+        new[1:] = place[1:] != place[:-1] + 1
+        order = np.arange(len(place))
+        odd = (order - np.maximum.accumulate(np.where(new, order, 0))) % 2 == 1
+        at = np.delete(at, same[odd])
+    pairs, own, n = np.unique(key[at], return_inverse=True, return_counts=True)
+    many = n > 1
+    if not many.any():
+        return none, none, none
+    rank = np.zeros(len(pairs), np.int64)  # 0: occurs once
+    order = np.lexsort((mix(pairs), n))
+    rank[order] = np.arange(1, len(pairs) + 1)
+    rank[~many] = 0
+    weight = np.zeros(len(seq) + 1, np.int64)
+    weight[at + 1] = rank[own]
+    top = (weight[at + 1] > weight[at]) & (weight[at + 1] > weight[np.minimum(at + 2, len(seq))])
+    at, own = at[top], own[top]
+    often = np.bincount(own, minlength=len(pairs)) > 1
+    keep = often[own]
+    return at[keep], (np.cumsum(often) - 1)[own[keep]], pairs[often]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> dict:
-    """A block: ids (uint32) of documents that end at ``ends``."""
-    seq, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
-    last[ends[ends > 0] - 1] = True
-    rules, size, rounds, top = [np.zeros((0, 2), np.uint32)], [np.ones(vocabulary, np.int64)], [], vocabulary
-    for _ in range(ROUNDS):
-        rounds.append(top)
-        if len(seq) < 2:
-            continue
-        a, b = seq[:-1], seq[1:]
-        bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - _BUCKETS)
-        bucket[last[:-1]] = 0  # pairs across documents: bucket 0 is never used
-        count = np.bincount(bucket, minlength=1 << _BUCKETS)
-        count[0] = 0
-        heavy = np.flatnonzero(count >= LEAST)
-        if len(heavy) > RULES:
-            heavy = heavy[np.argsort(-count[heavy], kind="stable")[:RULES]]
-        if not len(heavy):
-            continue
-        rule = np.full(1 << _BUCKETS, -1, np.int64)
-        rule[heavy] = np.arange(len(heavy))
-        at = np.flatnonzero(rule[bucket] >= 0)
-        r = rule[bucket[at]]
-        left, right = np.zeros(len(heavy), np.uint32), np.zeros(len(heavy), np.uint32)
-        left[r], right[r] = a[at], b[at]  # one pair of each bucket
-        same = (a[at] == left[r]) & (b[at] == right[r])
-        at, r = at[same], r[same]
-        # of occurrences that overlap in a row, every other one
-        run = np.ones(len(at), bool)
-        run[1:] = at[1:] != at[:-1] + 1
-        order = np.arange(len(at))
-        take = (order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0
-        at, r = at[take], r[take]
+    """A block: ids of documents that end at ``ends``."""
+    seq, top = ids.astype(np.uint32), vocabulary
+    rules, size, rounds = [np.zeros((0, 2), np.uint32)], np.ones(vocabulary, np.int64), []
+    while len(seq) > 1:
+        at, r, pairs = replaceable(seq)
+        if not len(pairs):
+            break
+        left, right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
+        seq[at] = (r + top).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq.copy()
-        seq[at] = r.astype(np.uint32) + np.uint32(top)
-        last[at] = last[at + 1]
-        seq, last = seq[keep], last[keep]
-        known = np.concatenate(size)
+        seq = seq[keep]
+        rounds.append(top)
         rules.append(np.stack([left, right], 1))
-        size.append(known[left] + known[right])
-        top += len(heavy)
-    kind = "<u2" if top <= 1 << 16 else "<u4"
-    stops = np.zeros(len(ends), np.int64)
-    stops[np.flatnonzero(np.diff(ends, prepend=0) > 0)] = np.flatnonzero(last) + 1
-    return {"lengths": np.diff(ends, prepend=0).tolist(), "ends": np.maximum.accumulate(stops).tolist(), "rules": np.concatenate(rules).astype(kind).tobytes(), "expansions": np.concatenate(size[1:] or [np.zeros(0, np.int64)]).astype("<u4").tobytes(), "rounds": rounds, "ids": seq.astype(kind).tobytes(), "bits": 16 if kind == "<u2" else 32}
+        size = np.concatenate([size, size[left] + size[right]])
+        top += len(pairs)
+    width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
+    return {"lengths": np.diff(ends, prepend=0).tolist(), "rules": _packed(np.concatenate(rules).ravel(), width), "expansions": size[vocabulary:].astype("<u4").tobytes(), "rounds": rounds or [vocabulary], "ids": _packed(seq, width), "width": width}
+
+
+def _packed(x: np.ndarray, width: int) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u4").ravel()
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, rounds: list[int]) -> np.ndarray:
@@ -191,26 +216,49 @@ def expand(seq: np.ndarray, rules: np.ndarray, rounds: list[int]) -> np.ndarray:
     return seq
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, rounds: list[int]) -> np.ndarray:
+    """As expand, for a whole block: each rule's ids are put together once, from those of its two sides."""
+    base, n = rounds[0], rounds[0] + len(rules)
+    flat, start, length = [np.arange(base, dtype=np.uint32)], np.arange(n), np.ones(n, np.int64)
+    known = flat[0]
+    for lo, hi in zip(rounds, [*rounds[1:], n], strict=True):
+        own = rules[lo - base : hi - base]
+        own_length = length[own].sum(1)
+        length[lo:hi], start[lo:hi] = own_length, len(known) + np.cumsum(own_length) - own_length
+        known = np.concatenate([known, gathered(known, start[own].ravel(), length[own].ravel())])
+    return gathered(known, start[seq], length[seq])
+
+
 def _arrays(row: pd.Series) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    kind = "<u2" if row["bits"] == 16 else "<u4"
-    return np.frombuffer(row["ids"], kind), np.frombuffer(row["rules"], kind).reshape(-1, 2).astype(np.uint32), [int(x) for x in row["rounds"]]
+    return _unpacked(row["ids"], row["width"]), _unpacked(row["rules"], row["width"]).reshape(-1, 2), [int(x) for x in row["rounds"]]
 
 
-def document(row: pd.Series, n: int) -> np.ndarray:
-    """Random access: the ids of document n of a block, nothing else decoded."""
+def ids_between(row: pd.Series, i: int, j: int) -> np.ndarray:
+    """Random access: the ids i .. j - 1 of a block. Expansion lengths say which symbols hold them; only these are decoded."""
     seq, rules, rounds = _arrays(row)
-    return expand(seq[(row["ends"][n - 1] if n else 0) : row["ends"][n]], rules, rounds)
+    size = np.concatenate([np.ones(rounds[0], np.int64), np.frombuffer(row["expansions"], "<u4").astype(np.int64)])[seq]
+    end = np.cumsum(size)
+    p, q = int(np.searchsorted(end, i, "right")), int(np.searchsorted(end, j, "left")) + 1
+    out = expand(seq[p:q], rules, rounds)
+    skip = i - int(end[p] - size[p]) if p < len(seq) else 0
+    return out[skip : skip + j - i]
+
+
+def document(row: pd.Series, n: int) -> np.ndarray:
+    """The ids of document n of a block, nothing else decoded."""
+    ends = np.cumsum(row["lengths"])
+    return ids_between(row, int(ends[n - 1]) if n else 0, int(ends[n]))
 
 
 def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49_408, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write the token files of docs into the shared folder; the table of blocks, read back.
 
-    Null texts are empty (one end id). Repeated rows are written one by one, next to each other; null ids come
-    first; empty tables give no blocks; further columns are not read.
+    Null texts are empty (one end id); texts of any length are taken whole. Repeated rows are written one by one, next
+    to each other; null ids come first; empty tables give no blocks; further columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     cols = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
-    cols = cols.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "_t")
+    cols = exact(cols.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "_t"))
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -237,15 +285,16 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49_408,
                 out[keep] = flat
                 ids.append(out)
                 lengths.append(n + 1)
-                names += [None if x is None or x != x else int(x) if isinstance(x, float) else x for x in all_ids[i:j]]
+                names += all_ids[i:j]
                 held += len(out)
                 if held >= BLOCK:
                     yield flush()
         if held:
             yield flush()
 
-    schema = f"part int, block int, doc_ids array<{kind}>, n_ids long, lengths array<long>, ends array<long>, rules binary, expansions binary, rounds array<int>, ids binary, bits int"
-    return written(cols.mapInPandas(work, schema), "token_files")
+    names = cols.schema["doc_id"].dataType.simpleString()
+    schema = f"part int, block int, doc_ids array<{names}>, n_ids long, lengths array<long>, rules binary, expansions binary, rounds array<int>, ids binary, width int"
+    return written(cols.mapInPandas(work, schema).withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>")), "token_files")
 
 
 def read(blocks: DataFrame) -> DataFrame:
@@ -255,20 +304,22 @@ def read(blocks: DataFrame) -> DataFrame:
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, row in b.iterrows():
-                flat = expand(*_arrays(row)).astype("<u4")
-                n = np.asarray(row["lengths"], np.int64)
+                flat, n = expand_all(*_arrays(row)).astype("<u4"), np.asarray(row["lengths"], np.int64)
+                if len(flat) != n.sum():
+                    raise ValueError(f"block {row['block']} of part {row['part']} is damaged")
                 ends = np.cumsum(n)
                 raw, at = memoryview(flat.tobytes()), (ends - n).tolist()
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(at, ends.tolist(), strict=True)]
-                yield pd.DataFrame({"part": row["part"], "block": row["block"], "doc_id": pd.Series(list(row["doc_ids"]), dtype=object), "at": at, "n_tokens": n, "ids_crc32": crc})
+                yield pd.DataFrame({"part": row["part"], "block": row["block"], "doc_id": list(row["names"]), "at": at, "n_tokens": n, "ids_crc32": crc})
 
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("p"))  # a row for each partition
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("o")).join(parts, "part")
-    docs = blocks.drop("expansions", "n_ids", "ends").mapInPandas(work, f"part int, block int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
-    return docs.join(offsets, ["part", "block"]).select("doc_id", (F.col("p") + F.col("o") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    own = blocks.select("part", "block", F.col("doc_ids").cast("array<string>").alias("names"), "lengths", "rules", "rounds", "ids", "width")
+    docs = own.mapInPandas(work, "part int, block int, doc_id string, at long, n_tokens long, ids_crc32 long")
+    return docs.join(offsets, ["part", "block"]).select(F.col("doc_id").cast(kind).alias("doc_id"), (F.col("p") + F.col("o") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

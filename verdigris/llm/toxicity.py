@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_in, chunks, exact, text_bytes, written
-from .textkit import SPACE, Words, mix, prefix, span_hash
+from .textkit import SPACE, Words, eights, span_hash
 
 #: Bounds of the fit: labelled rows taken (in the order of a hash of doc_id), features kept (the surest).
 SAMPLE_ROWS = 20_000
@@ -52,10 +52,10 @@ class Tokens(Words):
         edge = np.searchsorted(self.start, self.base)
         self.first, self.count = edge[:-1], np.diff(edge)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        pre, n = prefix(raw), np.uint64
-        kinds = [mix(span_hash(pre, self.start, self.end))]
-        for k in BEGINNINGS:
-            kinds.append(mix(span_hash(pre, self.start, np.minimum(self.start + k, self.end)) + n(k)))
+        view = eights(raw)
+        kinds = [span_hash(raw, self.start, self.end, view=view)]
+        for k in BEGINNINGS:  # a beginning is a feature of its own, whatever token it is of
+            kinds.append(span_hash(raw, self.start, np.minimum(self.start + k, self.end), view=view) + np.uint64(k))
         self.hashes = np.stack(kinds)
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, partitions
+from .common import as_in, ascii_lower, exact, partitions
 
 #: Rules that one sweep takes at most; more are swept in blocks of this size, the longest match carried along.
 RULES_PER_SWEEP = 200_000
@@ -48,7 +48,7 @@ def sweep(batches: Iterable[pd.DataFrame], rules: list[tuple[str, str, str, str]
     at, last, table = 0, None, []
     for b in batches:
         rule, verdict = b["rule"].to_numpy(object, copy=True), b["verdict"].to_numpy(object, copy=True)
-        rank = b["rank"].to_numpy(copy=True)
+        rank = b["rank"].to_numpy(object, copy=True)
         for i, (key, path) in enumerate(zip(b["key"], b["path"], strict=True)):
             if key != last:
                 last = key
@@ -64,7 +64,7 @@ def sweep(batches: Iterable[pd.DataFrame], rules: list[tuple[str, str, str, str]
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
                 # innermost host first, then the longest path
-                table = [(len(h) * 65536 + len(p), p, n, s) for h, own in reversed(stack) for p, n, s in reversed(own)]
+                table = [(f"{len(h):09d}.{len(p):09d}", p, n, s) for h, own in reversed(stack) for p, n, s in reversed(own)]
             for long, p, name, said in table:
                 if path.startswith(p):
                     if long > rank[i]:
@@ -77,20 +77,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     """page_id, host, path, rule, verdict for each row of pages. rules: (host, path, verdict).
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; the longest host wins, then
-    the longest path (under 65,536 characters), then, among the same rules given twice, the first. A url that no
-    rule fits gets a null rule and the default verdict. Null urls have empty host and path; repeated rows are
-    judged one by one; further columns are not read. Only page_id, host, path and the key are shuffled; sorting by
-    (key, path, page_id) ranges splits even one hot host.
+    the longest path, then, among the same rules given twice, the first. A url that no rule fits gets a null rule and
+    the default verdict. Null urls have empty host and path; ids may be null or of any type; repeated rows are judged
+    one by one; urls of any length are judged whole; an empty table gives no rows; further columns are not read. Only
+    page_id, host, path and the key are shuffled; sorting by (key, path, page_id) ranges splits even one hot host.
     """
     spark = pages.sparkSession
     table = sorted({(key_of(h), p, h + p): v for h, p, v in reversed(rules)}.items())
     table = [(*k, v) for k, v in table]
     cols = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    cols = cols.select("page_id", "host", "path", host_key(F.col("host")).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).cast("long").alias("rank"))
-    cols = cols.repartitionByRange(partitions(spark), "key", "path", "page_id").sortWithinPartitions("key")
+    cols = cols.select("page_id", "host", "path", host_key(F.col("host")).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit("").alias("rank"))
+    own, cols = cols, cols.repartitionByRange(partitions(spark), "key", "path", "page_id").sortWithinPartitions("key")
+    cols = exact(cols)  # whole ids beside nulls
     for i in range(0, len(table), RULES_PER_SWEEP):
         cols = cols.mapInPandas(partial(sweep, rules=table[i : i + RULES_PER_SWEEP]), cols.schema)
-    return cols.select("page_id", "host", "path", "rule", "verdict")
+    return as_in(cols, own).select("page_id", "host", "path", "rule", "verdict")
 
 
 #: The rules that the query judges by.
