@@ -88,3 +88,14 @@ def test_repeated_row_holds_a_passage_first(spark, monkeypatch, group):
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert rows(D.cleaned(docs)) == brute({r.doc_id: r.text.encode() for r in docs.collect()})
+
+
+def test_ids(spark):
+    """Ids of any type, several texts under one id, the least long."""
+    b = "".join(chr(97 + i * i % 23) + chr(97 + i * 7 % 26) for i in range(100))
+    docs = spark.createDataFrame([("z", b), ("y", b), (None, b[:150])], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in D.cleaned(docs).collect()} == {None: 0, "y": 150, "z": 200}
+    assert {(r.doc_id, r.start) for r in D.repeats(docs).collect()} >= {("z", 0)}
+    docs = spark.createDataFrame([(1, b), (1, "x" + b), (-(2**63), b[:120]), (None, b[:110])], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in D.cleaned(docs).collect())
+    assert got[:2] == [(-(2**63), 120, 110), (0, 110, 0)] and {x[1] for x in got[2:]} == {200, 201} and sum(x[2] for x in got[2:]) in (200 + 120, 201 + 119, 200 + 119)

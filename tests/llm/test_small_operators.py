@@ -5,6 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 from verdigris.llm import decontaminate, sharding, toxicity, url_filter
+from verdigris.llm.common import setting
 
 
 def test_urls(spark):
@@ -55,10 +56,24 @@ def test_shards(spark):
 
 
 def test_tree_moves_rows_into_the_new_shard_only(spark):
-    ids = spark.range(3000).select(F.col("id").cast("string").alias("k"))
-    for n in (16, 17, 18):
-        r = ids.select(sharding.descend(F.col("k"), sharding.tree(n, 16)).alias("a"), sharding.descend(F.col("k"), sharding.tree(n + 1, 16)).alias("b")).collect()
-        assert all(x.b in (x.a, n) for x in r) and any(x.b == n for x in r)
+    ids = spark.range(600).select(F.col("id").cast("string").alias("k"))
+    r = ids.select(*(sharding.descend(F.col("k"), sharding.tree(n)).alias(f"n{n}") for n in range(1, 42))).collect()
+    for n in range(1, 41):
+        assert all(x[f"n{n + 1}"] in (x[f"n{n}"], n) for x in r) and any(x[f"n{n + 1}"] == n for x in r)
+
+
+def test_shard_count_alone_decides(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(500)], "doc_id long, text string")
+    for n in (3, 16, 17):
+        now = {r.doc_id: r.grown_shard for r in sharding.assign(docs, n).collect()}
+        assert now == {r.doc_id: r.shard for r in sharding.assign(docs, n + 1).collect()}
+
+
+def test_weights_move_rows_into_the_grown_shard_only(spark):
+    ids = spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    heavy = sharding.tree(8, weights={5: 3.0})
+    r = ids.select(sharding.descend(F.col("k"), sharding.tree(8)).alias("a"), sharding.descend(F.col("k"), heavy).alias("b")).collect()
+    assert all(x.b in (x.a, 5) for x in r) and 480 < sum(x.b == 5 for x in r) < 720
 
 
 def test_containment(spark):
@@ -108,6 +123,17 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), empty).count() == 0 and toxicity.scored(docs, empty).count() == 603
 
 
+def test_large_url_ids_beside_nulls(spark):
+    pages = spark.createDataFrame([(2**53 + 1, "http://a.com/"), (None, "http://b.net/es/")], "page_id long, url string").coalesce(1)
+    with setting(spark, "spark.sql.shuffle.partitions", "1"):
+        got = {tuple(r) for r in url_filter.judge(pages, url_filter.RULES).collect()}
+    assert got == {(2**53 + 1, "a.com", "/", "com/", "allow"), (None, "b.net", "/es/", "net/es/", "block")}
+    long = "/" + "x" * 70_000
+    rules = [("b.com", "/", "block"), ("com", long, "allow"), ("com", long + "y", "block")]
+    pages = spark.createDataFrame([("p", "http://a.com" + long + "yz"), ("q", "http://a.b.com" + long)], "page_id string, url string")
+    assert {(r.page_id, r.verdict) for r in url_filter.judge(pages, rules).collect()} == {("p", "block"), ("q", "block")}
+
+
 def test_large_ids_beside_nulls(spark):
     big = 2**60 + 1
     docs = spark.createDataFrame([(big, "one two three four five six"), (None, "x")], "doc_id long, text string").coalesce(1)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import as_in, exact
 
-#: Halves of at most so many bytes are encoded by plain merges.
-LEAF = 24
+#: Halves of at most so many bytes (when decoding, tokens) are the leaves of the tree.
+LEAF = 8
+#: Windows of more bytes are merged with a heap.
+PLAIN = 32
 #: Encodings that a worker remembers at most before it starts anew.
 MEMORY = 300_000
 #: White space beside a space: such texts cannot be cut at every single space.
@@ -39,6 +42,8 @@ class Monoid:
 
     def merge(self, s: bytes) -> list[int]:
         """Plain merges: the least rank first, the leftmost of equals."""
+        if len(s) > PLAIN:
+            return self.long_merge(s)
         ranks, parts = self.ranks, [s[i : i + 1] for i in range(len(s))]
         costs = [ranks.get(s[i : i + 2], 1 << 60) for i in range(len(s) - 1)]
         while costs and (least := min(costs)) < 1 << 60:
@@ -51,6 +56,26 @@ class Monoid:
                 costs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
         return [ranks[p] for p in parts]
 
+    def long_merge(self, s: bytes) -> list[int]:
+        """The same merges with a heap of pairs and linked neighbours, for windows of many tokens."""
+        ranks, n = self.ranks, len(s)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins at a place; 0: none begins there
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(s[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, e = heapq.heappop(heap)
+            m = end[i]
+            if not m or m >= n or end[m] != e:
+                continue  # a pair that a merge has changed
+            end[i], end[m] = e, 0
+            if e < n:
+                before[e] = i
+                if (r := ranks.get(s[i : end[e]])) is not None:
+                    heapq.heappush(heap, (r, i, end[e]))
+            if i and (r := ranks.get(s[before[i] : e])) is not None:
+                heapq.heappush(heap, (r, before[i], e))
+        return [ranks[s[i : end[i]]] for i in range(n) if end[i]]
+
     def stable(self, a: int, b: int) -> bool:
         """Whether two tokens side by side are the encoding of their bytes."""
         if (known := self.pairs.get((a, b))) is None:
@@ -60,7 +85,11 @@ class Monoid:
         return known
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The tokens' bytes, concatenated up a tree: halves of at most LEAF tokens first, then neighbours."""
+        parts = [b"".join([self.bytes_of[t] for t in ids[i : i + LEAF]]) for i in range(0, len(ids), LEAF)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings."""
@@ -149,8 +178,9 @@ def encoder(path: str, pattern: str) -> Encoder:
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row: texts encoded, then decoded from their ids.
 
-    path: a rank file that every executor has. Null texts are empty: no ids, digests of nothing. Repeated rows are
-    encoded one by one; empty tables give no rows; further columns are not read. Nothing is shuffled.
+    path: a rank file that every executor has. Null texts are empty: no ids, digests of nothing; texts of any length are
+    taken whole, in n log n steps even where they are one piece. Null ids stay null. Repeated rows are encoded one by
+    one; empty tables give no rows; further columns are not read. Nothing is shuffled.
     """
 
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -319,7 +319,8 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
 
 
 def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
-    """What ``joined`` returns, and digest, the md5 of each row's text."""
+    """What ``joined`` returns, and digest, the md5 of each row's text, and group, a number for each component (null for
+    rows without id or words): documents that share an id may be in different ones."""
     spark = docs.sparkSession
     cols = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
     typed = cols.withColumn("digest", F.md5("_t"))
@@ -340,14 +341,14 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         texts = cols.join(dealt.hint("merge"), cols["doc_id"] == dealt["rep"]).select("cid", "f1", "_t", F.explode("dealt").alias("d"))
         texts = texts.select("d.task", "d.side", "cid", "f1", "_t").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "cid", "_t")
         final = components(texts.mapInPandas(functools.partial(_joined, rule), "a long, b long"))
-        found = members.join(final, members["cid"] == final["node"]).select("cid", "rep", final["label"].alias("to"))
-        least = found.groupBy("to").agg(F.min("rep").alias("component"))
-        found = found.join(least, "to").select("cid", "component")
-        reps = classes.join(found, "cid", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-        leaders = own.where("leads").select("leader", "n", "f1", "f2").join(reps, ["n", "f1", "f2"]).select("leader", "component")
-        led = own.join(leaders, "leader").select("doc_id", "digest", "n", "component")
-        rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "digest", "n", F.col("doc_id").alias("component"))
-        out = written(led.unionAll(rest).select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
+        found = members.join(final, members["cid"] == final["node"]).select("cid", "rep", final["label"].alias("group"))
+        least = found.groupBy("group").agg(F.min("rep").alias("component"))
+        found = found.join(least, "group").select("cid", "group", "component")
+        reps = classes.join(found, "cid", "left").select("n", "f1", "f2", F.coalesce("group", "cid").alias("group"), F.coalesce("component", "rep").alias("component"))
+        leaders = own.where("leads").select("leader", "n", "f1", "f2").join(reps, ["n", "f1", "f2"]).select("leader", "group", "component")
+        led = own.join(leaders, "leader").select("doc_id", "digest", "n", "group", "component")
+        rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "digest", "n", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component"))
+        out = written(led.unionAll(rest).select("doc_id", "digest", "group", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
     discard(rows, classes, members, dealt, coarse, final)
     return out
 

@@ -224,21 +224,38 @@ def _model(session: int) -> dict[int, tuple[list[tuple], float]]:
     return out
 
 
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of docs, and base and spans: arrays of (s, k, e, m) sorted by start, then kind.
-
-    Whole texts, row by row, nothing shuffled. A null text is empty. Empty tables give no rows; columns of docs
-    named base, spans, cands, t or digits are replaced or dropped.
-    """
+def _marked(docs: DataFrame, text: str, own: str) -> DataFrame:
+    """The columns of docs, with one more named ``own``: struct of base and spans, arrays of (s, k, e, m)."""
     model = _model(id(docs.sparkSession.sparkContext))
-    keep = [c for c in docs.columns if c not in ("base", "spans", "cands", "t", "digits")]
-    df = docs.withColumn("t", F.coalesce(F.col(text).cast("string"), F.lit(""))).select(*keep, "t", F.col("t").rlike("[0-9]").alias("digits"))
-    df = _candidates(_base(df))
+    # docs travel as one struct, so none of their columns can clash with those of the method
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    df = _candidates(_base(df.withColumn("digits", F.col("t").rlike("[0-9]"))))
     scores = " ".join(f"WHEN x.k = {k} THEN ({' + '.join(_sql(t) for t in trees)}) >= {cut!r}D" for k, (trees, cut) in model.items() if cut != float("inf"))
     featured = f"transform(cands, x -> struct(x.s AS s, x.k AS k, x.e AS e, x.m AS m, array({', '.join(f'CAST({e} AS DOUBLE)' for e in FEATURES.values())}) AS f))"
     taken = f"transform(filter({featured}, x -> CASE {scores} ELSE false END), x -> struct(x.s AS s, x.k AS k, x.e AS e, x.m AS m))" if scores else "slice(base, 1, 0)"
-    df = df.withColumn("_added", F.expr(f"CASE WHEN size(cands) = 0 THEN slice(base, 1, 0) ELSE {taken} END"))
-    return df.select(*keep, "base", F.expr("CASE WHEN size(_added) = 0 THEN base ELSE array_sort(concat(base, _added)) END").alias("spans"))
+    df = df.withColumn("added", F.expr(f"CASE WHEN size(cands) = 0 THEN slice(base, 1, 0) ELSE {taken} END"))
+    every = F.expr("CASE WHEN size(added) = 0 THEN base ELSE array_sort(concat(base, added)) END")
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.struct("base", every.alias("spans")).alias(own))
+
+
+def spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of docs, and base and spans: arrays of (s, k, e, m) sorted by start, then kind, then end.
+
+    Whole texts of any length, row by row, nothing shuffled; repeated rows get equal spans. A null text is empty. Empty
+    tables give no rows; columns of docs named base or spans are replaced.
+    """
+    keep = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans") or c == text))
+    own = _free("found", docs)
+    df = _marked(keep, text, own)
+    return df.select(*(F.col(f"`{c}`") for c in keep.columns if c not in ("base", "spans")), F.col(f"{own}.base").alias("base"), F.col(f"{own}.spans").alias("spans"))
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _named(spans: str) -> str:
@@ -247,12 +264,15 @@ def _named(spans: str) -> str:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span of the text replaced by its kind in brackets; overlapping spans become one. Null stays null."""
-    names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    step = f"(a, x) -> struct(greatest(a.p, x.e) AS p, CASE WHEN x.s < a.p THEN a.o ELSE concat(a.o, array(substring({{t}}, a.p + 1, x.s - a.p), element_at(array({names}), x.k + 1))) END AS o)"
-    t = f"`{text}`"
-    cut = f"aggregate(spans, struct(0 AS p, CAST(array() AS array<string>) AS o), {step.format(t=t)}, a -> concat(array_join(a.o, ''), substring({t}, a.p + 1)))"
-    return spans(docs, text).withColumn(text, F.expr(f"CASE WHEN size(spans) = 0 THEN {t} ELSE {cut} END")).select(*docs.columns)
+    """docs with each span of the text replaced by its kind in brackets; overlapping spans become one.
+
+    The columns stay as they are, whatever their names. A null text stays null; empty tables give no rows.
+    """
+    names, own, t = ", ".join(f"'[{k.upper()}]'" for k in KINDS), _free("found", docs), f"`{text}`"
+    step = f"(a, x) -> struct(greatest(a.p, x.e) AS p, CASE WHEN x.s < a.p THEN a.o ELSE concat(a.o, array(substring({t}, a.p + 1, x.s - a.p), element_at(array({names}), x.k + 1))) END AS o)"
+    cut = f"aggregate({own}.spans, struct(0 AS p, CAST(array() AS array<string>) AS o), {step}, a -> concat(array_join(a.o, ''), substring({t}, a.p + 1)))"
+    safe = F.expr(f"CASE WHEN size({own}.spans) = 0 THEN {t} ELSE {cut} END")
+    return _marked(docs, text, own).select(*(safe.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from . import bpe, decontaminate, ngram_join, passage_dedup, pii, quality, sharding, token_files, toxicity, url_filter
 
 
-def op4_sharding(spark, sf_dir):
-    return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
-
-
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -19,7 +15,7 @@ QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_pii": pii.op2_pii,
     "op3_quality": quality.op3_quality,
-    "op4_sharding": op4_sharding,
+    "op4_sharding": sharding.op4_sharding,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_passage_dedup": passage_dedup.op6_passage_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -28,4 +24,4 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "pipeline": pipeline,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op4_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE}

@@ -238,6 +238,13 @@ def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     return as_in(cols.mapInPandas(work, f"{schema}, score double"), own)
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, their columns as they are, whatever their names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in names.items()))
+    return scored(renamed, model, names[text]).where(F.col("score") < threshold).select(*(F.col(k).alias(c) for c, k in names.items()))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
