@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages over documents: toxicity, near duplicates, decontamination, personal data, BPE.
 
 Each stage is (name, function of (spark, docs, sf_dir)); a stage's rows are written as Parquet and read again as the
-next one's docs. All stages but the last return the columns of documents.
+next one's docs. All stages but the last return the columns of documents. In all of them a null or empty text holds
+nothing (not toxic, no copy, no leak, nothing to redact, no ids), a row's doc_id may be null, texts are taken whole, an
+empty table gives an empty table, and columns beside doc_id and text may have any names.
 """
 
 from __future__ import annotations
@@ -9,32 +11,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from verdigris.llm import bpe, decontaminate, ngram_join, pii, toxicity
-from verdigris.llm.common import written
+from verdigris.llm.common import discard, text_bytes, written
+
+#: Near copies: five words, 80 of 100 shingles in common.
+NEAR = ngram_join.Rule(width=5, percent=80)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; fitted on the labelled ones among docs."""
+    """Documents that score below the threshold; fitted on the labelled ones among docs. Repeated rows score alike."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.kept(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of near copies; one of repeated rows; null ids stay."""
-    found = written(ngram_join.joined(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    kept = docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
-    # rows that are there twice: rare, so only they are shuffled with their texts
-    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_twice"))
-    single = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
-    return single.unionAll(kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each component of near copies: the one with the least doc_id, of several texts under that id the
+    one with the least md5, once where the row is repeated. Rows that share an id and not a text are different
+    documents. Rows without doc_id or without words stay."""
+    found = written(ngram_join.grouped(docs, rule=NEAR).where("group IS NOT NULL"), "near_copies")
+    heads = found.where("doc_id = component_id").groupBy("group").agg(F.min("digest").alias("head"))
+    gone = found.join(heads, "group").where("doc_id <> component_id OR digest <> head").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text")).distinct()
+    twice = found.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text"))
+    gone, twice = written(gone, "gone"), written(twice, "twice")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = docs.select(own, F.col("doc_id").alias("_id"), F.md5(text_bytes()).alias("_digest"))
+    on = lambda t: (F.col("_id") == t["_gone"]) & (F.col("_digest") == t["_text"])
+    kept = rows.join(gone, on(gone), "left_anti")
+    single = kept.join(twice, on(twice), "left_anti").select("_row")
+    # rows that are there twice are reduced where they are read, before they meet
+    once = kept.join(twice, on(twice), "left_semi").groupBy("_id", "_digest").agg(F.min("_row").alias("_row")).select("_row")
+    out = written(single.unionAll(once).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns)), "kept")
+    discard(found, gone, twice)
+    return out
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows that share an id with one that does go with it."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text. A null text stays null."""
     out = pii.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
