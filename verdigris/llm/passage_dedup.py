@@ -305,3 +305,17 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Brute force: every 100-byte string, hex digits taking the place of bytes.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d)),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+b AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM a)),
+c AS (SELECT doc_id, k, min(i) AS lo, max(i) + 100 AS hi FROM b GROUP BY doc_id, k),
+e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM c),
+f AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS y FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN f USING (doc_id)
+"""

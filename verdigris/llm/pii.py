@@ -279,3 +279,27 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     counts = [F.expr(f"CAST(size(filter(base, x -> x.k = {i})) AS LONG)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return df.select("doc_id", *counts, F.sha2(F.expr(_named("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_named("spans")).alias("spans"))
+
+
+def base_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 returns, but the added spans."""
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
+def _oracle() -> str:
+    """The plain patterns; each match is marked in the text, and places are sums of the lengths before it."""
+    kinds = {
+        "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+        "ip": ("[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "list_max(list_transform(string_split(m, '.'), lambda x: CAST(right('000' || x, greatest(length(ltrim(x, '0')), 1)) AS HUGEINT))) <= 255"),
+        "card": ("[0-9](?:[ -]?[0-9])+", "length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(n[i] AS INT) ELSE (2 * CAST(n[i] AS INT)) % 10 + CAST(CAST(n[i] AS INT) > 4 AS INT) END)) % 10 = 0"),
+        "phone": ("\\+[0-9][ ().0-9-]+[0-9]", "length(n) BETWEEN 10 AND 15"),
+    }
+    found = "\nUNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{kind}' AS kind, e - length(m) AS s, e FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM (SELECT doc_id, split_part(x, chr(57345), 1) AS m, sum(length(replace(x, chr(57345), ''))) OVER o - length(split_part(x, chr(57345), 2)) AS e, i FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS a FROM d)) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE i > 1) WHERE {valid}"
+        for k, (kind, (pattern, valid)) in enumerate(kinds.items())
+    )
+    counts = ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS n_{k}" for k in kinds)
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found})\nSELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e), '')) AS base_sha256 FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"
+
+
+BASE_ORACLE = _oracle()

@@ -23,5 +23,16 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "pipeline": pipeline,
+    # the parts of op2 and op3 that SQL can express
+    "base_pii_spans": pii.base_pii_spans,
+    "base_quality_statistics": quality.base_quality_statistics,
+}
+ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
+    "op4_sharding": sharding.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
+    "op6_passage_dedup": passage_dedup.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
+    "base_pii_spans": pii.BASE_ORACLE,
+    "base_quality_statistics": quality.BASE_ORACLE,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op4_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
