@@ -2,15 +2,16 @@
 
 1. Each text becomes its set of shingles. Equal sets form one class (by two independent 64-bit hashes of each word).
 2. Candidates: two sets of similarity J >= t differ in (a + b)(1 - t)/(1 + t) shingles at most. For a size level, the
-   hash space is cut into more parts than that, so similar sets agree in some parts; sets that agree in a non-empty
-   part are tied to the least of them (a star, not pairs). A level has spare parts enough for the empty ones that its
-   sets are expected to have; a set with still more of them ties by these too, so no link can be missed. The components of the
-   stars hold all links; most documents are in none.
-3. Within such a component the join runs over signature trees: nodes hold OR- and AND-combined bitmaps and size
-   ranges; a dual traversal prunes node pairs by the greatest overlap they allow, skips nodes that links already
-   connect, and verifies the rest by exact intersection: of the hashes first, then of the shingles' bytes. Large components
-   are dealt out as pairs of blocks.
-4. The components of the verified links are those of the join.
+   hash space is cut into more parts than that, so similar sets agree in some parts. A set has a signature for each
+   of its non-empty parts; sets with a signature in common form its group. A level has spare parts enough for the empty ones
+   that its sets are expected to have; a set with still more of them signs these too, so no link can be missed.
+3. First each set is joined with the least of each of its groups only (a star, not pairs); what that links is one
+   component from here on. Then only groups with several components are left: small ones give their distinct pairs,
+   large ones are joined as a whole.
+4. Every such join runs over signature trees: nodes hold OR- and AND-combined bitmaps and size ranges; a dual traversal
+   prunes node pairs by the greatest overlap they allow, skips nodes that are connected already, and verifies the rest by
+   exact intersection: of the hashes first, then of the shingles' bytes. Large joins are dealt out as pairs of blocks.
+5. The components of the verified links are those of the join.
 
 Nodes are sets, not ids: rows that share an id and not a text are two documents.
 """
@@ -34,6 +35,8 @@ SPARE = 2
 #: A component with more documents or shingles than these is dealt out as pairs of blocks of about that size.
 BLOCK_DOCS = 4_000
 BLOCK_SHINGLES = 2_000_000
+#: Groups of at most so many sets give their pairs, each pair once however many groups it shares.
+SMALL = 8
 FANOUT = 16
 BITS = 1024
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -246,18 +249,19 @@ def join(x: Tree, y: Tree, root: np.ndarray, texts: list[bytes], rule: Rule) ->
         todo += [(di, int(ps[a]), dj, int(qs[b])) for a, b in sorted(zip(*np.nonzero(ok), strict=True), key=lambda t: -abs(int(ps[t[0]]) - int(qs[t[1]])))]
 
 
-def _task(rows: list[tuple[int, int, int, bytes]], rule: Rule) -> list[tuple[int, int]]:
-    """Stars of the components that the links of one task form. rows: side, class, the class's name, a text."""
-    held: dict[tuple[int, int], tuple[bytes, np.ndarray]] = {}
-    for (side, k, f1, t), (h,) in zip(rows, sets([r[3] for r in rows], rule.width), strict=True):
-        if _name(h) == f1:  # else another text of the same id
-            held.setdefault((side, k), (t, h))
-    if not held:
+def _task(rows: list[tuple[int, int, int, int, bytes, np.ndarray]], rule: Rule) -> list[tuple[int, int]]:
+    """Stars of the components that the links of one task form. rows: side, class, its name and component, a text, its set."""
+    held = {}
+    for side, k, f1, comp, t, h in rows:
+        if (side, k) not in held and _name(h) == f1:  # else another text of the same id
+            held[side, k] = (comp, t, h)
+    if len(held) < 2:
         return []
-    keys, texts, own = list(held), [t for t, _ in held.values()], [h for _, h in held.values()]
+    keys, comps, texts, own = list(held), [c for c, _, _ in held.values()], [t for _, t, _ in held.values()], [h for _, _, h in held.values()]
     bounds = levels(rule.percent)
     order = sorted(range(len(own)), key=lambda k: (int(np.searchsorted(bounds, len(own[k]))) // 2, int(own[k][0]), len(own[k])))
-    root, trees = np.arange(len(own)), []
+    first: dict[int, int] = {}
+    root, trees = np.array([first.setdefault(c, i) for i, c in enumerate(comps)]), []
     for s in sorted({s for s, _ in keys}):
         at = [k for k in order if keys[k][0] == s]
         trees.append(Tree(np.array([keys[k][1] for k in at]), [own[k] for k in at], np.array(at)))
@@ -269,24 +273,41 @@ def _task(rows: list[tuple[int, int, int, bytes]], rule: Rule) -> list[tuple[int
 
 
 def _joined(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (task, side, cid, f1, text) in the order of tasks; one task is held at a time."""
+    """Rows (task, side, cid, f1, comp, text) in the order of tasks; one task is held at a time."""
     last, rows = None, []
     for b in batches:
-        out = []
-        for t, *row in zip(b["task"], b["side"], b["cid"], b["f1"], b["_t"], strict=True):
+        out, texts = [], b["_t"].to_list()
+        for t, *row, text, (h,) in zip(b["task"], b["side"], b["cid"], b["f1"], b["comp"], texts, sets(texts, rule.width), strict=True):
             if t != last and rows:
                 out += _task(rows, rule)
                 rows = []
-            last, row = t, tuple(row)
-            if not rows or rows[-1] != row:  # a row that is there twice
-                rows.append(row)
+            last = t
+            if not rows or rows[-1][1] != row[1] or rows[-1][4] != text:  # a row that is there twice
+                rows.append((*row, text, h))
         yield pd.DataFrame(out, columns=["a", "b"])
     if rows:
         yield pd.DataFrame(_task(rows, rule), columns=["a", "b"])
 
 
+def _centred(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cid, dealt for distinct pairs (centre, leaf): a task joins a centre with a block of its leaves."""
+    p = pairs.join(sizes.select(F.col("cid").alias("leaf"), "n"), "leaf")
+    total = p.groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    task = lambda k: F.concat_ws("/", "centre", k)
+    leaves = p.join(total, "centre").select(F.col("leaf").alias("cid"), task(F.pmod(F.xxhash64("leaf"), "nb")).alias("task"), F.lit(1).alias("side"))
+    centres = total.select(F.col("centre").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k"), "centre").select("cid", task(F.col("k")).alias("task"), F.lit(0).alias("side"))
+    return leaves.unionAll(centres)
+
+
+def _links(texts: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): verified links for dealt (cid, comp, task, side)."""
+    j = texts.join(dealt.hint("merge"), "cid").select("task", "side", "cid", "f1", "comp", "_t")
+    j = j.repartition(partitions(texts.sparkSession), "task").sortWithinPartitions("task", "side", "cid", "_t")
+    return j.mapInPandas(functools.partial(_joined, rule), "a long, b long")
+
+
 def _tasks(members: DataFrame, rule: Rule) -> DataFrame:
-    """node, task, side for members (node, label, n): a component is one task, or pairs of blocks where it is large.
+    """cid, task, side for members (node, label, n): a group is one task, or pairs of blocks where it is large.
 
     Blocks are cut within a level by a hash of the id; only blocks of the same or neighbouring levels are paired.
     """
@@ -303,7 +324,7 @@ def _tasks(members: DataFrame, rule: Rule) -> DataFrame:
         transform(sequence(0, nb - 1), j -> struct(concat_ws('/', label, {block('v', 'least(j, k)')}, {block('v', 'greatest(j, k)')}) AS task, CAST(k > j AS INT) AS side)),
         CASE WHEN up > 0 THEN transform(sequence(0, up - 1), j -> struct(concat_ws('/', label, {block('v', 'k')}, {block('v + 1', 'j')}) AS task, 0 AS side)) ELSE array() END,
         CASE WHEN down > 0 THEN transform(sequence(0, down - 1), j -> struct(concat_ws('/', label, {block('v - 1', 'j')}, {block('v', 'k')}) AS task, 1 AS side)) ELSE array() END) END"""
-    return m.select("node", F.expr(pairs).alias("dealt"))
+    return m.select(F.col("node").alias("cid"), F.explode(F.expr(pairs)).alias("x")).select("cid", "x.task", "x.side")
 
 
 def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
@@ -332,15 +353,27 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         # a class has one row in each batch; the rest of its copies follow their leader
         classes = written(own.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
         signed = cols.where("doc_id IS NOT NULL").select("_t").mapInPandas(functools.partial(_signed, rule), "sig long, node long")
-        stars = signed.withColumn("m", F.min("node").over(Window.partitionBy("sig"))).where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-        coarse = components(stars)
-        members = written(classes.join(coarse, classes["f1"] == coarse["node"]).select("cid", "rep", "n", "f1", "f2", "label"), "members")
-        dealt = _tasks(members.select(F.col("cid").alias("node"), "label", "n"), rule)
-        dealt = written(members.join(dealt, members["cid"] == dealt["node"]).select("cid", "rep", "f1", "dealt"), "tasks")
-        # the candidates grow with the documents: the same join at every size, never a broadcast
-        texts = cols.join(dealt.hint("merge"), cols["doc_id"] == dealt["rep"]).select("cid", "f1", "_t", F.explode("dealt").alias("d"))
-        texts = texts.select("d.task", "d.side", "cid", "f1", "_t").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "cid", "_t")
-        final = components(texts.mapInPandas(functools.partial(_joined, rule), "a long, b long"))
+        by = Window.partitionBy("sig")
+        shared = written(signed.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).where("lo <> hi").select("sig", "node").distinct(), "shared")
+        nodes = shared.select("node").distinct()
+        # the candidates grow with the documents: the same joins at every size, never a broadcast
+        members = written(classes.join(nodes.hint("merge"), classes["f1"] == nodes["node"]).select("cid", "rep", "n", "f1"), "members")
+        texts = written(cols.join(members.hint("merge"), cols["doc_id"] == members["rep"]).select("cid", "f1", "_t"), "texts")
+        groups = written(shared.join(members.select("cid", "f1", "n").hint("merge"), shared["node"] == F.col("f1")).select("sig", "cid", "n"), "groups")
+        discard(shared)
+
+        stars = groups.withColumn("centre", F.min("cid").over(by)).where("cid <> centre").select("centre", F.col("cid").alias("leaf")).distinct()
+        stars = written(stars, "stars")
+        near = components(_links(texts, _centred(stars, members).withColumn("comp", F.col("cid")), rule))
+        known = members.join(near, members["cid"] == near["node"], "left").select("cid", F.coalesce("label", "cid").alias("comp"))
+        whole = groups.join(known, "cid").withColumns({"lo": F.min("comp").over(by), "hi": F.max("comp").over(by), "k": F.count("*").over(by)})
+        open_ = written(whole.where("lo <> hi").select("sig", "cid", "n", "comp", "k"), "open")
+        few = open_.where(F.col("k") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("cid", "comp"))).alias("g"))
+        pairs = few.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.comp <> x.comp), y -> struct(x.cid AS centre, y.cid AS leaf))))")).alias("p"))
+        pairs = pairs.select("p.centre", "p.leaf").distinct().join(stars, ["centre", "leaf"], "left_anti")
+        dealt = _centred(pairs, members).unionAll(_tasks(open_.where(F.col("k") > SMALL).select(F.col("cid").alias("node"), F.col("sig").alias("label"), "n"), rule).withColumn("task", F.concat(F.lit("g"), "task")))
+        more = _links(texts, dealt.join(known, "cid"), rule)
+        final = components(near.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
         found = members.join(final, members["cid"] == final["node"]).select("cid", "rep", final["label"].alias("group"))
         least = found.groupBy("group").agg(F.min("rep").alias("component"))
         found = found.join(least, "group").select("cid", "group", "component")
@@ -349,7 +382,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         led = own.join(leaders, "leader").select("doc_id", "digest", "n", "group", "component")
         rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "digest", "n", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component"))
         out = written(led.unionAll(rest).select("doc_id", "digest", "group", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
-    discard(rows, classes, members, dealt, coarse, final)
+    discard(rows, classes, members, texts, groups, stars, near, open_, final)
     return out
 
 
