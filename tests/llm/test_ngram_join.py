@@ -80,8 +80,10 @@ def test_against_brute_force(spark, monkeypatch, blocks):
     assert len({c for _, c in want.values()}) < len(texts) - 50  # the fixture has links
 
 
-@pytest.mark.parametrize(("width", "percent"), [(5, 80), (2, 95), (4, 85)])
-def test_other_rules(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "small", "docs"), [(5, 80, 64, 4000), (5, 80, 1, 4000), (5, 80, 1, 7), (2, 95, 64, 4000), (4, 85, 3, 4000)])
+def test_other_rules(spark, monkeypatch, width, percent, small, docs):
+    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "BLOCK_DOCS", docs)
     texts = near_copies(width, 400, (5, 8, 20, 47, 90, 300))
     docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
     assert rows(J.joined(docs, rule=J.Rule(width, percent))) == brute(texts, width, percent)

@@ -5,12 +5,14 @@
    hash space is cut into more parts than that, so similar sets agree in some parts. A set has a signature for each
    of its non-empty parts; sets with a signature in common form its group. A level has spare parts enough for the empty ones
    that its sets are expected to have; a set with still more of them signs these too, so no link can be missed.
-3. First each set is joined with the least of each of its groups only (a star, not pairs); what that links is one
+3. First each set is compared with the least of each of its groups only (a star, not pairs); what that links is one
    component from here on. Then only groups with several components are left: small ones give their distinct pairs,
    large ones are joined as a whole.
-4. Every such join runs over signature trees: nodes hold OR- and AND-combined bitmaps and size ranges; a dual traversal
-   prunes node pairs by the greatest overlap they allow, skips nodes that are connected already, and verifies the rest by
-   exact intersection: of the hashes first, then of the shingles' bytes. Large joins are dealt out as pairs of blocks.
+4. Comparisons run over signature trees of the sets' sketches: nodes hold OR- and AND-combined bitmaps and size ranges; a
+   dual traversal prunes node pairs by the greatest overlap they allow. What is left is verified by exact intersection: of
+   the hashes first, then of the shingles' bytes. In a large group the traversal takes what the sketches allow as linked and skips
+   what that connects; if verification refutes any of it, the group is joined once more over the texts themselves,
+   every link verified where it is found. Large joins are dealt out as pairs of blocks.
 5. The components of the verified links are those of the join.
 
 Nodes are sets, not ids: rows that share an id and not a text are two documents.
@@ -36,9 +38,8 @@ SPARE = 2
 BLOCK_DOCS = 4_000
 BLOCK_SHINGLES = 2_000_000
 #: Groups of at most so many sets give their pairs, each pair once however many groups it shares.
-SMALL = 8
+SMALL = 64
 FANOUT = 16
-BITS = 1024
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -130,6 +131,22 @@ def _name(h: np.ndarray) -> int:
     return int(mix(h ^ np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, of four to eight bits for each shingle, as words."""
+    bits = max(64, 1 << (4 * len(h) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(h & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def _sketched(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of (cid, n, f1, text) whose text has that name (else it is another text of the same id), with sketches."""
+    for b in batches:
+        own = [h for (h,) in sets(b["_t"].to_list(), rule.width)]
+        b = b.assign(sketch=[sketch(h).tobytes() for h in own])
+        yield b[np.array([_name(h) for h in own], np.int64) == b["f1"].to_numpy(np.int64)] if len(b) else b
+
+
 def _measured(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """n, f1, f2 of each row's set, and leader: the same for the rows of one set in a batch, else unique."""
     from pyspark import TaskContext
@@ -183,13 +200,8 @@ def components(edges: DataFrame) -> DataFrame:
 class Tree:
     """Sets of one block, in an order that puts similar ones side by side, under levels of FANOUT."""
 
-    def __init__(self, ids: np.ndarray, own: list[np.ndarray], place: np.ndarray) -> None:
-        self.ids, self.sets, self.place = ids, own, place  # place: of each set among all sets of the task
-        n = np.array([len(s) for s in own])
-        bits = np.zeros((len(own), BITS // 64), np.uint64)
-        for row, s in zip(bits, own, strict=True):
-            at = np.unique(s & np.uint64(BITS - 1))
-            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
+    def __init__(self, n: np.ndarray, bits: np.ndarray, place: np.ndarray) -> None:
+        self.place = place  # of each set among all sets of the task
         self.levels = [(bits, bits, n, n)]  # OR, AND, least and greatest size
         while len(self.levels[-1][2]) > 1:
             some, every, lo, hi = self.levels[-1]
@@ -197,7 +209,7 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(some, cut), np.bitwise_and.reduceat(every, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)))
 
     def range(self, level: int, node: int) -> slice:
-        return slice(node * FANOUT**level, min((node + 1) * FANOUT**level, len(self.ids)))
+        return slice(node * FANOUT**level, min((node + 1) * FANOUT**level, len(self.place)))
 
     def children(self, level: int, node: int) -> np.ndarray:
         return np.arange(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][2])))
@@ -223,9 +235,9 @@ def exact_set(text: bytes, width: int) -> frozenset[bytes]:
     return frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def join(x: Tree, y: Tree, root: np.ndarray, texts: list[bytes], rule: Rule) -> None:
-    """Dual traversal. root: the component of each set of the task, joined as links are found."""
-    whole = functools.lru_cache(maxsize=64)(lambda k: exact_set(texts[k], rule.width))
+def join(x: Tree, y: Tree, root: np.ndarray, rule: Rule, verified=None) -> Iterator[tuple[int, int]]:
+    """Places of the pairs of x and y that can be linked. root: the component of each set of the task; with ``verified``, a
+    test of two places, what it finds linked is joined there, and pairs that are connected already are skipped."""
     todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while todo:
         i, p, j, q = todo.pop()
@@ -233,11 +245,13 @@ def join(x: Tree, y: Tree, root: np.ndarray, texts: list[bytes], rule: Rule) ->
         if rx[0] == ry[0] and (rx == rx[0]).all() and (ry == rx[0]).all():
             continue
         if i == 0 and j == 0:
-            if x.place[p] != y.place[q] and linked(x.sets[p], y.sets[q], rule):
-                u, v = whole(int(x.place[p])), whole(int(y.place[q]))
-                if rule.alike(len(u & v), len(u), len(v)):
-                    a, b = sorted((int(rx[0]), int(ry[0])))
-                    root[root == b] = a
+            u, v = int(x.place[p]), int(y.place[q])
+            if verified is None:
+                yield u, v
+            elif verified(u, v):
+                a, b = sorted((int(rx[0]), int(ry[0])))
+                root[root == b] = a
+                yield u, v
             continue
         ps = x.children(i, p) if i and i >= j else np.array([p])
         qs = y.children(j, q) if j and j >= i else np.array([q])
@@ -249,61 +263,81 @@ def join(x: Tree, y: Tree, root: np.ndarray, texts: list[bytes], rule: Rule) ->
         todo += [(di, int(ps[a]), dj, int(qs[b])) for a, b in sorted(zip(*np.nonzero(ok), strict=True), key=lambda t: -abs(int(ps[t[0]]) - int(qs[t[1]])))]
 
 
-def _task(rows: list[tuple[int, int, int, int, bytes, np.ndarray]], rule: Rule) -> list[tuple[int, int]]:
-    """Stars of the components that the links of one task form. rows: side, class, its name and component, a text, its set."""
+def _task(rows: list[tuple[int, int, int, bytes, int]], rule: Rule) -> list[tuple[int, int]]:
+    """Pairs of classes of one task. rows: side, class, its component, and a sketch and its size, or a text and 0.
+
+    Sketches: between two sides, all pairs that can be linked; within one, as many as connect what can be. Texts: as
+    many links as connect what is linked.
+    """
     held = {}
-    for side, k, f1, comp, t, h in rows:
-        if (side, k) not in held and _name(h) == f1:  # else another text of the same id
-            held[side, k] = (comp, t, h)
-    if len(held) < 2:
+    for side, k, comp, raw, n in rows:
+        held.setdefault((side, k), (comp, raw, n))
+    keys, comps, raws, sizes = list(held), *([v[i] for v in held.values()] for i in range(3))
+    if len(keys) < 2:
         return []
-    keys, comps, texts, own = list(held), [c for c, _, _ in held.values()], [t for _, t, _ in held.values()], [h for _, _, h in held.values()]
+    whole = not all(sizes)
+    own = [h for (h,) in sets(raws, rule.width)] if whole else []
+    words = [sketch(h) for h in own] if whole else [np.frombuffer(r, np.uint64) for r in raws]
+    n, least = np.array([len(h) for h in own] if whole else sizes), min(map(len, words))
+    bits = np.stack([np.bitwise_or.reduce(w.reshape(-1, least), axis=0) for w in words])
     bounds = levels(rule.percent)
-    order = sorted(range(len(own)), key=lambda k: (int(np.searchsorted(bounds, len(own[k]))) // 2, int(own[k][0]), len(own[k])))
+    order = np.lexsort((n, bits[:, 0], np.searchsorted(bounds, n) // 2))
     first: dict[int, int] = {}
-    root, trees = np.array([first.setdefault(c, i) for i, c in enumerate(comps)]), []
-    for s in sorted({s for s, _ in keys}):
-        at = [k for k in order if keys[k][0] == s]
-        trees.append(Tree(np.array([keys[k][1] for k in at]), [own[k] for k in at], np.array(at)))
-    join(trees[0], trees[-1], root, texts, rule)
-    best: dict[int, int] = {}
-    for (_, k), r in zip(keys, root.tolist(), strict=True):
-        best[r] = min(best.get(r, k), k)
-    return [(k, best[r]) for (_, k), r in zip(keys, root.tolist(), strict=True) if k != best[r]]
+    root, trees, side = np.array([first.setdefault(c, i) for i, c in enumerate(comps)]), [], np.array([s for s, _ in keys])
+    for s in np.unique(side):
+        at = order[side[order] == s]
+        trees.append(Tree(n[at], bits[at], at))
+    exact_of = functools.lru_cache(maxsize=64)(lambda k: exact_set(raws[k], rule.width))
+
+    def verified(u: int, v: int) -> bool:
+        if not linked(own[u], own[v], rule):
+            return False
+        a, b = exact_of(u), exact_of(v)
+        return rule.alike(len(a & b), len(a), len(b))
+
+    test = verified if whole else None if len(trees) > 1 else lambda u, v: u != v
+    return [(keys[u][1], keys[v][1]) for u, v in join(trees[0], trees[-1], root, rule, test) if u != v]
 
 
 def _joined(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (task, side, cid, f1, comp, text) in the order of tasks; one task is held at a time."""
+    """Rows (task, side, cid, comp, raw, n) in the order of tasks; one task is held at a time."""
     last, rows = None, []
     for b in batches:
-        out, texts = [], b["_t"].to_list()
-        for t, *row, text, (h,) in zip(b["task"], b["side"], b["cid"], b["f1"], b["comp"], texts, sets(texts, rule.width), strict=True):
+        out = []
+        for t, *row in zip(b["task"], b["side"], b["cid"], b["comp"], b["raw"], b["n"], strict=True):
             if t != last and rows:
-                out += _task(rows, rule)
+                out += [(last, *x) for x in _task(rows, rule)]
                 rows = []
-            last = t
-            if not rows or rows[-1][1] != row[1] or rows[-1][4] != text:  # a row that is there twice
-                rows.append((*row, text, h))
-        yield pd.DataFrame(out, columns=["a", "b"])
+            last, row = t, tuple(row)
+            if not rows or rows[-1][:2] != row[:2]:  # a row that is there twice
+                rows.append(row)
+        yield pd.DataFrame(out, columns=["task", "a", "b"])
     if rows:
-        yield pd.DataFrame(_task(rows, rule), columns=["a", "b"])
+        yield pd.DataFrame([(last, *x) for x in _task(rows, rule)], columns=["task", "a", "b"])
 
 
 def _centred(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cid, dealt for distinct pairs (centre, leaf): a task joins a centre with a block of its leaves."""
+    """cid, task, side for distinct pairs (centre, leaf): a task joins a centre with a block of its leaves."""
     p = pairs.join(sizes.select(F.col("cid").alias("leaf"), "n"), "leaf")
     total = p.groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    task = lambda k: F.concat_ws("/", "centre", k)
+    task = lambda k: F.concat_ws("/", F.lit("c"), "centre", k)
     leaves = p.join(total, "centre").select(F.col("leaf").alias("cid"), task(F.pmod(F.xxhash64("leaf"), "nb")).alias("task"), F.lit(1).alias("side"))
     centres = total.select(F.col("centre").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k"), "centre").select("cid", task(F.col("k")).alias("task"), F.lit(0).alias("side"))
     return leaves.unionAll(centres)
 
 
-def _links(texts: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): verified links for dealt (cid, comp, task, side)."""
-    j = texts.join(dealt.hint("merge"), "cid").select("task", "side", "cid", "f1", "comp", "_t")
-    j = j.repartition(partitions(texts.sparkSession), "task").sortWithinPartitions("task", "side", "cid", "_t")
-    return j.mapInPandas(functools.partial(_joined, rule), "a long, b long")
+def _compared(texts: DataFrame, dealt: DataFrame, rule: Rule, whole: bool) -> DataFrame:
+    """(task, a, b) for dealt (cid, comp, task, side): what the sketches allow or, if whole, what the texts prove."""
+    own = texts.select("cid", F.col("_t").alias("raw"), F.lit(0).cast("long").alias("n")) if whole else texts.select("cid", F.col("sketch").alias("raw"), "n")
+    j = own.join(dealt.hint("merge"), "cid").select("task", "side", "cid", "comp", "raw", "n")
+    j = j.repartition(partitions(texts.sparkSession), "task").sortWithinPartitions("task", "side", "cid")
+    return j.mapInPandas(functools.partial(_joined, rule), "task string, a long, b long")
+
+
+def _proved(texts: DataFrame, members: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): the pairs (centre, leaf) that are links."""
+    out = _compared(texts, _centred(pairs, members).withColumn("comp", F.col("cid")), rule, True)
+    return out.select("a", "b")
 
 
 def _tasks(members: DataFrame, rule: Rule) -> DataFrame:
@@ -358,22 +392,30 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         nodes = shared.select("node").distinct()
         # the candidates grow with the documents: the same joins at every size, never a broadcast
         members = written(classes.join(nodes.hint("merge"), classes["f1"] == nodes["node"]).select("cid", "rep", "n", "f1"), "members")
-        texts = written(cols.join(members.hint("merge"), cols["doc_id"] == members["rep"]).select("cid", "f1", "_t"), "texts")
+        own_texts = cols.join(members.hint("merge"), cols["doc_id"] == members["rep"]).select("cid", "n", "f1", "_t")
+        texts = written(own_texts.mapInPandas(functools.partial(_sketched, rule), "cid long, n long, f1 long, _t binary, sketch binary"), "texts")
         groups = written(shared.join(members.select("cid", "f1", "n").hint("merge"), shared["node"] == F.col("f1")).select("sig", "cid", "n"), "groups")
         discard(shared)
+        pair = lambda df: df.select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("leaf")).distinct()
 
-        stars = groups.withColumn("centre", F.min("cid").over(by)).where("cid <> centre").select("centre", F.col("cid").alias("leaf")).distinct()
-        stars = written(stars, "stars")
-        near = components(_links(texts, _centred(stars, members).withColumn("comp", F.col("cid")), rule))
+        stars = written(groups.withColumn("centre", F.min("cid").over(by)).where("cid <> centre").select("centre", F.col("cid").alias("leaf")).distinct(), "stars")
+        near = _compared(texts, _centred(stars, members).withColumn("comp", F.col("cid")), rule, False)
+        near = components(_proved(texts, members, written(pair(near), "pairs"), rule))
         known = members.join(near, members["cid"] == near["node"], "left").select("cid", F.coalesce("label", "cid").alias("comp"))
         whole = groups.join(known, "cid").withColumns({"lo": F.min("comp").over(by), "hi": F.max("comp").over(by), "k": F.count("*").over(by)})
         open_ = written(whole.where("lo <> hi").select("sig", "cid", "n", "comp", "k"), "open")
-        few = open_.where(F.col("k") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("cid", "comp"))).alias("g"))
-        pairs = few.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.comp <> x.comp), y -> struct(x.cid AS centre, y.cid AS leaf))))")).alias("p"))
-        pairs = pairs.select("p.centre", "p.leaf").distinct().join(stars, ["centre", "leaf"], "left_anti")
-        dealt = _centred(pairs, members).unionAll(_tasks(open_.where(F.col("k") > SMALL).select(F.col("cid").alias("node"), F.col("sig").alias("label"), "n"), rule).withColumn("task", F.concat(F.lit("g"), "task")))
-        more = _links(texts, dealt.join(known, "cid"), rule)
-        final = components(near.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
+        few = open_.where(F.col("k") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("cid", "n", "comp"))).alias("g"))
+        fits = f"y.comp <> x.comp AND 100 * least(x.n, y.n) >= {rule.percent} * greatest(x.n, y.n)"
+        few = few.select(F.explode(F.expr(f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> {fits}), y -> struct(x.cid AS centre, y.cid AS leaf))))")).alias("p"))
+        few = few.select("p.centre", "p.leaf").distinct().join(stars, ["centre", "leaf"], "left_anti")
+        large = open_.where(F.col("k") > SMALL).select(F.col("cid").alias("node"), F.col("sig").alias("label"), "n")
+        large = written(_tasks(large, rule).withColumn("task", F.concat(F.lit("g"), "task")).join(known, "cid"), "large")
+        allowed = written(_compared(texts, _centred(few, members).join(known, "cid").unionByName(large), rule, False), "allowed")
+        more = written(_proved(texts, members, pair(allowed), rule), "links")
+        # large groups where an allowed pair is no link: once more, by texts
+        refuted = allowed.where("task LIKE 'g%'").select("task", F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("leaf")).join(pair(more), ["centre", "leaf"], "left_anti").select("task").distinct()
+        rest = _compared(texts, large.join(refuted, "task", "left_semi"), rule, True).select("a", "b")
+        final = components(near.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more).unionAll(rest))
         found = members.join(final, members["cid"] == final["node"]).select("cid", "rep", final["label"].alias("group"))
         least = found.groupBy("group").agg(F.min("rep").alias("component"))
         found = found.join(least, "group").select("cid", "group", "component")
@@ -382,7 +424,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         led = own.join(leaders, "leader").select("doc_id", "digest", "n", "group", "component")
         rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "digest", "n", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component"))
         out = written(led.unionAll(rest).select("doc_id", "digest", "group", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
-    discard(rows, classes, members, texts, groups, stars, near, open_, final)
+    discard(rows, classes, members, texts, groups, stars, near, open_, large, allowed, more, final)
     return out
 
 
