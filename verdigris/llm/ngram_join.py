@@ -5,8 +5,9 @@
    hash space is cut into more parts than that, so similar sets agree in some parts. A set has a signature for each
    of its non-empty parts; sets with a signature in common form its group. A level has spare parts enough for the empty ones
    that its sets are expected to have; a set with still more of them signs these too, so no link can be missed.
-3. First each set is compared with the least of each of its groups only (a star, not pairs); what that links is one
-   component from here on. Then only groups with several components are left: small ones give their distinct pairs,
+3. First each set is compared with the centre of each of its groups only (a star, not pairs): the set whose groups have
+   the most members in all, as the original that copies were made from shares most with them. What that links is one component
+   from here on. Then only groups with several components are left: small ones give their distinct pairs,
    large ones are joined as a whole.
 4. Comparisons run over signature trees of the sets' sketches: nodes hold OR- and AND-combined bitmaps and size ranges; a
    dual traversal prunes node pairs by the greatest overlap they allow. What is left is verified by exact intersection: of
@@ -350,8 +351,11 @@ def _tasks(members: DataFrame, rule: Rule) -> DataFrame:
     sizes = m.groupBy("label", "v").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     total = sizes.groupBy("label").agg((F.sum("c") <= BLOCK_DOCS).alias("small1"), (F.sum("w") <= BLOCK_SHINGLES).alias("small2"))
     cut = sizes.join(total, "label").select("label", "v", F.when(F.col("small1") & F.col("small2"), 0).otherwise(F.ceil(F.greatest(F.col("c") / BLOCK_DOCS, F.col("w") / BLOCK_SHINGLES))).cast("int").alias("nb"))
-    near = lambda step, name: cut.select("label", (F.col("v") + step).alias("v"), F.col("nb").alias(name))
-    m = m.join(cut, ["label", "v"]).join(near(1, "down"), ["label", "v"], "left").join(near(-1, "up"), ["label", "v"], "left")
+    # the numbers of blocks of the neighbouring levels, where a group has them; a row for each level of a group
+    by = Window.partitionBy("label").orderBy("v")
+    beside = lambda f, step: F.when(f("v").over(by) == F.col("v") + step, f("nb").over(by))
+    cut = cut.withColumns({"down": beside(F.lag, -1), "up": beside(F.lead, 1)})
+    m = m.join(cut, ["label", "v"])
     m = m.withColumn("k", F.pmod(F.xxhash64("node"), F.greatest("nb", F.lit(1))).cast("int"))
     block = lambda v, k: f"concat({v}, '.', {k})"
     pairs = f"""CASE WHEN nb = 0 THEN array(struct(CAST(label AS STRING) AS task, 0 AS side)) ELSE concat(
@@ -398,7 +402,9 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         discard(shared)
         pair = lambda df: df.select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("leaf")).distinct()
 
-        stars = written(groups.withColumn("centre", F.min("cid").over(by)).where("cid <> centre").select("centre", F.col("cid").alias("leaf")).distinct(), "stars")
+        wide = groups.withColumn("k", F.count("*").over(by)).groupBy("cid").agg(F.sum("k").alias("shares"))
+        centred = groups.join(wide.hint("merge"), "cid").withColumn("centre", F.max(F.struct("shares", "cid")).over(by)["cid"])
+        stars = written(centred.where("cid <> centre").select("centre", F.col("cid").alias("leaf")).distinct(), "stars")
         near = _compared(texts, _centred(stars, members).withColumn("comp", F.col("cid")), rule, False)
         near = components(_proved(texts, members, written(pair(near), "pairs"), rule))
         known = members.join(near, members["cid"] == near["node"], "left").select("cid", F.coalesce("label", "cid").alias("comp"))
@@ -407,7 +413,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         few = open_.where(F.col("k") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("cid", "n", "comp"))).alias("g"))
         fits = f"y.comp <> x.comp AND 100 * least(x.n, y.n) >= {rule.percent} * greatest(x.n, y.n)"
         few = few.select(F.explode(F.expr(f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> {fits}), y -> struct(x.cid AS centre, y.cid AS leaf))))")).alias("p"))
-        few = few.select("p.centre", "p.leaf").distinct().join(stars, ["centre", "leaf"], "left_anti")
+        few = few.select("p.centre", "p.leaf").distinct().join(stars.select(F.least("centre", "leaf").alias("centre"), F.greatest("centre", "leaf").alias("leaf")), ["centre", "leaf"], "left_anti")
         large = open_.where(F.col("k") > SMALL).select(F.col("cid").alias("node"), F.col("sig").alias("label"), "n")
         large = written(_tasks(large, rule).withColumn("task", F.concat(F.lit("g"), "task")).join(known, "cid"), "large")
         allowed = written(_compared(texts, _centred(few, members).join(known, "cid").unionByName(large), rule, False), "allowed")
