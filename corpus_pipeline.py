@@ -29,19 +29,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     documents. Rows without doc_id or without words stay."""
     found = written(ngram_join.grouped(docs, rule=NEAR).where("group IS NOT NULL"), "near_copies")
     heads = found.where("doc_id = component_id").groupBy("group").agg(F.min("digest").alias("head"))
-    gone = found.join(heads, "group").where("doc_id <> component_id OR digest <> head").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text")).distinct()
-    twice = found.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text"))
-    gone, twice = written(gone, "gone"), written(twice, "twice")
+    gone = found.join(heads, "group").where("doc_id <> component_id OR digest <> head").select("doc_id", "digest", F.lit(True).alias("gone"))
+    twice = found.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest", F.lit(False).alias("gone"))
+    marks = written(gone.unionAll(twice).groupBy("doc_id", "digest").agg(F.max("gone").alias("_gone")).select(F.col("doc_id").alias("_of"), F.col("digest").alias("_text"), "_gone"), "marks")
+    discard(found)
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(own, F.col("doc_id").alias("_id"), F.md5(text_bytes()).alias("_digest"))
-    on = lambda t: (F.col("_id") == t["_gone"]) & (F.col("_digest") == t["_text"])
-    kept = rows.join(gone, on(gone), "left_anti")
-    single = kept.join(twice, on(twice), "left_anti").select("_row")
-    # rows that are there twice are reduced where they are read, before they meet
-    once = kept.join(twice, on(twice), "left_semi").groupBy("_id", "_digest").agg(F.min("_row").alias("_row")).select("_row")
-    out = written(single.unionAll(once).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns)), "kept")
-    discard(found, gone, twice)
-    return out
+    kept = rows.join(marks, (F.col("_id") == F.col("_of")) & (F.col("_digest") == F.col("_text")), "left").where("_gone IS NULL OR NOT _gone")
+    # of rows that are there twice the least; they are reduced where they are, in the order of the join
+    once = kept.where("NOT _gone").groupBy("_id", "_digest").agg(F.min("_row").alias("_row")).select("_row")
+    return kept.where("_gone IS NULL").select("_row").unionAll(once).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
