@@ -28,6 +28,8 @@ LEAF = 8
 PLAIN = 32
 #: Encodings that a worker remembers at most before it starts anew.
 MEMORY = 300_000
+#: Pairs of tokens that it knows to be stable or not, likewise.
+PAIRS = 150_000
 #: White space beside a space: such texts cannot be cut at every single space.
 _ODD = re.compile(r" \s|\s |\n\s|\s\n|[\x1c-\x1f\x85\r\v\f]")
 
@@ -79,7 +81,7 @@ class Monoid:
     def stable(self, a: int, b: int) -> bool:
         """Whether two tokens side by side are the encoding of their bytes."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known

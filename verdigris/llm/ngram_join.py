@@ -36,8 +36,10 @@ from .textkit import Words, mix, runs, shingles
 
 SPARE = 2
 #: A component with more documents or shingles than these is dealt out as pairs of blocks of about that size.
-BLOCK_DOCS = 4_000
-BLOCK_SHINGLES = 2_000_000
+BLOCK_DOCS = 2_000
+BLOCK_SHINGLES = 1_000_000
+#: Signatures are shuffled in so many slices, one after the other: the disk holds one slice at a time.
+SLICES = 2
 #: Groups of at most so many sets give their pairs, each pair once however many groups it shares.
 SMALL = 64
 FANOUT = 16
@@ -119,7 +121,7 @@ def signatures(h: np.ndarray, percent: int = 90) -> np.ndarray:
 
 def sets(texts: list[bytes], width: int = 3, families: tuple[int, ...] = (0,)) -> Iterator[tuple[np.ndarray, ...]]:
     """The sorted shingle set of each text, by each family of hashes."""
-    for i, j in chunks(texts):
+    for i, j in chunks(texts, 1 << 19):
         w = Words(texts[i:j], family=families[0])
         each = [shingles(w if f == families[0] else w.rehashed(f), width) for f in families]
         edge = runs(each[0][1], j - i)
@@ -166,13 +168,14 @@ def _measured(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFr
         yield pd.concat([b.drop(columns="_t").reset_index(drop=True), pd.DataFrame(rows, columns=["n", "f1", "f2", "leader", "leads"])], axis=1)
 
 
-def _signed(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """sig, node: the signatures of each set of a batch and its name (only a coarse one: what it ties is verified)."""
+def _signed(rule: Rule, part: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """sig, node: a slice of the signatures of each set of a batch, and its name (a coarse one: what it ties is verified)."""
     for b in batches:
         own: dict[int, np.ndarray] = {}
         for (h,) in sets(b["_t"].to_list(), rule.width):
             if len(h) and (k := _name(h)) not in own:
-                own[k] = signatures(h, rule.percent).view(np.int64)
+                sig = signatures(h, rule.percent)
+                own[k] = sig[sig % np.uint64(SLICES) == part].view(np.int64)
         if own:
             names = np.repeat(np.array(list(own), np.int64), [len(x) for x in own.values()])
             yield pd.DataFrame({"sig": np.concatenate(list(own.values())), "node": names})
@@ -390,16 +393,20 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         own = rows.where("n > 0 AND doc_id IS NOT NULL")
         # a class has one row in each batch; the rest of its copies follow their leader
         classes = written(own.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-        signed = cols.where("doc_id IS NOT NULL").select("_t").mapInPandas(functools.partial(_signed, rule), "sig long, node long")
-        by = Window.partitionBy("sig")
-        shared = written(signed.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).where("lo <> hi").select("sig", "node").distinct(), "shared")
+        by, named = Window.partitionBy("sig"), cols.where("doc_id IS NOT NULL").select("_t")
+        slices = []
+        for i in range(SLICES):
+            signed = named.mapInPandas(functools.partial(_signed, rule, i), "sig long, node long")
+            signed = signed.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).where("lo <> hi")
+            slices.append(written(signed.select("sig", "node").distinct(), "shared"))
+        shared = functools.reduce(DataFrame.unionAll, slices)
         nodes = shared.select("node").distinct()
         # the candidates grow with the documents: the same joins at every size, never a broadcast
         members = written(classes.join(nodes.hint("merge"), classes["f1"] == nodes["node"]).select("cid", "rep", "n", "f1"), "members")
         own_texts = cols.join(members.hint("merge"), cols["doc_id"] == members["rep"]).select("cid", "n", "f1", "_t")
         texts = written(own_texts.mapInPandas(functools.partial(_sketched, rule), "cid long, n long, f1 long, _t binary, sketch binary"), "texts")
         groups = written(shared.join(members.select("cid", "f1", "n").hint("merge"), shared["node"] == F.col("f1")).select("sig", "cid", "n"), "groups")
-        discard(shared)
+        discard(*slices)
         pair = lambda df: df.select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("leaf")).distinct()
 
         wide = groups.withColumn("k", F.count("*").over(by)).groupBy("cid").agg(F.sum("k").alias("shares"))
