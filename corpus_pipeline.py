@@ -35,7 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     discard(found)
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(own, F.col("doc_id").alias("_id"), F.md5(text_bytes()).alias("_digest"))
-    kept = rows.join(marks, (F.col("_id") == F.col("_of")) & (F.col("_digest") == F.col("_text")), "left").where("_gone IS NULL OR NOT _gone")
+    # the marks grow with the documents: the same join at every size, never a broadcast
+    kept = rows.join(marks.hint("merge"), (F.col("_id") == F.col("_of")) & (F.col("_digest") == F.col("_text")), "left").where("_gone IS NULL OR NOT _gone")
     # of rows that are there twice the least; they are reduced where they are, in the order of the join
     once = kept.where("NOT _gone").groupBy("_id", "_digest").agg(F.min("_row").alias("_row")).select("_row")
     return kept.where("_gone IS NULL").select("_row").unionAll(once).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
