@@ -138,50 +138,61 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def replaceable(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round: (places, rule of each, pairs by rule). Each pair has two places or more, no places overlap."""
+def replaceable(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One round over the pairs that begin at ``at``: (places, rule of each, pairs by rule, places to look at again).
+
+    Each pair has two places or more, no places overlap. A pair found once is not looked at again until a replacement
+    beside it makes a new one.
+    """
     none = np.zeros(0, np.int64)
-    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
     bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-    at = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] > 1)  # no other pair can occur twice
+    again = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] > 1  # no other pair can occur twice
+    at, key = at[again], key[again]
+    held = none
     same = np.flatnonzero(seq[at] == seq[at + 1])
     if len(same):  # of a run of one id, every other place
         place = at[same]
         new = np.ones(len(place), bool)
         new[1:] = place[1:] != place[:-1] + 1
         order = np.arange(len(place))
-        odd = (order - np.maximum.accumulate(np.where(new, order, 0))) % 2 == 1
-        at = np.delete(at, same[odd])
-    pairs, own, n = np.unique(key[at], return_inverse=True, return_counts=True)
+        odd = same[(order - np.maximum.accumulate(np.where(new, order, 0))) % 2 == 1]
+        held, at, key = at[odd], np.delete(at, odd), np.delete(key, odd)
+    pairs, own, n = np.unique(key, return_inverse=True, return_counts=True)
     many = n > 1
     if not many.any():
-        return none, none, none
+        return none, none, none, none
     rank = np.zeros(len(pairs), np.int64)  # 0: occurs once
-    order = np.lexsort((mix(pairs), n))
-    rank[order] = np.arange(1, len(pairs) + 1)
-    rank[~many] = 0
+    twice = np.flatnonzero(many)
+    rank[twice[np.lexsort((mix(pairs[twice]), n[twice]))]] = np.arange(1, len(twice) + 1)
     weight = np.zeros(len(seq) + 1, np.int64)
     weight[at + 1] = rank[own]
-    top = (weight[at + 1] > weight[at]) & (weight[at + 1] > weight[np.minimum(at + 2, len(seq))])
-    at, own = at[top], own[top]
-    often = np.bincount(own, minlength=len(pairs)) > 1
-    keep = often[own]
-    return at[keep], (np.cumsum(often) - 1)[own[keep]], pairs[often]
+    mine = weight[at + 1]
+    top = (mine > weight[at]) & (mine > weight[np.minimum(at + 2, len(seq))])
+    often = np.bincount(own[top], minlength=len(pairs)) > 1
+    keep = top & often[own]
+    return at[keep], (np.cumsum(often) - 1)[own[keep]], pairs[often], np.concatenate([held, at[many[own] & ~keep]])
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> dict:
     """A block: ids of documents that end at ``ends``."""
     seq, top = ids.astype(np.uint32), vocabulary
     rules, size, rounds = [np.zeros((0, 2), np.uint32)], np.ones(vocabulary, np.int64), []
-    while len(seq) > 1:
-        at, r, pairs = replaceable(seq)
+    look = np.arange(max(len(seq) - 1, 0))
+    while len(look) > 1:
+        at, r, pairs, later = replaceable(seq, look)
         if not len(pairs):
             break
         left, right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
         seq[at] = (r + top).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        live = np.zeros(len(seq), bool)
+        live[later] = live[at] = True
+        before = at - 1  # the symbol before: if that place is gone, the one that took it in
+        live[np.where(keep[before], before, before - 1)[at > 0]] = True
+        seq, live = seq[keep], live[keep]
+        look = np.flatnonzero(live[:-1])
         rounds.append(top)
         rules.append(np.stack([left, right], 1))
         size = np.concatenate([size, size[left] + size[right]])
