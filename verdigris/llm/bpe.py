@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import as_in, exact
 
 #: Halves of at most so many bytes (when decoding, tokens) are the leaves of the tree.
-LEAF = 8
+LEAF = 24
 #: Windows of more bytes are merged with a heap.
 PLAIN = 32
 #: Encodings that a worker remembers at most before it starts anew.
