@@ -322,7 +322,7 @@ def _joined(rule: Rule, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFram
 
 def _centred(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """cid, task, side for distinct pairs (centre, leaf): a task joins a centre with a block of its leaves."""
-    p = pairs.join(sizes.select(F.col("cid").alias("leaf"), "n"), "leaf")
+    p = pairs if "n" in pairs.columns else pairs.join(sizes.select(F.col("cid").alias("leaf"), "n"), "leaf")
     total = p.groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     task = lambda k: F.concat_ws("/", F.lit("c"), "centre", k)
     leaves = p.join(total, "centre").select(F.col("leaf").alias("cid"), task(F.pmod(F.xxhash64("leaf"), "nb")).alias("task"), F.lit(1).alias("side"))
@@ -368,22 +368,23 @@ def _tasks(members: DataFrame, rule: Rule) -> DataFrame:
     return m.select(F.col("node").alias("cid"), F.explode(F.expr(pairs)).alias("x")).select("cid", "x.task", "x.side")
 
 
-def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
+def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule(), small: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; further columns are not read.
 
     component_id is the least doc_id of the rows that can be reached by links; ids may be of any type that has an order.
     Rows that share an id and not a text are two documents. A row without doc_id has no component and links nothing.
     A null or empty text, or one without words, has no shingles and is its own component; texts of any length are
-    taken whole. Empty tables give no rows. Any number of copies of a text costs as much as one after the first step;
+    taken whole. Empty tables give no rows. small: groups of at most so many sets give their pairs, larger ones are
+    joined as a whole; the result is the same. Any number of copies of a text costs as much as one after the first step;
     groups of near copies are never expanded into pairs.
     """
-    return grouped(docs, text, key, rule).select("doc_id", "n_shingles", "component_id")
+    return grouped(docs, text, key, rule, small).select("doc_id", "n_shingles", "component_id")
 
 
-def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule(), small: int | None = None) -> DataFrame:
     """What ``joined`` returns, and digest, the md5 of each row's text, and group, a number for each component (null for
     rows without id or words): documents that share an id may be in different ones."""
-    spark = docs.sparkSession
+    spark, small = docs.sparkSession, SMALL if small is None else small
     cols = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
     typed = cols.withColumn("digest", F.md5("_t"))
     with small_batches(spark):
@@ -411,17 +412,17 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
 
         wide = groups.withColumn("k", F.count("*").over(by)).groupBy("cid").agg(F.sum("k").alias("shares"))
         centred = groups.join(wide.hint("merge"), "cid").withColumn("centre", F.max(F.struct("shares", "cid")).over(by)["cid"])
-        stars = written(centred.where("cid <> centre").select("centre", F.col("cid").alias("leaf")).distinct(), "stars")
+        stars = written(centred.where("cid <> centre").select("centre", F.col("cid").alias("leaf"), "n").distinct(), "stars")
         near = _compared(texts, _centred(stars, members).withColumn("comp", F.col("cid")), rule, False)
         near = components(_proved(texts, members, written(pair(near), "pairs"), rule))
         known = members.join(near, members["cid"] == near["node"], "left").select("cid", F.coalesce("label", "cid").alias("comp"))
         whole = groups.join(known, "cid").withColumns({"lo": F.min("comp").over(by), "hi": F.max("comp").over(by), "k": F.count("*").over(by)})
         open_ = written(whole.where("lo <> hi").select("sig", "cid", "n", "comp", "k"), "open")
-        few = open_.where(F.col("k") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("cid", "n", "comp"))).alias("g"))
+        few = open_.where(F.col("k") <= small).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("cid", "n", "comp"))).alias("g"))
         fits = f"y.comp <> x.comp AND 100 * least(x.n, y.n) >= {rule.percent} * greatest(x.n, y.n)"
-        few = few.select(F.explode(F.expr(f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> {fits}), y -> struct(x.cid AS centre, y.cid AS leaf))))")).alias("p"))
-        few = few.select("p.centre", "p.leaf").distinct().join(stars.select(F.least("centre", "leaf").alias("centre"), F.greatest("centre", "leaf").alias("leaf")), ["centre", "leaf"], "left_anti")
-        large = open_.where(F.col("k") > SMALL).select(F.col("cid").alias("node"), F.col("sig").alias("label"), "n")
+        few = few.select(F.explode(F.expr(f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> {fits}), y -> struct(x.cid AS centre, y.cid AS leaf, y.n AS n))))")).alias("p"))
+        few = few.select("p.centre", "p.leaf", "p.n").distinct().join(stars.select(F.least("centre", "leaf").alias("centre"), F.greatest("centre", "leaf").alias("leaf")), ["centre", "leaf"], "left_anti")
+        large = open_.where(F.col("k") > small).select(F.col("cid").alias("node"), F.col("sig").alias("label"), "n")
         large = written(_tasks(large, rule).withColumn("task", F.concat(F.lit("g"), "task")).join(known, "cid"), "large")
         allowed = written(_compared(texts, _centred(few, members).join(known, "cid").unionByName(large), rule, False), "allowed")
         more = written(_proved(texts, members, pair(allowed), rule), "links")
@@ -442,7 +443,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), small=16)
 
 
 #: Brute force: all pairs that share a shingle, and what their links reach.
