@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.expressions import draw, r6
 from verdigris.operators import sampling, tabular
 from verdigris.plans.registry import query
 from verdigris.sources import tables as T
@@ -266,7 +265,7 @@ def u2(spark, sf):
 
 @query("u3_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u3(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id").exceptAll(T.table(spark, sf, "labels").select("doc_id"))
+    return T.table(spark, sf, "documents").select("doc_id").subtract(T.table(spark, sf, "labels").select("doc_id"))
 
 
 @query("n2_scalars", """SELECT row_id, round(log2(x2 + 1), 6) AS lg, round(sqrt(x2), 6) AS sq, round(exp(-x2 / 10), 6) AS ex, abs(x1) AS ab, round_even(x1, 0) AS he, CAST(floor(x1) AS BIGINT) AS fl,
@@ -289,5 +288,3 @@ def w8(spark, sf):
     c = T.scores(spark, sf).where("prob >= 0.2").withColumn("k", F.row_number().over(w)).where("k <= 3")
     return c.groupBy("row_id").agg(F.max_by("label", F.struct("prob", -F.col("label"))).alias("best"))
 
-
-_ = (draw, r6)
