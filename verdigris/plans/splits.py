@@ -138,52 +138,80 @@ def c11(spark, sf):
     return P.variance_reduction(rows(spark, sf), ["node"], "row_id", X, "y0")
 
 
-@query("c9_running_means", """WITH v AS (SELECT node, col, v, count(*) AS n, sum(v) AS s FROM xl GROUP BY ALL),
-p AS (SELECT node, col, v, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER g AS tn, sum(s) OVER g AS ts, min(v) OVER g AS lo, max(v) OVER g AS hi FROM v WINDOW w AS (PARTITION BY node, col ORDER BY v), g AS (PARTITION BY node, col)),
-q AS (SELECT node, col, v, round(((ts - ls) / (tn - ln) - ls / ln) / (hi - lo), 6) AS quality FROM p WHERE ln < tn)
-SELECT node, col, v AS cut, quality FROM (SELECT *, row_number() OVER (PARTITION BY node, col ORDER BY quality DESC, v) AS r FROM q) WHERE r = 1""")
+def _pull(x: str, near: str, far: str) -> str:
+    return f"coalesce((abs({x} - {far}) - abs({x} - {near})) / nullif(greatest(abs({x} - {far}), abs({x} - {near})), 0), 0)"
+
+
+def _means_sql(left: str) -> str:
+    return f"""WITH o AS (SELECT node, col, v, row_number() OVER w AS k, sum(v) OVER w AS cs, lead(v) OVER w AS nx, nth_value(v, 2) OVER a AS second, count(*) OVER g AS n, sum(v) OVER g AS t, min(v) OVER g AS lo, max(v) OVER g AS hi FROM xl
+ WINDOW w AS (PARTITION BY node, col ORDER BY v, row_id), a AS (PARTITION BY node, col ORDER BY v, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), g AS (PARTITION BY node, col)),
+m AS (SELECT *, {left} / k AS lm, (t - ({left})) / (n - k) AS rm FROM o WHERE k >= 2 AND k <= n - 2),
+q AS (SELECT node, col, v AS cut, k, lm, rm, round((k * ({_pull('lo', 'lm', 'rm')} + {_pull('v', 'lm', 'rm')}) + (n - k) * ({_pull('nx', 'rm', 'lm')} + {_pull('hi', 'rm', 'lm')})) / 2 / n, 9) AS q1 FROM m),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node, col ORDER BY q1 DESC, k) AS r FROM q WHERE q1 > 0) WHERE r = 1)
+SELECT xl.node, xl.col, any_value(cut) AS cut, round(avg(CASE WHEN v <= cut THEN {_pull('v', 'lm', 'rm')} ELSE {_pull('v', 'rm', 'lm')} END), 6) AS quality FROM xl JOIN b ON b.node = xl.node AND b.col = xl.col GROUP BY xl.node, xl.col"""
+
+
+@query("c9_running_means", _means_sql("cs"))
 def c9(spark, sf):
     return P.running_means(rows(spark, sf), ["node"], "row_id", X)
 
 
+@query("c9_running_means_legacy", _means_sql("(cs - v + second)"))
+def c9_legacy(spark, sf):
+    return P.running_means(rows(spark, sf), ["node"], "row_id", X, legacy=True)
+
+
 @query("c10_route_by_cut", "SELECT row_id, CASE WHEN x1 <= (SELECT avg(x1) FROM cm) THEN 0 ELSE 1 END AS side FROM cm")
 def c10(spark, sf):
     df = T.customer_ml(spark, sf)
     return df.join(F.broadcast(df.agg(F.avg("x1").alias("cut")))).select("row_id", F.when(F.col("x1") <= F.col("cut"), 0).otherwise(1).alias("side"))  # one row
 
 
-def _purity_sql(cuts: str, pick: str) -> str:
-    side = lambda cond: " + ".join(f"abs(count(CASE WHEN {cond} AND y{i} = 0 THEN 1 END) - count(CASE WHEN {cond} AND y{i} = 1 THEN 1 END)) / (count(CASE WHEN {cond} THEN 1 END) + 1e-6)" for i in range(5))
-    return f"WITH cuts AS ({cuts}), q AS (SELECT cm.node, cut, ({side('x1 <= cut')} + {side('x1 > cut')}) / 10 AS purity, count(CASE WHEN x1 <= cut THEN 1 END) AS nl, count(CASE WHEN x1 > cut THEN 1 END) AS nr FROM cm JOIN cuts ON cuts.node = cm.node WHERE sup GROUP BY cm.node, cut) {pick}"
+def _purity_sql(cuts: str, pick: str, labels: int = 5, factor: str = "1") -> str:
+    """Sides, purity and last row of each cut; the formula of a side is |zeros - ones| / (rows + 1e-6)."""
+    side = lambda cond, n: " + ".join(f"abs(count(CASE WHEN {cond} AND y{i} = 0 THEN 1 END) - count(CASE WHEN {cond} AND y{i} = 1 THEN 1 END)) / ({n} + 1e-6)" for i in range(labels))
+    nl, nr = "count(CASE WHEN x1 <= cut THEN 1 END)", "count(CASE WHEN x1 > cut THEN 1 END)"
+    return f"""WITH cuts AS ({cuts}), q AS (SELECT cm.node, cut, ({side('x1 <= cut', nl)} + {side('x1 > cut', nr)}) / {2 * labels} * {factor.format(nl=nl, nr=nr)} AS purity, {nl} AS nl, {nr} AS nr, last(row_id ORDER BY x1, row_id) FILTER (WHERE x1 <= cut) AS last
+ FROM cm JOIN cuts ON cuts.node = cm.node WHERE sup GROUP BY cm.node, cut) {pick}"""
 
 
+#: The best cut of two sides that hold rows, the greatest of equal ones.
+_LATER = "SELECT node, last, {cut}round(purity, 6) AS purity, round(abs(nl - nr) / (nl + nr), 6) AS symmetry FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(purity, 6) DESC, cut DESC) AS r FROM q WHERE nl > 0 AND nr > 0) {join} WHERE r = 1"
 _WIDTH = "SELECT node, lo + i * (hi - lo) / 20 AS cut FROM (SELECT node, min(x1) AS lo, max(x1) AS hi FROM cm WHERE sup GROUP BY node), (SELECT unnest(range(1, 20)) AS i)"
 
 
-@query("c12_purity", _purity_sql("SELECT node, avg(x1) AS cut FROM cm WHERE sup GROUP BY node", "SELECT node, round(purity, 6) AS purity FROM q"))
+@query("c12_purity", _purity_sql("SELECT node, avg(x1) AS cut FROM cm WHERE sup GROUP BY node", "SELECT node, round(purity, 6) AS purity FROM q", 1))
 def c12(spark, sf):
+    """By the first label."""
     df = rows(spark, sf).where("sup")
-    return P.purity(df, ["node"], "x1", df.groupBy("node").agg(F.avg("x1").alias("cut")), Y).select("node", F.round("purity", 6).alias("purity"))
+    return P.purity(df, ["node"], "row_id", "x1", df.groupBy("node").agg(F.avg("x1").alias("cut")), Y[:1]).select("node", F.round("purity", 6).alias("purity"))
 
 
-@query("c13_best_purity", _purity_sql("SELECT DISTINCT node, x1 AS cut FROM cm WHERE sup", "SELECT node, cut, purity FROM (SELECT node, cut, round(purity, 6) AS purity, row_number() OVER (PARTITION BY node ORDER BY round(purity, 6) DESC, cut) AS r FROM q) WHERE r = 1"))
+@query("c13_best_purity", _purity_sql("SELECT DISTINCT node, x1 AS cut FROM cm WHERE sup", "SELECT node, cut, purity FROM (SELECT node, cut, round(purity, 6) AS purity, row_number() OVER (PARTITION BY node ORDER BY round(purity, 6) DESC, cut) AS r FROM q) WHERE r = 1", 1))
 def c13(spark, sf):
-    """Over every value of the column: counts of the smaller values come from prefix sums, not from a row-by-cut join."""
-    return P.best(P.purity_at_values(rows(spark, sf).where("sup"), ["node"], "row_id", "x1", Y), ["node"], "purity")
+    """Over every value of the column, by the first label: counts of the smaller values come from prefix sums, not from a
+    row-by-cut join."""
+    return P.best(P.purity_at_values(rows(spark, sf).where("sup"), ["node"], "row_id", "x1", Y[:1]), ["node"], "purity")
+
+
+def _later(p):
+    """The best cut with rows on both sides, ties to the greatest."""
+    return P.best(p.where("n_left > 0 AND n_right > 0"), ["node"], "purity", True, ("last", "symmetry")).withColumn("symmetry", F.round("symmetry", 6))
 
 
-@query("c14_purity_at_rank_steps", _purity_sql("SELECT DISTINCT node, x1 AS cut FROM (SELECT node, x1, row_number() OVER (PARTITION BY node ORDER BY x1, row_id) - 1 AS k, count(*) OVER (PARTITION BY node) AS n FROM cm WHERE sup) WHERE list_contains([floor(1*n/10), floor(2*n/10), floor(3*n/10), floor(4*n/10), floor(5*n/10), floor(6*n/10), floor(7*n/10), floor(8*n/10), floor(9*n/10)], k)", "SELECT node, cut, purity FROM (SELECT node, cut, round(purity, 6) AS purity, row_number() OVER (PARTITION BY node ORDER BY round(purity, 6) DESC, cut) AS r FROM q) WHERE r = 1"))
+@query("c14_purity_at_rank_steps", _purity_sql("SELECT DISTINCT node, x1 AS cut FROM (SELECT node, x1, row_number() OVER (PARTITION BY node ORDER BY x1, row_id) - 1 AS k, count(*) OVER (PARTITION BY node) AS n FROM cm WHERE sup) WHERE k % greatest(n // 10, 1) = 0", _LATER.format(cut="cut, ", join="")))
 def c14(spark, sf):
     df = rows(spark, sf).where("sup")
-    return P.best(P.purity(df, ["node"], "x1", P.rank_step_cuts(df, ["node"], "row_id", "x1"), Y), ["node"], "purity")
+    return _later(P.purity(df, ["node"], "row_id", "x1", P.rank_step_cuts(df, ["node"], "row_id", "x1"), Y))
 
 
-@query("c15_purity_at_widths", _purity_sql(_WIDTH, "SELECT node, round(max(purity * least(nl, nr) / greatest(nl, nr)), 6) AS best, count(*) AS n FROM q GROUP BY node"))
+@query("c15_purity_at_widths", _purity_sql(_WIDTH, _LATER.format(cut="round(cut, 6) AS cut, round(cut - lo, 6) AS above_least, ", join="JOIN (SELECT node, min(x1) AS lo FROM cm WHERE sup GROUP BY node) USING (node)"), 5, "({nr} + 1e-6) / ({nl} + {nr} + 2e-6)"))
 def c15(spark, sf):
+    """cut, and above_least: the threshold counted from the column's least value."""
     df = rows(spark, sf).where("sup")
-    p = P.purity(df, ["node"], "x1", P.equal_width_cuts(df, ["node"], "x1"), Y)
-    worth = F.col("purity") * F.least("n_left", "n_right") / F.greatest("n_left", "n_right")
-    return p.groupBy("node").agg(F.round(F.max(worth), 6).alias("best"), F.count("*").alias("n"))
+    p = _later(P.purity(df, ["node"], "row_id", "x1", P.equal_width_cuts(df, ["node"], "x1"), Y, by_size=True))
+    least = df.groupBy("node").agg(F.min("x1").alias("lo"))
+    return p.join(least, "node").select("node", "last", F.round("cut", 6).alias("cut"), F.round(F.col("cut") - F.col("lo"), 6).alias("above_least"), "purity", "symmetry")
 
 
 @query("c16_best_column", """WITH v AS (SELECT node, col, v, count(*) AS n, sum(y0) AS s FROM (SELECT xl.node, col, v, y0 FROM xl JOIN cm USING (row_id)) GROUP BY ALL),
