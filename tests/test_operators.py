@@ -5,8 +5,9 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 from verdigris.functions.expressions import cosine, gower
-from verdigris.functions.prefix import before
-from verdigris.operators import clustering, forest, leaves, metrics, sampling, similarity, tabular
+from verdigris.functions.prefix import before, runs
+from verdigris.operators import clustering, forest, leaves, metrics, sampling, similarity, splits, tabular
+from verdigris.plans import regions
 from verdigris.sources import tables
 from verdigris.streaming import activations
 
@@ -170,3 +171,79 @@ def test_stream(spark, tmp_path):
     q = activations.counts(stream, leaf, "user_id").writeStream.format("memory").queryName("leaf_counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.id, r.n) for r in spark.table("leaf_counts").collect()} == {("0_4", 2), ("0_5", 1)}
+
+
+def pull(x, near, far):
+    a, b = abs(x - far), abs(x - near)
+    return (a - b) / max(a, b) if max(a, b) else 0.0
+
+
+@pytest.mark.parametrize("legacy", [False, True])
+def test_cut_by_running_means(spark, legacy):
+    """Against a walk over the sorted values; the constant column and the group of three rows have no cut."""
+    import random
+
+    r = random.Random(5)
+    rows = [("g", k, float(r.choice([0, 1, 2, 7, 8, 9, 30])), 4.0) for k in range(40)] + [("h", k, float(k), 1.0) for k in range(40, 43)]
+    df = spark.createDataFrame(rows, "g string, k long, x double, c double")
+    o = sorted(x for g, _, x, _ in rows if g == "g")
+    n, best = len(o), (0.0, None)
+    left = o[0] + o[1]
+    for k in range(2, n - 1):
+        val = o[k - 1]
+        lm, rm = left / k, (sum(o) - left) / (n - k)
+        q = round((k * (pull(o[0], lm, rm) + pull(val, lm, rm)) + (n - k) * (pull(o[k], rm, lm) + pull(o[-1], rm, lm))) / 2 / n, 9)
+        if q > best[0]:
+            best = (q, val, lm, rm)
+        left += val if legacy else o[k]
+    _, cut, lm, rm = best
+    quality = sum(pull(x, lm, rm) if x <= cut else pull(x, rm, lm) for x in o) / n
+    assert [tuple(x) for x in splits.running_means(df, ["g"], "k", ["x", "c"], legacy).select("g", "col", "cut", "quality").collect()] == [("g", "x", cut, round(quality, 6))]
+
+
+def test_purity_of_cuts(spark):
+    """Values by hand: x 1..5, y 1 1 0 0 0. Later ties win where asked; the last cut leaves a side empty."""
+    df = spark.createDataFrame([("g", i, float(i), int(i < 3), 1) for i in range(1, 6)], "g string, k long, x double, a int, b int")
+    steps = splits.rank_step_cuts(df, ["g"], "k", "x")
+    p = {r.cut: (round(r.purity, 5), r.n_left, r.n_right, r["last"], r.symmetry) for r in splits.purity(df, ["g"], "k", "x", steps, ["a"]).collect()}
+    assert p == {1.0: (0.75, 1, 4, 1, 0.6), 2.0: (1.0, 2, 3, 2, 0.2), 3.0: (0.66667, 3, 2, 3, 0.2), 4.0: (0.5, 4, 1, 4, 0.6), 5.0: (0.1, 5, 0, 5, 1.0)}
+    sized = {r.cut: round(r.purity, 4) for r in splits.purity(df, ["g"], "k", "x", steps, ["b"], by_size=True).collect()}
+    assert sized == {1.0: 0.8, 2.0: 0.6, 3.0: 0.4, 4.0: 0.2, 5.0: 0.0}
+    tied = splits.purity(df, ["g"], "k", "x", steps, ["b"]).where("n_right > 0")
+    # 2 and 3 tie; the 1e-6 in the sides keeps 1 and 4 just below them
+    assert splits.best(tied, ["g"], "purity").first().cut == 2.0 and splits.best(tied, ["g"], "purity", True, ("last",)).first()["last"] == 3
+
+
+def test_runs_of_flags(spark):
+    """Islands and neighbours against a walk, with ties and empty bins, whatever the number of bins."""
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), "id", (F.xxhash64("id") % 40).cast("double").alias("x"), (F.xxhash64("id", F.lit(1)) % 3 == 0).cast("int").alias("y"))
+    rows = df.collect()
+    for bins in (1, 7, 512):
+        got = {r.id: (r.island, r.prev, r.next) for r in runs(df, ["g"], "x", "id", "y", bins).collect()}
+        for g in (0, 1):
+            own, island = sorted((r for r in rows if r.g == g), key=lambda r: (r.x, r.id)), 0
+            for i, r in enumerate(own):
+                island += i > 0 and own[i - 1].y != r.y
+                assert got[r.id] == (island, own[i - 1].x if i else None, own[i + 1].x if i + 1 < len(own) else None)
+
+
+def test_relations_of_labels(spark):
+    """a 1-5, b 2-3 inside it, c 7-9 apart: relative; d without positives: none."""
+    df = spark.createDataFrame([("n", lab, float(x), y) for lab, x, y in [("a", 1, 1), ("a", 5, 1), ("b", 2, 1), ("b", 3, 1), ("c", 7, 1), ("c", 9, 1), ("d", 4, 0)]], "node string, label string, x3 double, y int")
+    got = {r.a + r.b: (r.kind, r.over_b, r.under_b) for r in regions.relations(df).collect()}
+    assert got["ab"] == ("parent-child", True, False) and got["ba"] == ("parent-child", False, True)
+    assert got["ac"][0] == got["cb"][0] == "relative" and got["ad"][0] == got["da"][0] == "none" and got["dd"][0] == "self"
+
+
+def test_plans_do_not_grow_with_columns(spark):
+    """The silhouette reads its input as often for eight columns as for one, and so does the mean distance."""
+    def scans(f, n):
+        df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+        df = df.select(F.col("c_custkey").alias("k"), F.lit("g").alias("g"), (F.col("c_custkey") % 2).alias("cl"), "c_mktsegment", *((F.col("c_acctbal") * i).alias(f"x{i}") for i in range(n)))
+        return f(df, ["g"], "k", [f"x{i}" for i in range(n)], ["c_mktsegment"])._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+    for f in (similarity.silhouettes, similarity.average_distance):
+        assert scans(f, 1) == scans(f, 8) <= 16
+    ranks = tabular.average_ranks(spark.range(50).select("id", (F.col("id") % 7).alias("x"), (-F.col("id")).alias("y")), ["x", "y"], "id")
+    assert "SinglePartition" not in ranks._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.y for r in ranks.collect()} == {i: 50.0 - i for i in range(50)}

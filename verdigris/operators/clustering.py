@@ -115,9 +115,8 @@ def option_scores(df: DataFrame, group: list[str], key: str, numeric: list[str],
     mean = lambda t, c: t.groupBy(*group).agg(F.avg(c).alias(f"_{c}"))
     sup = df.where("sup")
     if p["labels"]:
-        # over all pairs within the sides
-        s = S.label_distance_sums(sup, side, labels).withColumn("m", F.col("n") * (F.col("n") - 1) / 2)
-        out = out.join(s.groupBy(*group).agg((F.sum(F.col("avg") * F.col("m")) / F.sum("m")).alias("_l")), group)
+        # the plain mean of the two sides, whatever their sizes
+        out = out.join(mean(S.label_distance_sums(sup, side, labels).withColumnRenamed("avg", "l"), "l"), group)
         terms["labels"] = 1 - F.col("_l")
     if p["example_balance"]:
         out = out.join(mean(example_balance(sup, side, labels), "balance"), group)

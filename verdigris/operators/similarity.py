@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.expressions import gower, metric, total
 from verdigris.functions.prefix import before
 from verdigris.operators import tabular
+from verdigris.operators.splits import long_columns
 
 
 def ranges(df: DataFrame, group: list[str], numeric: list[str]) -> DataFrame:
@@ -40,50 +41,57 @@ def nearest_rows(df: DataFrame, query: DataFrame, n: int, key: str, numeric: lis
     return out.orderBy("d", key).limit(n)
 
 
+def long_categories(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
+    """kept columns, col, v: a row for each categorical column of each row."""
+    return df.select(*keep, F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in cols))).alias("_s")).select(*keep, "_s.col", "_s.v")
+
+
 def average_distance(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """group, n, avg: the mean Gower distance over the pairs of each group (0 for one row), without pairs.
 
     Over sorted values, the absolute differences of all pairs sum to sum(x * (2 * before - n + 1)); mismatching pairs
-    are all pairs less those within a category.
+    are all pairs less those within a category. All columns go through one long table, so the plan doesn't grow with them.
     """
+    by = [*group, "col"]
     n = df.groupBy(*group).agg(F.count("*").cast("double").alias("n"))
-    out = n
-    for c in numeric:
-        own = before(df.select(*group, key, c), group, c, key, {"k": F.lit(1)}).join(n, group)
-        span = F.max(c) - F.min(c) + 1e-12
-        out = out.join(own.groupBy(*group).agg((F.sum(F.col(c) * (2 * F.col("k") - F.col("n") + 1)) / span).alias(f"s_{c}")), group)
-    for c in categorical:
-        same = df.groupBy(*group, c).agg(F.count("*").cast("double").alias("m")).groupBy(*group).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"e_{c}"))
-        out = out.join(same, group).withColumn(f"s_{c}", F.col("n") * (F.col("n") - 1) / 2 - F.col(f"e_{c}"))
-    every = total([F.col(f"s_{c}") for c in (*numeric, *categorical)]) / float(len(numeric) + len(categorical))
-    return out.select(*group, F.col("n").cast("long").alias("n"), F.coalesce(F.try_divide(every, F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("avg"))
+    parts = []
+    if numeric:
+        placed = before(long_columns(df, group, key, numeric, []), by, "v", key, {"k": F.lit(1)}).join(n, group)
+        span = F.max("v") - F.min("v") + 1e-12
+        parts.append(placed.groupBy(*by).agg((F.sum(F.col("v") * (2 * F.col("k") - F.col("n") + 1)) / span).alias("s")).select(*group, "s"))
+    if categorical:
+        same = long_categories(df, categorical, group).groupBy(*by, "v").agg(F.count("*").cast("double").alias("m"))
+        same = same.groupBy(*group).agg((-F.sum(F.col("m") * (F.col("m") - 1) / 2)).alias("e")).join(n, group)
+        parts.append(same.select(*group, (len(categorical) * F.col("n") * (F.col("n") - 1) / 2 + F.col("e")).alias("s")))
+    every = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).groupBy(*group).agg((F.sum("s") / float(len(numeric) + len(categorical))).alias("s"))
+    return n.join(every, group).select(*group, F.col("n").cast("long").alias("n"), F.coalesce(F.try_divide(F.col("s"), F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("avg"))
 
 
 def cluster_distances(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], cluster: str = "cl") -> DataFrame:
-    """group, key, cluster, n0, n1, d0, d1: each row's summed Gower distance to the rows of cluster 0 and of cluster 1."""
-    stats = df.groupBy(*group).agg(
-        F.sum(1 - F.col(cluster)).cast("double").alias("n0"), F.sum(cluster).cast("double").alias("n1"),
-        *(f(c).alias(f"{k}_{c}") for c in numeric for k, f in (("min", F.min), ("max", F.max), ("s1", lambda c: F.sum(F.col(c) * F.col(cluster))), ("s0", lambda c: F.sum(F.col(c) * (1 - F.col(cluster)))))),
-    )
-    out = df.select(*group, key, cluster, *numeric, *categorical)
-    for c in numeric:
-        sums = {f"kn0_{c}": 1 - F.col(cluster), f"kn1_{c}": F.col(cluster), f"ks0_{c}": F.col(c) * (1 - F.col(cluster)), f"ks1_{c}": F.col(c) * F.col(cluster)}
-        out = before(out, group, c, key, sums)
-    out = out.join(stats, group)
-    parts: dict[int, list] = {0: [], 1: []}
-    for k in (0, 1):
-        own = F.col(cluster) if k else 1 - F.col(cluster)
-        for c in numeric:
-            x, kn, ks = F.col(c), F.col(f"kn{k}_{c}"), F.col(f"ks{k}_{c}")
-            later_n, later_s = F.col(f"n{k}") - kn - own, F.col(f"s{k}_{c}") - ks - own * x
-            parts[k].append((x * kn - ks + later_s - x * later_n) / (F.col(f"max_{c}") - F.col(f"min_{c}") + 1e-12))
-    for c in categorical:
-        same = df.groupBy(*group, c).agg(F.sum(1 - F.col(cluster)).cast("double").alias(f"e0_{c}"), F.sum(cluster).cast("double").alias(f"e1_{c}"))
-        out = out.join(same, [*group, c])
-        for k in (0, 1):
-            parts[k].append(F.col(f"n{k}") - F.col(f"e{k}_{c}"))
+    """group, key, cluster, n0, n1, d0, d1: each row's summed Gower distance to the rows of cluster 0 and of cluster 1.
+    All columns go through one long table and are summed by row at the end; the plan doesn't grow with them."""
+    by, one = [*group, "col"], F.col(cluster)
+    size = df.groupBy(*group).agg(F.sum(1 - one).cast("double").alias("n0"), F.sum(one).cast("double").alias("n1"))
+    parts = []
+    if numeric:
+        long = long_columns(df, group, key, numeric, [cluster])
+        whole = long.groupBy(*by).agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.sum(F.col("v") * (1 - one)).alias("s0"), F.sum(F.col("v") * one).alias("s1")).join(size, group)
+        p = before(long, by, "v", key, {"kn0": 1 - one, "kn1": one, "ks0": F.col("v") * (1 - one), "ks1": F.col("v") * one}).join(whole, by)
+
+        def apart(k: int):
+            own, x, kn, ks = one if k else 1 - one, F.col("v"), F.col(f"kn{k}"), F.col(f"ks{k}")
+            later_n, later_s = F.col(f"n{k}") - kn - own, F.col(f"s{k}") - ks - own * x
+            return ((x * kn - ks + later_s - x * later_n) / (F.col("hi") - F.col("lo") + 1e-12)).alias(f"d{k}")
+
+        parts.append(p.select(*group, key, cluster, apart(0), apart(1)))
+    if categorical:
+        long = long_categories(df, categorical, [*group, key, cluster])
+        same = long.groupBy(*by, "v").agg(F.sum(1 - one).cast("double").alias("e0"), F.sum(one).cast("double").alias("e1")).join(size, group).alias("s")
+        on = [F.col(f"x.{c}") == F.col(f"s.{c}") for c in by] + [F.col("x.v").eqNullSafe(F.col("s.v"))]
+        parts.append(long.alias("x").join(same, on).select(*(F.col(f"x.{c}").alias(c) for c in (*group, key, cluster)), (F.col("n0") - F.col("e0")).alias("d0"), (F.col("n1") - F.col("e1")).alias("d1")))
     m = float(len(numeric) + len(categorical))
-    return out.select(*group, key, cluster, "n0", "n1", (total(parts[0]) / m).alias("d0"), (total(parts[1]) / m).alias("d1"))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.groupBy(*group, key, cluster).agg(*((F.sum(f"d{k}") / m).alias(f"d{k}") for k in (0, 1))).join(size, group).select(*group, key, cluster, "n0", "n1", "d0", "d1")
 
 
 def silhouettes(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], cluster: str = "cl") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from verdigris.functions.prefix import before
+
 
 def features(df: DataFrame, labels: list[str]) -> DataFrame:
     """All columns but the labels, in order."""
@@ -99,11 +101,10 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """key and each column's rank, ties at their average: ranks come from the distinct values' counts."""
-    out = df.select(key, *cols)
-    for c in cols:
-        counts = df.groupBy(c).count()
-        below = F.coalesce(F.sum("count").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(F.col(c).alias("_v"), (below + (F.col("count") + 1) / 2.0).alias("_r"))
-        out = out.join(ranks, out[c] == ranks["_v"]).drop(c, "_v").withColumnRenamed("_r", c)
-    return out
+    """key and each column's rank (of its value as a double), ties at their average: ranks come from the distinct values'
+    counts, summed in two levels, for all columns at once. A null has no rank; a null key is a row of its own kind."""
+    long = df.select(F.col(key).alias("_k"), F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols))).alias("_s")).select("_k", "_s.*")
+    counts = long.where("v IS NOT NULL").groupBy("col", "v").agg(F.count("*").alias("n"))
+    ranks = before(counts, ["col"], "v", "v", {"below": F.col("n")}).select("col", "v", (F.col("below") + (F.col("n") + 1) / 2.0).alias("r"))
+    each = long.join(ranks, ["col", "v"], "left")
+    return each.groupBy("_k").agg(*(F.max(F.when(F.col("col") == c, F.col("r"))).alias(c) for c in cols)).withColumnRenamed("_k", key)

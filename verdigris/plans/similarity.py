@@ -117,17 +117,20 @@ def d11(spark, sf):
     return s.select("node", r6(F.col("m")).alias("s"), F.round((F.col("m") + 1) / 2, 6).alias("scaled"))
 
 
-@query("d12_intra_cluster_distance", f"""WITH {PAIRS}, cl AS (SELECT row_id, node, {CL} AS cl FROM cm), q AS (SELECT x.node, x.cl, d FROM pr JOIN cl x ON x.row_id = pr.a JOIN cl y ON y.row_id = pr.b AND x.cl = y.cl)
-SELECT node, cl, round(avg((d - l) / (h - l + 1e-5)), 6) + 0.0 AS avg FROM q JOIN (SELECT node AS mn, cl AS mc, 0.0 AS l, max(d) AS h FROM q GROUP BY ALL) ON mn = node AND mc = cl GROUP BY ALL""")
+@query("d12_intra_cluster_distance", f"""WITH {PAIRS}, cl AS (SELECT row_id, node, {CL} AS cl FROM cm), q AS (SELECT x.node, x.cl, pr.a, pr.b, d FROM pr JOIN cl x ON x.row_id = pr.a JOIN cl y ON y.row_id = pr.b AND x.cl = y.cl),
+f AS (SELECT c, max(d) AS far FROM (SELECT a AS c, d FROM q UNION ALL SELECT b, d FROM q) GROUP BY c)
+SELECT node, cl, round(avg(d / (far + 1e-5)), 6) + 0.0 AS avg FROM q JOIN f ON f.c = q.a GROUP BY ALL""")
 def d12(spark, sf):
-    """Pair distances of a cluster, scaled by their range (the diagonal gives the least, 0)."""
+    """Mean of a cluster's pair distances, each column of the matrix scaled by its own range (its diagonal gives the
+    least, 0; its row's farthest member the greatest), over the lower triangle: the column is the pair's smaller row."""
     df = clustered(spark, sf)
     r = S.ranges(df, ["node"], X).alias("r")
     a, b = df.alias("a"), df.alias("b")
-    j = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.cl") == F.col("b.cl")) & (F.col("a.row_id") < F.col("b.row_id"))).join(r, F.col("a.node") == F.col("r.node"))
-    q = j.select(F.col("a.node").alias("node"), F.col("a.cl").alias("cl"), gower("a", "b", "r", X, C).alias("d"))
-    agg = q.groupBy("node", "cl").agg(F.avg("d").alias("m"), F.max("d").alias("h"))
-    return agg.select("node", "cl", r6(F.col("m") / (F.col("h") + 1e-5)).alias("avg"))
+    j = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.cl") == F.col("b.cl")) & (F.col("a.row_id") != F.col("b.row_id"))).join(r, F.col("a.node") == F.col("r.node"))
+    d, lower = gower("a", "b", "r", X, C), F.col("b.row_id") > F.col("a.row_id")
+    # a column of the matrix is summed at once: its greatest value, and its sum and count below the diagonal
+    q = j.groupBy(F.col("a.node").alias("node"), F.col("a.cl").alias("cl"), F.col("a.row_id").alias("c")).agg(F.max(d).alias("far"), F.sum(F.when(lower, d)).alias("s"), F.count(F.when(lower, 1)).alias("n"))
+    return q.groupBy("node", "cl").agg(r6(F.sum(F.col("s") / (F.col("far") + 1e-5)) / F.sum("n")).alias("avg"))
 
 
 _VEC = "v AS (SELECT concat(y0, y1, y2, y3, y4) AS k, y0, y1, y2, y3, y4, count(*) AS n FROM cm GROUP BY ALL), vp AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, a.y0 * b.y0 + a.y1 * b.y1 + a.y2 * b.y2 + a.y3 * b.y3 + a.y4 * b.y4 AS s, a.y0 + a.y1 + a.y2 + a.y3 + a.y4 AS sa, b.y0 + b.y1 + b.y2 + b.y3 + b.y4 AS sb, CAST(a.y0 = b.y0 AS INTEGER) + CAST(a.y1 = b.y1 AS INTEGER) + CAST(a.y2 = b.y2 AS INTEGER) + CAST(a.y3 = b.y3 AS INTEGER) + CAST(a.y4 = b.y4 AS INTEGER) AS e FROM v a JOIN v b ON a.k <= b.k)"

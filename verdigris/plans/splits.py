@@ -88,7 +88,7 @@ _SCORE = f"""WITH {ASSIGNED},
 sz AS (SELECT node, count(CASE WHEN cl = 0 THEN 1 END) AS n0, count(CASE WHEN cl = 1 THEN 1 END) AS n1, count(CASE WHEN cl = 0 AND sup THEN 1 END) AS s0, count(CASE WHEN cl = 1 AND sup THEN 1 END) AS s1 FROM asg GROUP BY node),
 ok AS (SELECT * FROM sz WHERE s0 > 2 AND s1 > 2),
 gp AS (SELECT a.node, a.row_id AS a, b.row_id AS b, a.cl AS ca, b.cl AS cb, a.sup AND b.sup AS bsup, {MIXED} AS d, {_cos('a', 'b')} AS l FROM asg a JOIN asg b ON a.node = b.node AND a.row_id < b.row_id JOIN rg ON rn = a.node),
-lab AS (SELECT node, avg(l) AS l FROM gp WHERE ca = cb AND bsup GROUP BY node),
+lab AS (SELECT node, avg(l) AS l FROM (SELECT node, ca, avg(l) AS l FROM gp WHERE ca = cb AND bsup GROUP BY node, ca) GROUP BY node),
 bal AS (SELECT node, avg(b) AS bal FROM (SELECT node, cl, ({_BAL}) / 5 AS b FROM asg WHERE sup GROUP BY node, cl) GROUP BY node),
 sym AS (SELECT node, a, b, ca, cb, d FROM gp UNION ALL SELECT node, b, a, cb, ca, d FROM gp),
 sr AS (SELECT node, a, coalesce(sum(CASE WHEN ca = cb THEN d END) / nullif(count(CASE WHEN ca = cb THEN 1 END), 0), 1) AS x, sum(CASE WHEN ca <> cb THEN d END) / count(CASE WHEN ca <> cb THEN 1 END) AS y FROM sym GROUP BY node, a),
