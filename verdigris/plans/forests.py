@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import forest as T1
 from verdigris.operators import leaves as L
+from verdigris.operators import paths as W
 from verdigris.plans.registry import query
 from verdigris.plans.similarity import MIXED
 from verdigris.sources import tables as T
@@ -42,6 +43,89 @@ def f2(spark, sf):
     return T1.vote(routed.join(means, ["tree", "node"]), "row_id").select("row_id", "label", "vote", F.round("prob", 6).alias("prob"), "pred")
 
 
+#: Two given trees over the labelled rows: tree, node, level, columns, and the cut that deals a split's members.
+TREES = [(0, 1, 0, ["x1", "x2", "c1"], "x1 <= 4500"), (0, 2, 1, ["x2", "x3"], "x2 <= 15"), (0, 3, 1, ["x1", "x3"], "x3 <= 2000000"), (1, 1, 0, ["c1", "x3"], "x3 <= 2500000")]
+LEAVES = [(0, 4, 2), (0, 5, 2), (0, 6, 2), (0, 7, 2), (1, 2, 1), (1, 3, 1)]
+
+
+def _given_sql() -> str:
+    """Members of the given trees, and the way of every row through them by the nearest member's side."""
+    nd = " UNION ALL ".join(f"SELECT {t} AS tree, {n} AS node, " + ", ".join(f"{int(c in cols)} AS u{i}" for i, c in enumerate(("x1", "x2", "x3", "c1"), 1)) for t, n, _, cols, _ in TREES)
+    cond = {(t, n): c for t, n, _, _, c in TREES}
+    top = " UNION ALL ".join(f"SELECT {t} AS tree, CASE WHEN {cond[t, 1]} THEN 2 ELSE 3 END AS node, row_id FROM cm WHERE sup" for t in (0, 1))
+    low = " UNION ALL ".join(f"SELECT 0 AS tree, CASE WHEN {cond[0, n]} THEN {2 * n} ELSE {2 * n + 1} END AS node, row_id FROM cm JOIN m1 USING (row_id) WHERE m1.tree = 0 AND m1.node = {n}" for n in (2, 3))
+    far = " + ".join(f"u{i} * abs(x.x{i} - b.x{i}) / (h{i} - l{i} + 1e-12)" for i in (1, 2, 3))
+
+    def step(k: int) -> str:
+        return f"""p{k} AS (SELECT a.tree, a.node, a.row_id, m.node % 2 AS side, m.row_id AS m, round({far} + u4 * CASE WHEN x.c1 <> b.c1 THEN 1 ELSE 0 END, 9) AS d
+ FROM at{k} a JOIN nd ON nd.tree = a.tree AND nd.node = a.node JOIN sp ON sp.tree = a.tree AND sp.node = a.node JOIN mem m ON m.tree = a.tree AND m.node // 2 = a.node JOIN cm x ON x.row_id = a.row_id JOIN cm b ON b.row_id = m.row_id),
+f{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree, node, row_id, side ORDER BY d, m) AS r FROM p{k}) WHERE r = 1),
+w{k} AS (SELECT tree, node, row_id, CASE WHEN min(CASE WHEN side = 0 THEN d END) < min(CASE WHEN side = 1 THEN d END) THEN 0 ELSE 1 END AS side FROM f{k} GROUP BY ALL),
+at{k + 1} AS (SELECT tree, 2 * node + side AS node, row_id FROM w{k})"""
+
+    return f"""nd AS ({nd}), m1 AS ({top}), mem AS (SELECT * FROM m1 UNION ALL {low}),
+sp AS (SELECT tree, mem.node // 2 AS node, {', '.join(f'min(x{i}) AS l{i}, max(x{i}) AS h{i}' for i in (1, 2, 3))} FROM mem JOIN cm USING (row_id) GROUP BY tree, mem.node // 2),
+at0 AS (SELECT tree, 1 AS node, row_id FROM cm, (SELECT DISTINCT tree FROM nd)), {step(0)}, {step(1)},
+leaf AS (SELECT row_id, tree, node FROM at2 UNION ALL SELECT row_id, tree, node FROM at1 WHERE tree = 1)"""
+
+
+def _given(spark, sf):
+    df = cut(T.customer_ml(spark, sf).select("row_id", "sup", *X, *C, *Y))
+    kind = "tree int, node long, level int, is_leaf boolean, cols array<string>, score double"
+    nodes = spark.createDataFrame([(t, n, lv, False, cols, 0.0) for t, n, lv, cols, _ in TREES] + [(t, n, lv, True, None, None) for t, n, lv in LEAVES], kind)
+    members = own = df.where("sup").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("tree"), F.lit(1).cast("long").alias("node"), "row_id", F.lit(0).alias("level"))
+    for level in (0, 1):
+        side = F.lit(None).cast("int")
+        for t, n, lv, _, cond in TREES:
+            side = F.when((F.col("tree") == t) & (F.col("node") == n) & (F.lit(lv) == level), F.when(F.expr(cond), 0).otherwise(1)).otherwise(side)
+        own = own.join(df.select("row_id", *X, *C), "row_id").withColumn("_s", side).where("_s IS NOT NULL").select("tree", (2 * F.col("node") + F.col("_s")).alias("node"), "row_id", F.lit(level + 1).alias("level"))
+        members = members.unionAll(own)
+    return df, nodes, cut(members)
+
+
+@query("t4_route_given_trees", f"WITH {_given_sql()} SELECT row_id, tree, node FROM leaf")
+def t4_given(spark, sf):
+    df, nodes, members = _given(spark, sf)
+    return T1.route(df, df, nodes, members, "row_id", X, C)
+
+
+@query("x3_explanation_ranges", f"""WITH {_given_sql()}, st AS (SELECT 0 AS level, f0.* FROM f0 JOIN w0 USING (tree, node, row_id, side) UNION ALL SELECT 1, f1.* FROM f1 JOIN w1 USING (tree, node, row_id, side)),
+e AS ({' UNION ALL '.join(f"SELECT row_id, st.tree, level, 'x{i}' AS col, x.x{i} AS v, b.x{i} AS bound FROM st JOIN nd ON nd.tree = st.tree AND nd.node = st.node JOIN cm x USING (row_id) JOIN cm b ON b.row_id = st.m WHERE u{i} = 1" for i in (1, 2, 3))}),
+o AS (SELECT *, CASE WHEN v < bound THEN '<=' ELSE '>=' END AS op FROM e),
+k AS (SELECT *, CASE WHEN level = 1 AND (op = '<=' AND bound > lag(bound) OVER w OR op = '>=' AND bound < lag(bound) OVER w) THEN 1 ELSE 0 END AS moved FROM o WINDOW w AS (PARTITION BY row_id, tree, col, op ORDER BY level))
+SELECT row_id, tree, col, op, any_value(v) AS v, CASE WHEN op = '<=' THEN max(bound) ELSE min(bound) END AS bound, CAST(sum(moved) AS BIGINT) AS extended FROM k GROUP BY row_id, tree, col, op""")
+def x3(spark, sf):
+    df, nodes, members = _given(spark, sf)
+    routed = T1.route(df, df, nodes, members, "row_id", X, C)
+    return W.explanation_ranges(df, df, nodes, members, routed, "row_id", X, C)
+
+
+@query("x4_final_decisions", f"""WITH {_given_sql()}, pr AS (SELECT tree, mem.node, label, avg(y) AS p FROM mem JOIN yl USING (row_id) GROUP BY ALL)
+SELECT leaf.row_id, label, CASE WHEN avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS final_decision, round(avg(p), 6) AS final_probability, count(*) AS trees FROM leaf JOIN pr ON pr.tree = leaf.tree AND pr.node = leaf.node GROUP BY ALL""")
+def x4(spark, sf):
+    """A row for each row and label: the vote of the trees' leaves, and the mean of their probabilities."""
+    df, nodes, members = _given(spark, sf)
+    routed = T1.route(df, df, nodes, members, "row_id", X, C)
+    means = L.mean_vectors(members.join(df, "row_id"), ["tree", "node"], Y)
+    each = routed.join(means, ["tree", "node"])
+    n = each.groupBy("row_id", "label").agg(F.count("*").alias("trees"))
+    return T1.vote(each, "row_id").join(n, ["row_id", "label"]).select("row_id", "label", F.col("pred").alias("final_decision"), F.round("prob", 6).alias("final_probability"), "trees")
+
+
+@query("t7_nested_structure", f"""WITH {_given_sql()}, al AS (SELECT tree, 1 AS node, row_id FROM cm, (SELECT DISTINCT tree FROM nd) WHERE sup UNION ALL SELECT tree, node, row_id FROM mem), k AS (SELECT DISTINCT tree, node FROM al)
+SELECT al.tree, al.node, count(*) AS n, count(CASE WHEN sup THEN 1 END) AS supervised, any_value(1 + CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.tree = al.tree AND k.node // 4 = al.node) THEN 2 WHEN EXISTS (SELECT 1 FROM k WHERE k.tree = al.tree AND k.node // 2 = al.node) THEN 1 ELSE 0 END) AS depth FROM al JOIN cm USING (row_id) GROUP BY al.tree, al.node""")
+def t7(spark, sf):
+    """The height of each node and how many of its members have labels; the lists themselves are the members table."""
+    df, nodes, members = _given(spark, sf)
+    n = members.join(df.select("row_id", "sup"), "row_id").groupBy("tree", "node").agg(F.count("*").alias("n"), F.count(F.when(F.col("sup"), 1)).alias("supervised"))
+    return n.join(W.heights(nodes).select("tree", "node", "depth"), ["tree", "node"])
+
+
+@query("s9_tree_text")
+def s9(spark, sf):
+    return W.text_lines(_given(spark, sf)[1])
+
+
 @query("t5_legacy_routes", """WITH c AS (SELECT node, avg(x1) AS m, min(row_id) AS k FROM cm GROUP BY node)
 SELECT a.row_id, CASE WHEN a.x1 <= c.m THEN 'left' ELSE 'right' END AS by_threshold, CASE WHEN exp(-0.01 * (a.x2 - b.x2) ** 2) < 0.5 THEN 'left' ELSE 'right' END AS by_similarity,
  CASE WHEN abs(a.x2 - b.x2) <= 3 THEN 'left' ELSE 'right' END AS by_distance FROM cm a JOIN c USING (node) JOIN cm b ON b.row_id = c.k""")
