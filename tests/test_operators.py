@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from verdigris.functions.expressions import cosine, gower
 from verdigris.functions.prefix import before, runs
-from verdigris.operators import clustering, forest, leaves, metrics, sampling, similarity, splits, tabular
+from verdigris.operators import clustering, forest, leaves, metrics, parameters, paths, sampling, similarity, splits, tabular
 from verdigris.plans import regions
 from verdigris.sources import tables
 from verdigris.streaming import activations
@@ -247,3 +247,28 @@ def test_plans_do_not_grow_with_columns(spark):
     ranks = tabular.average_ranks(spark.range(50).select("id", (F.col("id") % 7).alias("x"), (-F.col("id")).alias("y")), ["x", "y"], "id")
     assert "SinglePartition" not in ranks._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.y for r in ranks.collect()} == {i: 50.0 - i for i in range(50)}
+
+
+def test_parameters():
+    spec = {"n": (int, 2, 4), "x": (float, 1.0, 2.0), "of": ["a", "b"], "p": [(float, 0, 1), (float, 5, 6)], "fixed": "k", "none": []}
+    for seed in range(20):
+        d = parameters.drawn(spec, seed)
+        assert d["n"] in (2, 3, 4) and isinstance(d["n"], int) and 1 <= d["x"] < 2 and d["of"] in "ab" and 0 <= d["p"][0] < 1 and 5 <= d["p"][1] < 6 and (d["fixed"], d["none"]) == ("k", [])
+    assert parameters.drawn(spec, 3) == parameters.drawn(spec, 3) and {parameters.drawn(spec, s)["n"] for s in range(40)} == {2, 3, 4}
+    with pytest.raises(ValueError):
+        parameters.drawn({"s": (str, 0, 1)}, 0)
+    assert parameters.grid({"a": [1, 2], "b": "xy"}) == [{"a": 1, "b": "x"}, {"a": 1, "b": "y"}, {"a": 2, "b": "x"}, {"a": 2, "b": "y"}]
+    assert parameters.labels_by_name(["id", "q_1", "q_sc", "r_2_scale", "s_3"]) == ["q_1", "s_3"]
+
+
+def test_explanation_of_a_walk(spark):
+    """One row over two splits, by hand: 4.0 goes by member 5.0, then by 6.0: the '<=' bound moves up once. z counts in no split."""
+    df = spark.createDataFrame([(1, 0.0, 9.0), (2, 5.0, 1.0), (3, 6.0, 2.0), (4, 20.0, 3.0)], "k long, x double, z double")
+    nodes = spark.createDataFrame([(0, 1, 0, False, ["x"]), (0, 2, 1, True, None), (0, 3, 1, False, ["x"]), (0, 6, 2, True, None), (0, 7, 2, True, None)], "tree int, node long, level int, is_leaf boolean, cols array<string>")
+    members = spark.createDataFrame([(0, 2, 1, 1), (0, 3, 2, 1), (0, 3, 3, 1), (0, 3, 4, 1), (0, 6, 3, 2), (0, 7, 4, 2)], "tree int, node long, k long, level int")
+    row = spark.createDataFrame([(9, 4.0, 0.0)], "k long, x double, z double")
+    routed = forest.route(row, df, nodes, members, "k", ["x", "z"], [])
+    assert [tuple(r) for r in routed.select("k", "tree", "node").collect()] == [(9, 0, 6)]
+    assert [tuple(r) for r in paths.explanation_ranges(row, df, nodes, members, routed, "k", ["x", "z"], []).collect()] == [(9, 0, "x", "<=", 4.0, 6.0, 1)]
+    assert {r.node: r.depth for r in paths.heights(nodes).collect()} == {1: 3, 2: 1, 3: 2, 6: 1, 7: 1}
+    assert [r.line for r in paths.text_lines(nodes).orderBy("place").collect()] == ["1 x", "  2 leaf", "  3 x", "    6 leaf", "    7 leaf"]

@@ -141,6 +141,12 @@ def u5(spark, sf):
     return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", "na", "nb", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query("u10_jaccard_or_zero", f"WITH {_VEC} SELECT a, b, round(coalesce(s / nullif(sa + sb - s, 0), 0), 6) AS jaccard FROM vp")
+def u10(spark, sf):
+    """Two rows without any label have similarity 0."""
+    return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", F.round("jaccard_or_zero", 6).alias("jaccard"))
+
+
 @query("u6_intersections", f"WITH {_VEC} SELECT a, b, CAST(s AS INTEGER) AS shared FROM vp")
 def u6(spark, sf):
     return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", "shared")
