@@ -29,9 +29,11 @@ def explanation_ranges(rows: DataFrame, df: DataFrame, nodes: DataFrame, members
     j = visits(routed, nodes, key).join(rows.select(key, *numeric, *categorical), key).join(span, ["tree", "node"]).join(child, ["tree", "node", "side"])
     parts = [F.when(F.array_contains("cols", F.lit(x)), F.abs(F.col(x) - F.col(f"m_{x}")) / (F.col(f"hi_{x}") - F.col(f"lo_{x}") + 1e-12)).otherwise(0.0) for x in numeric]
     parts += [F.when(F.array_contains("cols", F.lit(x)), (~F.col(x).eqNullSafe(F.col(f"m_{x}"))).cast("double")).otherwise(0.0) for x in categorical]
+    near = j.groupBy(key, "tree", "level", "cols").agg(F.min(F.struct(F.round(total(parts), 9).alias("d"), F.col("m"))).alias("x"))
+    # values of the row and of its one member, fetched after the pairs are gone
+    own, other = rows.select(key, *numeric), df.select(F.col(key).alias("m"), *(F.col(x).alias(f"m_{x}") for x in numeric))
     pairs = F.array(*(F.struct(F.lit(x).alias("col"), F.col(x).cast("double").alias("v"), F.col(f"m_{x}").cast("double").alias("b")) for x in numeric))
-    near = j.groupBy(key, "tree", "level", "cols").agg(F.min(F.struct(F.round(total(parts), 9).alias("d"), F.col("m"), pairs.alias("p"))).alias("x"))
-    steps = near.select(key, "tree", "level", "cols", F.explode("x.p").alias("p")).where(F.array_contains("cols", F.col("p.col")))
+    steps = near.select(key, "tree", "level", "cols", "x.m").join(own, key).join(other, "m").select(key, "tree", "level", "cols", F.explode(pairs).alias("p")).where(F.array_contains("cols", F.col("p.col")))
     less = F.col("p.v") < F.col("p.b")
     steps = steps.select(key, "tree", "level", "p.col", "p.v", F.when(less, "<=").otherwise(">=").alias("op"), F.col("p.b").alias("bound"))
     way = Window.partitionBy(key, "tree", "col", "op").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)  # a row for each level
