@@ -184,21 +184,28 @@ def _signed(rule: Rule, part: int, batches: Iterable[pd.DataFrame]) -> Iterator[
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node it can reach) for the nodes of edges (a, b); distributed, by contraction.
 
-    Each round maps every node to its least neighbour and relabels the edges; loops go. The number of rounds grows
-    with the logarithm of the longest path, not with the number of edges. Tables of older rounds are deleted.
+    Each round maps every node to the neighbour of the least hash, or to itself if its own is less, and that one to its
+    own choice once more; the edges are relabelled and loops go. As the hash orders the nodes at random, whatever their
+    ids, a round leaves a constant share of the nodes of a path or a star, so the rounds grow with the logarithm of
+    the longest path. The hash changes every third round. Tables of older rounds are deleted.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label")), "labels")
+    turn = 0
     while not edges.isEmpty():
+        named = lambda c, k=turn // 3: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("node"))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("p")), "parents")
+        first = written(both.groupBy("a").agg(F.min(named("b")).alias("m")).select(F.col("a").alias("u"), F.least("m", named("a"))["node"].alias("q")), "choices")
+        then = first.select(F.col("u").alias("q"), F.col("q").alias("p"))
+        least = written(first.join(then.hint("merge"), "q").select("u", "p"), "parents")
         moved_labels = written(labels.join(least, labels["label"] == least["u"], "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
         pa, pb = least.select(F.col("u").alias("a"), F.col("p").alias("pa")), least.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         moved = written(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        discard(edges, least, labels)
-        edges, labels = moved, moved_labels
-    discard(edges)
-    return labels
+        discard(edges, first, least, labels)
+        edges, labels, turn = moved, moved_labels, turn + 1
+    out = written(labels.join(labels.groupBy("label").agg(F.min("node").alias("least")).hint("merge"), "label").select("node", F.col("least").alias("label")), "labels")
+    discard(edges, labels)
+    return out
 
 
 class Tree:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, ngram_join, passage_dedup, pii, quality, sharding, token_files, toxicity, url_filter
+from . import bpe, decontaminate, ngram_join, passage_dedup, pii, quality, sharding, simhash, token_files, toxicity, url_filter
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_simhash": simhash.op11_simhash,
     "pipeline": pipeline,
     # the parts of op2 and op3 that SQL can express
     "base_pii_spans": pii.base_pii_spans,
