@@ -80,3 +80,22 @@ def test_odd_rows(spark):
     assert out.count() == 9 and {r.doc_id for r in out.collect()} == {1, 2, 3, 4, None, 2**53 + 1}
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_leaks_go_row_by_row(spark):
+    """Clean rows stay beside leaking ones of the same id or of none; nothing is joined or shuffled."""
+    sf = "/root/testdata/sf0.001"
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, leak), (None, "a clean text"), (7, f"before {leak} after"), (7, "another clean text"), (8, "clean too"), (8, None)]
+    docs = spark.createDataFrame([(*r, {"k": i}) for i, r in enumerate(rows)], "doc_id long, text string, held map<string,int>").coalesce(1)
+    out = C.drop_leaks(spark, docs, sf)
+    assert out.schema == docs.schema and sorted(r.held["k"] for r in out.collect()) == [1, 3, 4, 5]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_near_copies_of_rows_with_maps(spark):
+    rows = [(1, "one two three four five six", 1), (1, "one two three four five six", 0), (2, "One two three four five six", 2), (3, "others", 3)]
+    docs = spark.createDataFrame([(k, t, {"k": i}) for k, t, i in rows], "doc_id long, text string, held map<string,int>")
+    out = C.drop_near_copies(spark, docs, "")
+    assert out.schema == docs.schema and sorted(r.held["k"] for r in out.collect()) == [0, 3]

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,10 +134,33 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, tex
     return as_in(as_in(spark.createDataFrame([], schema) if out is None else out, own), items.select("item_id"))
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no item."""
-    held = matches(docs, items, threshold).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["_held"]), "left_anti")
+def _test(index: Broadcast):
+    """Whether a text holds an item of the index."""
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            texts, found = b.to_list(), np.zeros(len(b), bool)
+            for i, j in chunks(texts):
+                w = Words(texts[i:j])
+                for n, x in index.value.items():
+                    for d, *_ in x.search(w, n):
+                        found[i + d] = True
+            yield pd.Series(found)
+
+    return holds
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows whose own text holds no item, with all their columns, which may be of any types and names.
+
+    Each row is judged where it is read, by its text alone: rows that share an id, or have none, don't go with each other.
+    Null and empty texts hold nothing and stay; repeated rows are judged alike. Nothing is joined or shuffled.
+    """
+    spark = docs.sparkSession
+    for block in _blocks(exact(items.select("item_id", text_bytes("text").alias("_t")).dropDuplicates())):
+        docs = docs.where(~_test(spark.sparkContext.broadcast(build(block, threshold)))(text_bytes(text)))
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,7 +421,8 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         centred = groups.join(wide.hint("merge"), "cid").withColumn("centre", F.max(F.struct("shares", "cid")).over(by)["cid"])
         stars = written(centred.where("cid <> centre").select("centre", F.col("cid").alias("leaf"), "n").distinct(), "stars")
         near = _compared(texts, _centred(stars, members).withColumn("comp", F.col("cid")), rule, False)
-        near = components(_proved(texts, members, written(pair(near), "pairs"), rule))
+        near_pairs = written(pair(near), "pairs")
+        near = components(_proved(texts, members, near_pairs, rule))
         known = members.join(near, members["cid"] == near["node"], "left").select("cid", F.coalesce("label", "cid").alias("comp"))
         whole = groups.join(known, "cid").withColumns({"lo": F.min("comp").over(by), "hi": F.max("comp").over(by), "k": F.count("*").over(by)})
         open_ = written(whole.where("lo <> hi").select("sig", "cid", "n", "comp", "k"), "open")
@@ -445,7 +446,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         led = own.join(leaders, "leader").select("doc_id", "digest", "n", "group", "component")
         rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "digest", "n", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component"))
         out = written(led.unionAll(rest).select("doc_id", "digest", "group", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
-    discard(rows, classes, members, texts, groups, stars, near, open_, large, allowed, more, final)
+    discard(rows, classes, members, texts, groups, stars, near_pairs, near, open_, large, allowed, more, final)
     return out
 
 

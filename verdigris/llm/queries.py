@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, ngram_join, passage_dedup, pii, quality, sharding, simhash, token_files, toxicity, url_filter
+from . import bpe, conversations, decontaminate, negatives, ngram_join, passage_dedup, pii, quality, sharding, simhash, token_files, toxicity, url_filter
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,8 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_simhash": simhash.op11_simhash,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_negatives": negatives.op13_negatives,
     "pipeline": pipeline,
     # the parts of op2 and op3 that SQL can express
     "base_pii_spans": pii.base_pii_spans,
@@ -34,6 +36,8 @@ ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op6_passage_dedup": passage_dedup.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op12_conversations": conversations.ORACLE,
+    "op13_negatives": negatives.ORACLE,
     "base_pii_spans": pii.BASE_ORACLE,
     "base_quality_statistics": quality.BASE_ORACLE,
 }
