@@ -34,16 +34,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     marks = written(gone.unionAll(twice).groupBy("doc_id", "digest").agg(F.max("gone").alias("_gone")).select(F.col("doc_id").alias("_of"), F.col("digest").alias("_text"), "_gone"), "marks")
     discard(found)
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(own, F.col("doc_id").alias("_id"), F.md5(text_bytes()).alias("_digest"))
+    # columns of any type have an order as JSON
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))).alias("_rest")
+    rows = docs.select(own, rest, F.col("doc_id").alias("_id"), F.md5(text_bytes()).alias("_digest"))
     # the marks grow with the documents: the same join at every size, never a broadcast
     kept = rows.join(marks.hint("merge"), (F.col("_id") == F.col("_of")) & (F.col("_digest") == F.col("_text")), "left").where("_gone IS NULL OR NOT _gone")
     # of rows that are there twice the least; they are reduced where they are, in the order of the join
-    once = kept.where("NOT _gone").groupBy("_id", "_digest").agg(F.min("_row").alias("_row")).select("_row")
-    return kept.where("_gone IS NULL").select("_row").unionAll(once).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    once = kept.where("NOT _gone").groupBy("_id", "_digest").agg(F.min_by("_row", "_rest").alias("_row")).select("_row")
+    out = kept.where("_gone IS NULL").select("_row").unionAll(once).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    out._holds = [marks]
+    return out
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows that share an id with one that does go with it."""
+    """Documents that hold no benchmark item, each judged by its own text."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -75,7 +79,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "_"))
+            after = written(out, name.replace(" ", "_"))
+            discard(docs, *getattr(out, "_holds", []))  # what the stage has read
+            out = after
+        docs = out
     return docs
