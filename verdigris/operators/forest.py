@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.expressions import draw, total
+from verdigris.functions.expressions import draw
 from verdigris.operators import clustering as C
 from verdigris.operators import sampling
+from verdigris.operators.nearest import nearest
 from verdigris.sources.shared import cut
 
 
@@ -77,21 +78,40 @@ def grow(df: DataFrame, key: str, numeric: list[str], categorical: list[str], la
     return union(nodes), union(all_members)
 
 
+def children(members: DataFrame, df: DataFrame, nodes: DataFrame, key: str, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(tree, node, side, key, columns) of the members of the children of each inner node, columns that it did not draw being
+    constant, and (tree, node, side, span_<col>) over both children."""
+    inner = nodes.where("NOT is_leaf").select("tree", "node", "cols")
+    child = members.where("node > 1").select("tree", F.shiftright("node", 1).alias("node"), (F.col("node") % 2).cast("int").alias("side"), key)
+    child = masked(child.join(df.select(key, *numeric, *categorical), key).join(inner, ["tree", "node"]), ["tree", "node", "side", key], numeric, categorical)
+    span = child.groupBy("tree", "node").agg(*((F.max(x) - F.min(x) + 1e-12).alias(f"span_{x}") for x in numeric))
+    return child, span.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+
+
+def masked(rows: DataFrame, keep: list[str], numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Columns that are not in cols made constant, so they add nothing to a distance."""
+    taken = lambda x: F.array_contains("cols", F.lit(x))
+    return rows.select(*keep, *(F.when(taken(x), F.col(x)).otherwise(F.lit(0.0)).alias(x) for x in numeric), *(F.when(taken(x), F.col(x)).otherwise(F.lit("")).alias(x) for x in categorical))
+
+
 def route(rows: DataFrame, df: DataFrame, nodes: DataFrame, members: DataFrame, key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """key, tree, node: the leaf that each row reaches. At a node the row goes to the child with the nearer nearest
-    member by the node's columns (ties right), over the value ranges of both children's members."""
-    inner = nodes.where("NOT is_leaf").select("tree", "node", "level", "cols")
+    member by the node's columns (ties right), over the value ranges of both children's members; members are searched by
+    the index of ``nearest``, not compared with every row."""
+    inner = cut(nodes.where("NOT is_leaf").select("tree", "node", "level", "cols"))
     at = cut(rows.select(key).crossJoin(nodes.select("tree").distinct()).withColumn("node", F.lit(1).cast("long")))  # a row for each tree
+    child, span = (cut(x) for x in children(members, df, nodes, key, numeric, categorical))
     done = []
     for level in range(int(nodes.agg(F.max("level")).first()[0]) + 1):
-        here = inner.where(F.col("level") == level).drop("level")
+        here = inner.where(F.col("level") == level).select("tree", "node", "cols")
         done.append(at.join(here.select("tree", "node"), ["tree", "node"], "left_anti").select(key, "tree", "node"))
-        child = members.where(F.col("level") == level + 1).select("tree", F.floor(F.col("node") / 2).cast("long").alias("node"), (F.col("node") % 2).cast("int").alias("side"), F.col(key).alias("m")).join(df.select(F.col(key).alias("m"), *(F.col(x).alias(f"m_{x}") for x in (*numeric, *categorical))), "m")
-        span = child.groupBy("tree", "node").agg(*(F.min(f"m_{x}").alias(f"lo_{x}") for x in numeric), *(F.max(f"m_{x}").alias(f"hi_{x}") for x in numeric))
-        j = at.join(rows.select(key, *numeric, *categorical), key).join(here, ["tree", "node"]).join(span, ["tree", "node"]).join(child, ["tree", "node"])
-        parts = [F.when(F.array_contains("cols", F.lit(x)), F.abs(F.col(x) - F.col(f"m_{x}")) / (F.col(f"hi_{x}") - F.col(f"lo_{x}") + 1e-12)).otherwise(0.0) for x in numeric]
-        parts += [F.when(F.array_contains("cols", F.lit(x)), (~F.col(x).eqNullSafe(F.col(f"m_{x}"))).cast("double")).otherwise(0.0) for x in categorical]
-        near = j.groupBy(key, "tree", "node").agg(*(F.min(F.when(F.col("side") == s, F.round(total(parts), 9))).alias(f"d{s}") for s in (0, 1)))
+        if here.isEmpty():
+            break
+        own = here.select("tree", "node")
+        asked = at.join(here, ["tree", "node"]).join(rows.select(key, *numeric, *categorical), key).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+        asked = masked(asked, ["tree", "node", "side", key], numeric, categorical)
+        near = nearest(child.join(own, ["tree", "node"]), asked, ["tree", "node", "side"], key, numeric, categorical, span, digits=9)
+        near = near.groupBy(key, "tree", "node").agg(*(F.min(F.when(F.col("side") == s, F.col("d"))).alias(f"d{s}") for s in (0, 1)))
         at = cut(near.select(key, "tree", (2 * F.col("node") + F.when(F.col("d0") < F.col("d1"), 0).otherwise(1)).alias("node")))
     return reduce(DataFrame.unionAll, done)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.expressions import total
+from verdigris.operators.forest import children, masked
+from verdigris.operators.nearest import nearest
+from verdigris.sources.shared import cut
 
 
 def visits(routed: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -23,17 +25,15 @@ def explanation_ranges(rows: DataFrame, df: DataFrame, nodes: DataFrame, members
     Over the levels a '<=' keeps the greatest bound and a '>=' the least; extended is how often it moved. Categorical
     columns count in the distance; encode them to have ranges of their own. Only members of the winning sides are joined.
     """
-    child = members.where("node > 1").select("tree", F.shiftright("node", 1).alias("node"), (F.col("node") % 2).cast("int").alias("side"), F.col(key).alias("m"))
-    child = child.join(df.select(F.col(key).alias("m"), *(F.col(x).alias(f"m_{x}") for x in (*numeric, *categorical))), "m")
-    span = child.groupBy("tree", "node").agg(*(F.min(f"m_{x}").alias(f"lo_{x}") for x in numeric), *(F.max(f"m_{x}").alias(f"hi_{x}") for x in numeric))
-    j = visits(routed, nodes, key).join(rows.select(key, *numeric, *categorical), key).join(span, ["tree", "node"]).join(child, ["tree", "node", "side"])
-    parts = [F.when(F.array_contains("cols", F.lit(x)), F.abs(F.col(x) - F.col(f"m_{x}")) / (F.col(f"hi_{x}") - F.col(f"lo_{x}") + 1e-12)).otherwise(0.0) for x in numeric]
-    parts += [F.when(F.array_contains("cols", F.lit(x)), (~F.col(x).eqNullSafe(F.col(f"m_{x}"))).cast("double")).otherwise(0.0) for x in categorical]
-    near = j.groupBy(key, "tree", "level", "cols").agg(F.min(F.struct(F.round(total(parts), 9).alias("d"), F.col("m"))).alias("x"))
+    child, span = (cut(x) for x in children(members, df, nodes, key, numeric, categorical))
+    way = cut(visits(routed, nodes, key))
+    asked = masked(way.join(rows.select(key, *numeric, *categorical), key), ["tree", "node", "side", key], numeric, categorical)
+    found = nearest(child, asked, ["tree", "node", "side"], key, numeric, categorical, span, digits=9)
+    near = way.join(found.select(key, "tree", "node", F.col("nearest").alias("m")), [key, "tree", "node"])
     # values of the row and of its one member, fetched after the pairs are gone
     own, other = rows.select(key, *numeric), df.select(F.col(key).alias("m"), *(F.col(x).alias(f"m_{x}") for x in numeric))
     pairs = F.array(*(F.struct(F.lit(x).alias("col"), F.col(x).cast("double").alias("v"), F.col(f"m_{x}").cast("double").alias("b")) for x in numeric))
-    steps = near.select(key, "tree", "level", "cols", "x.m").join(own, key).join(other, "m").select(key, "tree", "level", "cols", F.explode(pairs).alias("p")).where(F.array_contains("cols", F.col("p.col")))
+    steps = near.select(key, "tree", "level", "cols", "m").join(own, key).join(other, "m").select(key, "tree", "level", "cols", F.explode(pairs).alias("p")).where(F.array_contains("cols", F.col("p.col")))
     less = F.col("p.v") < F.col("p.b")
     steps = steps.select(key, "tree", "level", "p.col", "p.v", F.when(less, "<=").otherwise(">=").alias("op"), F.col("p.b").alias("bound"))
     way = Window.partitionBy(key, "tree", "col", "op").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)  # a row for each level

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.expressions import gower, metric, total
 from verdigris.functions.prefix import before
 from verdigris.operators import tabular
+from verdigris.operators.nearest import nearest
 from verdigris.operators.splits import long_columns
 
 
@@ -160,8 +161,16 @@ def feature_weights(df: DataFrame, cols: list[str], key: str) -> DataFrame:
 
 def nearest_in_group(df: DataFrame, queries: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """key, nearest, d: for each query row the nearest row of df in its group, ties to the least key; ranges over both."""
-    r = ranges(df.select(*group, *numeric).unionAll(queries.select(*group, *numeric)), group, numeric).alias("r")
-    a, b = queries.alias("a"), df.alias("b")
-    j = a.join(b, [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]).join(r, [F.col(f"a.{g}") == F.col(f"r.{g}") for g in group])
-    j = j.select(F.col(f"a.{key}").alias(key), F.struct(gower("a", "b", "r", numeric, categorical).alias("d"), F.col(f"b.{key}").alias("nearest")).alias("x"))
-    return j.groupBy(key).agg(F.min("x").alias("x")).select(key, "x.nearest", "x.d")
+    found = nearest(df, queries, group, key, numeric, categorical)
+    return found.select(key, "nearest", (F.col("d") / float(len(numeric) + len(categorical))).alias("d"))
+
+
+def distance_to_sides(df: DataFrame, queries: DataFrame, group: list[str], side: str, key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """key, d0, d1: each query row's distance to the nearest row of either side of its group; ranges over all rows."""
+    every = df.select(*group, *numeric).unionAll(queries.select(*group, *numeric))
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias(side)
+    spans = every.groupBy(*group).agg(*((F.max(c) - F.min(c) + 1e-12).alias(f"span_{c}") for c in numeric)).select("*", both)
+    asked = queries.drop(side).select("*", both)
+    found = nearest(df.withColumn(side, F.col(side).cast("int")), asked, [*group, side], key, numeric, categorical, spans)
+    m = float(len(numeric) + len(categorical))
+    return found.groupBy(key).agg(*(F.min(F.when(F.col(side) == k, F.col("d") / m)).alias(f"d{k}") for k in (0, 1)))

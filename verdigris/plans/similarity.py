@@ -207,7 +207,5 @@ def j6(spark, sf):
 SELECT row_id, round(min(CASE WHEN side = 0 THEN d END), 6) AS d0, round(min(CASE WHEN side = 1 THEN d END), 6) AS d1 FROM p GROUP BY row_id""")
 def j7(spark, sf):
     df = T.customer_ml(spark, sf).select("row_id", "node", "sup", *X, *C).withColumn("cl", F.when(F.col("x1") + F.col("x2") * 300 > 9000, 1).otherwise(0))
-    r = S.ranges(df, ["node"], X).alias("r")
-    j = df.where("NOT sup").alias("a").join(df.where("sup").alias("b"), F.col("a.node") == F.col("b.node")).join(r, F.col("a.node") == F.col("r.node"))
-    j = j.select(F.col("a.row_id").alias("row_id"), F.col("b.cl").alias("cl"), gower("a", "b", "r", X, C).alias("d"))
-    return j.groupBy("row_id").agg(*(F.round(F.min(F.when(F.col("cl") == k, F.col("d"))), 6).alias(f"d{k}") for k in (0, 1)))
+    d = S.distance_to_sides(df.where("sup").drop("sup"), df.where("NOT sup").drop("sup"), ["node"], "cl", "row_id", X, C)
+    return d.select("row_id", F.round("d0", 6).alias("d0"), F.round("d1", 6).alias("d1"))
