@@ -31,11 +31,12 @@ HINTS = {"email": "contains(t, '@')", "ip": r"digits AND t RLIKE '[0-9][.][0-9]+
 
 GENERATORS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?(?:@|[(\[{] ?(?i:at) ?[)\]}]| (?i:at) ) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{] ?(?i:dot) ?[)\]}]| (?i:dot) ) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "ip": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}+(?::[0-9A-Fa-f]{0,4}+){2,8}+(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ ./-]{0,2}[0-9]){12,18}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])[(+]?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}+(?![0-9A-Za-z])",
 }
-GENERATOR_HINTS = {"email": r"t RLIKE '(?i)[(\\[{ ]at[)\\]} ]' AND t RLIKE '(?i)(?:dot|[.][a-z])'", "ip": r"digits AND t RLIKE '[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:'", "card": r"digits AND t RLIKE '[0-9](?:[ ./-]{0,2}[0-9]){12}'", "phone": r"digits AND t RLIKE '[0-9](?:[ ()./-]{0,2}[0-9]){6}'"}
+#: What every candidate of a kind holds: a text without it has none.
+GENERATOR_HINTS = {"email": r"(contains(t, '@') OR t RLIKE '(?i)[(\\[{ ]at[)\\]} ]')", "ip": r"t RLIKE ':[0-9A-Fa-f]{0,4}:'", "card": r"digits AND t RLIKE '[0-9](?:[ ./-]{0,2}[0-9]){12}'", "phone": r"digits AND t RLIKE '[0-9](?:[ ()./-]{0,2}[0-9]){6}'"}
 CONTEXT = 24  # characters before a candidate
 
 #: Features of a candidate x(m: match, c: the characters before it).
@@ -54,7 +55,12 @@ FEATURES = {
     "bracketed_dot": r"CAST(x.m RLIKE '(?i)[(\\[{] ?dot ?[)\\]}]' AS INT)",
     "spelled_dot": "CAST(x.m RLIKE '(?i) dot ' AS INT)",
     "known_end": "CAST(x.m RLIKE '(?i)(?:com|org|net|edu|info|io|de|fr|es|uk)$' AS INT)",
+    "spaced_at": "CAST(x.m RLIKE ' @|@ ' AS INT)",
+    "article": "CAST(x.m RLIKE '(?i) at (?:the|an?|this|that|our|my|his|her|its|der|die|das|la|le|el) ' AS INT)",
     "letters": "CAST(x.m RLIKE '[A-Fa-f]' AS INT)",
+    "hex_groups": "size(regexp_extract_all(x.m, '[0-9A-Fa-f]+', 0))",
+    "gaps": "size(regexp_extract_all(x.m, '::', 0)) + 2 * CAST(contains(x.m, ':::') AS INT) + 2 * CAST(x.m RLIKE '^:[^:]|[^:]:$' AS INT)",
+    "long_group": "coalesce(array_max(transform(regexp_extract_all(x.m, '[0-9A-Fa-f]+', 0), w -> length(w))), 0)",
     "colons": "length(x.m) - length(replace(x.m, ':', ''))",
     "says_phone": r"CAST(x.c RLIKE '(?i)(?:phone|tel|call|fax|mobile|cell|telefon|appel|llame|whatsapp|sms)[^a-z]{0,3}(?:us|me|is|at|no|number|nr)?[^a-z0-9]*$' AS INT)",
     "says_card": r"CAST(x.c RLIKE '(?i)(?:card|visa|mastercard|amex|karte|carte|tarjeta|credit|debit)[^a-z]{0,3}(?:is|no|number|nr)?[^a-z0-9]*$' AS INT)",
@@ -63,7 +69,7 @@ FEATURES = {
     "says_other": r"CAST(x.c RLIKE '(?i)(?:isbn|order|invoice|id|ref|version|date|price|total|page|serial|time|on|mac)[^a-z]{0,3}(?:is|no|number|nr)?[^a-z0-9]*$' AS INT)",
 }
 
-TRAINING_ROWS = 6_000
+TRAINING_ROWS = 8_400
 ROUNDS = 16
 RATE = 0.4
 PRECISION = 0.98
@@ -141,12 +147,29 @@ def training_rows(spark: SparkSession) -> DataFrame:
         (0, 1, f"concat({word(1)}, ' ', {word(2)}, '.', {word(3)}, '[at]', {host}, '[dot]', {end})"),
         (0, 1, f"concat({lead('mail ', 'contact: ', 'write to ')}, {word(2)}, ' [at] ', {host}, '.', {end})"),
         (0, 1, f"concat({lead('mail ', 'contact me at ', 'write to ')}, {word(2)}, {d(2, 1)}, ' at ', {host}, ' dot ', {end})"),
+        (0, 1, f"concat({lead('mail ', 'contact me at ', 'write to ', 'reach us at ')}, {word(2)}, ' at ', {host}, ' dot ', {end})"),
+        (0, 1, f"concat({lead('mail ', 'e-mail: ', 'contact ')}, {word(2)}, '.', {word(3)}, ' at ', {host}, ' dot ', {end})"),
+        (0, 1, f"concat({word(1)}, ' ', {word(2)}, ' at ', {host}, ' dot ', {end})"),
+        (0, 1, f"concat({word(1)}, ' ', {word(2)}, {d(2, 1)}, ' @ ', {host}, '.', {end})"),
+        (0, 1, f"concat({word(1)}, ' ', {word(2)}, ' @ ', {host}, ' . ', {end})"),
+        (0, 0, f"concat({word(1)}, ' ', {word(2)}, ' ', {d(2, 1)}, ' at ', {d(2, 2)}, '.', {d(2, 3)}, ' ', {word(3)})"),
+        (0, 0, f"concat({word(1)}, ' ', {word(2)}, {d(2, 1)}, ' at ', {word(4)}, ' dot ', {word(3)})"),
+        (0, 0, f"concat({lead('mail ', 'contact ', 'x ', 'y ')}, {word(2)}, ' at ', element_at(array('the', 'a', 'our', 'that'), CAST(pmod(xxhash64(id, 34), 4) AS INT) + 1), ' dot ', {end})"),
+        (0, 0, f"concat({word(1)}, ' ', {d(1, 1)}, ' @ ', {d(2, 2)}, '.', {d(2, 3)}, ' ', {word(3)})"),
         (0, 0, f"concat({word(1)}, ' ', {word(2)}, ' at ', {host}, '.', {word(3)})"),
         (0, 0, f"concat({word(1)}, ' ', {word(2)}, ' at ', {host}, '. ', {word(3)})"),
         (0, 0, f"concat({word(1)}, ' ', {word(2)}, ' at ', {word(4)}, ' dot ', {word(3)})"),
         (0, 0, f"concat({word(1)}, ' ', {word(2)}, ' at ', {host}, '.', {end})"),
         (1, 1, f"concat({lead('ip ', 'host ', 'the ', 'address ')}, {hexa(1)}, ':', {hexa(2)}, ':', {hexa(3)}, ':', {hexa(4)}, ':', {hexa(5)}, ':', {hexa(6)}, ':', {hexa(7)}, ':', {hexa(8)})"),
+        (1, 1, f"concat({lead('ip ', 'host ', 'the ', 'via ')}, {hexa(1)}, '::', {hexa(2)})"),
+        (1, 1, f"concat({lead('ip ', 'server ', 'the ', 'from ')}, {hexa(1)}, ':', {hexa(2)}, '::', {hexa(3)}, ':', substr({hexa(4)}, 1, 3), ':', {hexa(5)})"),
+        (1, 1, f"concat({lead('ip ', 'server ', 'the ', 'to ')}, {hexa(1)}, '::', {d(1, 1)})"),
+        (1, 1, f"concat({lead('ip ', 'on ', 'the ', 'to ')}, {hexa(1)}, ':', substr({hexa(2)}, 1, 3), ':', {d(1, 3)}, ':', {d(1, 4)}, ':', {hexa(5)}, ':', substr({hexa(6)}, 1, 2), ':', {hexa(7)}, ':', {hexa(8)})"),
         (1, 0, f"concat({lead('time ', 'on ', 'the ')}, {d(2, 1)}, ':', {d(2, 2)}, ':', {d(2, 3)}, ':', {d(2, 4)})"),
+        (1, 0, f"concat({lead('time ', 'at ', 'the ')}, {d(2, 1)}, ':', {d(2, 2)}, ':', {d(2, 3)})"),
+        (1, 0, f"concat({lead('ratio ', 'mix ', 'the ')}, {d(1, 1)}, ':', {d(1, 2)}, ':', {d(2, 3)})"),
+        (1, 0, f"concat({lead('a ', 'the ', 'see ')}, '::')"),
+        (1, 0, f"concat({lead('verse ', 'the ', 'key ')}, {d(2, 1)}, ':', {d(3, 2)}, ':', {d(2, 3)}, ':', {d(1, 4)}, ':', {d(2, 5)})"),
         (1, 0, f"concat({lead('mac ', 'ref ', 'the ')}, substr({hexa(1)}, 1, 2), ':', substr({hexa(2)}, 1, 2), ':', substr({hexa(3)}, 1, 2), ':', substr({hexa(4)}, 1, 2), ':', substr({hexa(5)}, 1, 2), ':', substr({hexa(6)}, 1, 2))"),
     ]
     pick = lambda i: " ".join(f"WHEN {n} THEN {x[i]}" for n, x in enumerate(templates))
