@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_in, exact
+from .common import as_in, exact, kept, trimmed
 
 #: Halves of at most so many bytes (when decoding, tokens) are the leaves of the tree.
 LEAF = 24
@@ -177,6 +177,9 @@ def encoder(path: str, pattern: str) -> Encoder:
         return Encoder(Monoid(read_ranks(f.read())), pattern)
 
 
+kept("bpe", encoder.cache_clear)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row: texts encoded, then decoded from their ids.
 
@@ -199,7 +202,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: s
 
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     cols = exact(own)
-    return as_in(cols.mapInPandas(work, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"), own)
+    return as_in(cols.mapInPandas(trimmed(work, "bpe"), f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"), own)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -66,6 +68,33 @@ def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager:
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: What a worker keeps from task to task, by name, and how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(name: str, drop: Callable[[], None]) -> None:
+    _KEPT[name] = drop
+
+
+class trimmed:  # noqa: N801
+    """The work of a task on its batches. Its worker first drops what it has kept for other work than ``keeps``; afterwards, as it
+    waits for other tasks, it gives unused memory back."""
+
+    def __init__(self, work: Callable[[Iterable], Iterator], keeps: str = "") -> None:
+        self.work, self.keeps = work, keeps
+
+    def __call__(self, batches: Iterable) -> Iterator:
+        for name, drop in list(_KEPT.items()):
+            if name != self.keeps:
+                drop()
+        try:
+            yield from self.work(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_in, chunks, discard, exact, partitions, small_batches, text_bytes, written
+from .common import as_in, chunks, discard, exact, partitions, small_batches, text_bytes, trimmed, written
 from .textkit import Words, mix, runs, shingles
 
 SPARE = 2
@@ -342,7 +342,7 @@ def _compared(texts: DataFrame, dealt: DataFrame, rule: Rule, whole: bool) -> Da
     own = texts.select("cid", F.col("_t").alias("raw"), F.lit(0).cast("long").alias("n")) if whole else texts.select("cid", F.col("sketch").alias("raw"), "n")
     j = own.join(dealt.hint("merge"), "cid").select("task", "side", "cid", "comp", "raw", "n")
     j = j.repartition(partitions(texts.sparkSession), "task").sortWithinPartitions("task", "side", "cid")
-    return j.mapInPandas(functools.partial(_joined, rule), "task string, a long, b long")
+    return j.mapInPandas(trimmed(functools.partial(_joined, rule)), "task string, a long, b long")
 
 
 def _proved(texts: DataFrame, members: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -396,7 +396,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
     typed = cols.withColumn("digest", F.md5("_t"))
     with small_batches(spark):
         kinds = exact(typed).schema
-        measured = exact(typed).mapInPandas(functools.partial(_measured, rule), f"doc_id {kinds['doc_id'].dataType.simpleString()}, digest string, n long, f1 long, f2 long, leader long, leads boolean")
+        measured = exact(typed).mapInPandas(trimmed(functools.partial(_measured, rule)), f"doc_id {kinds['doc_id'].dataType.simpleString()}, digest string, n long, f1 long, f2 long, leader long, leads boolean")
         rows = written(as_in(measured, typed), "sets")
         own = rows.where("n > 0 AND doc_id IS NOT NULL")
         # a class has one row in each batch; the rest of its copies follow their leader
@@ -404,7 +404,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         by, named = Window.partitionBy("sig"), cols.where("doc_id IS NOT NULL").select("_t")
         slices = []
         for i in range(SLICES):
-            signed = named.mapInPandas(functools.partial(_signed, rule, i), "sig long, node long")
+            signed = named.mapInPandas(trimmed(functools.partial(_signed, rule, i)), "sig long, node long")
             signed = signed.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).where("lo <> hi")
             slices.append(written(signed.select("sig", "node").distinct(), "shared"))
         shared = functools.reduce(DataFrame.unionAll, slices)
@@ -412,7 +412,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule
         # the candidates grow with the documents: the same joins at every size, never a broadcast
         members = written(classes.join(nodes.hint("merge"), classes["f1"] == nodes["node"]).select("cid", "rep", "n", "f1"), "members")
         own_texts = cols.join(members.hint("merge"), cols["doc_id"] == members["rep"]).select("cid", "n", "f1", "_t")
-        texts = written(own_texts.mapInPandas(functools.partial(_sketched, rule), "cid long, n long, f1 long, _t binary, sketch binary"), "texts")
+        texts = written(own_texts.mapInPandas(trimmed(functools.partial(_sketched, rule)), "cid long, n long, f1 long, _t binary, sketch binary"), "texts")
         groups = written(shared.join(members.select("cid", "f1", "n").hint("merge"), shared["node"] == F.col("f1")).select("sig", "cid", "n"), "groups")
         discard(*slices)
         pair = lambda df: df.select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("leaf")).distinct()

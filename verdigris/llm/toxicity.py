@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_in, chunks, exact, text_bytes, written
+from .common import as_in, chunks, exact, text_bytes, trimmed, written
 from .textkit import SPACE, Words, eights, span_hash
 
 #: Bounds of the fit: labelled rows taken (in the order of a hash of doc_id), features kept (the surest).
@@ -147,7 +147,7 @@ def _counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model. Texts and the label are all that is read."""
     rows = written(training_rows(docs, labels), "toxicity_sample")
-    counts = rows.mapInPandas(_counted, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = rows.mapInPandas(trimmed(_counted), "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     size = rows.agg(F.sum(F.col("y").cast("long")).alias("a"), F.sum((~F.col("y")).cast("long")).alias("b")).first()
     na, nb = float(size["a"] or 0), float(size["b"] or 0)
     if not na or not nb:
@@ -215,7 +215,7 @@ def passages(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "score", "evidence"])
 
     own = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("_t"))
-    return as_in(exact(own).mapInPandas(work, f"doc_id {exact(own).schema['doc_id'].dataType.simpleString()}, start long, end long, score double, evidence double"), own)
+    return as_in(exact(own).mapInPandas(trimmed(work), f"doc_id {exact(own).schema['doc_id'].dataType.simpleString()}, start long, end long, score double, evidence double"), own)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -235,7 +235,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     own = docs.drop("score", "_t")
     cols = exact(own).withColumn("_t", text_bytes(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_t")
-    return as_in(cols.mapInPandas(work, f"{schema}, score double"), own)
+    return as_in(cols.mapInPandas(trimmed(work), f"{schema}, score double"), own)
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
