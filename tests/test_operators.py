@@ -1,12 +1,15 @@
 """Values computed by hand, and invariants."""
 
 import collections
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from verdigris.functions.expressions import cosine, gower
+from verdigris.functions import prefix
 from verdigris.functions.prefix import before, runs
-from verdigris.operators import clustering, forest, leaves, metrics, parameters, paths, sampling, similarity, splits, tabular
+from verdigris.operators import candidates, clustering, forest, leaves, metrics, parameters, paths, sampling, similarity, splits, tabular
 from verdigris.plans import regions
 from verdigris.sources import tables
 from verdigris.streaming import activations
@@ -135,6 +138,35 @@ def test_forest_below_the_root(spark):
     assert routed == {i: leaf(r) for i, r in row.items()}
 
 
+def test_small_and_large_nodes_split_alike(spark, monkeypatch):
+    """A node's candidates come to the same sides and scores in one task and in distributed plans."""
+    num, cat = tables.NUMERIC, tables.CATEGORICAL
+    df = tables.customer_ml(spark, "/root/testdata/sf0.001").select("row_id", *num, *cat, *tables.MASKED)
+    c = forest.Config(trees=2, depth=1, iterations=5, groups=3, least_share=0.01, n_attr=8)
+    got = []
+    for size in (20_000, 0):
+        monkeypatch.setattr(forest, "SMALL_NODE", size)
+        nodes, members = forest.grow(df, "row_id", num, cat, tables.MASKED, c)
+        got.append((sorted((r.tree, r.node, r.is_leaf, tuple(r.cols or ()), round(r.score or 0, 8)) for r in nodes.collect()), sorted(map(tuple, members.collect()))))
+    assert got[0] == got[1] and len({n for n in got[0][0] if not n[2]}) == 2
+
+
+def test_distances_over_drawn_columns_only():
+    """Two of four columns are drawn: the others count in no distance, spread or correlation."""
+    x = {k: np.array(v, float) for k, v in {"p": [0, 1, 2, 4], "q": [0, 10, 0, 10], "r": [5, 6, 7, 8]}.items()}
+    node = candidates.Node(np.arange(4), x, {"c": np.array([0, 0, 1, 1])}, np.array([[1, 0], [0, 1], [1, 1], [1, 0]]), np.ones(4, bool))
+    assert np.allclose(node.distances(["p", "c"], 0), [0, 0.125, 0.75, 1.0])
+    assert math.isclose(node._spread(["p", "c"], np.array([0, 1])), (1 + 0) / 2, abs_tol=1e-9)
+    assert node._independence(["p", "c"]) == 1.0 and math.isclose(node._independence(["p", "q"]), 1 - np.corrcoef(x["p"], x["q"])[0, 1] ** 2)
+
+
+def test_bins_of_long_tails(spark):
+    """The largest bin of a lognormal column has less than five times the rows of the median one."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.exp(2 * F.randn(7)).alias("x"), "id")
+    n = sorted(r["count"] for r in prefix._binned(df, ["g"], "x", 128).groupBy("g", "_bin").count().collect())
+    assert len(n) > 200 and n[-1] < 5 * n[len(n) // 2]
+
+
 def test_leaf_models(spark):
     df = spark.range(80).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") * 1.0).alias("x"), (F.col("id") >= 40).cast("int").alias("a"), F.lit(1).alias("b"))
     out = leaves.forest_models(df, df, ["g"], "k", ["x"], ["a", "b"]).collect()

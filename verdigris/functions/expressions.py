@@ -17,12 +17,13 @@ def r6(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def gower(a: str, b: str, ranges: str, numeric: list[str], categorical: list[str], legacy_bias: bool = False) -> Column:
+def gower(a: str, b: str, ranges: str, numeric: list[str], categorical: list[str], legacy_bias: bool = False, width: int | None = None) -> Column:
     """Mixed distance of rows a and b: range-scaled differences and mismatches, averaged over the columns.
 
     ranges: alias of a row with min_<col> and max_<col>. legacy_bias adds 1/n where no column is categorical.
+    width: the number of columns that count, where others are the same in all rows.
     """
-    n = len(numeric) + len(categorical)
+    n = width or len(numeric) + len(categorical)
     parts = [F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) / (F.col(f"{ranges}.max_{c}") - F.col(f"{ranges}.min_{c}") + 1e-12) for c in numeric]
     parts += [(~F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))).cast("double") for c in categorical]
     return (total(parts) + F.lit(1.0 if legacy_bias and not categorical else 0.0)) / F.lit(float(n))

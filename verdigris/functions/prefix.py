@@ -1,7 +1,7 @@
 """Sums over all smaller values of a group, in two levels.
 
-A window over a whole group sorts the group in one task. Here values fall into equal-width bins of their group;
-sums of the bins are accumulated over bins (groups x bins rows), rows within a bin by a window of the bin alone.
+A window over a whole group sorts the group in one task. Here values fall into bins between quantiles of their group,
+so that a long tail doesn't leave most rows in one; rows of one value share a bin. Sums of the bins are accumulated over bins (groups x bins rows), rows within a bin by a window of the bin alone.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ BINS = 512
 
 
 def _binned(df: DataFrame, group: list[str], x: str, bins: int) -> DataFrame:
-    """df and _bin: equal-width bins of x within each group."""
-    span = df.groupBy(*group).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    at = F.least(F.floor(F.coalesce(F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-    return df.join(span, group).withColumn("_bin", at).drop("_lo", "_hi")
+    """df and _bin: bins of about as many rows of each group, by approximate quantiles of x (equal ones are one bound)."""
+    depth = max(1, (bins - 1).bit_length())
+    share = [i / (1 << depth) for i in range(1, 1 << depth)]
+    bounds = df.groupBy(*group).agg(F.percentile_approx(F.col(x).cast("double"), share, 4 * bins).alias("_bounds"))
+    # how many bounds are below x, bit by bit
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(depth))))
+    at = F.aggregate(steps, F.lit(0), lambda s, k: s + F.when(F.element_at("_bounds", s + k) < F.col(x), k).otherwise(0))
+    return df.join(bounds, group).withColumn("_bin", at).drop("_bounds")
 
 
 def before(df: DataFrame, group: list[str], x: str, key: str, sums: dict[str, Column], bins: int = BINS, following: str | None = None) -> DataFrame:

@@ -6,20 +6,28 @@ for each node) come to the driver's loop as counts; memberships stay distributed
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.expressions import draw
 from verdigris.operators import clustering as C
 from verdigris.operators import sampling
+from verdigris.operators.candidates import Node
 from verdigris.operators.nearest import nearest
 from verdigris.sources.shared import cut
 
 
+#: Nodes of so many rows at most have their candidates evaluated in one task, all of them one after the other.
+SMALL_NODE = 20_000
+
+
 @dataclass(frozen=True)
 class Config:
     trees: int = 2
@@ -32,45 +40,90 @@ class Config:
     seed: str = "forest"
     weights: dict[str, float] = field(default_factory=lambda: dict(C.WEIGHTS))
 
+    def width(self, cols: list[str]) -> int:
+        """Columns of a candidate."""
+        return math.ceil(min(len(cols), int(math.log2(self.n_attr))))
+
 
 def _drawn(open_: DataFrame, cols: list[str], c: Config) -> DataFrame:
     """tree, node, iter, cols: the columns of each candidate, by hash."""
-    k = math.ceil(min(len(cols), int(math.log2(c.n_attr))))
     rows = open_.select("tree", "node", F.explode(F.sequence(F.lit(0), F.lit(c.iterations - 1))).alias("iter"), F.array(*map(F.lit, cols)).alias("a"))
     rows = rows.select("tree", "node", "iter", F.explode("a").alias("col"))
     r = F.row_number().over(Window.partitionBy("tree", "node", "iter").orderBy(draw(c.seed, "tree", "node", "iter", "col"), "col"))
-    return rows.withColumn("r", r).where(F.col("r") <= k).groupBy("tree", "node", "iter").agg(F.sort_array(F.collect_list("col")).alias("cols"))
-
-
-def grow(df: DataFrame, key: str, numeric: list[str], categorical: list[str], labels: list[str], c: Config) -> tuple[DataFrame, DataFrame]:
+    return rows.withColumn("r", r).where(F.col("r") <= c.width(cols)).groupBy("tree", "node", "iter").agg(F.sort_array(F.collect_list("col")).alias("cols"))
+
+
+def _split_small(wide: DataFrame, key: str, numeric: list[str], categorical: list[str], labels: list[str], least: int, c: Config) -> DataFrame:
+    """tree, node, key, cl, iter, score, cols for the rows of each node that is split; a node is one task's."""
+    kind = wide.schema[key].dataType.simpleString()
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, kind="stable")
+        tree, node = int(rows["tree"].iloc[0]), int(rows["node"].iloc[0])
+        y = rows[labels].to_numpy(np.int64)
+        code = {k: pd.factorize(rows[k], use_na_sentinel=False)[0] for k in categorical}
+        own = Node(rows[key].to_numpy(), {k: rows[k].to_numpy(float) for k in numeric}, code, y, y[:, 0] >= 0)
+        best = None
+        for it, cols, s, cl in itertools.islice(own.options(c.seed, tree, node, c.iterations, c.width([*numeric, *categorical]), least, c.weights), c.groups):
+            if round(s, 9) > (best[0] if best else -1):
+                best = (round(s, 9), it, cols, cl)
+        if best is None:
+            return rows[["tree", "node", key]].head(0).assign(cl=0, iter=0, score=0.0, cols=None)
+        s, it, cols, cl = best
+        return rows[["tree", "node", key]].assign(cl=cl, iter=it, score=s, cols=[cols] * len(rows))
+
+    return wide.groupBy("tree", "node").applyInPandas(split, f"tree int, node long, {key} {kind}, cl int, iter int, score double, cols array<string>")
+
+
+def _split_large(wide: DataFrame, key: str, numeric: list[str], categorical: list[str], labels: list[str], least: int, c: Config) -> DataFrame:
+    """The same for nodes of any size: all candidates of all nodes go through each step in one plan."""
+    cols, group = [*numeric, *categorical], ["tree", "node", "iter"]
+    k = c.width(cols)
+    drawn = cut(_drawn(wide.select("tree", "node").distinct(), cols, c))
+    taken = lambda x: F.array_contains("cols", F.lit(x))
+    numbers = F.size(F.array_intersect("cols", F.array(*map(F.lit, numeric)))).alias("_numbers")
+    wide = wide.join(drawn, ["tree", "node"])
+    wide = cut(wide.select(*group, key, (F.col(labels[0]) >= 0).alias("sup"), numbers, *(F.when(taken(x), F.col(x)).otherwise(F.lit(0.0)).alias(x) for x in numeric), *(F.when(taken(x), F.col(x)).otherwise(F.lit("")).alias(x) for x in categorical), *labels))
+    seeds = cut(C.seed(wide, group, key, numeric, categorical, labels, from_b=C.coin(c.seed, *group), width=k))
+    sides = cut(C.assign(wide, seeds, group, key, numeric, categorical, width=k))
+    scores = C.option_scores(sides, group, key, numeric, categorical, labels, least_rows=least, p=c.weights, width=k, numbers="_numbers").select(*group, "score")
+    valid = scores.withColumn("r", F.row_number().over(Window.partitionBy("tree", "node").orderBy("iter"))).where(F.col("r") <= c.groups)
+    best = valid.groupBy("tree", "node").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("iter")).alias("i"))).alias("x")).where("x.score > -1").select("tree", "node", (-F.col("x.i")).alias("iter"), "x.score")
+    best = cut(best.join(drawn, group))
+    return sides.select(*group, key, "cl").join(best, group).select("tree", "node", key, "cl", "iter", "score", "cols")
+
+
+def grow(df: DataFrame, key: str, numeric: list[str], categorical: list[str], labels: list[str], c: Config, bags: DataFrame | None = None, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): nodes(tree, node, level, is_leaf, cols, score), members(tree, node, level, key) of every level.
 
-    df: labels of -1 mark unlabelled rows. Node ids are heap numbers: root 1, children 2i and 2i + 1. A column that a
-    candidate did not draw is constant in it, so it adds nothing to any distance.
+    df: labels of -1 mark unlabelled rows. Node ids are heap numbers: root 1, children 2i and 2i + 1. A candidate's distances,
+    spread and correlations are over the columns that it drew. A node takes the best of the first ``groups`` valid
+    candidates among ``iterations``, ties to the first; without one it is a leaf.
+
+    A level is one set of plans for the whole forest: nodes of SMALL_NODE rows at most are a group each, larger ones go through
+    distributed operators candidate by candidate. Both come to the same sides and scores. bags (tree, node 1, key): the
+    members of the trees, drawn elsewhere from about ``rows`` rows each.
     """
     cols = [*numeric, *categorical]
-    n = df.count()
-    bags = [sampling.inverse_frequency_bag(df, labels, c.bag, f"{c.seed}{t}", key).select(F.lit(t).alias("tree"), F.lit(1).cast("long").alias("node"), key) for t in range(c.trees)]
-    members = cut(reduce(DataFrame.unionAll, bags))
-    all_members, nodes, group = [members.withColumn("level", F.lit(0))], [], ["tree", "node", "iter"]
+    n = rows or df.count()
+    if bags is None:
+        each = [sampling.inverse_frequency_bag(df, labels, c.bag, f"{c.seed}{t}", key).select(F.lit(t).alias("tree"), F.lit(1).cast("long").alias("node"), key) for t in range(c.trees)]
+        bags = cut(reduce(DataFrame.unionAll, each))
+    members = bags
+    all_members, nodes, least = [members.withColumn("level", F.lit(0))], [], math.ceil(n * c.least_share)
     for level in range(c.depth + 1):
-        open_ = members.select("tree", "node").distinct()
+        size = cut(members.groupBy("tree", "node").agg(F.count("*").alias("n")))
         if level == c.depth:
-            nodes.append(open_.select("tree", "node", F.lit(level).alias("level"), F.lit(True).alias("is_leaf"), F.lit(None).cast("array<string>").alias("cols"), F.lit(None).cast("double").alias("score")))
+            nodes.append(size.select("tree", "node", F.lit(level).alias("level"), F.lit(True).alias("is_leaf"), F.lit(None).cast("array<string>").alias("cols"), F.lit(None).cast("double").alias("score")))
             break
-        drawn = cut(_drawn(open_, cols, c))
-        wide = members.join(df, key).join(drawn, ["tree", "node"])
-        taken = lambda x: F.array_contains("cols", F.lit(x))
-        wide = wide.select(*group, key, (F.col(labels[0]) >= 0).alias("sup"), *(F.when(taken(x), F.col(x)).otherwise(F.lit(0.0)).alias(x) for x in numeric), *(F.when(taken(x), F.col(x)).otherwise(F.lit("")).alias(x) for x in categorical), *labels)
-        wide = cut(wide)
-        seeds = cut(C.seed(wide, group, key, numeric, categorical, labels))
-        sides = cut(C.assign(wide, seeds, group, key, numeric, categorical))
-        scores = C.option_scores(sides, group, key, numeric, categorical, labels, least_rows=math.ceil(n * c.least_share), p=c.weights).select(*group, "score")
-        valid = scores.withColumn("r", F.row_number().over(Window.partitionBy("tree", "node").orderBy("iter"))).where(F.col("r") <= c.groups)
-        best = valid.groupBy("tree", "node").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("iter")).alias("i"))).alias("x")).where("x.score > -1").select("tree", "node", (-F.col("x.i")).alias("iter"), "x.score")
-        best = cut(best.join(drawn, group))
-        nodes.append(open_.join(best, ["tree", "node"], "left").select("tree", "node", F.lit(level).alias("level"), F.col("iter").isNull().alias("is_leaf"), "cols", "score"))
-        members = cut(sides.join(best.select(*group), group).select("tree", (2 * F.col("node") + F.col("cl")).alias("node"), key))
+        wide = members.join(size, ["tree", "node"]).join(df.select(key, *cols, *labels), key)
+        small = _split_small(wide.where(F.col("n") <= SMALL_NODE).drop("n"), key, numeric, categorical, labels, least, c)
+        if not size.where(F.col("n") > SMALL_NODE).isEmpty():
+            small = small.unionByName(_split_large(wide.where(F.col("n") > SMALL_NODE).drop("n"), key, numeric, categorical, labels, least, c))
+        split = cut(small)
+        best = split.groupBy("tree", "node").agg(F.first("cols").alias("cols"), F.first("score").alias("score"), F.lit(False).alias("_inner"))
+        nodes.append(size.join(best, ["tree", "node"], "left").select("tree", "node", F.lit(level).alias("level"), F.col("_inner").isNull().alias("is_leaf"), "cols", "score"))
+        members = cut(split.select("tree", (2 * F.col("node") + F.col("cl")).alias("node"), key))
         all_members.append(members.withColumn("level", F.lit(level + 1)))
         if members.isEmpty():
             break
@@ -94,12 +147,15 @@ def masked(rows: DataFrame, keep: list[str], numeric: list[str], categorical: li
     return rows.select(*keep, *(F.when(taken(x), F.col(x)).otherwise(F.lit(0.0)).alias(x) for x in numeric), *(F.when(taken(x), F.col(x)).otherwise(F.lit("")).alias(x) for x in categorical))
 
 
-def route(rows: DataFrame, df: DataFrame, nodes: DataFrame, members: DataFrame, key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """key, tree, node: the leaf that each row reaches. At a node the row goes to the child with the nearer nearest
+def route(rows: DataFrame, df: DataFrame, nodes: DataFrame, members: DataFrame, key: str, numeric: list[str], categorical: list[str], trees: DataFrame | None = None) -> DataFrame:
+    """key, tree, node: the leaf that each row reaches in each tree, or in those that trees (key, tree) names. At a node the row goes to the child with the nearer nearest
     member by the node's columns (ties right), over the value ranges of both children's members; members are searched by
     the index of ``nearest``, not compared with every row."""
     inner = cut(nodes.where("NOT is_leaf").select("tree", "node", "level", "cols"))
-    at = cut(rows.select(key).crossJoin(nodes.select("tree").distinct()).withColumn("node", F.lit(1).cast("long")))  # a row for each tree
+    if trees is None:  # a row for each tree
+        known = [r.tree for r in nodes.select("tree").distinct().collect()]
+        trees = rows.select(key, F.explode(F.array(*map(F.lit, known)).cast("array<int>")).alias("tree"))
+    at = cut(trees.select(key, "tree", F.lit(1).cast("long").alias("node")))
     child, span = (cut(x) for x in children(members, df, nodes, key, numeric, categorical))
     done = []
     for level in range(int(nodes.agg(F.max("level")).first()[0]) + 1):

@@ -1,4 +1,4 @@
-"""The nearest member of a group for each query row, by an exact index instead of all pairs.
+"""The nearest or the farthest member of a group for each query row, by an exact index instead of all pairs.
 
 The distance is that of the mixed tables: absolute differences over a span for each number, 1 for each category that
 differs, summed in the order of the columns. Members of a group are dealt into shards of SHARD rows at most, by cuts
@@ -85,16 +85,21 @@ class Index:
             todo += [at[:half], at[half:]]
         return out
 
-    def search(self, x: np.ndarray, c: list[list], best: np.ndarray, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, c: list[list], best: np.ndarray, digits: int | None, far: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, distance, members looked at) of each query's nearest member, ties to the least key; place -1 where none is
-        as near as best."""
+        as near as best. far: of the farthest one; distances count negative, so that the farthest is the least."""
         n = len(x)
         own = np.array([[seen.get(r[j], len(seen)) for j, seen in enumerate(self.codes)] for r in c], np.int64).reshape(n, len(self.codes))
         bound = np.zeros((n, len(self.lo)))
         for j in range(x.shape[1]):
-            bound += np.maximum(np.maximum(self.lo[None, :, j] - x[:, j, None], x[:, j, None] - self.hi[None, :, j]), 0) / self.span[j]
+            below, above = self.lo[None, :, j] - x[:, j, None], x[:, j, None] - self.hi[None, :, j]
+            bound += (-np.maximum(np.abs(below), np.abs(above)) if far else np.maximum(np.maximum(below, above), 0)) / self.span[j]
         for j, has in enumerate(self.has):
-            if has is not None:
+            if has is None:
+                bound -= far
+            elif far:  # a leaf with another category than the query's
+                bound -= (has.sum(1)[None] > has[:, own[:, j]].T)
+            else:
                 bound += ~has[:, own[:, j]].T
         order = np.argsort(bound, axis=1)
         bound = np.take_along_axis(bound, order, 1)
@@ -110,7 +115,7 @@ class Index:
                 d += np.abs(x[q, j, None] - self.x[leaf, :, j]) / self.span[j]
             for j in range(own.shape[1]):
                 d += own[q, j, None] != self.code[leaf, :, j]
-            d = np.where(self.there[leaf], d if digits is None else np.round(d, digits), np.inf)
+            d = np.where(self.there[leaf], (d if digits is None else np.round(d, digits)) * (-1 if far else 1), np.inf)
             k = d.argmin(1)  # the least key of the equal ones
             d, p = d[np.arange(len(q)), k], self.place[leaf, k]
             better = (d < best[q]) | ((d == best[q]) & ((place[q] < 0) | (p < place[q])))
@@ -123,7 +128,7 @@ def _rows(b: pd.DataFrame, name: str, width: int) -> np.ndarray:
     return np.array([list(r) for r in b[name]], float).reshape(len(b), width)
 
 
-def _searched(digits: int | None, numbers: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _searched(digits: int | None, numbers: int, far: bool, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(key, g, nearest, d, looked) for queries; rows come by (g, shard, part, kind), the members of kind 0 first."""
     last, held, index = None, [], None
     for b in batches:
@@ -149,14 +154,14 @@ def _searched(digits: int | None, numbers: int, batches: Iterable[pd.DataFrame])
             for k in range(0, len(asked), 1_000):
                 some = asked.iloc[k : k + 1_000]
                 best = some["best"].to_numpy(float)
-                place, d, looked = index.search(_rows(some, "x", numbers), [list(r) for r in some["c"]], best, digits)
+                place, d, looked = index.search(_rows(some, "x", numbers), [list(r) for r in some["c"]], best, digits, far)
                 found = np.flatnonzero(place >= 0)
                 out.append(pd.DataFrame({"key": some["key"].to_numpy()[found], "g": some["g"].to_numpy()[found], "nearest": [index.key[p] for p in place[found]], "d": d[found], "looked": looked[found]}))
         if out:
             yield pd.concat(out, ignore_index=True)
 
 
-def _asked(members: DataFrame, queries: DataFrame, kind: str, numbers: int, digits: int | None) -> DataFrame:
+def _asked(members: DataFrame, queries: DataFrame, kind: str, numbers: int, digits: int | None, far: bool) -> DataFrame:
     """key, g, nearest, d, looked: queries (key, g, x, c, shard, best) searched in their shards."""
     spark = members.sparkSession
     parts = queries.groupBy("g", "shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
@@ -164,7 +169,7 @@ def _asked(members: DataFrame, queries: DataFrame, kind: str, numbers: int, digi
     dealt = queries.join(parts, ["g", "shard"]).select("g", "shard", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "key", "x", "c", F.lit(None).cast("array<double>").alias("span"), "best")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = copies.unionByName(dealt).repartition(n, "g", "shard", "part").sortWithinPartitions("g", "shard", "part", "kind")
-    return both.mapInPandas(functools.partial(_searched, digits, numbers), f"key {kind}, g string, nearest {kind}, d double, looked long")
+    return both.mapInPandas(functools.partial(_searched, digits, numbers, far), f"key {kind}, g string, nearest {kind}, d double, looked long")
 
 
 def _halved(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -191,8 +196,9 @@ def _sharded(members: DataFrame, numbers: int) -> tuple[DataFrame, list[DataFram
     return rows, rounds
 
 
-def _others(found: DataFrame, queries: DataFrame, members: DataFrame, rounds: int, numbers: int) -> DataFrame:
-    """Queries with each other shard that can hold a member as near as the one found, by boxes down the tree of cuts."""
+def _others(found: DataFrame, queries: DataFrame, members: DataFrame, rounds: int, numbers: int, far: int | None) -> DataFrame:
+    """Queries with each other shard that can hold a member as near as the one found, by boxes down the tree of cuts. far: as
+    far as that one instead; by how much categories can add."""
     leaf = members.groupBy("g", "shard").agg(F.first("span").alias("span"), *(f(F.element_at("x", i + 1)).alias(f"{k}{i}") for i in range(numbers) for k, f in (("lo", F.min), ("hi", F.max))))
     deep = F.length(F.bin("shard")) - 1
     above = leaf.withColumn("up", F.explode(F.sequence(F.lit(0), deep))).select("g", F.expr("shiftright(shard, up)").alias("node"), (F.col("up") == 0).alias("is_leaf"), "span", *(f"{k}{i}" for i in range(numbers) for k in ("lo", "hi")))
@@ -202,21 +208,23 @@ def _others(found: DataFrame, queries: DataFrame, members: DataFrame, rounds: in
     for _ in range(rounds):
         x = lambda i: F.element_at("x", i + 1)
         kids = front.withColumn("node", F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1))).join(boxes, ["g", "node"])
-        parts = [F.greatest(F.col(f"lo{i}") - x(i), x(i) - F.col(f"hi{i}"), F.lit(0.0)) / F.element_at("span", i + 1) for i in range(numbers)]
-        kids = kids.where(reduce(lambda a, b: a + b, parts, F.lit(0.0)) <= F.col("best") + 1e-8)
+        gap = lambda i: F.greatest(F.col(f"lo{i}") - x(i), x(i) - F.col(f"hi{i}"), F.lit(0.0)) if far is None else -F.greatest(F.abs(F.col(f"lo{i}") - x(i)), F.abs(x(i) - F.col(f"hi{i}")))
+        parts = [gap(i) / F.element_at("span", i + 1) for i in range(numbers)]
+        kids = kids.where(reduce(lambda a, b: a + b, parts, F.lit(-float(far or 0))) <= F.col("best") + 1e-8)
         kids = cut(kids.select(*asked.columns, "node", "is_leaf"))
         done.append(kids.where("is_leaf AND node <> home").select(*(c for c in asked.columns if c != "home"), F.col("node").alias("shard")))
         front = kids.where("NOT is_leaf").drop("is_leaf")
     return reduce(DataFrame.unionByName, done)
 
 
-def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, numeric: list[str], categorical: list[str], spans: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, numeric: list[str], categorical: list[str], spans: DataFrame | None = None, digits: int | None = None, farthest: bool = False) -> DataFrame:
     """key, by, nearest, d, looked: for each query row the nearest member of its group (``by``), ties to the least key.
 
     d is the sum over columns, not their mean; with digits, rounded to so many before it is compared. spans: by and
     span_<col> for each number; else the range over the group's members and queries. A column that a group leaves out is the same
     in all of its rows. Numbers have no nulls; a null category equals only nulls. A query may be asked once for each group. looked: how
-    many members were compared with the query, in the shard of the result. Queries of groups without members have no row.
+    many members were compared with the query. Queries of groups without members have no row. farthest: the farthest member
+    instead, ties to the least key.
     """
     kind = members.schema[key].dataType.simpleString()
     if spans is None:
@@ -231,12 +239,12 @@ def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, num
     asked = queries.select(named, F.col(key).alias("key"), x, c, F.lit(float("inf")).alias("best"), F.lit(1).cast("long").alias("shard"))
     for cuts in rounds:
         asked = _halved(asked, cuts)
-    found = _asked(rows, asked, kind, len(numeric), digits)
+    found = _asked(rows, asked, kind, len(numeric), digits, farthest)
     if rounds:
         asked = cut(asked)
         found = cut(found)
-        more = _asked(rows, _others(found, asked, rows, len(rounds), len(numeric)), kind, len(numeric), digits)
+        more = _asked(rows, _others(found, asked, rows, len(rounds), len(numeric), len(categorical) if farthest else None), kind, len(numeric), digits, farthest)
         both = found.unionAll(more).groupBy("key", "g").agg(F.min(F.struct("d", "nearest", "looked")).alias("x"), F.sum("looked").alias("n"))
         found = both.select("key", "g", "x.nearest", "x.d", F.col("n").alias("looked"))
     groups = queries.select(*by).distinct().select(*by, F.to_json(F.struct(*by)).alias("_g"))
-    return found.select(F.col("g").alias("_g"), F.col("key").alias("_key"), "nearest", "d", "looked").join(groups, "_g").select(F.col("_key").alias(key), *by, "nearest", "d", "looked")
+    return found.select(F.col("g").alias("_g"), F.col("key").alias("_key"), "nearest", (-F.col("d") if farthest else F.col("d")).alias("d"), "looked").join(groups, "_g").select(F.col("_key").alias(key), *by, "nearest", "d", "looked")

@@ -18,6 +18,14 @@ def column_draws(spark: SparkSession, cols: list[str], n_attr: int, iterations:
     return ranked.where(F.col("r") <= k).select("iter", "col")
 
 
+def group_column_draws(columns: DataFrame, group: list[str], n_attr: int, iterations: int, seed: str, linear: bool = False) -> DataFrame:
+    """group, iter, col: the same sample for each group of columns (group, col), of the columns that it has."""
+    rows = columns.select(*group, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"), "col")
+    own = Window.partitionBy(*group, "iter")  # the columns of a table
+    ranked = rows.withColumns({"r": F.row_number().over(own.orderBy(draw(seed, *group, "iter", "col"), "col")), "n": F.count("*").over(own)})
+    return ranked.where(F.col("r") <= F.ceil(F.least(F.col("n"), F.lit(n_attr if linear else int(math.log2(n_attr)))))).select(*group, "iter", "col")
+
+
 def _first(df: DataFrame, stratum: list[str], key: str, seed: str, tag: list) -> DataFrame:
     """df with r: the row's place in its stratum by hash, counted in two levels so that no stratum is sorted in one task."""
     from verdigris.functions.prefix import before

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.expressions import gower, metric, total
@@ -11,6 +13,7 @@ from verdigris.functions.prefix import before
 from verdigris.operators import tabular
 from verdigris.operators.nearest import nearest
 from verdigris.operators.splits import long_columns
+from verdigris.sources.shared import cut
 
 
 def ranges(df: DataFrame, group: list[str], numeric: list[str]) -> DataFrame:
@@ -47,11 +50,12 @@ def long_categories(df: DataFrame, cols: list[str], keep: list[str]) -> DataFram
     return df.select(*keep, F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in cols))).alias("_s")).select(*keep, "_s.col", "_s.v")
 
 
-def average_distance(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
+def average_distance(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], width: int | None = None) -> DataFrame:
     """group, n, avg: the mean Gower distance over the pairs of each group (0 for one row), without pairs.
 
     Over sorted values, the absolute differences of all pairs sum to sum(x * (2 * before - n + 1)); mismatching pairs
     are all pairs less those within a category. All columns go through one long table, so the plan doesn't grow with them.
+    width: the number of columns that count, where others are the same in all rows.
     """
     by = [*group, "col"]
     n = df.groupBy(*group).agg(F.count("*").cast("double").alias("n"))
@@ -64,11 +68,11 @@ def average_distance(df: DataFrame, group: list[str], key: str, numeric: list[st
         same = long_categories(df, categorical, group).groupBy(*by, "v").agg(F.count("*").cast("double").alias("m"))
         same = same.groupBy(*group).agg((-F.sum(F.col("m") * (F.col("m") - 1) / 2)).alias("e")).join(n, group)
         parts.append(same.select(*group, (len(categorical) * F.col("n") * (F.col("n") - 1) / 2 + F.col("e")).alias("s")))
-    every = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).groupBy(*group).agg((F.sum("s") / float(len(numeric) + len(categorical))).alias("s"))
+    every = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).groupBy(*group).agg((F.sum("s") / float(width or len(numeric) + len(categorical))).alias("s"))
     return n.join(every, group).select(*group, F.col("n").cast("long").alias("n"), F.coalesce(F.try_divide(F.col("s"), F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("avg"))
 
 
-def cluster_distances(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], cluster: str = "cl") -> DataFrame:
+def cluster_distances(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], cluster: str = "cl", width: int | None = None) -> DataFrame:
     """group, key, cluster, n0, n1, d0, d1: each row's summed Gower distance to the rows of cluster 0 and of cluster 1.
     All columns go through one long table and are summed by row at the end; the plan doesn't grow with them."""
     by, one = [*group, "col"], F.col(cluster)
@@ -90,14 +94,14 @@ def cluster_distances(df: DataFrame, group: list[str], key: str, numeric: list[s
         same = long.groupBy(*by, "v").agg(F.sum(1 - one).cast("double").alias("e0"), F.sum(one).cast("double").alias("e1")).join(size, group).alias("s")
         on = [F.col(f"x.{c}") == F.col(f"s.{c}") for c in by] + [F.col("x.v").eqNullSafe(F.col("s.v"))]
         parts.append(long.alias("x").join(same, on).select(*(F.col(f"x.{c}").alias(c) for c in (*group, key, cluster)), (F.col("n0") - F.col("e0")).alias("d0"), (F.col("n1") - F.col("e1")).alias("d1")))
-    m = float(len(numeric) + len(categorical))
+    m = float(width or len(numeric) + len(categorical))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return every.groupBy(*group, key, cluster).agg(*((F.sum(f"d{k}") / m).alias(f"d{k}") for k in (0, 1))).join(size, group).select(*group, key, cluster, "n0", "n1", "d0", "d1")
 
 
-def silhouettes(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], cluster: str = "cl") -> DataFrame:
+def silhouettes(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], cluster: str = "cl", width: int | None = None) -> DataFrame:
     """group, key, cluster, s of each row for two clusters. A singleton's own distance is 1; groups with one cluster are left out."""
-    d = cluster_distances(df, group, key, numeric, categorical, cluster).where("n0 > 0 AND n1 > 0")
+    d = cluster_distances(df, group, key, numeric, categorical, cluster, width).where("n0 > 0 AND n1 > 0")
     same, other = F.when(F.col(cluster) == 0, F.col("d0")).otherwise(F.col("d1")), F.when(F.col(cluster) == 0, F.col("d1")).otherwise(F.col("d0"))
     n_same, n_other = F.when(F.col(cluster) == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col(cluster) == 0, F.col("n1")).otherwise(F.col("n0"))
     a = F.when(n_same <= 1, 1.0).otherwise(F.try_divide(same, n_same - 1))
@@ -105,26 +109,97 @@ def silhouettes(df: DataFrame, group: list[str], key: str, numeric: list[str], c
     return d.select(*group, key, cluster, F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)).alias("s"))
 
 
+#: Blocks of so many rows are sorted by a window of their own.
+BLOCK = 512
+
+
+def later_distances(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], spans: DataFrame) -> DataFrame:
+    """group, key, later, n: each row's summed distance (not divided by the columns) to the rows of its group with a greater key, and how many these are.
+
+    Ranks by key are halved again and again: on each level the rows of a left half meet all of the right half of their block, so
+    every pair meets on one level, and sums over a half come from prefix sums of its sorted values. n log n rows, no pairs.
+    """
+    by, one = [*group, "_l", "_b"], F.col("_side")
+    ranked = cut(before(df.select(*group, key, *numeric, *categorical).withColumn("_x", F.col(key).cast("double")), group, "_x", key, {"_r": F.lit(1)}).drop("_x"))
+    size = ranked.groupBy(*group).agg(F.count("*").alias("n"))
+    levels = max(1, int(size.agg(F.max("n")).first()[0] or 1).bit_length())
+    halves = ranked.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns({"_b": F.expr("shiftright(_r, _l + 1)"), "_side": F.expr("shiftright(_r, _l) % 2").cast("double")})
+    halves = cut(halves.select(*by, key, "_side", *numeric, *categorical))
+    right = halves.groupBy(*by).agg(F.sum("_side").alias("_n"))
+    parts = []
+    if numeric:
+        long = long_columns(halves, by, key, numeric, ["_side"]).withColumns({"_k": one, "_t": one * F.col("v")})
+        of, sums = [*by, "col"], {"_kn": F.col("_k"), "_ks": F.col("_t")}
+        few = F.expr(f"shiftleft(2, _l) <= {BLOCK}")
+        way = Window.partitionBy(*of).orderBy("v", key).rowsBetween(Window.unboundedPreceding, -1)  # BLOCK rows at most
+        small = long.where(few).withColumns({k: F.coalesce(F.sum(c).over(way), F.lit(0.0)) for k, c in sums.items()})
+        placed = small if 2 << (levels - 1) <= BLOCK else small.unionByName(before(long.where(~few), of, "v", key, sums))
+        whole = long.groupBy(*of).agg(F.sum("_k").alias("_N"), F.sum("_t").alias("_S"))
+        p = placed.where("_side = 0").join(whole, of).join(spans, group)
+        width = reduce(lambda a, c: F.when(F.col("col") == c, F.col(f"span_{c}")).otherwise(a), numeric, F.lit(None).cast("double"))
+        apart = F.col("v") * F.col("_kn") - F.col("_ks") + (F.col("_S") - F.col("_ks")) - F.col("v") * (F.col("_N") - F.col("_kn"))
+        parts.append(p.select(*group, key, (apart / width).alias("later")))
+    if categorical:
+        long = long_categories(halves, categorical, [*by, key, "_side"])
+        same = long.groupBy(*by, "col", F.col("v").alias("_v")).agg(F.sum("_side").alias("_e"))
+        on = [F.col(f"x.{c}") == F.col(f"s.{c}") for c in (*by, "col")] + [F.col("x.v").eqNullSafe(F.col("s._v"))]
+        p = long.where("_side = 0").alias("x").join(same.alias("s"), on).select(*(F.col(f"x.{c}").alias(c) for c in (*by, key)), "s._e").join(right, by)
+        parts.append(p.select(*group, key, (F.col("_n") - F.col("_e")).alias("later")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*group, key).agg(F.sum("later").alias("later"))
+    return ranked.join(size, group).select(*group, key, (F.col("n") - 1 - F.col("_r")).cast("long").alias("n")).join(sums, [*group, key], "left").select(*group, key, F.coalesce("later", F.lit(0.0)).alias("later"), "n")
+
+
+def intra_distance(df: DataFrame, group: list[str], key: str, numeric: list[str], categorical: list[str], cluster: str = "cl") -> DataFrame:
+    """group, cluster, avg: the mean over a cluster's pairs of the mixed distance, each column of the distance matrix divided by its
+    row's farthest member (plus 1e-5), below the diagonal: a pair counts in the column of its smaller key. Ranges are the
+    group's. A cluster of one row has none."""
+    m = float(len(numeric) + len(categorical))
+    own = [*group, cluster]
+    spans = ranges(df, group, numeric).join(df.select(*own).distinct(), group)
+    spans = cut(spans.select(*own, *((F.col(f"max_{c}") - F.col(f"min_{c}") + 1e-12).alias(f"span_{c}") for c in numeric)))
+    rows = df.select(*own, key, *numeric, *categorical)
+    far = nearest(rows, rows, own, key, numeric, categorical, spans, farthest=True).select(*own, key, (F.col("d") / m).alias("far"))
+    later = later_distances(rows, own, key, numeric, categorical, spans)
+    j = later.join(far, [*own, key])
+    return j.groupBy(*own).agg(F.try_divide(F.sum(F.col("later") / m / (F.col("far") + 1e-5)), F.sum("n")).alias("avg")).where("avg IS NOT NULL")
+
+
 def label_vectors(df: DataFrame, group: list[str], labels: list[str]) -> DataFrame:
     """group, y (labels as one array), n rows: similarities depend on these only, so pairs are formed of them."""
     return df.groupBy(*group, F.array(*[F.col(c).cast("int") for c in labels]).alias("y")).agg(F.count("*").alias("n"))
 
 
 def compatibilities(df: DataFrame, labels: list[str]) -> DataFrame:
-    """a, b (label sets as text), na, nb, shared, jaccard (1e-8 in the union), jaccard_or_zero (0 where the union is
-    empty), matching, cosine for each two distinct label vectors."""
-    v = label_vectors(df, [], labels)
-    text = F.array_join("y", "")
-    a, b = v.select(text.alias("a"), F.col("y").alias("ya"), F.col("n").alias("na")), v.select(text.alias("b"), F.col("y").alias("yb"), F.col("n").alias("nb"))
-    p = a.join(b, F.col("a") <= F.col("b"))  # pairs of distinct vectors: with many labels nearly as many as rows
-    shared = F.aggregate(F.zip_with("ya", "yb", lambda x, y: x * y), F.lit(0), lambda s, x: s + x)
-    same = F.aggregate(F.zip_with("ya", "yb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    size = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
-    p = p.withColumns({"shared": shared, "same": same, "sa": size("ya"), "sb": size("yb")})
-    return p.select("a", "b", "na", "nb", "shared", (F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared") + 1e-8)).alias("jaccard"), F.coalesce(F.try_divide(F.col("shared").cast("double"), F.col("sa") + F.col("sb") - F.col("shared")), F.lit(0.0)).alias("jaccard_or_zero"), (F.col("same") / float(len(labels))).alias("matching"),
+    """a, b (label sets as text), na, nb, shared, jaccard (1e-8 in the union), jaccard_or_zero, matching, cosine for each two
+    distinct label vectors a <= b that have a common label, and for each with itself.
+
+    They meet by an index of their labels. For all other pairs shared, jaccard and cosine are 0 (null with a zero vector), and
+    matching follows from the sizes alone: see ``matching_apart``.
+    """
+    v = label_vectors(df, [], labels).select(F.array_join("y", "").alias("t"), "y", "n", F.aggregate("y", F.lit(0), lambda s, x: s + x).alias("s"))
+    index = v.select("t", F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(labels))), lambda i: F.element_at("y", i) == 1)).alias("label"))
+    pairs = index.withColumnRenamed("t", "a").join(index.withColumnRenamed("t", "b"), "label").where("a <= b").groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"))
+    zero = v.where("s = 0").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(0).alias("shared"))
+    p = pairs.unionByName(zero).join(v.select(F.col("t").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(v.select(F.col("t").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    union = F.col("sa") + F.col("sb") - F.col("shared")
+    return p.select("a", "b", "na", "nb", "shared", (F.col("shared") / (union + 1e-8)).alias("jaccard"), F.coalesce(F.try_divide(F.col("shared").cast("double"), union), F.lit(0.0)).alias("jaccard_or_zero"), ((len(labels) - union + F.col("shared")) / float(len(labels))).alias("matching"),
                     F.try_divide(F.col("shared").cast("double"), F.sqrt(F.col("sa").cast("double") * F.col("sb"))).alias("cosine"))
 
 
+def matching_apart(df: DataFrame, labels: list[str]) -> DataFrame:
+    """sa, sb, pairs, matching: of the pairs of distinct label vectors a < b without a common label, by their sizes (sa <= sb), how
+    many there are and in what share of the labels they agree."""
+    v = label_vectors(df, [], labels).select(F.array_join("y", "").alias("t"), F.aggregate("y", F.lit(0), lambda s, x: s + x).alias("s")).groupBy("s").agg(F.count("*").alias("v"))  # a row for each size
+    x, y = v.select(F.col("s").alias("sa"), F.col("v").alias("va")), v.select(F.col("s").alias("sb"), F.col("v").alias("vb"))
+    # sizes meet by a sequence of all sizes, not by a comparison
+    all_ = x.select("*", F.explode(F.sequence(F.col("sa"), F.lit(len(labels)))).alias("sb")).join(y, "sb")
+    all_ = all_.select("sa", "sb", F.when(F.col("sa") == F.col("sb"), F.col("va") * (F.col("va") - 1) / 2).otherwise(F.col("va") * F.col("vb")).cast("long").alias("n"))
+    size = lambda c: F.length(F.regexp_replace(c, "0", ""))
+    near = compatibilities(df, labels).where("a < b").groupBy(F.least(size("a"), size("b")).alias("sa"), F.greatest(size("a"), size("b")).alias("sb")).agg(F.count("*").alias("m"))
+    left = all_.join(near, ["sa", "sb"], "left").select("sa", "sb", (F.col("n") - F.coalesce("m", F.lit(0))).alias("pairs")).where("pairs > 0")
+    return left.select("sa", "sb", "pairs", ((len(labels) - F.col("sa") - F.col("sb")) / float(len(labels))).alias("matching"))
+
+
 def label_distance_sums(df: DataFrame, group: list[str], labels: list[str]) -> DataFrame:
     """group, n, avg: the mean cosine distance of labels over the pairs of each group (0 for one row), in linear time.
 

@@ -112,30 +112,3 @@ def best(cuts: DataFrame, group: list[str], by: str, later: bool = False, keep:
     place = F.col("cut") if later else -F.col("cut")
     x = cuts.groupBy(*group).agg(F.max(F.struct(F.round(by, 6).alias("b"), place.alias("m"), "cut", *keep)).alias("x"))
     return x.select(*group, "x.cut", F.col("x.b").alias(by), *(f"x.{c}" for c in keep))
-
-
-def spectral_sides(df: DataFrame, group: list[str], key: str, cols: list[str], bins: int = 12, gamma: float = 4.0) -> DataFrame:
-    """group, key, side: rows fall into bins ** len(cols) cells by their scaled values; the cells' weighted Gaussian
-    affinity is split by its second eigenvector, one small matrix for each group."""
-    import numpy as np
-    import pandas as pd
-
-    span = df.groupBy(*group).agg(*(F.min(c).alias(f"lo_{c}") for c in cols), *(F.max(c).alias(f"hi_{c}") for c in cols))
-    cell = lambda c: F.least(F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int").alias(f"b_{c}")
-    names = [f"b_{c}" for c in cols]
-    placed = df.join(span, group).select(*group, key, *(cell(c) for c in cols))
-    cells = placed.groupBy(*group, *names).agg(F.count("*").cast("double").alias("n"))
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-
-    def split(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(names, ignore_index=True)
-        z, n = (x[names].to_numpy(float) + 0.5) / bins, x["n"].to_numpy()
-        a = np.exp(-gamma * ((z[:, None] - z[None]) ** 2).sum(2)) * np.sqrt(n[:, None] * n[None])
-        d = np.sqrt(a.sum(1))
-        _, v = np.linalg.eigh(a / d[:, None] / d[None])
-        side = (v[:, -2] if len(x) > 1 else np.zeros(1)) / d
-        side = side * (1 if side[0] <= 0 else -1)  # the first cell is on side 0
-        return x[[*group, *names]].assign(side=(side > 0).astype(int))
-
-    sides = cells.groupBy(*group).applyInPandas(split, ", ".join(f"{c} {kinds[c]}" for c in (*group, *names)) + ", side int")
-    return placed.join(sides, [*group, *names]).select(*group, key, "side")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from verdigris.sources.shared import cut
 from pyspark.sql.types import NumericType, StringType
 
 from verdigris.functions.prefix import before
@@ -45,9 +46,16 @@ def low_cardinality_to_string(df: DataFrame, cols: list[str], below: int) -> Dat
 
 
 def encoding(df: DataFrame, col: str) -> DataFrame:
-    """value, code: the column's categories in order, from 0. Codes come from the distinct values, not the rows."""
+    """value, code: the column's categories in order, from 0. Codes come from the distinct values, not the rows: these are range
+    partitioned, numbered within their partition, and moved on by the sizes of the partitions before it."""
     values = df.select(F.col(col).alias("value")).where("value IS NOT NULL").distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("float").alias("code"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an id is the partition's number and, in its lower 33 bits, the row's
+    placed = cut(values.repartitionByRange(n, "value").sortWithinPartitions("value").select("value", F.monotonically_increasing_id().alias("_i")))
+    placed = placed.select("value", F.shiftright("_i", 33).alias("_p"), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)).alias("_r"))
+    size = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each partition
+    so_far = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(size.select("_p", so_far.alias("_o"))), "_p").select("value", (F.col("_o") + F.col("_r")).cast("float").alias("code"))
 
 
 def encode(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verdigris.operators import sampling, tabular
+from verdigris.operators import sampling, stratify, tabular
 from verdigris.plans.registry import query
 from verdigris.sources import tables as T
 
@@ -222,10 +222,23 @@ def a_rollup(spark, sf):
     return T.scores(spark, sf, 3).rollup("tree", "leaf").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 6).alias("prob"))
 
 
-@query("o3_column_sample", """WITH c AS (SELECT unnest(['x1', 'x2', 'x3', 'c1', 'n_chars', 'lang']) AS col), i AS (SELECT unnest(range(20)) AS iter)
-SELECT iter, col FROM (SELECT iter, col, row_number() OVER (PARTITION BY iter ORDER BY md5(concat_ws('|', 'cols', iter, col)), col) AS r FROM c, i) WHERE r <= ceil(least(6, floor(log2(20))))""")
+_DRAWS = """WITH c AS (SELECT node, col FROM xl GROUP BY node, col HAVING max(v) > min(v)), i AS (SELECT unnest(range(20)) AS iter),
+r AS (SELECT node, CAST(iter AS INTEGER) AS iter, col, row_number() OVER (PARTITION BY node, iter ORDER BY md5(concat_ws('|', 'cols', node, iter, col)), col) AS r, count(*) OVER (PARTITION BY node, iter) AS n FROM c, i)
+SELECT node, iter, col FROM r WHERE r <= ceil(least(n, %s))"""
+
+
+@query("o3_column_sample", _DRAWS % 2)
 def o3(spark, sf):
-    return sampling.column_draws(spark, ["x1", "x2", "x3", "c1", "n_chars", "lang"], 20, 20, "cols")
+    """Draws of the columns that vary in each node, two at a time."""
+    varying = tabular.varying_columns(T.customer_ml(spark, sf), ["node"], T.NUMERIC)
+    return sampling.group_column_draws(varying, ["node"], 2, 20, "cols", linear=True)
+
+
+@query("o9_log2_column_sample", _DRAWS % "floor(log2(7))")
+def o9(spark, sf):
+    """The same, log2 of seven at a time."""
+    varying = tabular.varying_columns(T.customer_ml(spark, sf), ["node"], T.NUMERIC)
+    return sampling.group_column_draws(varying, ["node"], 7, 20, "cols")
 
 
 @query("o5_inverse_frequency_bag", """WITH tot AS (SELECT count(*) AS n, count(CASE WHEN m0 + m1 + m2 + m3 + m4 > 0 THEN 1 END) AS pos, count(CASE WHEN sup THEN 1 END) AS ns, count(CASE WHEN NOT sup THEN 1 END) AS nu FROM cm),
@@ -244,6 +257,29 @@ def o7(spark, sf):
     return sampling.folds(T.customer_ml(spark, sf), Y, 5, "fold")
 
 
+@query("o6_iterative_split")
+def o6(spark, sf):
+    """30 % of the rows, and of each label's rows, as the test part; held against a plain version in tests."""
+    return stratify.parts(T.customer_ml(spark, sf), Y, [0.7, 0.3], "split")
+
+
+@query("o6_iterative_folds")
+def o6_folds(spark, sf):
+    return stratify.parts(T.customer_ml(spark, sf), Y, [0.2] * 5, "folds")
+
+
+@query("o6_split_shares", """WITH n AS (SELECT label, sum(y) AS n FROM yl GROUP BY label UNION ALL SELECT -1, count(*) FROM cm) SELECT CAST(label AS INTEGER) AS label, CAST(n AS BIGINT) AS n, true AS within FROM n""")
+def o6_shares(spark, sf):
+    """How many rows each label has (-1: all rows), and whether the parts' shares of them are within a row of what is asked for
+    (of two where a label's rows are tied to another label's)."""
+    df = T.customer_ml(spark, sf)
+    p = stratify.parts(df, Y, [0.7, 0.3], "split").join(df, "row_id").groupBy("part").agg(F.count("*").alias("c"), *(F.sum(c).alias(f"c{i}") for i, c in enumerate(Y)))
+    long = p.select("part", F.explode(F.array(F.struct(F.lit(-1).alias("label"), F.col("c").alias("n")), *(F.struct(F.lit(i).alias("label"), F.col(f"c{i}").alias("n")) for i in range(len(Y))))).alias("s"))
+    share = F.when(F.col("part") == 0, 0.7).otherwise(0.3)
+    whole = long.groupBy("s.label").agg(F.sum("s.n").alias("n"))
+    return long.select("part", "s.label", F.col("s.n").alias("got")).join(whole, "label").groupBy("label").agg(F.first("n").alias("n"), F.min(F.abs(F.col("got") - F.col("n") * share) <= 2).alias("within"))
+
+
 @query("o10_sorted_values", "SELECT node, x1, row_number() OVER (PARTITION BY node ORDER BY x1, row_id) AS place FROM cm")
 def o10(spark, sf):
     from verdigris.functions.prefix import before

@@ -121,43 +121,41 @@ def d11(spark, sf):
 f AS (SELECT c, max(d) AS far FROM (SELECT a AS c, d FROM q UNION ALL SELECT b, d FROM q) GROUP BY c)
 SELECT node, cl, round(avg(d / (far + 1e-5)), 6) + 0.0 AS avg FROM q JOIN f ON f.c = q.a GROUP BY ALL""")
 def d12(spark, sf):
-    """Mean of a cluster's pair distances, each column of the matrix scaled by its own range (its diagonal gives the
-    least, 0; its row's farthest member the greatest), over the lower triangle: the column is the pair's smaller row."""
-    df = clustered(spark, sf)
-    r = S.ranges(df, ["node"], X).alias("r")
-    a, b = df.alias("a"), df.alias("b")
-    j = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.cl") == F.col("b.cl")) & (F.col("a.row_id") != F.col("b.row_id"))).join(r, F.col("a.node") == F.col("r.node"))
-    d, lower = gower("a", "b", "r", X, C), F.col("b.row_id") > F.col("a.row_id")
-    # a column of the matrix is summed at once: its greatest value, and its sum and count below the diagonal
-    q = j.groupBy(F.col("a.node").alias("node"), F.col("a.cl").alias("cl"), F.col("a.row_id").alias("c")).agg(F.max(d).alias("far"), F.sum(F.when(lower, d)).alias("s"), F.count(F.when(lower, 1)).alias("n"))
-    return q.groupBy("node", "cl").agg(r6(F.sum(F.col("s") / (F.col("far") + 1e-5)) / F.sum("n")).alias("avg"))
+    """Mean of a cluster's pair distances, each column of the matrix scaled by its row's farthest member, over the lower triangle."""
+    return S.intra_distance(clustered(spark, sf), ["node"], "row_id", X, C).select("node", "cl", r6(F.col("avg")).alias("avg"))
 
 
 _VEC = "v AS (SELECT concat(y0, y1, y2, y3, y4) AS k, y0, y1, y2, y3, y4, count(*) AS n FROM cm GROUP BY ALL), vp AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, a.y0 * b.y0 + a.y1 * b.y1 + a.y2 * b.y2 + a.y3 * b.y3 + a.y4 * b.y4 AS s, a.y0 + a.y1 + a.y2 + a.y3 + a.y4 AS sa, b.y0 + b.y1 + b.y2 + b.y3 + b.y4 AS sb, CAST(a.y0 = b.y0 AS INTEGER) + CAST(a.y1 = b.y1 AS INTEGER) + CAST(a.y2 = b.y2 AS INTEGER) + CAST(a.y3 = b.y3 AS INTEGER) + CAST(a.y4 = b.y4 AS INTEGER) AS e FROM v a JOIN v b ON a.k <= b.k)"
 
 
-@query("u5_jaccard_compatibility", f"WITH {_VEC} SELECT a, b, na, nb, round(s / (sa + sb - s + 1e-8), 6) AS jaccard FROM vp")
+@query("u5_jaccard_compatibility", f"WITH {_VEC} SELECT a, b, na, nb, round(s / (sa + sb - s + 1e-8), 6) AS jaccard FROM vp WHERE s > 0 OR a = b")
 def u5(spark, sf):
     return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", "na", "nb", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("u10_jaccard_or_zero", f"WITH {_VEC} SELECT a, b, round(coalesce(s / nullif(sa + sb - s, 0), 0), 6) AS jaccard FROM vp")
+@query("u10_jaccard_or_zero", f"WITH {_VEC} SELECT a, b, round(coalesce(s / nullif(sa + sb - s, 0), 0), 6) AS jaccard FROM vp WHERE s > 0 OR a = b")
 def u10(spark, sf):
     """Two rows without any label have similarity 0."""
     return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", F.round("jaccard_or_zero", 6).alias("jaccard"))
 
 
-@query("u6_intersections", f"WITH {_VEC} SELECT a, b, CAST(s AS INTEGER) AS shared FROM vp")
+@query("u6_intersections", f"WITH {_VEC} SELECT a, b, CAST(s AS INTEGER) AS shared FROM vp WHERE s > 0 OR a = b")
 def u6(spark, sf):
     return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", "shared")
 
 
-@query("u7_simple_matching", f"WITH {_VEC} SELECT a, b, round(e / 5, 6) AS matching FROM vp")
+@query("u7_simple_matching", f"WITH {_VEC} SELECT a, b, round(e / 5, 6) AS matching FROM vp WHERE s > 0 OR a = b")
 def u7(spark, sf):
     return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", F.round("matching", 6).alias("matching"))
 
 
-@query("u8_cosine_compatibility", f"WITH {_VEC} SELECT a, b, round(s / nullif(sqrt(sa * sb), 0), 6) AS cosine FROM vp")
+@query("u7_matching_apart", f"WITH {_VEC} SELECT least(sa, sb) AS sa, greatest(sa, sb) AS sb, count(*) AS pairs, round(any_value(e) / 5, 6) AS matching FROM vp WHERE s = 0 AND a < b GROUP BY ALL")
+def u7_apart(spark, sf):
+    """Pairs without a common label, by the sizes of their vectors, which decide their matching."""
+    return S.matching_apart(T.customer_ml(spark, sf), Y).select("sa", "sb", "pairs", F.round("matching", 6).alias("matching"))
+
+
+@query("u8_cosine_compatibility", f"WITH {_VEC} SELECT a, b, round(s / nullif(sqrt(sa * sb), 0), 6) AS cosine FROM vp WHERE s > 0 OR a = b")
 def u8(spark, sf):
     return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", F.round("cosine", 6).alias("cosine"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.expressions import r6
 from verdigris.operators import clustering as C
+from verdigris.operators import spectral
 from verdigris.operators import splits as P
 from verdigris.plans.registry import query
 from verdigris.plans.similarity import MIXED, RANGE
@@ -98,10 +99,14 @@ fd AS (SELECT node, avg(m) AS f FROM (SELECT a.node, a.cl, avg({MIXED}) AS m FRO
 ind AS (SELECT node, corr(x1, x2) ** 2 + corr(x1, x3) ** 2 + corr(x2, x3) ** 2 AS r2 FROM asg GROUP BY node)"""
 
 
-@query("c6_split_score", f"""{_SCORE} SELECT ok.node, round((1 - l + least(s0, s1) / greatest(s0, s1) + least(s0 / n0, s1 / n1) / greatest(s0 / n0, s1 / n1) + bal + (s + 1) / 2 + 1 - r2 / 3 + 1 - f) / 7, 6) AS score
-FROM ok JOIN lab USING (node) JOIN bal USING (node) JOIN sl USING (node) JOIN fd USING (node) JOIN ind USING (node)""")
+_MATRIX = """, mq AS (SELECT node, ca, a, b, d FROM gp WHERE ca = cb), mf AS (SELECT c, max(d) AS far FROM (SELECT a AS c, d FROM mq UNION ALL SELECT b, d FROM mq) GROUP BY c),
+mx AS (SELECT node, avg(f) AS f FROM (SELECT node, ca, avg(d / (far + 1e-5)) AS f FROM mq JOIN mf ON mf.c = mq.a GROUP BY node, ca) GROUP BY node)"""
+
+
+@query("c6_split_score", f"""{_SCORE}{_MATRIX} SELECT ok.node, round((1 - l + least(s0, s1) / greatest(s0, s1) + least(s0 / n0, s1 / n1) / greatest(s0 / n0, s1 / n1) + bal + (s + 1) / 2 + 1 - r2 / 3 + 1 - f) / 7, 6) AS score
+FROM ok JOIN lab USING (node) JOIN bal USING (node) JOIN sl USING (node) JOIN mx USING (node) JOIN ind USING (node)""")
 def c6(spark, sf):
-    return C.option_scores(assigned(spark, sf), ["node"], "row_id", X, K, Y).select("node", F.round("score", 6).alias("score"))
+    return C.option_scores(assigned(spark, sf), ["node"], "row_id", X, K, Y, matrix=True).select("node", F.round("score", 6).alias("score"))
 
 
 @query("c6_split_terms_legacy", f"""{_SCORE} SELECT ok.node, round(1 - l, 6) AS labels, round(1 - bal, 6) AS example_balance, round((s + 1) / 2, 6) AS silhouette, round(1 - (3 + r2) / 3, 6) + 0.0 AS independence, round(1 - f, 6) AS features
@@ -225,9 +230,8 @@ def c16(spark, sf):
 
 @query("c8_spectral_sides")
 def c8(spark, sf):
-    """Two-way spectral sides of each node: the sign of the second eigenvector of the normalised affinity of the value
-    bins of two columns (Gaussian kernel), found by power iteration; bins keep the matrix of one size for any input."""
-    return P.spectral_sides(rows(spark, sf), ["node"], "row_id", ["x1", "x2"])
+    """Two-way spectral sides of each node's rows over all numbers; held against dense eigenvectors in tests."""
+    return spectral.sides(rows(spark, sf), ["node"], "row_id", X)
 
 
 @query("o4_related_columns", """WITH c AS (SELECT 'x2' AS col, abs(corr(x1, x2)) AS r FROM cm UNION ALL SELECT 'x3', abs(corr(x1, x3)) FROM cm) SELECT col, round(r, 6) AS r, row_number() OVER (ORDER BY r DESC, col) AS place FROM c""")
