@@ -15,6 +15,7 @@ four; rounds: the first nonterminal of each round; blocks are in the order (part
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import chunks, exact, partitions, text_bytes, written
 from .textkit import Words, mix, numbered, span_hash
 
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 MEMORY = 1_000_000  # distinct units that a worker remembers
-_BUCKETS = 20  # bits of the filter before pairs are counted
-_MARK = "§"
+_BUCKETS = 17  # bits of the filter before pairs are counted
+#: Signs that can stand between words that are encoded together: the first that the file has one id for.
+_MARKS = "™®©€•…|~"
 _TAIL = np.zeros(256, bool)
 _TAIL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
 _ALNUM = np.zeros(256, bool)
@@ -59,8 +61,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
-        mark = self.ids_of(_MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
+        single = [(c, ids[0]) for c in _MARKS if len(ids := self.ids_of(c)) == 1]
+        self.sign, self.mark = single[0] if single else ("", None)
+        merges = self.library.model.tokenize
+        self.merges = merges if all([t.id for t in merges(w)] == self.ids_of(w.upper()) for w in ("a", "the", "of", "tokenizer", "zqxjkvb", "internationalisation")) else None
         self.clear()
 
     def clear(self) -> None:
@@ -69,30 +73,42 @@ class Encoder:
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def ids_of(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without places in the text
 
     def learn(self, keys: list[bytes]) -> None:
         words = [k.decode("utf-8", "replace") for k in keys]
-        lists: list = [None] * len(words)
-        apart = [i for i, w in enumerate(words) if self.mark is None or _MARK in w or not w.isprintable()]
+        odd = [self.mark is None or self.sign in w or not w.isprintable() for w in words]
+        # a word of ASCII letters is one piece, whose bytes stand for themselves: its merges are the model's alone
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()] if self.merges else []
+        known = set(plain)
+        together, apart = [i for i, x in enumerate(odd) if not x and i not in known], [i for i, x in enumerate(odd) if x and i not in known]
+        flat, length = [], []
+        for k in range(0, len(plain), 4096):
+            each = [[t.id for t in self.merges(words[i].lower())] for i in plain[k : k + 4096]]
+            flat.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32))
+            length.append(np.fromiter(map(len, each), np.int64, len(each)))
+        for k in range(0, len(together), 4096):
+            some = together[k : k + 4096]
+            ids = np.array(self.ids_of(f" {self.sign} ".join([words[i] for i in some])), np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) != len(some) - 1:
+                raise ValueError("a word holds the id of the sign between words")
+            flat.append(ids[ids != self.mark])
+            length.append(np.diff(at, prepend=-1, append=len(ids)) - 1)
         for i in apart:
-            lists[i] = np.array(self.ids_of(words[i]), np.uint32)
-        rest = [i for i in range(len(words)) if lists[i] is None]
-        for k in range(0, len(rest), 4096):
-            some = rest[k : k + 4096]
-            ids = np.array(self.ids_of(f" {_MARK} ".join([words[i] for i in some])), np.uint32)
-            for i, x in zip(some, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                lists[i] = x if i == some[0] else x[1:]
-        n, length = len(self.known), np.fromiter(map(len, lists), np.int64, len(lists))
+            flat.append(np.array(self.ids_of(words[i]), np.uint32))
+            length.append(np.array([len(flat[-1])]))
+        flat, length = np.concatenate(flat), np.concatenate(length)
+        n = len(self.known)
         while n + len(keys) > len(self.start):
             self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
-        while self.used + length.sum() > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
         ends = self.used + np.cumsum(length)
-        self.flat[self.used : ends[-1]] = np.concatenate(lists)
         self.start[n : n + len(keys)], self.length[n : n + len(keys)] = ends - length, length
-        self.used = int(ends[-1])
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.used += len(flat)
+        self.known.update(zip([keys[i] for i in plain + together + apart], range(n, n + len(keys)), strict=True))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the number of each text's."""
@@ -105,8 +121,10 @@ class Encoder:
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         cut = w.end.copy()
+        moved = np.arange(len(cut))
         for _ in range(8):
-            cut -= _TAIL[w.buf[cut - 1]] & (cut > w.start)
+            moved = moved[_TAIL[w.buf[cut[moved] - 1]] & (cut[moved] > w.start[moved])]
+            cut[moved] -= 1
         latin = (w.buf[cut - 2] == 0xC3) & (w.buf[cut - 1] >= 0x80) & (w.buf[cut - 1] != 0x97) & (w.buf[cut - 1] != 0xB7)
         ok = (cut > w.start) & (cut < w.end) & (_ALNUM[w.buf[cut - 1]] | (latin & (cut - w.start >= 2)))
         cut = np.where(ok, cut, w.end)
