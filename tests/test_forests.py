@@ -201,7 +201,7 @@ def test_label_pairs_of_many_labels(spark):
     df = spark.createDataFrame([(i, "g", *map(int, r)) for i, r in enumerate(y)], ", ".join(["k long", "g string", *(f"{c} int" for c in labels)]))
     v = sorted({"".join(map(str, r)) for r in y})
     want = {(a, b): sum(p == q == "1" for p, q in zip(a, b)) for i, a in enumerate(v) for b in v[i:]}
-    pairs = similarity.compatibilities(df, labels)
+    pairs = similarity.shared_labels(df, labels)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     got = {(r.a, r.b): r for r in pairs.collect()}

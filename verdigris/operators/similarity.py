@@ -170,6 +170,22 @@ def label_vectors(df: DataFrame, group: list[str], labels: list[str]) -> DataFra
 
 
 def compatibilities(df: DataFrame, labels: list[str]) -> DataFrame:
+    """a, b (label sets as text), na, nb, shared, jaccard (1e-8 in the union), jaccard_or_zero (0 where the union is
+    empty), matching, cosine for each two distinct label vectors: the matrix itself, as many rows as there are pairs.
+    What only needs pairs with a common label is ``shared_labels``."""
+    v = label_vectors(df, [], labels)
+    text = F.array_join("y", "")
+    a, b = v.select(text.alias("a"), F.col("y").alias("ya"), F.col("n").alias("na")), v.select(text.alias("b"), F.col("y").alias("yb"), F.col("n").alias("nb"))
+    p = a.join(b, F.col("a") <= F.col("b"))  # pairs of distinct vectors: with many labels nearly as many as rows
+    shared = F.aggregate(F.zip_with("ya", "yb", lambda x, y: x * y), F.lit(0), lambda s, x: s + x)
+    same = F.aggregate(F.zip_with("ya", "yb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    size = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    p = p.withColumns({"shared": shared, "same": same, "sa": size("ya"), "sb": size("yb")})
+    return p.select("a", "b", "na", "nb", "shared", (F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared") + 1e-8)).alias("jaccard"), F.coalesce(F.try_divide(F.col("shared").cast("double"), F.col("sa") + F.col("sb") - F.col("shared")), F.lit(0.0)).alias("jaccard_or_zero"), (F.col("same") / float(len(labels))).alias("matching"),
+                    F.try_divide(F.col("shared").cast("double"), F.sqrt(F.col("sa").cast("double") * F.col("sb"))).alias("cosine"))
+
+
+def shared_labels(df: DataFrame, labels: list[str]) -> DataFrame:
     """a, b (label sets as text), na, nb, shared, jaccard (1e-8 in the union), jaccard_or_zero, matching, cosine for each two
     distinct label vectors a <= b that have a common label, and for each with itself.
 
@@ -195,7 +211,7 @@ def matching_apart(df: DataFrame, labels: list[str]) -> DataFrame:
     all_ = x.select("*", F.explode(F.sequence(F.col("sa"), F.lit(len(labels)))).alias("sb")).join(y, "sb")
     all_ = all_.select("sa", "sb", F.when(F.col("sa") == F.col("sb"), F.col("va") * (F.col("va") - 1) / 2).otherwise(F.col("va") * F.col("vb")).cast("long").alias("n"))
     size = lambda c: F.length(F.regexp_replace(c, "0", ""))
-    near = compatibilities(df, labels).where("a < b").groupBy(F.least(size("a"), size("b")).alias("sa"), F.greatest(size("a"), size("b")).alias("sb")).agg(F.count("*").alias("m"))
+    near = shared_labels(df, labels).where("a < b").groupBy(F.least(size("a"), size("b")).alias("sa"), F.greatest(size("a"), size("b")).alias("sb")).agg(F.count("*").alias("m"))
     left = all_.join(near, ["sa", "sb"], "left").select("sa", "sb", (F.col("n") - F.coalesce("m", F.lit(0))).alias("pairs")).where("pairs > 0")
     return left.select("sa", "sb", "pairs", ((len(labels) - F.col("sa") - F.col("sb")) / float(len(labels))).alias("matching"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verdigris.operators import sampling, stratify, tabular
+from verdigris.operators import parameters, sampling, stratify, tabular
 from verdigris.plans.registry import query
 from verdigris.sources import tables as T
 
@@ -90,6 +90,14 @@ def p10(spark, sf):
     return tabular.one_hot(T.table(spark, sf, "embeddings"), "label", "vec_id")
 
 
+@query("p11_labels_by_name", """SELECT 'o_orderstatus' AS col, count(DISTINCT o_orderstatus) AS n_distinct FROM orders UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice) FROM orders UNION ALL SELECT 'o_orderdate', count(DISTINCT o_orderdate) FROM orders
+UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders""")
+def p11(spark, sf):
+    """The columns whose names hold one text and lack another, with how many values each has."""
+    t = T.table(spark, sf, "orders")
+    return tabular.distinct_counts(t, parameters.labels_by_name(t.columns, "o_", "key"))
+
+
 @query("p12_min_max", "SELECT row_id, round((x1 - (SELECT min(x1) FROM cm)) / (SELECT max(x1) - min(x1) FROM cm), 6) AS x1, round((x3 - (SELECT min(x3) FROM cm)) / (SELECT max(x3) - min(x3) FROM cm), 6) AS x3 FROM cm")
 def p12(spark, sf):
     out = tabular.min_max(T.customer_ml(spark, sf).select("row_id", "x1", "x3"), ["x1", "x3"], "row_id")

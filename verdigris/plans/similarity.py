@@ -130,23 +130,23 @@ _VEC = "v AS (SELECT concat(y0, y1, y2, y3, y4) AS k, y0, y1, y2, y3, y4, count(
 
 @query("u5_jaccard_compatibility", f"WITH {_VEC} SELECT a, b, na, nb, round(s / (sa + sb - s + 1e-8), 6) AS jaccard FROM vp WHERE s > 0 OR a = b")
 def u5(spark, sf):
-    return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", "na", "nb", F.round("jaccard", 6).alias("jaccard"))
+    return S.shared_labels(T.customer_ml(spark, sf), Y).select("a", "b", "na", "nb", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("u10_jaccard_or_zero", f"WITH {_VEC} SELECT a, b, round(coalesce(s / nullif(sa + sb - s, 0), 0), 6) AS jaccard FROM vp WHERE s > 0 OR a = b")
 def u10(spark, sf):
     """Two rows without any label have similarity 0."""
-    return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", F.round("jaccard_or_zero", 6).alias("jaccard"))
+    return S.shared_labels(T.customer_ml(spark, sf), Y).select("a", "b", F.round("jaccard_or_zero", 6).alias("jaccard"))
 
 
 @query("u6_intersections", f"WITH {_VEC} SELECT a, b, CAST(s AS INTEGER) AS shared FROM vp WHERE s > 0 OR a = b")
 def u6(spark, sf):
-    return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", "shared")
+    return S.shared_labels(T.customer_ml(spark, sf), Y).select("a", "b", "shared")
 
 
 @query("u7_simple_matching", f"WITH {_VEC} SELECT a, b, round(e / 5, 6) AS matching FROM vp WHERE s > 0 OR a = b")
 def u7(spark, sf):
-    return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", F.round("matching", 6).alias("matching"))
+    return S.shared_labels(T.customer_ml(spark, sf), Y).select("a", "b", F.round("matching", 6).alias("matching"))
 
 
 @query("u7_matching_apart", f"WITH {_VEC} SELECT least(sa, sb) AS sa, greatest(sa, sb) AS sb, count(*) AS pairs, round(any_value(e) / 5, 6) AS matching FROM vp WHERE s = 0 AND a < b GROUP BY ALL")
@@ -157,7 +157,7 @@ def u7_apart(spark, sf):
 
 @query("u8_cosine_compatibility", f"WITH {_VEC} SELECT a, b, round(s / nullif(sqrt(sa * sb), 0), 6) AS cosine FROM vp WHERE s > 0 OR a = b")
 def u8(spark, sf):
-    return S.compatibilities(T.customer_ml(spark, sf), Y).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return S.shared_labels(T.customer_ml(spark, sf), Y).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("u5_masked_rows", """WITH k AS (SELECT node, count(CASE WHEN sup THEN 1 END) AS s, count(*) AS n FROM cm GROUP BY node) SELECT node, s * s AS scored, n * n - s * s AS unlabelled FROM k""")
@@ -179,18 +179,27 @@ def a15(spark, sf):
     return p.groupBy("node").agg(F.round(F.sum(F.col("w") * F.col("j")) / F.sum("w"), 6).alias("avg"))
 
 
-@query("u9_feature_affinity", """WITH s AS (SELECT (x1 - (SELECT min(x1) FROM cm)) / (SELECT max(x1) - min(x1) FROM cm) AS x1, (x2 - (SELECT min(x2) FROM cm)) / (SELECT max(x2) - min(x2) FROM cm) AS x2, (x3 - (SELECT min(x3) FROM cm)) / (SELECT max(x3) - min(x3) FROM cm) AS x3 FROM cm),
+_AFFINITY = """WITH s AS (SELECT (x1 - (SELECT min(x1) FROM cm)) / (SELECT max(x1) - min(x1) FROM cm) AS x1, (x2 - (SELECT min(x2) FROM cm)) / (SELECT max(x2) - min(x2) FROM cm) AS x2, (x3 - (SELECT min(x3) FROM cm)) / (SELECT max(x3) - min(x3) FROM cm) AS x3 FROM cm),
 d AS (SELECT stddev_pop(x1) AS d1, stddev_pop(x2) AS d2, stddev_pop(x3) AS d3 FROM s),
 k AS (SELECT rank() OVER (ORDER BY x1) + (count(*) OVER (PARTITION BY x1) - 1) / 2.0 AS x1, rank() OVER (ORDER BY x2) + (count(*) OVER (PARTITION BY x2) - 1) / 2.0 AS x2, rank() OVER (ORDER BY x3) + (count(*) OVER (PARTITION BY x3) - 1) / 2.0 AS x3 FROM cm),
 c AS (SELECT corr(x1, x2) AS a, corr(x1, x3) AS b, corr(x2, x3) AS c FROM k)
-SELECT 'x1' AS a, 'x2' AS b, round(0.5 * greatest(d1, d2) + 0.5 * (1 - abs(c.a)), 6) AS w FROM c, d UNION ALL SELECT 'x1', 'x3', round(0.5 * greatest(d1, d3) + 0.5 * (1 - abs(c.b)), 6) FROM c, d UNION ALL SELECT 'x2', 'x3', round(0.5 * greatest(d2, d3) + 0.5 * (1 - abs(c.c)), 6) FROM c, d""")
+"""
+
+
+@query("u9_feature_affinity", _AFFINITY + """SELECT 'x1' AS a, 'x2' AS b, round(0.5 * greatest(d1, d2) + 0.5 * (1 - abs(c.a)), 6) AS w FROM c, d UNION ALL SELECT 'x1', 'x3', round(0.5 * greatest(d1, d3) + 0.5 * (1 - abs(c.b)), 6) FROM c, d UNION ALL SELECT 'x2', 'x3', round(0.5 * greatest(d2, d3) + 0.5 * (1 - abs(c.c)), 6) FROM c, d""")
 def u9(spark, sf):
     return S.feature_affinity(T.customer_ml(spark, sf), X, "row_id").withColumn("w", F.round("w", 6))
 
 
-@query("u9_feature_weights")
+#: The affinities of three columns, the greatest root of their matrix (no diagonal, no negative entry), and the inverse by its minors.
+@query("u9_feature_weights", _AFFINITY.rstrip() + """,
+w AS (SELECT 0.5 * greatest(d1, d2) + 0.5 * (1 - abs(c.a)) AS a, 0.5 * greatest(d1, d3) + 0.5 * (1 - abs(c.b)) AS b, 0.5 * greatest(d2, d3) + 0.5 * (1 - abs(c.c)) AS d FROM c, d),
+p AS (SELECT *, (a * a + b * b + d * d) / 3 AS p FROM w), ek AS (SELECT *, 0.9 / (2 * sqrt(p) * cos(acos(least(1, a * b * d / (p * sqrt(p)))) / 3)) AS k FROM p),
+em AS (SELECT *, 1 - k * k * (a * a + b * b + d * d) - 2 * k * k * k * a * b * d AS det FROM ek),
+es AS (SELECT (1 - k * k * d * d) / det - 1 AS s11, (1 - k * k * b * b) / det - 1 AS s22, (1 - k * k * a * a) / det - 1 AS s33, (k * a + k * k * b * d) / det AS s12, (k * b + k * k * a * d) / det AS s13, (k * d + k * k * a * b) / det AS s23 FROM em)
+SELECT unnest(['x1', 'x2', 'x3', 'x1', 'x2', 'x1', 'x3', 'x2', 'x3']) AS a, unnest(['x1', 'x2', 'x3', 'x2', 'x1', 'x3', 'x1', 'x3', 'x2']) AS b, round(unnest([s11, s22, s33, s12, s12, s13, s13, s23, s23]), 6) AS s FROM es""")
 def u9_weights(spark, sf):
-    return S.feature_weights(T.customer_ml(spark, sf), X, "row_id")
+    return S.feature_weights(T.customer_ml(spark, sf), X, "row_id").withColumn("s", F.round("s", 6))
 
 
 @query("j6_nearest_labelled", f"""WITH rg AS (SELECT node AS rn, min(x1) AS l1, max(x1) AS h1, min(x2) AS l2, max(x2) AS h2, min(x3) AS l3, max(x3) AS h3 FROM cm GROUP BY node),
