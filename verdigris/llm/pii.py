@@ -69,8 +69,8 @@ FEATURES = {
     "says_other": r"CAST(x.c RLIKE '(?i)(?:isbn|order|invoice|id|ref|version|date|price|total|page|serial|time|on|mac)[^a-z]{0,3}(?:is|no|number|nr)?[^a-z0-9]*$' AS INT)",
 }
 
-TRAINING_ROWS = 8_400
-ROUNDS = 16
+TRAINING_ROWS = 9_000
+ROUNDS = 24
 RATE = 0.4
 PRECISION = 0.98
 
@@ -152,6 +152,8 @@ def training_rows(spark: SparkSession) -> DataFrame:
         (0, 1, f"concat({word(1)}, ' ', {word(2)}, ' at ', {host}, ' dot ', {end})"),
         (0, 1, f"concat({word(1)}, ' ', {word(2)}, {d(2, 1)}, ' @ ', {host}, '.', {end})"),
         (0, 1, f"concat({word(1)}, ' ', {word(2)}, ' @ ', {host}, ' . ', {end})"),
+        (0, 1, f"concat({word(1)}, ' ', {word(2)}, ' @ ', {host}, '.', {end})"),
+        (0, 1, f"concat({lead('mail ', 'contact: ', 'to ')}, {word(2)}, '.', {word(3)}, ' @ ', {host}, '.', {end})"),
         (0, 0, f"concat({word(1)}, ' ', {word(2)}, ' ', {d(2, 1)}, ' at ', {d(2, 2)}, '.', {d(2, 3)}, ' ', {word(3)})"),
         (0, 0, f"concat({word(1)}, ' ', {word(2)}, {d(2, 1)}, ' at ', {word(4)}, ' dot ', {word(3)})"),
         (0, 0, f"concat({lead('mail ', 'contact ', 'x ', 'y ')}, {word(2)}, ' at ', element_at(array('the', 'a', 'our', 'that'), CAST(pmod(xxhash64(id, 34), 4) AS INT) + 1), ' dot ', {end})"),
