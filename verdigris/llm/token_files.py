@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, exact, partitions, text_bytes, written
-from .textkit import Words, mix, numbered, span_hash
+from .textkit import Words, eights, mix, numbered, span_hash
+from .textkit import _unlike as unlike
 
 BLOCK = 1 << 17
+#: Bytes of texts that are encoded together.
+TEXTS = 4 << 20
 MEMORY = 1_000_000  # distinct units that a worker remembers
 _BUCKETS = 17  # bits of the filter before pairs are counted
 #: Signs that can stand between words that are encoded together: the first that the file has one id for.
@@ -47,6 +50,15 @@ def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
 
 
+def _numbered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``numbered``, by a table of the hashes in place of their order; all spans of a number are compared with its first."""
+    hashes = span_hash(buf, start, end)
+    at, seen = pd.factorize(hashes)
+    first = np.empty(len(seen), np.int64)
+    first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    return numbered(buf, start, end, hashes) if unlike(eights(buf), buf, start, end, first[at]) else (at, first)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer drops white space: distinct words are encoded once.
 
@@ -132,7 +144,7 @@ class Encoder:
         own = np.repeat(w.doc, 2)
         full = end > start
         start, end, own = start[full], end[full], own[full]
-        at, first = numbered(w.buf, start, end, span_hash(w.buf, start, end))
+        at, first = _numbered(w.buf, start, end)
         raw, known = w.buf.tobytes(), self.known
         keys = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if new := [k for k in keys if k not in known]:
@@ -176,7 +188,8 @@ def replaceable(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         order = np.arange(len(place))
         odd = same[(order - np.maximum.accumulate(np.where(new, order, 0))) % 2 == 1]
         held, at, key = at[odd], np.delete(at, odd), np.delete(key, odd)
-    pairs, own, n = np.unique(key, return_inverse=True, return_counts=True)
+    own, pairs = pd.factorize(key)
+    n = np.bincount(own, minlength=len(pairs))
     many = n > 1
     if not many.any():
         return none, none, none, none
@@ -304,7 +317,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49_408,
 
         for b in batches:
             all_ids, texts = b["doc_id"].tolist(), b["_t"].to_list()
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, TEXTS):
                 flat, n = encode(texts[i:j])
                 # room for the end id after each document
                 out = np.full(len(flat) + j - i, end_id, np.uint32)
