@@ -67,6 +67,21 @@ def plain_forest(rows, cols, trees, depth, balanced=False, seed="leaf"):
     return prob, share
 
 
+def test_leaf_forests_in_parts(spark, monkeypatch):
+    """A row stays one row whatever the trees and labels, and a group's parts add up to the same forests and answers."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([("g", i, rng.random(), rng.random(), int(rng.random() < 0.4)) for i in range(90)], "g string, k long, a double, b double, y int")
+    seen = []
+    for part in (1 << 20, 16):
+        monkeypatch.setattr(leaf_forests, "PART", part)
+        kept = []
+        monkeypatch.setattr(leaf_forests, "cut", lambda t, kept=kept: kept.append(t.checkpoint()) or kept[-1])
+        model = leaf_forests.fit(df, ["g"], "k", ["a", "b"], ["y"], 6, 2)
+        assert [t.count() for t in kept if "_w" in t.columns] == [90]
+        seen.append((sorted(map(tuple, model["nodes"].collect()), key=repr), sorted(map(tuple, leaf_forests.predictions(model, df, ["g"], "k", ["a", "b"]).collect()))))
+    assert seen[0] == seen[1] and len(seen[0][1]) == 90
+
+
 @pytest.mark.parametrize("balanced", [False, True])
 def test_leaf_forests(spark, balanced):
     rng = random.Random(3)
