@@ -315,3 +315,13 @@ def test_label_queries_list_all_pairs(spark, name):
     every = {x for p in pairs for x in p}
     assert pairs == {(a, b) for a in every for b in every if a <= b}
     assert "WHERE s > 0" not in registry.ORACLES[name]
+
+
+def test_bins_are_computed_once(spark):
+    """Rows and sums of a bin use the same bounds: approximate quantiles differ from one evaluation to the next."""
+    df = spark.range(1000).selectExpr("id AS k", "id % 3 AS g", "CAST(id * 7 % 101 AS DOUBLE) AS x")
+    out = prefix.before(df, ["g"], "x", "k", {"n": F.lit(1)}, bins=8)
+    assert "percentile_approx" not in out._jdf.queryExecution().toString()
+    rows = out.collect()
+    for r in rows:
+        assert r.n == sum(1 for o in rows if o.g == r.g and (o.x, o.k) < (r.x, r.k))

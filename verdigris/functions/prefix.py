@@ -1,7 +1,8 @@
 """Sums over all smaller values of a group, in two levels.
 
 A window over a whole group sorts the group in one task. Here values fall into bins between quantiles of their group,
-so that a long tail doesn't leave most rows in one; rows of one value share a bin. Sums of the bins are accumulated over bins (groups x bins rows), rows within a bin by a window of the bin alone.
+so that a long tail doesn't leave most rows in one; rows of one value share a bin. Approximate quantiles depend on the order in which
+parts arrive, so they are computed once, and rows and sums use the same ones. Sums of the bins are accumulated over bins (groups x bins rows), rows within a bin by a window of the bin alone.
 """
 
 from __future__ import annotations
@@ -9,24 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.sources.shared import cut
+
 BINS = 512
 
 
-def _binned(df: DataFrame, group: list[str], x: str, bins: int) -> DataFrame:
-    """df and _bin: bins of about as many rows of each group, by approximate quantiles of x (equal ones are one bound)."""
+def _binned(df: DataFrame, group: list[str], x: str, bins: int, at: Column | None = None) -> DataFrame:
+    """df and _bin: bins of about as many rows of each group, by approximate quantiles of x (equal ones are one bound), or by at."""
+    if at is not None:
+        return df.withColumn("_bin", at)
     depth = max(1, (bins - 1).bit_length())
     share = [i / (1 << depth) for i in range(1, 1 << depth)]
-    bounds = df.groupBy(*group).agg(F.percentile_approx(F.col(x).cast("double"), share, 4 * bins).alias("_bounds"))
+    bounds = cut(df.groupBy(*group).agg(F.percentile_approx(F.col(x).cast("double"), share, 4 * bins).alias("_bounds")))
     # how many bounds are below x, bit by bit
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(depth))))
     at = F.aggregate(steps, F.lit(0), lambda s, k: s + F.when(F.element_at("_bounds", s + k) < F.col(x), k).otherwise(0))
     return df.join(bounds, group).withColumn("_bin", at).drop("_bounds")
 
 
-def before(df: DataFrame, group: list[str], x: str, key: str, sums: dict[str, Column], bins: int = BINS, following: str | None = None) -> DataFrame:
+def before(df: DataFrame, group: list[str], x: str, key: str, sums: dict[str, Column], bins: int = BINS, following: str | None = None, at: Column | None = None) -> DataFrame:
     """df and, for each of sums, its sum over the rows of the group that come earlier by (x, key); 0 for none.
-    following: the name of one more column, the x of the next row; null for the last."""
-    rows = _binned(df, group, x, bins).withColumns({f"_{k}": v for k, v in sums.items()})
+    following: the name of one more column, the x of the next row; null for the last. at: the bin of a row, where one is known
+    that never falls as x grows."""
+    rows = _binned(df, group, x, bins, at).withColumns({f"_{k}": v for k, v in sums.items()})
     by_bin = Window.partitionBy(*group).orderBy("_bin")
     earlier = by_bin.rowsBetween(Window.unboundedPreceding, -1)
     whole = rows.groupBy(*group, "_bin").agg(*(F.sum(f"_{k}").alias(f"_t{k}") for k in sums), F.min(x).alias("_least"))

@@ -28,11 +28,12 @@ def group_column_draws(columns: DataFrame, group: list[str], n_attr: int, iterat
 
 def _first(df: DataFrame, stratum: list[str], key: str, seed: str, tag: list) -> DataFrame:
     """df with r: the row's place in its stratum by hash, counted in two levels so that no stratum is sorted in one task."""
-    from verdigris.functions.prefix import before
+    from verdigris.functions.prefix import BINS, before
 
     out = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), *tag, key).cast("binary"))).withColumn("_x", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"))
     out = out.withColumn("_k", F.concat_ws("|", "_h", F.lpad(F.col(key).cast("string"), 20, "0")))
-    return before(out, stratum, "_x", "_k", {"r": F.lit(1)}).withColumn("r", F.col("r") + 1).drop("_h", "_x", "_k")
+    even = F.floor(F.col("_x") / float(1 << 48) * BINS)  # hashes are spread evenly
+    return before(out, stratum, "_x", "_k", {"r": F.lit(1)}, at=even).withColumn("r", F.col("r") + 1).drop("_h", "_x", "_k")
 
 
 def inverse_frequency_bag(df: DataFrame, labels: list[str], share: float, seed: str, key: str = "row_id") -> DataFrame:
