@@ -325,3 +325,16 @@ def test_bins_are_computed_once(spark):
     rows = out.collect()
     for r in rows:
         assert r.n == sum(1 for o in rows if o.g == r.g and (o.x, o.k) < (r.x, r.k))
+
+
+def test_matrix_summary(spark):
+    """Equal to the pairs; plans of the registered queries don't form them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], float(rng.integers(0, 40)), float(rng.random()), "xyz"[rng.integers(0, 3)]) for i in range(60)]
+    rows += [(60, "c", 1.0, 2.0, "x"), (61, "c", 1.0, 2.0, "x"), (62, "c", 4.0, 2.0, "y"), (63, "d", 1.0, 1.0, "x")]
+    df = spark.createDataFrame(rows, "row_id long, node string, x double, z double, c string")
+    p = similarity.pairs(df, ["node"], "row_id", lambda a, b, r: gower(a, b, r, ["x", "z"], ["c"]), ["x", "z"])
+    want = {r.node: (r.n, r.avg, r.hi, r.lo) for r in p.groupBy("node").agg(F.count("*").alias("n"), F.avg("d").alias("avg"), F.max("d").alias("hi"), F.min("d").alias("lo")).collect()}
+    got = {r.node: (r.n, r.avg, r.hi, r.lo) for r in similarity.matrix_summary(df, ["node"], "row_id", ["x", "z"], ["c"]).collect()}
+    assert set(got) == set(want) == {"a", "b", "c"} and got["c"][3] == 0
+    assert all(np.allclose(got[g], want[g], atol=1e-9) for g in want)

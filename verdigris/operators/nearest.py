@@ -85,9 +85,10 @@ class Index:
             todo += [at[:half], at[half:]]
         return out
 
-    def search(self, x: np.ndarray, c: list[list], best: np.ndarray, digits: int | None, far: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, c: list[list], best: np.ndarray, digits: int | None, far: bool = False, itself: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, distance, members looked at) of each query's nearest member, ties to the least key; place -1 where none is
-        as near as best. far: of the farthest one; distances count negative, so that the farthest is the least."""
+        as near as best. far: of the farthest one; distances count negative, so that the farthest is the least. itself: a place
+        that each query may not find, -1 for none."""
         n = len(x)
         own = np.array([[seen.get(r[j], len(seen)) for j, seen in enumerate(self.codes)] for r in c], np.int64).reshape(n, len(self.codes))
         bound = np.zeros((n, len(self.lo)))
@@ -116,6 +117,8 @@ class Index:
             for j in range(own.shape[1]):
                 d += own[q, j, None] != self.code[leaf, :, j]
             d = np.where(self.there[leaf], (d if digits is None else np.round(d, digits)) * (-1 if far else 1), np.inf)
+            if itself is not None:
+                d[self.place[leaf] == itself[q, None]] = np.inf
             k = d.argmin(1)  # the least key of the equal ones
             d, p = d[np.arange(len(q)), k], self.place[leaf, k]
             better = (d < best[q]) | ((d == best[q]) & ((place[q] < 0) | (p < place[q])))
@@ -128,7 +131,7 @@ def _rows(b: pd.DataFrame, name: str, width: int) -> np.ndarray:
     return np.array([list(r) for r in b[name]], float).reshape(len(b), width)
 
 
-def _searched(digits: int | None, numbers: int, far: bool, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _searched(digits: int | None, numbers: int, far: bool, apart: bool, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(key, g, nearest, d, looked) for queries; rows come by (g, shard, part, kind), the members of kind 0 first."""
     last, held, index = None, [], None
     for b in batches:
@@ -150,18 +153,21 @@ def _searched(digits: int | None, numbers: int, far: bool, batches: Iterable[pd.
             if index is None:
                 members = pd.concat(held) if len(held) > 1 else held[0]
                 index = Index(members["key"].to_list(), _rows(members, "x", numbers), [list(r) for r in members["c"]], np.array(members["span"].iloc[0], float))
+                if apart:
+                    index.at = {k: i for i, k in enumerate(index.key)}
                 held = [members.iloc[:1]]
             for k in range(0, len(asked), 1_000):
                 some = asked.iloc[k : k + 1_000]
                 best = some["best"].to_numpy(float)
-                place, d, looked = index.search(_rows(some, "x", numbers), [list(r) for r in some["c"]], best, digits, far)
+                itself = np.array([index.at.get(k, -1) for k in some["key"]]) if apart else None
+                place, d, looked = index.search(_rows(some, "x", numbers), [list(r) for r in some["c"]], best, digits, far, itself)
                 found = np.flatnonzero(place >= 0)
                 out.append(pd.DataFrame({"key": some["key"].to_numpy()[found], "g": some["g"].to_numpy()[found], "nearest": [index.key[p] for p in place[found]], "d": d[found], "looked": looked[found]}))
         if out:
             yield pd.concat(out, ignore_index=True)
 
 
-def _asked(members: DataFrame, queries: DataFrame, kind: str, numbers: int, digits: int | None, far: bool) -> DataFrame:
+def _asked(members: DataFrame, queries: DataFrame, kind: str, numbers: int, digits: int | None, far: bool, apart: bool) -> DataFrame:
     """key, g, nearest, d, looked: queries (key, g, x, c, shard, best) searched in their shards."""
     spark = members.sparkSession
     parts = queries.groupBy("g", "shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
@@ -169,7 +175,7 @@ def _asked(members: DataFrame, queries: DataFrame, kind: str, numbers: int, digi
     dealt = queries.join(parts, ["g", "shard"]).select("g", "shard", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "key", "x", "c", F.lit(None).cast("array<double>").alias("span"), "best")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = copies.unionByName(dealt).repartition(n, "g", "shard", "part").sortWithinPartitions("g", "shard", "part", "kind")
-    return both.mapInPandas(functools.partial(_searched, digits, numbers, far), f"key {kind}, g string, nearest {kind}, d double, looked long")
+    return both.mapInPandas(functools.partial(_searched, digits, numbers, far, apart), f"key {kind}, g string, nearest {kind}, d double, looked long")
 
 
 def _halved(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -217,14 +223,14 @@ def _others(found: DataFrame, queries: DataFrame, members: DataFrame, rounds: in
     return reduce(DataFrame.unionByName, done)
 
 
-def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, numeric: list[str], categorical: list[str], spans: DataFrame | None = None, digits: int | None = None, farthest: bool = False) -> DataFrame:
+def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, numeric: list[str], categorical: list[str], spans: DataFrame | None = None, digits: int | None = None, farthest: bool = False, apart: bool = False) -> DataFrame:
     """key, by, nearest, d, looked: for each query row the nearest member of its group (``by``), ties to the least key.
 
     d is the sum over columns, not their mean; with digits, rounded to so many before it is compared. spans: by and
     span_<col> for each number; else the range over the group's members and queries. A column that a group leaves out is the same
     in all of its rows. Numbers have no nulls; a null category equals only nulls. A query may be asked once for each group. looked: how
     many members were compared with the query. Queries of groups without members have no row. farthest: the farthest member
-    instead, ties to the least key.
+    instead, ties to the least key. apart: a query does not find the member of its own key.
     """
     kind = members.schema[key].dataType.simpleString()
     if spans is None:
@@ -239,11 +245,11 @@ def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, num
     asked = queries.select(named, F.col(key).alias("key"), x, c, F.lit(float("inf")).alias("best"), F.lit(1).cast("long").alias("shard"))
     for cuts in rounds:
         asked = _halved(asked, cuts)
-    found = _asked(rows, asked, kind, len(numeric), digits, farthest)
+    found = _asked(rows, asked, kind, len(numeric), digits, farthest, apart)
     if rounds:
         asked = cut(asked)
         found = cut(found)
-        more = _asked(rows, _others(found, asked, rows, len(rounds), len(numeric), len(categorical) if farthest else None), kind, len(numeric), digits, farthest)
+        more = _asked(rows, _others(found, asked, rows, len(rounds), len(numeric), len(categorical) if farthest else None), kind, len(numeric), digits, farthest, apart)
         both = found.unionAll(more).groupBy("key", "g").agg(F.min(F.struct("d", "nearest", "looked")).alias("x"), F.sum("looked").alias("n"))
         found = both.select("key", "g", "x.nearest", "x.d", F.col("n").alias("looked"))
     groups = queries.select(*by).distinct().select(*by, F.to_json(F.struct(*by)).alias("_g"))
