@@ -65,10 +65,15 @@ class Forest:
         named = leaf.withColumn("_name", F.concat_ws("_", "tree", self.key))
         done = L.completed_labels(named, LEAF, "_name", self.numeric, self.categorical, self.labels, self.reps, min(self.width, len(cols)))
         train = cut(done.join(named.select("_name", self.key, *self.numeric), "_name").select(*LEAF, self.key, *self.numeric, *self.labels))
-        model = LF.fit(train, LEAF, self.key, self.numeric, self.labels, self.leaf_trees, self.leaf_depth)
-        self.fitted = {"df": df, "nodes": nodes, "members": members, "train": train, "leaves": model}
+        self.fitted = {"df": df, "nodes": nodes, "members": members, "train": train}
         return self
 
+    def leaves(self) -> dict[str, DataFrame]:
+        """The leaves' forests, trained when they are first asked for: rules and explanations don't need them."""
+        if "leaves" not in self.fitted:
+            self.fitted["leaves"] = LF.fit(self.fitted["train"], LEAF, self.key, self.numeric, self.labels, self.leaf_trees, self.leaf_depth)
+        return self.fitted["leaves"]
+
     def routed(self, rows: DataFrame, trees: DataFrame | None = None) -> DataFrame:
         """key, tree, node: the leaf of each row in each tree, or in those that trees (key, tree) names for it."""
         f = self.fitted
@@ -77,7 +82,7 @@ class Forest:
     def by_tree(self, rows: DataFrame, trees: DataFrame | None = None) -> DataFrame:
         """tree, node, key, label, prob, pred: what each row's leaf in each tree says of it."""
         at = self.routed(rows, trees).join(rows.select(self.key, *self.numeric), self.key)
-        return LF.predictions(self.fitted["leaves"], at, LEAF, self.key, self.numeric)
+        return LF.predictions(self.leaves(), at, LEAF, self.key, self.numeric)
 
     def predict_with_proba(self, rows: DataFrame, trees: DataFrame | None = None) -> DataFrame:
         """key, label, vote, prob, pred: 1 where half of the trees or more say so; prob is their mean."""
@@ -133,7 +138,7 @@ class Forest:
     def save(self, path: str) -> None:
         """Writes nodes, members (one folder for each tree: the snapshots of its nodes), rules and leaf models below path."""
         f = self.fitted
-        tables = {"nodes": f["nodes"], "rules": self.rules(), **{f"leaf_{k}": v for k, v in f["leaves"].items()}}
+        tables = {"nodes": f["nodes"], "rules": self.rules(), **{f"leaf_{k}": v for k, v in self.leaves().items()}}
         for name, t in tables.items():
             t.write.mode("errorifexists").parquet(f"{path}/{name}")
         f["members"].write.mode("errorifexists").partitionBy("tree").parquet(f"{path}/members")
