@@ -284,7 +284,7 @@ def test_rules_train_no_leaf_forests(spark):
     """Rules come from trees and completed labels alone; predictions train the leaves, once."""
     rng = random.Random(2)
     rows = [(i, rng.random(), rng.random(), *((rng.randrange(2), rng.randrange(2)) if i % 2 else (-1, -1))) for i in range(40)]
-    df = spark.createDataFrame(rows, "k long, a double, b double, y int, z int")
-    f = training.Forest("k", ["a", "b"], [], ["y", "z"], forest.Config(trees=1, depth=0), reps=1, leaf_trees=2, leaf_depth=1).fit(df)
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, y int, z int")
+    f = training.Forest("row_id", ["a", "b"], [], ["y", "z"], forest.Config(trees=1, depth=0), reps=1, leaf_trees=2, leaf_depth=1).fit(df)
     assert f.rules().count() == 1 and "leaves" not in f.fitted
     assert f.predict(df).count() == 80 and f.leaves() is f.leaves()
