@@ -195,7 +195,8 @@ def cross_validated(df: DataFrame, folds: DataFrame, k: int, forest: Forest, tru
         own = df.where(F.col("fold") != f)
         for t in range(c.trees):
             bag = sampling.inverse_frequency_bag(own, forest.labels, c.bag, f"{c.seed}{f}_{t}", key)
-            bags.append(bag.select(F.lit(f * c.trees + t).alias("tree"), F.lit(1).cast("long").alias("node"), key))
+            # a plan for each bag: one of all would grow with folds and trees
+            bags.append(cut(bag.select(F.lit(f * c.trees + t).alias("tree"), F.lit(1).cast("long").alias("node"), key)))
     fitted = replace(forest, fitted={}).fit(df, cut(reduce(DataFrame.unionAll, bags)), n * (k - 1) // k)
     trees = df.select(key, F.explode(F.sequence(F.col("fold") * c.trees, F.col("fold") * c.trees + c.trees - 1).cast("array<int>")).alias("tree"))
     scored = fitted.predict_with_proba(df, trees)
