@@ -75,3 +75,30 @@ def test_queries_on_the_index(spark):
     found = N.nearest(df.where("sup"), df.where("NOT sup"), ["node"], "row_id", T.NUMERIC, T.CATEGORICAL).agg(F.sum("looked").alias("n"), F.count("*").alias("q")).first()
     per = df.where("sup").groupBy("node").count().agg(F.avg("count")).first()[0]
     assert found.q == df.where("NOT sup").count() and found.n < 0.05 * found.q * per, found.n / (found.q * per)
+
+
+def test_equal_members_are_looked_at_once():
+    """Copies of a member don't make its leaves more, and a bound of 0 doesn't ask them all."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(30, 3)), 200, axis=0)
+    c = [["a"]] * len(x)
+    order = rng.permutation(len(x))
+    place, d, looked = N.Index(order.tolist(), x, c, np.ptp(x, axis=0)).search(x[::50], c[::50], np.full(120, np.inf), 9)
+    assert (d == 0).all() and looked.mean() <= 32
+
+
+def test_other_shards_follow_from_boxes(spark, monkeypatch):
+    """Every other shard is told by one look at the group's boxes, not by a walk down a tree of them: no plan for a level."""
+    monkeypatch.setattr(N, "SHARD", 10)
+    cuts = []
+    monkeypatch.setattr(N, "cut", lambda df, own=N.cut: cuts.append(1) or own(df))
+    rows = [(i, float(i % 97), float(i % 89), "ab"[i % 2]) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "k long, x1 double, x2 double, c string")
+    df = df.withColumn("g", F.lit(1))
+    got = N.nearest(df.where("k % 3 = 0"), df.where("k % 3 = 1"), ["g"], "k", ["x1", "x2"], ["c"])
+    members, asked = [r for r in rows if r[0] % 3 == 0], [r for r in rows if r[0] % 3 == 1]
+    found = {r.k: r.d for r in got.collect()}
+    for q in asked:
+        least = min(abs(q[1] - m[1]) / (96 + 1e-12) + abs(q[2] - m[2]) / (88 + 1e-12) + (q[3] != m[3]) for m in members)
+        assert abs(found[q[0]] - least) < 1e-9
+    assert len(cuts) <= 20

@@ -1,11 +1,12 @@
 """The nearest or the farthest member of a group for each query row, by an exact index instead of all pairs.
 
 The distance is that of the mixed tables: absolute differences over a span for each number, 1 for each category that
-differs, summed in the order of the columns. Members of a group are dealt into shards of SHARD rows at most, by cuts
-at medians of the widest column; a shard fits a task. In it, members stand in leaves of LEAF rows with a bounding box (ranges of
-the numbers, the categories that occur). A query looks at leaves in the order of their lower bounds and stops when the bound
-proves that no other leaf holds a nearer member or an equal one. It is searched in the shard that it falls into first; the distance
-found there decides, level by level down the tree of cuts, which other shards are asked at all.
+differs, summed in the order of the columns. Members of a group are dealt into shards of about SHARD rows, by cuts
+at quantiles of the widest column, WAYS at once; a shard fits a task. In it, different members stand in leaves of LEAF rows and leaves
+in blocks of BLOCK, each with a bounding box (ranges of the numbers, the categories that occur). A query looks at blocks, then at their
+leaves, in the order of their lower bounds and stops when the bound proves that no other leaf holds a nearer member or an equal one.
+It is searched in the shard that it falls into first; the distance found there and the boxes of the group's shards decide which others
+are asked at all.
 
 Queries of a shard are dealt into parts, each with a copy of the shard, so a shard that many ask isn't one task.
 """
@@ -25,47 +26,73 @@ from pyspark.sql import functions as F
 from verdigris.sources.shared import cut
 
 SHARD = 65_536
+#: Parts that a shard is cut into at once.
+WAYS = 8
 LEAF = 32
+#: Leaves of a block.
+BLOCK = 32
 #: Queries of a shard that go to one task.
 QUERIES = 262_144
+#: Queries that a task searches at once, and leaves that it compares at once.
+SOME = 4_096
+#: Blocks, and leaves of a block, that queries look at one after the other before they look at all that are left.
+FIRST = 3
 #: Different categories of a column beyond which leaves don't tell them apart.
 CODES = 4_096
 #: More than any error of rounding in a sum.
 SLACK = 1e-11
 
 
+def _table(c: list[list] | np.ndarray, n: int) -> np.ndarray:
+    c = np.array(c, object)
+    return c.reshape(n, -1) if c.size else np.zeros((n, 0), object)
+
+
 class Index:
-    """The leaves of one shard. key: of each member, any type with an order; x, c: its numbers and categories."""
+    """The leaves of one shard. key: of each member, any type with an order; x, c: its numbers and categories. Of equal members
+    only the one of the least key is held, or all of them."""
 
-    def __init__(self, key: list, x: np.ndarray, c: list[list], span: np.ndarray) -> None:
-        order = np.array(sorted(range(len(key)), key=key.__getitem__))
-        self.key, x = [key[i] for i in order], x[order]
-        self.span, self.rank = span, np.arange(len(order))  # the order of keys
-        self.codes: list[dict] = []
-        code = np.zeros((len(order), len(c[0]) if c else 0), np.int64)
-        for j in range(code.shape[1]):
-            seen: dict = {}
-            code[:, j] = [seen.setdefault(c[i][j], len(seen)) for i in order]
-            self.codes.append(seen)
+    def __init__(self, key: list | np.ndarray, x: np.ndarray, c: list[list] | np.ndarray, span: np.ndarray, every: bool = False) -> None:
+        n = len(key)
+        c = _table(c, n)
+        key = np.asarray(key) if not len(key) or not isinstance(key[0], str) else np.array(key, object)
+        order = np.argsort(key, kind="stable")
+        key, x, c = key[order], x[order], c[order]
+        self.names, code = [], np.zeros((n, c.shape[1]), np.int64)
+        for j in range(c.shape[1]):
+            code[:, j], names = pd.factorize(c[:, j])
+            code[code[:, j] < 0, j] = len(names)  # null
+            self.names.append(pd.Index(names, dtype=object))
+        if not every:
+            first = ~pd.DataFrame(np.concatenate([x, code], 1)).duplicated().to_numpy()
+            key, x, code = key[first], x[first], code[first]
+        self.key, self.span = key, span
         leaves = self._leaves(x / span if x.shape[1] else x, code)
-        size, n = max(map(len, leaves)), len(leaves)
+        size, n = max(map(len, leaves)), -(-len(leaves) // BLOCK) * BLOCK
         self.place = np.zeros((n, size), np.int64)
         self.there = np.zeros((n, size), bool)
         for i, leaf in enumerate(leaves):
             self.place[i, : len(leaf)], self.there[i, : len(leaf)] = leaf, True
         self.x, self.code = x[self.place], code[self.place]
-        far = np.where(self.there[:, :, None], self.x, np.inf), np.where(self.there[:, :, None], self.x, -np.inf)
-        self.lo, self.hi = far[0].min(1), far[1].max(1)
-        self.has = []
-        for j, seen in enumerate(self.codes):
-            own = np.zeros((n, len(seen) + 1), bool) if len(seen) <= CODES else None
-            if own is not None:
-                own[np.repeat(np.arange(n), size)[self.there.ravel()], self.code[:, :, j][self.there]] = True
-            self.has.append(own)
+        shown = self.there[:, :, None]
+        self.lo, self.hi = np.where(shown, self.x, np.inf).min(1), np.where(shown, self.x, -np.inf).max(1)
+        self.real = self.there.any(1)
+        self.has: list = []  # of a column: by leaf and by block, whether it has each category and how many it has
+        for j, names in enumerate(self.names):
+            if len(names) > CODES:
+                self.has.append(None)
+                continue
+            own = np.zeros((n, len(names) + 2), bool)
+            own[np.repeat(np.arange(n), size)[self.there.ravel()], self.code[:, :, j][self.there]] = True
+            above = own.reshape(-1, BLOCK, own.shape[1]).any(1)
+            self.has.append([(h, h.sum(1)) for h in (own, above)])
+        by = lambda f, v: f(v.reshape(len(v) // BLOCK, BLOCK, v.shape[1]), 1)
+        self.block_lo, self.block_hi = by(np.min, self.lo), by(np.max, self.hi)
 
     @staticmethod
     def _leaves(x: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
-        """Places by leaf, in the order of keys within each: halves along the widest column; a category is as wide as 1."""
+        """Places by leaf, in the order of keys within each: halves along the widest column; a category is as wide as 1. Leaves
+        next to each other are near each other."""
         out, todo = [], [np.arange(max(len(x), len(code)))]
         while todo:
             at = todo.pop()
@@ -85,32 +112,45 @@ class Index:
             todo += [at[:half], at[half:]]
         return out
 
-    def search(self, x: np.ndarray, c: list[list], best: np.ndarray, digits: int | None, far: bool = False, itself: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, distance, members looked at) of each query's nearest member, ties to the least key; place -1 where none is
-        as near as best. far: of the farthest one; distances count negative, so that the farthest is the least. itself: a place
-        that each query may not find, -1 for none."""
-        n = len(x)
-        own = np.array([[seen.get(r[j], len(seen)) for j, seen in enumerate(self.codes)] for r in c], np.int64).reshape(n, len(self.codes))
-        bound = np.zeros((n, len(self.lo)))
+    def codes(self, c: list[list] | np.ndarray, n: int) -> np.ndarray:
+        """Codes of the categories of n queries; those that no member has share one more."""
+        c = _table(c, n)
+        out = np.zeros((n, len(self.names)), np.int64)
+        for j, names in enumerate(self.names):
+            at = names.get_indexer(c[:, j])
+            out[:, j] = np.where(pd.isna(c[:, j]), len(names), np.where(at < 0, len(names) + 1, at))
+        return out
+
+    def _bounds(self, level: int, x: np.ndarray, own: np.ndarray, at: np.ndarray | None, far: bool) -> np.ndarray:
+        """Lower bounds of the distance of queries to all blocks (level 1), or to the leaves at (level 0, a row for each query)."""
+        lo, hi = (self.block_lo, self.block_hi) if level else (self.lo, self.hi)
+        pick = (lambda v: v[None]) if at is None else (lambda v: v[at])
+        bound = np.zeros((len(x), len(lo) if at is None else at.shape[1]))
         for j in range(x.shape[1]):
-            below, above = self.lo[None, :, j] - x[:, j, None], x[:, j, None] - self.hi[None, :, j]
+            below, above = pick(lo[:, j]) - x[:, j, None], x[:, j, None] - pick(hi[:, j])
             bound += (-np.maximum(np.abs(below), np.abs(above)) if far else np.maximum(np.maximum(below, above), 0)) / self.span[j]
         for j, has in enumerate(self.has):
             if has is None:
                 bound -= far
-            elif far:  # a leaf with another category than the query's
-                bound -= (has.sum(1)[None] > has[:, own[:, j]].T)
+                continue
+            own_has = has[level][0][:, own[:, j]].T if at is None else has[level][0][at, own[:, j, None]]
+            if far:  # one with another category than the query's
+                bound -= pick(has[level][1]) > own_has
             else:
-                bound += ~has[:, own[:, j]].T
-        order = np.argsort(bound, axis=1)
-        bound = np.take_along_axis(bound, order, 1)
+                bound += ~own_has
+        return bound if level else np.where(pick(self.real), bound, np.inf)
+
+    def search(self, x: np.ndarray, c: list[list] | np.ndarray, best: np.ndarray, digits: int | None, far: bool = False, itself: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, distance, members looked at) of each query's nearest member, ties to the least key; place -1 where none is
+        as near as best. far: of the farthest one; distances count negative, so that the farthest is the least. itself: a place
+        that each query may not find, -1 for none."""
+        n = len(x)
+        own = self.codes(c, n)
         slack = SLACK * (1 + x.shape[1]) + (0 if digits is None else 10.0**-digits)
         best, place, looked = best.copy(), np.full(n, -1), np.zeros(n, np.int64)
-        for r in range(bound.shape[1]):
-            q = np.flatnonzero(bound[:, r] <= best + slack)
-            if not len(q):
-                break
-            leaf = order[q, r]
+
+        def look(q: np.ndarray, leaf: np.ndarray) -> None:
+            """Queries at one leaf each; a query may come several times."""
             d = np.zeros((len(q), self.place.shape[1]))
             for j in range(x.shape[1]):
                 d += np.abs(x[q, j, None] - self.x[leaf, :, j]) / self.span[j]
@@ -119,23 +159,61 @@ class Index:
             d = np.where(self.there[leaf], (d if digits is None else np.round(d, digits)) * (-1 if far else 1), np.inf)
             if itself is not None:
                 d[self.place[leaf] == itself[q, None]] = np.inf
+            np.add.at(looked, q, self.there[leaf].sum(1))
             k = d.argmin(1)  # the least key of the equal ones
             d, p = d[np.arange(len(q)), k], self.place[leaf, k]
+            order = np.lexsort((p, d, q))
+            order = order[np.diff(q[order], prepend=-1) > 0]  # the best leaf of each query
+            q, d, p = q[order], d[order], p[order]
             better = (d < best[q]) | ((d == best[q]) & ((place[q] < 0) | (p < place[q])))
             best[q[better]], place[q[better]] = d[better], p[better]
-            looked[q] += self.there[leaf].sum(1)
-        return place, best, looked
 
+        def inside(q: np.ndarray, block: np.ndarray, first: int) -> None:
+            """Queries at one block each: the first leaves one after the other, then the others."""
+            leaves = block[:, None] * BLOCK + np.arange(BLOCK)
+            bound = self._bounds(0, x[q], own[q], leaves, far)
+            for _ in range(first):
+                k = bound.argmin(1)
+                at = np.flatnonzero(bound[np.arange(len(q)), k] <= best[q] + slack)
+                if not len(at):
+                    return
+                look(q[at], leaves[at, k[at]])
+                bound[at, k[at]] = np.inf
+            i, k = np.nonzero(bound <= best[q, None] + slack)
+            for s in range(0, len(i), 2 * SOME):
+                a, b = i[s : s + 2 * SOME], k[s : s + 2 * SOME]
+                live = np.flatnonzero(bound[a, b] <= best[q[a]] + slack)
+                if len(live):
+                    look(q[a[live]], leaves[a[live], b[live]])
 
-def _rows(b: pd.DataFrame, name: str, width: int) -> np.ndarray:
-    return np.array([list(r) for r in b[name]], float).reshape(len(b), width)
+        bound = self._bounds(1, x, own, None, far)
+        for _ in range(FIRST):
+            k = bound.argmin(1)
+            q = np.flatnonzero(bound[np.arange(n), k] <= best + slack)
+            if not len(q):
+                return place, best, looked
+            inside(q, k[q], FIRST)
+            bound[q, k[q]] = np.inf
+        q, k = np.nonzero(bound <= best[:, None] + slack)
+        order = np.argsort(bound[q, k], kind="stable")  # the nearest first
+        q, k = q[order], k[order]
+        for s in range(0, len(q), SOME):
+            a, b = q[s : s + SOME], k[s : s + SOME]
+            live = np.flatnonzero(bound[a, b] <= best[a] + slack)
+            if len(live):
+                inside(a[live], b[live], 0)
+        return place, best, looked
 
 
-def _searched(digits: int | None, numbers: int, far: bool, apart: bool, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, g, nearest, d, looked) for queries; rows come by (g, shard, part, kind), the members of kind 0 first."""
-    last, held, index = None, [], None
+def _searched(digits: int | None, numbers: int, categories: int, far: bool, apart: bool, onward: bool, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, g, nearest, d, looked, shard, x, c) for queries; rows come by (g, shard, part, kind): one of kind 0 with the group's spans and the boxes
+    of its shards, the members of kind 1, the queries of kind 2. onward: also a row for each other shard that can hold a member
+    as near as the one found, with the query's columns."""
+    xs, cs = [f"x{i}" for i in range(numbers)], [f"c{i}" for i in range(categories)]
+    shown = ["key", "g", "nearest", "d", "looked", *(["shard", *xs, *cs] if onward else [])]
+    last, held, index, span, boxes = None, [], None, None, None
     for b in batches:
-        out = []
+        out: list[pd.DataFrame] = []
         names = list(zip(b["g"], b["shard"].tolist(), b["part"].tolist(), strict=True))
         edge = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
         for i, j in itertools.pairwise(edge):
@@ -146,83 +224,91 @@ def _searched(digits: int | None, numbers: int, far: bool, apart: bool, batches:
             own = b.iloc[i:j]
             kind = own["kind"].to_numpy()
             if (kind == 0).any():
-                held.append(own[kind == 0])
-            asked = own[kind == 1]
-            if not len(asked) or not held:
+                known = np.asarray(own["known"].iloc[0], float)
+                span, boxes = known[:numbers], known[numbers:].reshape(-1, 1 + 2 * numbers)
+            if (kind == 1).any():
+                held.append(own.loc[kind == 1, ["key", *xs, *cs]])
+            asked = own[kind == 2]
+            if not len(asked):
                 continue
-            if index is None:
+            if index is None and held:
                 members = pd.concat(held) if len(held) > 1 else held[0]
-                index = Index(members["key"].to_list(), _rows(members, "x", numbers), [list(r) for r in members["c"]], np.array(members["span"].iloc[0], float))
+                index = Index(members["key"].to_numpy(), members[xs].to_numpy(float), members[cs].to_numpy(object), span, apart)
+                held = []
                 if apart:
-                    index.at = {k: i for i, k in enumerate(index.key)}
-                held = [members.iloc[:1]]
-            for k in range(0, len(asked), 1_000):
-                some = asked.iloc[k : k + 1_000]
-                best = some["best"].to_numpy(float)
-                itself = np.array([index.at.get(k, -1) for k in some["key"]]) if apart else None
-                place, d, looked = index.search(_rows(some, "x", numbers), [list(r) for r in some["c"]], best, digits, far, itself)
-                found = np.flatnonzero(place >= 0)
-                out.append(pd.DataFrame({"key": some["key"].to_numpy()[found], "g": some["g"].to_numpy()[found], "nearest": [index.key[p] for p in place[found]], "d": d[found], "looked": looked[found]}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+                    at_key = {k: i for i, k in enumerate(index.key.tolist())}
+            for k in range(0, len(asked), SOME):
+                some = asked.iloc[k : k + SOME]
+                x, best = some[xs].to_numpy(float), some["best"].to_numpy(float)
+                if index is not None:
+                    itself = np.array([at_key.get(k, -1) for k in some["key"]]) if apart else None
+                    place, best, looked = index.search(x, some[cs].to_numpy(object), best, digits, far, itself)
+                    found = np.flatnonzero(place >= 0)
+                    out.append(some.iloc[found][["key", "g"]].assign(nearest=index.key[place[found]], d=best[found], looked=looked[found]))
+                if onward:
+                    lo, hi = boxes[:, 1 : 1 + numbers], boxes[:, 1 + numbers :]
+                    bound = np.full((len(x), len(boxes)), -float(categories) if far else 0.0)
+                    for m in range(numbers):
+                        below, above = lo[None, :, m] - x[:, m, None], x[:, m, None] - hi[None, :, m]
+                        bound += (-np.maximum(np.abs(below), np.abs(above)) if far else np.maximum(np.maximum(below, above), 0)) / span[m]
+                    q, s = np.nonzero((bound <= best[:, None] + 1e-8) & (boxes[:, 0] != last[1]))
+                    out.append(some.iloc[q][["key", "g", *xs, *cs]].assign(d=best[q], shard=boxes[s, 0].astype(np.int64)))
+        for o in out:
+            yield pd.DataFrame({name: pd.Series(o[name].to_numpy(object) if name in o else [None] * len(o), dtype=object) if name not in o or not pd.api.types.is_numeric_dtype(o[name]) else o[name].to_numpy() for name in shown})
 
 
-def _asked(members: DataFrame, queries: DataFrame, kind: str, numbers: int, digits: int | None, far: bool, apart: bool) -> DataFrame:
-    """key, g, nearest, d, looked: queries (key, g, x, c, shard, best) searched in their shards."""
+def _asked(members: DataFrame, known: DataFrame, queries: DataFrame, kind: str, numbers: int, categories: int, digits: int | None, far: bool, apart: bool, onward: bool) -> DataFrame:
+    """key, g, nearest, d, looked: queries (key, g, x, c, shard, best) searched in their shards. known: g and the numbers of ``_searched``.
+    onward: also shard, x0, .., c0, ..; rows with a shard say where else to ask."""
     spark = members.sparkSession
-    parts = queries.groupBy("g", "shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    copies = members.join(parts, ["g", "shard"]).select("g", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "key", "x", "c", "span", F.lit(0.0).alias("best"))
-    dealt = queries.join(parts, ["g", "shard"]).select("g", "shard", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "key", "x", "c", F.lit(None).cast("array<double>").alias("span"), "best")
+    of = ["g", "shard"]
+    flat = lambda t: [*(F.element_at("x", i + 1).alias(f"x{i}") if t else F.lit(None).cast("double").alias(f"x{i}") for i in range(numbers)), *(F.element_at("c", i + 1).alias(f"c{i}") if t else F.lit(None).cast("string").alias(f"c{i}") for i in range(categories))]
+    parts = cut(queries.groupBy(*of).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))  # a row for each shard
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    nothing, never = F.lit(None).cast("array<double>").alias("known"), F.lit(0.0).alias("best")
+    head = parts.join(known, "g").select(*of, each, F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("key"), *flat(False), never, "known")
+    copies = members.join(F.broadcast(parts), of).select(*of, each, F.lit(1).alias("kind"), "key", *flat(True), never, nothing)
+    dealt = queries.join(F.broadcast(parts), of).select(*of, F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.lit(2).alias("kind"), "key", *flat(True), "best", nothing)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = copies.unionByName(dealt).repartition(n, "g", "shard", "part").sortWithinPartitions("g", "shard", "part", "kind")
-    return both.mapInPandas(functools.partial(_searched, digits, numbers, far, apart), f"key {kind}, g string, nearest {kind}, d double, looked long")
+    rows = reduce(DataFrame.unionByName, [head, copies, dealt]).repartition(n, *of, "part").sortWithinPartitions(*of, "part", "kind")
+    schema = [f"key {kind}, g string, nearest {kind}, d double, looked long"]
+    if onward:
+        schema += ["shard long", *(f"x{i} double" for i in range(numbers)), *(f"c{i} string" for i in range(categories))]
+    return rows.mapInPandas(functools.partial(_searched, digits, numbers, categories, far, apart, onward), ", ".join(schema))
 
 
-def _halved(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Rows moved to a child of their shard where that is cut."""
-    side = F.when(F.col("dim") < 0, F.pmod(F.xxhash64("key", "shard"), F.lit(2))).otherwise(((F.element_at("x", F.col("dim") + 1) > F.col("at")) | (F.col("strict") & (F.element_at("x", F.col("dim") + 1) >= F.col("at")))).cast("long"))
-    return rows.join(cuts, ["g", "shard"], "left").withColumn("shard", F.when(F.col("dim").isNull(), F.col("shard")).otherwise(2 * F.col("shard") + side)).drop("dim", "at", "strict")
+def _cut_up(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows moved to a part of their shard where that is cut."""
+    x = F.element_at("x", F.col("dim") + 1)
+    side = F.when(F.col("dim") < 0, F.pmod(F.xxhash64("key", "shard"), F.lit(WAYS))).when(F.col("strict"), (x >= F.element_at("at", 1)).cast("long")).otherwise(F.size(F.filter("at", lambda b: b < x)).cast("long"))
+    return rows.join(F.broadcast(cuts), ["g", "shard"], "left").withColumn("shard", F.when(F.col("dim").isNull(), F.col("shard")).otherwise(WAYS * F.col("shard") + side)).drop("dim", "at", "strict")
 
 
 def _sharded(members: DataFrame, numbers: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Members with their shard (a heap number), and the cuts of each round: g, shard, dim (-1: by a hash), at, strict."""
+    """Members with their shard, and the cuts of each round (a row for each shard that is cut): g, shard, dim (-1: by a hash), at (the bounds),
+    strict (the one bound belongs to the right part)."""
     rows, rounds = members.withColumn("shard", F.lit(1).cast("long")), []
-    for _ in range(62):  # the digits of a shard's number
+    share = [i / WAYS for i in range(1, WAYS)]
+    for _ in range(20):  # the digits of a shard's number
         x = lambda i: F.element_at("x", i + 1)
-        size = rows.groupBy("g", "shard").agg(F.count("*").alias("n"), *(f(x(i)).alias(f"{k}{i}") for i in range(numbers) for k, f in (("lo", F.min), ("hi", F.max), ("mid", lambda c: F.percentile_approx(c, 0.5)))), F.first("span").alias("span"))
-        large = size.where(F.col("n") > SHARD)
-        wide = [F.struct(((F.col(f"hi{i}") - F.col(f"lo{i}")) / F.element_at("span", i + 1)).alias("w"), F.lit(i).alias("dim"), F.col(f"mid{i}").alias("at"), (F.col(f"mid{i}") >= F.col(f"hi{i}")).alias("strict")) for i in range(numbers)]
-        none = F.struct(F.lit(0.0).alias("w"), F.lit(-1).alias("dim"), F.lit(0.0).alias("at"), F.lit(False).alias("strict"))
-        best = F.greatest(none, *wide) if wide else none
-        cuts = cut(large.select("g", "shard", best.alias("b")).select("g", "shard", F.when(F.col("b.w") > 0, F.col("b.dim")).otherwise(-1).alias("dim"), "b.at", "b.strict"))
-        if cuts.isEmpty():
+        large = cut(rows.groupBy("g", "shard").agg(F.count("*").alias("n"), *(f(x(i)).alias(f"{k}{i}") for i in range(numbers) for k, f in (("lo", F.min), ("hi", F.max))), F.first("span").alias("span")).where(F.col("n") > SHARD))
+        if large.isEmpty():
             break
+        wide = [F.struct(((F.col(f"hi{i}") - F.col(f"lo{i}")) / F.element_at("span", i + 1)).alias("w"), F.lit(i).alias("dim"), F.col(f"hi{i}").alias("hi")) for i in range(numbers)]
+        none = F.struct(F.lit(0.0).alias("w"), F.lit(-1).alias("dim"), F.lit(0.0).alias("hi"))
+        best = F.greatest(none, *wide) if wide else none
+        dims = large.select("g", "shard", "n", best.alias("b")).select("g", "shard", "n", F.when(F.col("b.w") > 0, F.col("b.dim")).otherwise(-1).alias("dim"), "b.hi")
+        v = F.when(F.col("dim") < 0, F.lit(0.0)).otherwise(F.element_at("x", F.greatest(F.col("dim"), F.lit(0)) + 1)) if numbers else F.lit(0.0)
+        own = rows.join(F.broadcast(dims), ["g", "shard"]).groupBy("g", "shard", "dim", "hi", "n").agg(F.percentile_approx(v, share, 1_000).alias("q"))
+        # as many parts as are needed, of equal steps among the quantiles
+        step = F.greatest(F.lit(1), F.floor(F.lit(WAYS * SHARD * 0.75) / F.col("n")).cast("int"))
+        some = F.array_distinct(F.filter("q", lambda b, i: (b < F.col("hi")) & ((i + 1) % F.least(step, F.lit(WAYS // 2)) == 0)))
+        cuts = cut(own.select("g", "shard", "dim", F.when(F.size(some) > 0, some).otherwise(F.array("hi")).alias("at"), (F.size(some) == 0).alias("strict")))
         rounds.append(cuts)
-        rows = cut(_halved(rows, cuts))
+        rows = cut(_cut_up(rows, cuts))
     return rows, rounds
 
 
-def _others(found: DataFrame, queries: DataFrame, members: DataFrame, rounds: int, numbers: int, far: int | None) -> DataFrame:
-    """Queries with each other shard that can hold a member as near as the one found, by boxes down the tree of cuts. far: as
-    far as that one instead; by how much categories can add."""
-    leaf = members.groupBy("g", "shard").agg(F.first("span").alias("span"), *(f(F.element_at("x", i + 1)).alias(f"{k}{i}") for i in range(numbers) for k, f in (("lo", F.min), ("hi", F.max))))
-    deep = F.length(F.bin("shard")) - 1
-    above = leaf.withColumn("up", F.explode(F.sequence(F.lit(0), deep))).select("g", F.expr("shiftright(shard, up)").alias("node"), (F.col("up") == 0).alias("is_leaf"), "span", *(f"{k}{i}" for i in range(numbers) for k in ("lo", "hi")))
-    boxes = cut(above.groupBy("g", "node").agg(F.max("is_leaf").alias("is_leaf"), F.first("span").alias("span"), *(F.min(f"lo{i}").alias(f"lo{i}") for i in range(numbers)), *(F.max(f"hi{i}").alias(f"hi{i}") for i in range(numbers))))
-    asked = queries.withColumnRenamed("shard", "home").drop("best").join(found.select("key", "g", F.col("d").alias("best")), ["key", "g"], "left").withColumn("best", F.coalesce("best", F.lit(float("inf"))))
-    front, done = asked.withColumn("node", F.lit(1).cast("long")), []
-    for _ in range(rounds):
-        x = lambda i: F.element_at("x", i + 1)
-        kids = front.withColumn("node", F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1))).join(boxes, ["g", "node"])
-        gap = lambda i: F.greatest(F.col(f"lo{i}") - x(i), x(i) - F.col(f"hi{i}"), F.lit(0.0)) if far is None else -F.greatest(F.abs(F.col(f"lo{i}") - x(i)), F.abs(x(i) - F.col(f"hi{i}")))
-        parts = [gap(i) / F.element_at("span", i + 1) for i in range(numbers)]
-        kids = kids.where(reduce(lambda a, b: a + b, parts, F.lit(-float(far or 0))) <= F.col("best") + 1e-8)
-        kids = cut(kids.select(*asked.columns, "node", "is_leaf"))
-        done.append(kids.where("is_leaf AND node <> home").select(*(c for c in asked.columns if c != "home"), F.col("node").alias("shard")))
-        front = kids.where("NOT is_leaf").drop("is_leaf")
-    return reduce(DataFrame.unionByName, done)
-
-
 def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, numeric: list[str], categorical: list[str], spans: DataFrame | None = None, digits: int | None = None, farthest: bool = False, apart: bool = False) -> DataFrame:
     """key, by, nearest, d, looked: for each query row the nearest member of its group (``by``), ties to the least key.
 
@@ -236,21 +322,27 @@ def nearest(members: DataFrame, queries: DataFrame, by: list[str], key: str, num
     if spans is None:
         every = members.select(*by, *numeric).unionAll(queries.select(*by, *numeric))
         spans = every.groupBy(*by).agg(*((F.max(c) - F.min(c) + 1e-12).alias(f"span_{c}") for c in numeric), F.lit(0).alias("_"))
+    numbers, categories = len(numeric), len(categorical)
     named = F.to_json(F.struct(*by)).alias("g")
     span = F.array(*(F.col(f"span_{c}").cast("double") for c in numeric)).cast("array<double>").alias("span")
     x = F.array(*(F.col(c).cast("double") for c in numeric)).cast("array<double>").alias("x")
     c = F.array(*(F.col(c).cast("string") for c in categorical)).cast("array<string>").alias("c")
     held = members.join(spans, by).select(named, F.col(key).alias("key"), x, c, span)
-    rows, rounds = _sharded(cut(held), len(numeric))
+    rows, rounds = _sharded(cut(held), numbers)
     asked = queries.select(named, F.col(key).alias("key"), x, c, F.lit(float("inf")).alias("best"), F.lit(1).cast("long").alias("shard"))
     for cuts in rounds:
-        asked = _halved(asked, cuts)
-    found = _asked(rows, asked, kind, len(numeric), digits, farthest, apart)
+        asked = _cut_up(asked, cuts)
+    box = rows.groupBy("g", "shard").agg(F.first("span").alias("span"), *(f(F.element_at("x", i + 1)).alias(f"{k}{i}") for k, f in (("lo", F.min), ("hi", F.max)) for i in range(numbers)))
+    box = box.groupBy("g").agg(F.first("span").alias("span"), F.flatten(F.collect_list(F.array(F.col("shard").cast("double"), *(f"{k}{i}" for k in ("lo", "hi") for i in range(numbers))))).alias("boxes"))  # a row for each group
+    known = cut(box.select("g", F.concat("span", "boxes").alias("known")))
+    ask = functools.partial(_asked, rows, known, kind=kind, numbers=numbers, categories=categories, digits=digits, far=farthest, apart=apart)
+    asked = cut(asked)
+    found = ask(asked, onward=bool(rounds))
     if rounds:
-        asked = cut(asked)
         found = cut(found)
-        more = _asked(rows, _others(found, asked, rows, len(rounds), len(numeric), len(categorical) if farthest else None), kind, len(numeric), digits, farthest, apart)
-        both = found.unionAll(more).groupBy("key", "g").agg(F.min(F.struct("d", "nearest", "looked")).alias("x"), F.sum("looked").alias("n"))
+        flat = F.array(*(f"x{i}" for i in range(numbers))).cast("array<double>").alias("x"), F.array(*(f"c{i}" for i in range(categories))).cast("array<string>").alias("c")
+        more = ask(found.where("shard IS NOT NULL").select("g", "key", *flat, F.col("d").alias("best"), "shard"), onward=False)
+        both = found.where("shard IS NULL").select("key", "g", "nearest", "d", "looked").unionAll(more).groupBy("key", "g").agg(F.min(F.struct("d", "nearest", "looked")).alias("x"), F.sum("looked").alias("n"))
         found = both.select("key", "g", "x.nearest", "x.d", F.col("n").alias("looked"))
-    groups = queries.select(*by).distinct().select(*by, F.to_json(F.struct(*by)).alias("_g"))
+    groups = cut(queries.select(*by).distinct().select(*by, F.to_json(F.struct(*by)).alias("_g")))  # a row for each group
     return found.select(F.col("g").alias("_g"), F.col("key").alias("_key"), "nearest", (-F.col("d") if farthest else F.col("d")).alias("d"), "looked").join(groups, "_g").select(F.col("_key").alias(key), *by, "nearest", "d", "looked")
