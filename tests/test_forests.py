@@ -288,3 +288,25 @@ def test_rules_train_no_leaf_forests(spark):
     f = training.Forest("row_id", ["a", "b"], [], ["y", "z"], forest.Config(trees=1, depth=0), reps=1, leaf_trees=2, leaf_depth=1).fit(df)
     assert f.rules().count() == 1 and "leaves" not in f.fitted
     assert f.predict(df).count() == 80 and f.leaves() is f.leaves()
+
+
+def test_self_training_sorts_once(monkeypatch):
+    """Trees over drawn rows are those of the sorted copies, to the last digit, and no tree sorts."""
+    from verdigris.operators import leaves as L
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 9, 900), rng.lognormal(size=900)])
+    y = (x[:, 1] + rng.normal(size=900) > 4).astype(int)
+    known = np.flatnonzero(rng.random(900) < 0.4)
+    columns = [v.copy() for v in x.T]
+    orders = [np.argsort(v, kind="stable") for v in columns]
+    for seed in range(5):
+        a, b = np.random.default_rng(seed), np.random.default_rng(seed)
+        at = known[a.integers(0, len(known), len(known))]
+        want = L._tree(x[at], y[at].astype(float), a, 4, np.zeros(3))
+        w = np.bincount(known[b.integers(0, len(known), len(known))], minlength=900)
+        with monkeypatch.context() as m:
+            m.setattr(np, "argsort", None)
+            assert L._drawn_tree(columns, y, w, [o[w[o] > 0] for o in orders], b, 4) == want
+    v = np.round(rng.random(900), 1)
+    assert sorted(L._surest(v, 77)) == sorted(np.argsort(-v, kind="stable")[:77])

@@ -66,6 +66,16 @@ def _value(tree: tuple, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, tree[0]] <= tree[1], _value(tree[2], x), _value(tree[3], x))
 
 
+def _values(tree: tuple, x: list[np.ndarray], at: np.ndarray, out: np.ndarray) -> None:
+    """out[at]: the values of ``_value``, each side's rows alone walking on."""
+    if len(tree) == 1:
+        out[at] = tree[0]
+    elif len(at):
+        left = x[tree[0]][at] <= tree[1]
+        _values(tree[2], x, at[left], out)
+        _values(tree[3], x, at[~left], out)
+
+
 def forest_models(train: DataFrame, test: DataFrame, group: list[str], key: str, cols: list[str], labels: list[str], trees: int = 12, depth: int = 4) -> DataFrame:
     """group, key, label, prob, pred, importance: for each leaf and label a small forest of the leaf's rows, applied to
     the test rows of the leaf; a constant label is that constant. Leaves are bounded by the bag, so one is one task's."""
@@ -116,6 +126,42 @@ def local_fill(df: DataFrame, group: list[str], key: str, labels: list[str], see
     return j.select(key, *out)
 
 
+def _surest(v: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n greatest values, of equal ones the first."""
+    if n >= len(v):
+        return np.arange(len(v))
+    least = np.partition(v, len(v) - n)[len(v) - n]
+    more = np.flatnonzero(v > least)
+    return np.concatenate([more, np.flatnonzero(v == least)[: n - len(more)]])
+
+
+def _drawn_tree(x: list[np.ndarray], y: np.ndarray, w: np.ndarray, orders: list[np.ndarray], rng: np.random.Generator, depth: int) -> tuple:
+    """The tree of ``_tree`` over rows drawn w times each, to the last digit: orders are the drawn rows in the order of each column, so nothing
+    is sorted again."""
+    drawn = w[orders[0]]
+    n, ones = int(drawn.sum()), int((drawn * y[orders[0]]).sum())
+    mean = ones / n
+    if depth == 0 or n < 4 or ones in (0, n):
+        return (mean,)
+    best = (1e-12, -1, 0.0)
+    for f in rng.choice(len(x), max(1, int(np.sqrt(len(x)) + 0.5)), replace=False):
+        at = orders[f]
+        v, m = x[f][at], w[at]
+        ok = np.flatnonzero(v[:-1] < v[1:])
+        if len(ok):
+            k, s = np.cumsum(m)[ok], np.cumsum(m * y[at])[ok]
+            p, q = s / k, (ones - s) / (n - k)
+            g = mean * (1 - mean) - (k * p * (1 - p) + (n - k) * q * (1 - q)) / n
+            i = int(g.argmax())
+            if g[i] > best[0]:
+                best = (float(g[i]), int(f), float(v[ok[i]]))
+    if best[1] < 0:
+        return (mean,)
+    left = x[best[1]] <= best[2]
+    sides = [[at[left[at] == s] for at in orders] for s in (True, False)]
+    return (best[1], best[2], *(_drawn_tree(x, y, w, own, rng, depth - 1) for own in sides))
+
+
 def self_trained(df: DataFrame, group: list[str], key: str, cols: list[str], label: str, k_best: int = 10, rounds: int = 200) -> DataFrame:
     """group, key, label, round: labels completed by self-training within each leaf: a small forest of the labelled rows
     labels the k_best surest open rows, round by round. A leaf with more than k_best * rounds open rows labels the same
@@ -127,15 +173,18 @@ def self_trained(df: DataFrame, group: list[str], key: str, cols: list[str], lab
         x, y = rows[cols].to_numpy(float), rows[label].to_numpy(int).copy()
         at = np.where(y >= 0, 0, -1)
         best = max(k_best, -(-int((y < 0).sum()) // rounds))
+        columns = [x[:, f].copy() for f in range(x.shape[1])]
+        orders = [np.argsort(v, kind="stable") for v in columns]
         for r in range(1, rounds + 1):
             known, open_ = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
             if not len(open_) or not len(known):
                 break
-            rng, p = np.random.default_rng(r), np.zeros(len(open_))
+            rng, p, value = np.random.default_rng(r), np.zeros(len(open_)), np.zeros(len(y))
             for _ in range(5):
-                b = known[rng.integers(0, len(known), len(known))]
-                p += _value(_tree(x[b], y[b].astype(float), rng, 4, np.zeros(len(cols))), x[open_]) / 5
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:best]
+                w = np.bincount(known[rng.integers(0, len(known), len(known))], minlength=len(y))
+                _values(_drawn_tree(columns, y, w, [o[w[o] > 0] for o in orders], rng, 4), columns, open_, value)
+                p += value[open_] / 5
+            sure = _surest(np.abs(p - 0.5), best)
             y[open_[sure]], at[open_[sure]] = (p[sure] >= 0.5).astype(int), r
         return rows[[*group, key]].assign(label=y, round=at)
 
