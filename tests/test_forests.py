@@ -310,3 +310,18 @@ def test_self_training_sorts_once(monkeypatch):
             assert L._drawn_tree(columns, y, w, [o[w[o] > 0] for o in orders], b, 4) == want
     v = np.round(rng.random(900), 1)
     assert sorted(L._surest(v, 77)) == sorted(np.argsort(-v, kind="stable")[:77])
+
+
+@pytest.mark.parametrize("name", ["a16_forest_mean", "l4_leaf_votes"])
+def test_votes_are_grouped_in_small_tasks(spark, monkeypatch, name):
+    """A task groups the labels and trees of SCORED rows at most, however large the table is."""
+    import __spark_entry__ as entry
+
+    from verdigris.sources import tables as T
+
+    whole = entry.queries()[name](spark, "/root/testdata/sf0.01")
+    assert whole.rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(T, "SCORED", 100)
+    dealt = entry.queries()[name](spark, "/root/testdata/sf0.01")
+    assert dealt.rdd.getNumPartitions() == 15
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))

@@ -73,9 +73,18 @@ def docs_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows whose labels and trees go to one task.
+SCORED = 50_000
+
+
 def scores(spark: SparkSession, sf_dir: str, trees: int = 0) -> DataFrame:
-    """row_id, label, y, prob for each customer and label; with trees also tree, and leaf of each row in it."""
+    """row_id, label, y, prob for each customer and label; with trees also tree, and leaf of each row in it. With trees, rows are dealt to
+    tasks of about SCORED rows by row_id: a row of each label and tree follows, so what a task groups would grow with the table else."""
     wide = customer_ml(spark, sf_dir)
+    if trees:
+        tasks = -(-table(spark, sf_dir, "customer").count() // SCORED)
+        if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            wide = wide.select("row_id", *LABELS).repartition(tasks, "row_id")
     labels = F.explode(F.array(*(F.struct(F.lit(i).alias("label"), F.col(y).alias("y")) for i, y in enumerate(LABELS)))).alias("l")
     long = wide.select("row_id", labels).select("row_id", "l.label", "l.y")
     if not trees:
