@@ -87,3 +87,12 @@ def test_files(spark, library):
         assert {r.doc_id for r in T.read(T.write(one, PATH)).collect()} == {None, 2**53 + 1}
     odd = spark.createDataFrame([(None, "a"), (2**60 + 1, "b"), (2**60 + 1, "b")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.start) for r in T.read(T.write(odd, PATH)).collect()) == [(0, 0), (2**60 + 1, 2), (2**60 + 1, 4)]
+
+
+def test_blocks_hold_what_they_say(spark, monkeypatch):
+    """A block ends with the document that fills it, also where many documents are encoded together."""
+    texts = [words(i, 400) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    with setting(spark, "spark.sql.shuffle.partitions", "1"):
+        blocks = T.write(docs, PATH).select("block", "n_ids", "lengths").orderBy("part", "block").collect()
+    assert len(blocks) > 1 and all(b.n_ids - b.lengths[-1] < T.BLOCK for b in blocks)

@@ -33,7 +33,7 @@ BLOCK = 1 << 17
 #: Bytes of texts that are encoded together.
 TEXTS = 4 << 20
 MEMORY = 1_000_000  # distinct units that a worker remembers
-_BUCKETS = 17  # bits of the filter before pairs are counted
+_BUCKETS = 16  # bits of the filter before pairs are counted
 #: Signs that can stand between words that are encoded together: the first that the file has one id for.
 _MARKS = "™®©€•…|~"
 _TAIL = np.zeros(256, bool)
@@ -325,12 +325,17 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49_408,
                 keep = np.ones(len(out), bool)
                 keep[ends - 1] = False
                 out[keep] = flat
-                ids.append(out)
-                lengths.append(n + 1)
-                names += all_ids[i:j]
-                held += len(out)
-                if held >= BLOCK:
-                    yield flush()
+                first = 0
+                while first < j - i:  # the documents up to the one that fills the block
+                    begin = int(ends[first - 1]) if first else 0
+                    last = min(int(np.searchsorted(ends, begin + BLOCK - held)) + 1, j - i)
+                    ids.append(out[begin : ends[last - 1]])
+                    lengths.append(n[first:last] + 1)
+                    names += all_ids[i + first : i + last]
+                    held += len(ids[-1])
+                    first = last
+                    if held >= BLOCK:
+                        yield flush()
         if held:
             yield flush()
 
