@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import clustering, candidates, forest, leaf_forests, nearest, similarity, spectral, stratify, threshold_trees, training
+from verdigris.operators import clustering, candidates, forest, leaf_forests, nearest, sampling, similarity, spectral, stratify, threshold_trees, training
 from verdigris.sources import tables
 
 
@@ -325,3 +325,18 @@ def test_votes_are_grouped_in_small_tasks(spark, monkeypatch, name):
     dealt = entry.queries()[name](spark, "/root/testdata/sf0.01")
     assert dealt.rdd.getNumPartitions() == 15
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_bags_of_all_trees_in_one_plan(spark, monkeypatch):
+    """Bags are those of a plan for each, and the plan doesn't grow with the trees."""
+    df = tables.customer_ml(spark, "/root/testdata/sf0.001").select("row_id", *tables.MASKED)
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(f"s{t}").alias("seed")) for t in range(3)))).alias("s")
+    got = sorted((r.tree, r.row_id) for r in sampling.inverse_frequency_bags(df.select("*", each).select("row_id", *tables.MASKED, "s.*"), tables.MASKED, 0.8).collect())
+    assert got == sorted((t, r.row_id) for t in range(3) for r in sampling.inverse_frequency_bag(df, tables.MASKED, 0.8, f"s{t}").collect())
+    seen = []
+    for trees in (1, 6):
+        drawn = []
+        monkeypatch.setattr(forest, "cut", lambda t, drawn=drawn: drawn.append(t) or t.checkpoint())
+        forest.grow(df.withColumn("x", F.col("row_id") * 1.0), "row_id", ["x"], [], tables.MASKED, forest.Config(trees=trees, depth=0))
+        seen.append(drawn[0]._jdf.queryExecution().optimizedPlan().toString().count("Window"))
+    assert seen[0] == seen[1]

@@ -25,7 +25,7 @@ from verdigris.sources.shared import cut
 
 
 #: Nodes of so many rows at most have their candidates evaluated in one task, all of them one after the other.
-SMALL_NODE = 20_000
+SMALL_NODE = 131_072
 
 
 @dataclass(frozen=True)
@@ -107,8 +107,9 @@ def grow(df: DataFrame, key: str, numeric: list[str], categorical: list[str], la
     cols = [*numeric, *categorical]
     n = rows or df.count()
     if bags is None:
-        each = [sampling.inverse_frequency_bag(df, labels, c.bag, f"{c.seed}{t}", key).select(F.lit(t).alias("tree"), F.lit(1).cast("long").alias("node"), key) for t in range(c.trees)]
-        bags = cut(reduce(DataFrame.unionAll, each))
+        each = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(f"{c.seed}{t}").alias("seed")) for t in range(c.trees)))).alias("s")
+        bags = sampling.inverse_frequency_bags(df.select(key, *labels, each).select(key, *labels, "s.*"), labels, c.bag, key)
+        bags = cut(bags.select("tree", F.lit(1).cast("long").alias("node"), key))
     members = bags
     all_members, nodes, least = [members.withColumn("level", F.lit(0))], [], math.ceil(n * c.least_share)
     for level in range(c.depth + 1):

@@ -190,14 +190,10 @@ def cross_validated(df: DataFrame, folds: DataFrame, k: int, forest: Forest, tru
     c, key = forest.config, forest.key
     df = cut(df.join(folds.select(key, "fold"), key))
     n = df.count()
-    bags = []
-    for f in range(k):
-        own = df.where(F.col("fold") != f)
-        for t in range(c.trees):
-            bag = sampling.inverse_frequency_bag(own, forest.labels, c.bag, f"{c.seed}{f}_{t}", key)
-            # a plan for each bag: one of all would grow with folds and trees
-            bags.append(cut(bag.select(F.lit(f * c.trees + t).alias("tree"), F.lit(1).cast("long").alias("node"), key)))
-    fitted = replace(forest, fitted={}).fit(df, cut(reduce(DataFrame.unionAll, bags)), n * (k - 1) // k)
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("_fold"), F.lit(f * c.trees + t).alias("tree"), F.lit(f"{c.seed}{f}_{t}").alias("seed")) for f in range(k) for t in range(c.trees)))).alias("s")
+    own = df.select(key, *forest.labels, "fold", each).where("fold <> s._fold").select(key, *forest.labels, "s.tree", "s.seed")
+    bags = cut(sampling.inverse_frequency_bags(own, forest.labels, c.bag, key).select("tree", F.lit(1).cast("long").alias("node"), key))
+    fitted = replace(forest, fitted={}).fit(df, bags, n * (k - 1) // k)
     trees = df.select(key, F.explode(F.sequence(F.col("fold") * c.trees, F.col("fold") * c.trees + c.trees - 1).cast("array<int>")).alias("tree"))
     scored = fitted.predict_with_proba(df, trees)
     y = F.explode(F.array(*(F.struct(F.lit(i).alias("label"), F.col(x).alias("y")) for i, x in enumerate(truth)))).alias("s")
