@@ -340,3 +340,18 @@ def test_bags_of_all_trees_in_one_plan(spark, monkeypatch):
         forest.grow(df.withColumn("x", F.col("row_id") * 1.0), "row_id", ["x"], [], tables.MASKED, forest.Config(trees=trees, depth=0))
         seen.append(drawn[0]._jdf.queryExecution().optimizedPlan().toString().count("Window"))
     assert seen[0] == seen[1]
+
+
+def test_rule_quality_looks_at_activations_once(spark):
+    """What a walk and its forests say is computed once for all three sums."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [(i, 0, 2 + i % 2, label, int(i % 3 == label), int(i % 3 != label), 0, 0) for i in range(12) for label in (0, 1)]
+    act = spark.createDataFrame(rows, "row_id long, tree int, node long, label int, tp int, tn int, fp int, fn int")
+    got = training.Forest("row_id", ["x"], [], ["a", "b"]).rule_quality(act.mapInPandas(count, act.schema)).collect()
+    assert {(r.id, r.n, r.macro_f1, r.micro_f1) for r in got} == {("0_2", 6, 1.0, 1.0), ("0_3", 6, 1.0, 1.0)} and seen.value == 24

@@ -122,7 +122,8 @@ class Forest:
 
     def rule_quality(self, activations: DataFrame) -> DataFrame:
         """id, n, macro and micro precision, recall and f1 of each leaf, by its activations."""
-        c = activations.groupBy(*LEAF, "label").agg(*(F.sum(k).alias(k) for k in ("tp", "tn", "fp", "fn")))
+        activations = cut(activations.select(self.key, *LEAF, "label", "tp", "tn", "fp", "fn"))  # three looks at what a walk and its forests say
+        c = cut(activations.groupBy(*LEAF, "label").agg(*(F.sum(k).alias(k) for k in ("tp", "tn", "fp", "fn"))))
         macro = metrics.rates(c, [*LEAF, "label"]).groupBy(*LEAF).agg(*(F.avg(k).alias(f"macro_{k}") for k in ("precision", "recall", "f1")))
         pooled = metrics.rates(c.groupBy(*LEAF).agg(*(F.sum(k).alias(k) for k in ("tp", "tn", "fp", "fn"))), LEAF).select(*LEAF, *(F.col(k).alias(f"micro_{k}") for k in ("precision", "recall", "f1")))
         n = activations.groupBy(*LEAF).agg(F.count_distinct(self.key).alias("n"))
