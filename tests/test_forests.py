@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import clustering, candidates, forest, leaf_forests, nearest, sampling, similarity, spectral, stratify, threshold_trees, training
+from verdigris.operators import clustering, candidates, forest, large_nodes, leaf_forests, nearest, sampling, similarity, spectral, stratify, threshold_trees, training
 from verdigris.sources import tables
 
 
@@ -355,3 +355,22 @@ def test_rule_quality_looks_at_activations_once(spark):
     act = spark.createDataFrame(rows, "row_id long, tree int, node long, label int, tp int, tn int, fp int, fn int")
     got = training.Forest("row_id", ["x"], [], ["a", "b"]).rule_quality(act.mapInPandas(count, act.schema)).collect()
     assert {(r.id, r.n, r.macro_f1, r.micro_f1) for r in got} == {("0_2", 6, 1.0, 1.0), ("0_3", 6, 1.0, 1.0)} and seen.value == 24
+
+
+def test_large_nodes_in_cells(spark, monkeypatch):
+    """Sides and scores are those of one task where a column has many cells, a value as frequent as a cell, and null categories; rows are
+    not multiplied by the candidates."""
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 1), float(rng.choice([0, 0, 0, 1, 7])), rng.choice(["a", "b", None]), *((rng.randrange(2), rng.randrange(2)) if i % 3 else (-1, -1))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x double, z double, c string, m0 int, m1 int")
+    c, got, seen = forest.Config(trees=1, depth=1, iterations=5, groups=4, bag=0.9), [], []
+    monkeypatch.setattr(large_nodes, "CELL", 30)
+    monkeypatch.setattr(large_nodes, "AT_ONCE", 3)
+    monkeypatch.setattr(large_nodes, "cut", lambda t: seen.append((t.columns, n := t.checkpoint())) or n)
+    for size in (131_072, 0):
+        monkeypatch.setattr(forest, "SMALL_NODE", size)
+        nodes, members = forest.grow(df, "k", ["x", "z"], ["c"], ["m0", "m1"], c)
+        got.append((sorted((r.node, r.is_leaf, tuple(r.cols or ()), round(r.score or 0, 8)) for r in nodes.collect()), sorted(map(tuple, members.collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == 3
+    dealt = [t.count() for names, t in seen if "sides" in names]
+    assert len(dealt) == 2 and set(dealt) == {3 * members.where("node = 1").count()}

@@ -13,12 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.expressions import draw
 from verdigris.operators import clustering as C
-from verdigris.operators import sampling
+from verdigris.operators import large_nodes, sampling
 from verdigris.operators.candidates import Node
 from verdigris.operators.nearest import nearest
 from verdigris.sources.shared import cut
@@ -45,14 +44,6 @@ class Config:
         return math.ceil(min(len(cols), int(math.log2(self.n_attr))))
 
 
-def _drawn(open_: DataFrame, cols: list[str], c: Config) -> DataFrame:
-    """tree, node, iter, cols: the columns of each candidate, by hash."""
-    rows = open_.select("tree", "node", F.explode(F.sequence(F.lit(0), F.lit(c.iterations - 1))).alias("iter"), F.array(*map(F.lit, cols)).alias("a"))
-    rows = rows.select("tree", "node", "iter", F.explode("a").alias("col"))
-    r = F.row_number().over(Window.partitionBy("tree", "node", "iter").orderBy(draw(c.seed, "tree", "node", "iter", "col"), "col"))
-    return rows.withColumn("r", r).where(F.col("r") <= c.width(cols)).groupBy("tree", "node", "iter").agg(F.sort_array(F.collect_list("col")).alias("cols"))
-
-
 def _split_small(wide: DataFrame, key: str, numeric: list[str], categorical: list[str], labels: list[str], least: int, c: Config) -> DataFrame:
     """tree, node, key, cl, iter, score, cols for the rows of each node that is split; a node is one task's."""
     kind = wide.schema[key].dataType.simpleString()
@@ -75,24 +66,6 @@ def _split_small(wide: DataFrame, key: str, numeric: list[str], categorical: lis
     return wide.groupBy("tree", "node").applyInPandas(split, f"tree int, node long, {key} {kind}, cl int, iter int, score double, cols array<string>")
 
 
-def _split_large(wide: DataFrame, key: str, numeric: list[str], categorical: list[str], labels: list[str], least: int, c: Config) -> DataFrame:
-    """The same for nodes of any size: all candidates of all nodes go through each step in one plan."""
-    cols, group = [*numeric, *categorical], ["tree", "node", "iter"]
-    k = c.width(cols)
-    drawn = cut(_drawn(wide.select("tree", "node").distinct(), cols, c))
-    taken = lambda x: F.array_contains("cols", F.lit(x))
-    numbers = F.size(F.array_intersect("cols", F.array(*map(F.lit, numeric)))).alias("_numbers")
-    wide = wide.join(drawn, ["tree", "node"])
-    wide = cut(wide.select(*group, key, (F.col(labels[0]) >= 0).alias("sup"), numbers, *(F.when(taken(x), F.col(x)).otherwise(F.lit(0.0)).alias(x) for x in numeric), *(F.when(taken(x), F.col(x)).otherwise(F.lit("")).alias(x) for x in categorical), *labels))
-    seeds = cut(C.seed(wide, group, key, numeric, categorical, labels, from_b=C.coin(c.seed, *group), width=k))
-    sides = cut(C.assign(wide, seeds, group, key, numeric, categorical, width=k))
-    scores = C.option_scores(sides, group, key, numeric, categorical, labels, least_rows=least, p=c.weights, width=k, numbers="_numbers").select(*group, "score")
-    valid = scores.withColumn("r", F.row_number().over(Window.partitionBy("tree", "node").orderBy("iter"))).where(F.col("r") <= c.groups)
-    best = valid.groupBy("tree", "node").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("iter")).alias("i"))).alias("x")).where("x.score > -1").select("tree", "node", (-F.col("x.i")).alias("iter"), "x.score")
-    best = cut(best.join(drawn, group))
-    return sides.select(*group, key, "cl").join(best, group).select("tree", "node", key, "cl", "iter", "score", "cols")
-
-
 def grow(df: DataFrame, key: str, numeric: list[str], categorical: list[str], labels: list[str], c: Config, bags: DataFrame | None = None, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): nodes(tree, node, level, is_leaf, cols, score), members(tree, node, level, key) of every level.
 
@@ -100,8 +73,8 @@ def grow(df: DataFrame, key: str, numeric: list[str], categorical: list[str], la
     spread and correlations are over the columns that it drew. A node takes the best of the first ``groups`` valid
     candidates among ``iterations``, ties to the first; without one it is a leaf.
 
-    A level is one set of plans for the whole forest: nodes of SMALL_NODE rows at most are a group each, larger ones go through
-    distributed operators candidate by candidate. Both come to the same sides and scores. bags (tree, node 1, key): the
+    A level is one set of plans for the whole forest: nodes of SMALL_NODE rows at most are a group each, larger ones are
+    split in parts (``large_nodes``). Both come to the same sides and scores. bags (tree, node 1, key): the
     members of the trees, drawn elsewhere from about ``rows`` rows each.
     """
     cols = [*numeric, *categorical]
@@ -120,7 +93,7 @@ def grow(df: DataFrame, key: str, numeric: list[str], categorical: list[str], la
         wide = members.join(size, ["tree", "node"]).join(df.select(key, *cols, *labels), key)
         small = _split_small(wide.where(F.col("n") <= SMALL_NODE).drop("n"), key, numeric, categorical, labels, least, c)
         if not size.where(F.col("n") > SMALL_NODE).isEmpty():
-            small = small.unionByName(_split_large(wide.where(F.col("n") > SMALL_NODE).drop("n"), key, numeric, categorical, labels, least, c))
+            small = small.unionByName(large_nodes.split(wide.where(F.col("n") > SMALL_NODE).drop("n"), key, numeric, categorical, labels, least, c.iterations, c.groups, c.width(cols), c.seed, c.weights))
         split = cut(small)
         best = split.groupBy("tree", "node").agg(F.first("cols").alias("cols"), F.first("score").alias("score"), F.lit(False).alias("_inner"))
         nodes.append(size.join(best, ["tree", "node"], "left").select("tree", "node", F.lit(level).alias("level"), F.col("_inner").isNull().alias("is_leaf"), "cols", "score"))
