@@ -362,14 +362,14 @@ def test_large_nodes_in_cells(spark, monkeypatch):
     not multiplied by the candidates."""
     rng = random.Random(8)
     rows = [(i, rng.gauss(0, 1), float(rng.choice([0, 0, 0, 1, 7])), rng.choice(["a", "b", None]), *((rng.randrange(2), rng.randrange(2)) if i % 3 else (-1, -1))) for i in range(400)]
-    df = spark.createDataFrame(rows, "k long, x double, z double, c string, m0 int, m1 int")
+    df = spark.createDataFrame(rows, "row_id long, x double, z double, c string, m0 int, m1 int")
     c, got, seen = forest.Config(trees=1, depth=1, iterations=5, groups=4, bag=0.9), [], []
     monkeypatch.setattr(large_nodes, "CELL", 30)
     monkeypatch.setattr(large_nodes, "AT_ONCE", 3)
     monkeypatch.setattr(large_nodes, "cut", lambda t: seen.append((t.columns, n := t.checkpoint())) or n)
     for size in (131_072, 0):
         monkeypatch.setattr(forest, "SMALL_NODE", size)
-        nodes, members = forest.grow(df, "k", ["x", "z"], ["c"], ["m0", "m1"], c)
+        nodes, members = forest.grow(df, "row_id", ["x", "z"], ["c"], ["m0", "m1"], c)
         got.append((sorted((r.node, r.is_leaf, tuple(r.cols or ()), round(r.score or 0, 8)) for r in nodes.collect()), sorted(map(tuple, members.collect()))))
     assert got[0] == got[1] and len(got[0][0]) == 3
     dealt = [t.count() for names, t in seen if "sides" in names]
